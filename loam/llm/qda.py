@@ -113,7 +113,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for k in (0, 1):
                 z = x[y == k]
                 acc[k] += np.concatenate([[len(z)], z.sum(0), (z.T @ z).ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(acc.tolist(), pa.list_(pa.float64()))], ["y", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(acc.tolist(), pa.list_(pa.float64()))], ["y", "v"])
 
     parts = train.mapInArrow(moments, "y int, v array<double>").select("y", F.posexplode("v").alias("i", "v")).groupBy("y", "i").agg(F.sum("v").alias("v")).collect()  # 2 x (1 + P + P*P) numbers
     acc = np.zeros((2, 1 + P + P * P))

@@ -36,7 +36,7 @@ PART_TURNS = 512
 
 def json_string(c: Column) -> Column:
     """A JSON string literal, as to_json writes it."""
-    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    return F.when(c.isNotNull(), F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1))
 
 
 def canonical_map(m: Column) -> Column:

@@ -5,15 +5,17 @@ a Dirichlet (here Beta) prior centred on the share of its stem (its first ``STEM
 on the overall share; so rare words borrow from their stem and common ones stand on their own.  The token score is the
 log-odds of that share against the overall one, less ``DRIFT``: a token that tells nothing costs DRIFT.
 
-Segments.  All maximal-scoring segments of a text are found in one left-to-right pass (Ruzzo & Tompa, 1999).  Runs of
-uninformative tokens are one step, so the pass is linear in the informative ones.
+Segments.  All maximal-scoring segments of a text are found in one left-to-right pass (Ruzzo & Tompa, 1999).  A word counts where it first
+occurs in a text.  Runs of uninformative tokens are one step, so the pass is linear in the informative ones.
 
 Significance.  The best segment of a clean text follows an extreme-value (Gumbel) law whose location grows with the
-logarithm of the length (Karlin & Altschul, 1990); location, slope and scale are fitted on clean training texts.  A
+logarithm of the length (Karlin & Altschul, 1990); location, slope and scale are fitted on clean training texts
+(by quantiles).  A
 segment whose tail probability is below ``ALPHA`` is significant.  A text's evidence is the sum of -ln p over its
 significant segments; a logistic fit on training texts turns it into the score.
 
-Training texts are scored leaving their own label out of the counts, or rare words would look surer than they are.
+Training texts are in FOLDS folds by their id; for the fits of the two laws each is scored by the counts of the other
+folds, or rare words would look surer than they are.
 
 Defined results.  Null, empty and blank texts: no segment, the score of no evidence.  Repeated rows: each its own row.
 Without toxic or without clean training texts: score 0.
@@ -35,9 +37,10 @@ from loam.llm.labelled import MOST_LABELLED, labelled, training_labels
 from loam.llm.qda import platt
 
 STEM = 6
-PRIOR_STEM, PRIOR_WORD = 4.0, 2.0
+PRIOR_STEM, PRIOR_WORD = 10.0, 6.0
 DRIFT = 0.5
 ALPHA = 0.01
+FOLDS = 4
 MOST_TOKENS = 1 << 17
 MOST_P = 30.0
 _PUNCT = np.arange(256, dtype=np.uint8)
@@ -94,12 +97,9 @@ def maximal_segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[tu
 @dataclass
 class Model:
     words: np.ndarray  # ascending hashes
-    w_toxic: np.ndarray
-    w_all: np.ndarray
-    w_stem: np.ndarray  # the stem's prior share
+    w_score: np.ndarray
     stems: np.ndarray
-    s_share: np.ndarray
-    p0: float
+    s_score: np.ndarray
     loc: float = 0.0
     slope: float = 0.0
     scale: float = 1.0
@@ -107,32 +107,31 @@ class Model:
     b: float = 0.0
     empty: bool = False
 
-    def token_scores(self, t: Tokens, y: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and scores of informative tokens; y (per token): leave out one text of that label."""
+    def token_scores(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and scores of informative tokens: a known word's own score, else its stem's."""
         if not len(t.word) or not len(self.stems):
             return np.zeros(0, np.int64), np.zeros(0)
-        logit = lambda p: np.log(p / (1 - p))
         k = np.minimum(np.searchsorted(self.stems, t.stem), len(self.stems) - 1)
         stem = self.stems[k] == t.stem
-        share = np.where(stem, self.s_share[k], self.p0)
         j = np.minimum(np.searchsorted(self.words, t.word), max(len(self.words) - 1, 0))
         word = self.words[j] == t.word if len(self.words) else np.zeros(len(t.word), bool)
         at = np.flatnonzero(stem | word)
-        share, j, word = share[at], j[at], word[at]
-        tox, n = np.where(word, self.w_toxic[j], 0.0), np.where(word, self.w_all[j], 0.0)
-        prior = np.where(word, self.w_stem[j], share)
-        if y is not None:
-            tox, n = np.where(word, tox - y[at], 0.0), np.where(word, n - 1, 0.0)
-        p = np.clip((tox + PRIOR_WORD * prior) / (n + PRIOR_WORD), 1e-4, 1 - 1e-4)
-        return at, logit(p) - float(logit(self.p0)) - DRIFT
+        # a word that comes again says nothing new
+        doc = np.searchsorted(t.words.first, at, side="right") - 1
+        order = np.lexsort((at, t.word[at], doc))
+        new = np.ones(len(at), bool)
+        new[order[1:]] = (t.word[at][order[1:]] != t.word[at][order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
+        at = at[new]
+        own = self.w_score[j[at]] if len(self.words) else np.zeros(len(at))
+        return at, np.where(word[at], own, self.s_score[k[at]])
 
     def tail(self, s: float, n: int) -> float:
         """Probability that a clean text of n tokens has a segment of score s or more."""
         z = (s - self.loc - self.slope * np.log(max(n, 1))) / self.scale
         return float(-np.expm1(-np.exp(-min(max(z, -30.0), 700.0))))
 
-    def segments(self, t: Tokens, y: np.ndarray | None = None) -> list[list[tuple[int, int, float]]]:
-        at, s = self.token_scores(t, None if y is None else np.repeat(y, t.words.counts))
+    def segments(self, t: Tokens) -> list[list[tuple[int, int, float]]]:
+        at, s = self.token_scores(t)
         cuts = np.searchsorted(at, t.words.first)
         return [maximal_segments(at[a:z] - f, s[a:z], DRIFT) if z > a else [] for a, z, f in zip(cuts[:-1], cuts[1:], t.words.first[:-1], strict=True)]
 
@@ -151,65 +150,88 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * np.log1p(evidence) + self.b, -30, 30)))
 
 
+def _model(words: dict[str, np.ndarray], stems: dict[str, np.ndarray], p0: float, without: int | None = None) -> Model:
+    """From counts by fold (columns of t and n), without one fold."""
+    some = [f for f in range(FOLDS) if f != without]
+    logit = lambda p: np.log(p / (1 - p))
+    over = float(logit(p0)) + DRIFT
+    share = lambda x, prior, mean: np.clip((x["t"][:, some].sum(1) + prior * mean) / (x["n"][:, some].sum(1) + prior), 1e-4, 1 - 1e-4)
+    s_share = share(stems, PRIOR_STEM, p0)
+    k = np.minimum(np.searchsorted(stems["h"], words["s"]), max(len(stems["h"]) - 1, 0))
+    prior = np.where(stems["h"][k] == words["s"], s_share[k], p0) if len(stems["h"]) else np.full(len(words["h"]), p0)
+    return Model(words["h"], logit(share(words, PRIOR_WORD, prior)) - over, stems["h"], logit(s_share) - over)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str = "text", most_labelled: int = MOST_LABELLED, most_tokens: int = MOST_TOKENS) -> Model:
     ids = training_labels(labels, label, most_labelled)
-    train = labelled(docs, ids, text_col)
+    train = labelled(docs, ids, text_col).withColumn("__f", F.pmod(F.xxhash64("__id"), F.lit(FOLDS)).cast("int"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in V.slices(batches, "__text"):
             t = tokens(b, "__text")
-            y = b.column("__y").to_numpy()
+            y, fold = b.column("__y").to_numpy(), b.column("__f").to_numpy()
             v, first = V.distinct_sets(t.word, t.words.first)
-            own = np.repeat(y, np.diff(first))
+            doc = np.repeat(np.arange(len(y)), np.diff(first))
             u, inv = np.unique(v, return_inverse=True)
             order = np.argsort(t.word, kind="stable")
             stem = t.stem[order][np.searchsorted(t.word[order], u)] if len(u) else np.zeros(0, V.U)
-            toxic, every = np.bincount(inv, own, len(u)).astype(np.int64), np.bincount(inv, minlength=len(u))
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(stem.view(np.int64)), pa.array(toxic), pa.array(every)], ["w", "s", "t", "n"])
-
-    words = cut(train.mapInArrow(count, "w long, s long, t long, n long").groupBy("w", "s").agg(F.sum("t").alias("t"), F.sum("n").alias("n")), "toxic-words")
+            cell = inv * FOLDS + fold[doc]
+            toxic, every = np.bincount(cell, y[doc], len(u) * FOLDS).astype(np.int64), np.bincount(cell, minlength=len(u) * FOLDS)
+            at = np.flatnonzero(every)
+            yield pa.RecordBatch.from_arrays([pa.array(u[at // FOLDS].view(np.int64)), pa.array(stem[at // FOLDS].view(np.int64)), pa.array((at % FOLDS).astype(np.int32)), pa.array(toxic[at]), pa.array(every[at])], ["w", "s", "f", "t", "n"])
+
+    folds = [F.sum(F.when(F.col("f") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for c in "tn" for f in range(FOLDS)]
+    sums = [sum((F.col(f"{c}{f}") for f in range(FOLDS)), F.lit(0)).alias(c) for c in "tn"]
+    words = cut(train.mapInArrow(count, "w long, s long, f int, t long, n long").groupBy("w", "s").agg(*folds).select("*", *sums), "toxic-words")
     sizes = dict(train.groupBy("__y").count().collect())
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     z = np.zeros(0)
     if not n1 or not n0:
-        return Model(z.astype(V.U), z, z, z, z.astype(V.U), z, 0.5, empty=True)
+        return Model(z.astype(V.U), z, z.astype(V.U), z, empty=True)
     p0 = n1 / (n1 + n0)
-    stems = words.groupBy("s").agg(F.sum("t").alias("st"), F.sum("n").alias("sn")).withColumn("share", (F.col("st") + PRIOR_STEM * p0) / (F.col("sn") + PRIOR_STEM))
+    every = [f"{c}{f}" for c in "tn" for f in range(FOLDS)]
     logit = lambda p: F.log(p / (1 - p))
-    far = float(np.log(p0 / (1 - p0))) + DRIFT
+    over = float(np.log(p0 / (1 - p0))) + DRIFT
     # Tokens are kept by the evidence they can give; the bound is the model's size, its counts cover all training texts.
-    stems = stems.withColumn("gain", logit(F.col("share")) - far).where("gain > 0")
-    kept_stems = cut(stems.orderBy(F.desc("gain"), "s").limit(most_tokens).select("s", "share"), "toxic-stems")
+    stems = words.groupBy("s").agg(*[F.sum(c).alias(c) for c in ["t", "n", *every]]).withColumn("share", (F.col("t") + PRIOR_STEM * p0) / (F.col("n") + PRIOR_STEM))
+    kept_stems = cut(stems.withColumn("gain", logit(F.col("share")) - over).where("gain > 0").orderBy(F.desc(F.col("gain") * F.sqrt("n")), "s").limit(most_tokens), "toxic-stems")
+    w = words.join(F.broadcast(kept_stems.select("s", "share")), "s", "left")
     share = F.coalesce("share", F.lit(p0))
-    w = words.join(F.broadcast(kept_stems), "s", "left").withColumns({"prior": share, "gain": logit((F.col("t") + PRIOR_WORD * share) / (F.col("n") + PRIOR_WORD)) - far})
-    kept = w.where("gain > 0 or share is not null").orderBy(F.desc(F.abs("gain") * F.sqrt("n")), "w").limit(most_tokens).select("w", "t", "n", "prior").toArrow()
-    st = kept_stems.toArrow()
-    h = kept.column("w").to_numpy().view(V.U)
-    o = np.argsort(h)
-    sh = st.column("s").to_numpy().view(V.U)
-    so = np.argsort(sh)
-    get = lambda c: kept.column(c).to_numpy()[o].astype(float)
-    model = Model(h[o], get("t"), get("n"), get("prior"), sh[so], st.column("share").to_numpy()[so], p0)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    w = w.withColumn("gain", logit((F.col("t") + PRIOR_WORD * share) / (F.col("n") + PRIOR_WORD)) - over)
+    kept = w.where("gain > 0 or share is not null").orderBy(F.desc(F.abs("gain") * F.sqrt("n")), "w").limit(most_tokens)
+
+    def arrays(df: DataFrame, key: str) -> dict[str, np.ndarray]:
+        t = df.toArrow()  # at most most_tokens rows
+        h = t.column(key).to_numpy().view(V.U)
+        o = np.argsort(h)
+        out = {"h": h[o], **{c: np.column_stack([t.column(f"{c}{f}").to_numpy()[o] for f in range(FOLDS)]).astype(float) for c in "tn"}}
+        return out | {"s": t.column("s").to_numpy().view(V.U)[o]}
+
+    wa, sa = arrays(kept, "w"), arrays(kept_stems, "s")
+    model = _model(wa, sa, p0)
+    shared = docs.sparkSession.sparkContext.broadcast([_model(wa, sa, p0, f) for f in range(FOLDS)])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in V.slices(batches, "__text"):
             t = tokens(b, "__text")
-            y = b.column("__y").to_numpy()
-            segs = shared.value.segments(t, y)
-            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(t.words.counts), pa.array([[s for _, _, s in x] for x in segs], pa.list_(pa.float64()))], ["y", "n", "s"])
+            fold = b.column("__f").to_numpy()
+            by = [shared.value[f].segments(t) if (fold == f).any() else [] for f in range(FOLDS)]
+            segs = [[s for _, _, s in by[f][i]] for i, f in enumerate(fold)]
+            yield pa.RecordBatch.from_arrays([b.column("__y"), pa.array(t.words.counts), pa.array(segs, pa.list_(pa.float64()))], ["y", "n", "s"])
 
     seen = train.mapInArrow(best, "y int, n long, s array<double>").toPandas()  # at most about MOST_LABELLED rows of a few numbers
     clean = seen[(seen.y == 0) & (seen.n > 0)]
-    top = np.array([max(s, default=0.0) if s is not None else 0.0 for s in clean.s])
+    top = np.array([max(s, default=0.0) for s in clean.s])
     ln = np.log(clean.n.to_numpy().astype(float))
     slope = 0.0
     if len(top) > 2 and ln.std() > 0:
         slope = max(float(np.cov(ln, top)[0, 1] / ln.var()), 0.0)
     rest = top - slope * ln
-    scale = max(float(rest.std()) * np.sqrt(6) / np.pi, 0.25) if len(rest) else 1.0
-    model.slope, model.scale = slope, scale
-    model.loc = (float(rest.mean()) if len(rest) else 0.0) - 0.57722 * scale
+    # by quantiles, so that a few odd clean texts do not stretch the law
+    low, high = np.quantile(rest, [0.5, 0.95]) if len(rest) else (0.0, 1.0)
+    gumbel = lambda p: -np.log(-np.log(p))
+    model.slope, model.scale = slope, max(float(high - low) / float(gumbel(0.95) - gumbel(0.5)), 0.25)
+    model.loc = float(low) - model.scale * float(gumbel(0.5))
     ev = np.array([model.evidence([(0, 0, x) for x in s], int(n))[0] for s, n in zip(seen.s, seen.n, strict=True)])
     model.a, model.b = platt(np.log1p(ev), seen.y.to_numpy().astype(float))
     return model
