@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from loam.plans import curation, store  # noqa: F401  they register themselves
+from loam.plans.base import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
