@@ -23,9 +23,12 @@ def collapse(text: Column) -> Column:
 
 
 def bigrams(w: Column) -> Column:
-    """Adjacent pairs of a word array, joined by one space; empty for fewer than two words."""
-    pair = lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1))
-    return F.when(F.size(w) >= 2, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: pair(i.cast("int")))).otherwise(F.array().cast("array<string>"))
+    """Adjacent pairs of a word array, joined by one space; empty for fewer than two words.
+
+    Two shifted slices are zipped, so the array is computed outside the lambda, once for a row.
+    """
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda x, y: F.concat_ws(" ", x, y))
 
 
 def uni_bigrams(text: Column) -> Column:
@@ -108,20 +111,20 @@ def _rtrim(c: Column) -> Column:
 
 def clean_filler(text: Column) -> Column:
     """Each prefix once in order, then a filler last paragraph, then each suffix once in order."""
-    s = text
-    for p in FILLER_PREFIXES:
-        s = F.when(F.startswith(s, F.lit(p)), F.regexp_replace(F.substring(s, F.lit(len(p) + 1), F.length(s)), _LEFT, "")).otherwise(s)
-    has = F.instr(s, "\n\n") > 0
-    cut = F.length(s) - F.instr(F.reverse(s), "\n\n") - 1  # characters before the last blank line
-    tail = F.trim(F.regexp_replace(F.substring(s, cut + 3, F.length(s)), r"^\s+|\s+$", ""))
-    low = F.lower(tail)
-    filler = (F.octet_length(tail) < 10) & ~F.contains(tail, F.lit("."))
-    for t in FILLER_TAILS:
-        filler = filler | F.startswith(low, F.lit(t))
-    s = F.when(has & filler, _rtrim(F.substring(s, F.lit(1), cut))).otherwise(s)
-    for x in FILLER_SUFFIXES:
-        s = F.when(F.endswith(s, F.lit(x)), _rtrim(F.substring(s, F.lit(1), F.length(s) - len(x)))).otherwise(s)
-    return s
+    prefixes, suffixes = (F.array(*[F.lit(x) for x in xs]) for xs in (FILLER_PREFIXES, FILLER_SUFFIXES))
+    shorter = lambda s, p: F.regexp_replace(F.substring(s, F.length(p) + 1, F.length(s)), _LEFT, "")
+    s = F.aggregate(prefixes, text, lambda s, p: F.when(F.startswith(s, p), shorter(s, p)).otherwise(s))
+
+    def tail_cut(s: Column) -> Column:
+        cut = F.length(s) - F.instr(F.reverse(s), "\n\n") - 1  # characters before the last blank line
+        tail = F.regexp_replace(F.substring(s, cut + 3, F.length(s)), r"^\s+|\s+$", "")
+        filler = ((F.octet_length(tail) < 10) & ~F.contains(tail, F.lit("."))) | F.lower(tail).rlike("^(" + "|".join(FILLER_TAILS) + ")")
+        return F.when((F.instr(s, "\n\n") > 0) & filler, _rtrim(F.substring(s, F.lit(1), cut))).otherwise(s)
+
+    # an aggregate over one element binds its argument once
+    s = F.aggregate(F.array(F.lit(0)), s, lambda acc, _: tail_cut(acc))
+    less = lambda s, x: _rtrim(F.substring(s, F.lit(1), F.length(s) - F.length(x)))
+    return F.aggregate(suffixes, s, lambda s, x: F.when(F.endswith(s, x), less(s, x)).otherwise(s))
 
 
 def extract_answer(think: Column) -> Column:

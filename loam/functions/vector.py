@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,11 +66,8 @@ def hashed_ngram_bins(text: Column, dim: int = 256) -> Column:
 
 def hashed_ngram_udf(dim: int = 256):
     """The same as normalised vectors, in Arrow batches: for long texts, where byte arrays in the JVM would be slow."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("array<float>")
+    @F.pandas_udf("array<float>")
     def embed(text: pd.Series) -> pd.Series:
         def one(t):
             b = np.frombuffer((t or "").lower().encode(), np.uint8).astype(np.int64)

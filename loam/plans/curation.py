@@ -173,17 +173,17 @@ def json_numeric_pairs(spark: SparkSession, d: str) -> DataFrame:
 _PH = [(" the ", 0.75), (" und ", 0.65), (" de ", 0.6)]
 
 
-@query(r"""WITH p AS (SELECT doc_id, lower(text) AS t, unnest([{'p': ' the ', 'c': 0.75}, {'p': ' und ', 'c': 0.65}, {'p': ' de ', 'c': 0.6}]) AS p FROM documents), x AS (SELECT *, instr(t, p.p) AS i FROM p WHERE instr(t, p.p) > 0),
-y AS (SELECT doc_id, p, list_filter(regexp_split_to_array(left(t, (i - 1)::INT), '[ \t\n\r]+'), lambda w: w <> '') AS b, list_filter(regexp_split_to_array(substr(t, i + length(p.p)), '[ \t\n\r]+'), lambda w: w <> '') AS a FROM x),
-z AS (SELECT doc_id, p, coalesce(b[-1], 'X') AS c, coalesce(a[1], 'Y') AS e FROM y)
-SELECT doc_id, p.p AS phrase, regexp_replace(c, '^\P{L}+|\P{L}+$', '', 'g') AS cause, regexp_replace(e, '^\P{L}+|\P{L}+$', '', 'g') AS effect, p.c::DOUBLE AS confidence FROM z WHERE strlen(c) > 1 AND strlen(e) > 1""")
+@query(r"""WITH q AS (SELECT doc_id, lower(text) AS t, unnest([{'p': ' the ', 'c': 0.75}, {'p': ' und ', 'c': 0.65}, {'p': ' de ', 'c': 0.6}]) AS p FROM documents), x AS (SELECT *, instr(t, q.p.p) AS i FROM q WHERE instr(t, q.p.p) > 0),
+y AS (SELECT doc_id, p AS ph, list_filter(regexp_split_to_array(left(t, (i - 1)::INT), '[ \t\n\r]+'), lambda w: w <> '') AS b, list_filter(regexp_split_to_array(substr(t, i + length(x.p.p)), '[ \t\n\r]+'), lambda w: w <> '') AS a FROM x),
+z AS (SELECT doc_id, ph, coalesce(b[-1], 'X') AS c, coalesce(a[1], 'Y') AS e FROM y)
+SELECT doc_id, ph.p AS phrase, regexp_replace(c, '^\P{L}+|\P{L}+$', '', 'g') AS cause, regexp_replace(e, '^\P{L}+|\P{L}+$', '', 'g') AS effect, ph.c::DOUBLE AS confidence FROM z WHERE strlen(c) > 1 AND strlen(e) > 1""")
 def causal_phrase(spark: SparkSession, d: str) -> DataFrame:
     return readers.phrase_hypotheses(t(spark, d, "documents"), "doc_id", "text", _PH)
 
 
-@query(f"WITH {CORPUS_SQL} SELECT id, '[' || upper(source) || '] doc ' || id || ' (quality=' || printf('%.2f', round(quality, 2)) || ')' AS line FROM k")
+@query(f"WITH {CORPUS_SQL} SELECT id, '[' || upper(source) || '] doc ' || id || ' (quality=' || printf('%.2f', floor(quality * 100) / 100) || ')' AS line FROM k")
 def training_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d).select("id", T.training_text(F.col("source"), F.concat(F.lit("doc "), F.col("id").cast("string")), F.round("quality", 2)).alias("line"))
+    return table(spark, d).select("id", T.training_text(F.col("source"), F.concat(F.lit("doc "), F.col("id").cast("string")), F.floor(F.col("quality") * 100) / 100).alias("line"))
 
 
 @query("SELECT doc_id, left(text, 120) AS preview FROM documents")
