@@ -23,7 +23,8 @@ def admit(rows: DataFrame, min_novelty: float = gates.MIN_NOVELTY, max_share: fl
     one step that its semantics make sequential (the source share is a running share of all rows accepted so far).
     """
     ok = gates.static_gates(rows).where("pass")
-    cand = novelty.jaccard_pairs(ok, "seq", T.bigrams(T.words(F.col("title"))), 1 - min_novelty)
+    # candidates with some slack; the decision is on the same number as the novelty itself
+    cand = novelty.jaccard_pairs(ok, "seq", T.bigrams(T.words(F.col("title"))), max(1 - min_novelty - 1e-9, 0.0)).where(1 - F.col("jaccard") < min_novelty)
     similar = cand.groupBy(F.col("b").alias("seq")).agg(F.collect_list("a").alias("similar"))
     slim = ok.select("seq", "source", (T.word_count(F.col("title")) < 2).alias("short")).join(similar, "seq", "left")
 

@@ -11,19 +11,24 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Event time as a timestamp; without a zone it is read as the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def windowed(events: DataFrame, size: str = "1 day", late: str = "1 day") -> DataFrame:
     """(start, event_type, n, total): tumbling windows; rows later than ``late`` are dropped."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type")
+    w = _timed(events).withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type")
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    s = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
+    s = _timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
     return s.agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def without_repeats(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    return _timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
 _FSM = "user_id long, state string, total int, errors int, anomalies int"
