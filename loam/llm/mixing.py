@@ -49,8 +49,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     before, rest = by_need.rowsBetween(W.unboundedPreceding, -1), by_need.rowsBetween(0, W.unboundedFollowing)
     everything = W.partitionBy()
     level = (F.sum("source_size").over(everything) * float(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    w = w.withColumn("level", level).withColumn("free", F.col("level") * F.col("weight") <= F.col("cap"))
-    at = F.min(F.when(F.col("free"), F.col("level"))).over(everything)
+    w = w.withColumns({"level": level, "place": F.row_number().over(by_need)})
+    free = F.col("level") * F.col("weight") <= F.col("cap")
+    at = F.min(F.when(free, F.struct("place", "level"))).over(everything)["level"]
     return w.select("source", "source_size", "weight", F.when(at.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), at * F.col("weight"))).alias("target"))
 
 

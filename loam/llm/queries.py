@@ -84,8 +84,9 @@ WITH d AS (SELECT doc_id, source, coalesce(len({_WORDS.format("text")}), 0)::BIG
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, ((sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-   / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w),
-f AS (SELECT *, min(CASE WHEN level * weight <= cap THEN level END) OVER () AS free FROM l),
+   / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level,
+   row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place FROM w),
+f AS (SELECT *, (SELECT arg_min(level, place) FROM l WHERE level * weight <= cap) AS free FROM l),
 t AS (SELECT source, source_size, CASE WHEN free IS NULL THEN cap ELSE least(cap, free * weight) END AS target FROM f),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS times FROM t),
 k AS (SELECT source, h, sum(size)::BIGINT AS words FROM d GROUP BY source, h),
