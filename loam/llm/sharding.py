@@ -94,11 +94,11 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
 
 def _numbered(rows: DataFrame, limit: int) -> DataFrame:
     """Shards of rows that share all bits: as many to a shard as fit; the rows of a hash have equal id and text, so equal size."""
-    rows = cut(rows.withColumn("__part", F.spark_partition_id()), "shard-same-rows").withColumn("__row", F.monotonically_increasing_id())
+    rows = cut(rows.withColumn("__part", F.spark_partition_id()), "shard-same-rows").withColumn("__nth", F.monotonically_increasing_id())
     rows = cut(rows, "shard-same-numbered")
     counts = rows.groupBy("h", "__part").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.partitionBy("h").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    at = F.row_number().over(W.partitionBy("h", "__part").orderBy("__row")) - 1
+    at = F.row_number().over(W.partitionBy("h", "__part").orderBy("__nth")) - 1
     each = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))).cast("long"))
     out = rows.withColumn("__at", at).join(before, ["h", "__part"]).withColumn("__k", F.floor((F.col("__at") + F.col("__before")) / each).cast("long"))
     sums = out.groupBy("h", "__k").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
