@@ -6,13 +6,16 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which the small side of a join is broadcast (rows here are some tens of bytes).
-BROADCAST_ROWS = 100_000
+#: Rows up to which the small side of a join is broadcast.  Its rows are a few numbers, or at most an id and a name: some
+#: tens of megabytes in all.
+BROADCAST_ROWS = 500_000
 #: The pattern of one word, for SQL.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -83,28 +86,70 @@ def crc_bucket(doc_id: str | Column, k: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % k, F.lit(0))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _forest(edges: DataFrame, most_nodes: int = 500_000) -> DataFrame:
+    """A spanning forest of each partition's edges, as stars; written out anew whenever it holds most_nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while root.get(top, top) != top:
+                top = root[top]
+            while root.get(x, x) != top:
+                root[x], x = top, root[x]
+            return top
+
+        def stars() -> pa.RecordBatch:
+            ends = [(x, find(x)) for x in root]
+            ends = [(x, r) for x, r in ends if x != r]
+            root.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in ends], pa.int64()), pa.array([r for _, r in ends], pa.int64())], ["u", "v"])
+
+        for b in batches:
+            for x, y in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+                p, q = find(x), find(y)
+                root[max(p, q)] = root[min(p, q)] = min(p, q)
+            if len(root) > most_nodes:
+                yield stars()
+        if root:
+            yield stars()
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+#: Edges of 16 bytes that a single task joins at most.
+FOREST_EDGES = 1_000_000
+
+
+def components(edges: DataFrame, most_rounds: int = 60, forest_edges: int = FOREST_EDGES) -> DataFrame:
     """Connected components of undirected edges (a, b: long): rows (node, component), component the least node.
 
-    Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond",
-    2014); each keeps the number of edges linear and at most logarithmically many rounds are needed in practice.
-    A hub's neighbours are never gathered in one row: each step takes a minimum, with partial aggregation.
+    Partitions first reduce their edges to forests.  If FOREST_EDGES or fewer are left, one more such pass over them all
+    ends it: a task of counted, bounded size.  Else large-star and small-star steps alternate (Kiveris et al.,
+    "Connected Components in MapReduce and Beyond", 2014), which keep the number of edges linear and need about
+    logarithmically many rounds.  A hub's neighbours are never gathered in one row: each step takes a minimum, with
+    partial aggregation.  Tables of minima are broadcast while they are small, by their count.
     """
     spark = edges.sparkSession
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    if e.isEmpty():
+    e = cut(_forest(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")).distinct(), "cc")
+    told = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    sign = told(e)
+    if not sign[0]:
         return spark.createDataFrame([], "node long, component long")
-    sign = None
+    if sign[0] <= forest_edges:
+        return _named(_forest(e.coalesce(1), forest_edges * 2))
     for _ in range(most_rounds):
+        small = sign[0] <= BROADCAST_ROWS
+        near = lambda t, m: t.join(F.broadcast(m) if small else m, "k")  # noqa: B023, E731
         # large star: neighbours above a node go to the least of its neighbourhood
-        both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        both = e.select(F.col("u").alias("k"), F.col("v").alias("y")).union(e.select(F.col("v").alias("k"), F.col("u").alias("y")))
+        large = near(both, both.groupBy("k").agg(F.least(F.min("y"), F.first("k")).alias("m"))).where("y > k").select(F.col("y").alias("k"), F.col("m").alias("y")).distinct()
         # small star: neighbours below a node, and the node, go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").where("u <> v").distinct()
-        nxt = cut(small, "cc")
-        now = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        low = near(large, large.groupBy("k").agg(F.min("y").alias("m")))
+        star = low.select(F.explode(F.array(F.struct(F.col("y").alias("u"), F.col("m").alias("v")), F.struct(F.col("k").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").where("u <> v").distinct()
+        nxt = cut(star, "cc")
+        now = told(nxt)
         drop(e)
         e = nxt
         if now == sign:
@@ -112,7 +157,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         sign = now
     else:
         raise RuntimeError("components did not settle")
-    return cut(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "components")
+    return _named(e)
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    e = cut(stars, "cc")
+    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return cut(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -7,11 +7,14 @@ Documents with equal sets are one point.  Points meet in three steps, each of wh
    their least common shingle is among the first n - ceil(t n) + 1 of either: those are the windows to which a set is
    replicated as a boundary document.  (Whole documents as outer pivots give no regions: nearly all documents are at
    distance 1 from any of them and would be replicated to every region.)  Cells with equal members are one.
-2. In a cell, the ranked prefixes bound every overlap from above.  Pairs whose bound admits a link tie points to a
-   region; a region's points come together once, whatever the number of their cells.
+2. In a cell, a bitmap of each set bounds every distance from below: a shingle flips one bit, so two sets differ in at
+   least as many members as their bitmaps in bits (Sandes et al., "Bitmap filter", 2020).  A bitmap has about as many bits
+   as its set has members, at least BITS; the longer of two is folded to the size of the shorter.  Pairs whose bound
+   admits a link tie points to a region; a region's points come together once, whatever the number of their cells.
 3. In a region, document pivots create Voronoi regions; points at d <= e of a pivot link to it; the triangle inequality
    bounds which points still need comparing, boundary points (d <= nearest + 2e) are replicated, and the parts are
-   joined recursively.  A region above ``most_bytes`` does one such level per Spark job until its parts fit.
+   joined recursively.  A region above ``most_bytes`` takes up to LEVELS such levels as Spark jobs, PIVOTS pivots each;
+   what no pivot tells apart even then is joined by pairs of blocks.
 
 Every comparison that decides a link is exact on whole sets of 64-bit shingle hashes and in whole numbers:
 den * intersection >= num * union.
@@ -32,14 +35,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.llm import vectext as V
-from loam.llm.common import BROADCAST_ROWS, components, cut
+from loam.llm.common import BROADCAST_ROWS, components, cut, drop
 
 #: Shingles that are ranked last: at most so many, the most frequent; any choice gives the same links.
 MOST_COMMON = 1 << 18
+#: Shingles among which a task looks for common ones.
+WINDOW = 4_000_000
 #: Bytes of sets up to which a region is joined within a task.
-REGION_BYTES = 64 << 20
+REGION_BYTES = 32 << 20
 #: Points up to which a cell is compared by bounds; a larger one is a region as it is.
 CELL_POINTS = 4096
+#: Least bits of a bitmap.
+BITS = 1024
+PIVOTS, LEVELS = 8, 4
 
 
 def sets_of(batch: pa.RecordBatch, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,23 +88,28 @@ def _common(docs: DataFrame, text_col: str, k: int, most: int) -> tuple[np.ndarr
     """The most frequent shingles: counted within tasks where they occur in two texts or more, then summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        held = np.empty(WINDOW, V.U)
+        used = 0
 
-        def flush():
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            u, c = u[c > 1], c[c > 1]
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+        def flush(part: np.ndarray) -> pa.RecordBatch:
+            part.sort()
+            at = np.flatnonzero(part[1:] == part[:-1])  # places that equal the next
+            new = np.concatenate([[True], np.diff(at) > 1]) | (np.concatenate([[True], part[at[1:]] != part[at[:-1]]])) if len(at) else np.zeros(0, bool)
+            start = np.flatnonzero(new)
+            c = np.diff(np.append(start, len(at))) + 1
+            return pa.RecordBatch.from_arrays([pa.array(part[at[start]].view(np.int64)), pa.array(c)], ["h", "c"])
 
         for b in V.slices(batches, text_col):
             v, _ = sets_of(b, text_col, k)
-            held.append(v)
-            size += len(v)
-            if size > 4_000_000:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
+            while len(v):
+                n = min(len(v), WINDOW - used)
+                held[used : used + n] = v[:n]
+                used, v = used + n, v[n:]
+                if used == WINDOW:
+                    yield flush(held)
+                    used = 0
+        if used:
+            yield flush(held[:used])
 
     got = docs.select(text_col).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     top = got.orderBy(F.desc("c"), "h").limit(most).toArrow()  # at most `most` pairs of numbers
@@ -108,8 +121,23 @@ def _common(docs: DataFrame, text_col: str, k: int, most: int) -> tuple[np.ndarr
     return h[by_hash], places[by_hash]
 
 
+def bitmap(v: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set, as 64-bit words: bit i tells whether an odd number of members fall on it."""
+    size = max(BITS, 1 << max(len(v) - 1, 0).bit_length())
+    odd = np.bincount((V.mix(v + V.U(0xA4093822299F31D0)) & V.U(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1
+    return np.packbits(odd).view(V.U)
+
+
+def fold(rows: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps of the same sets with fewer bits."""
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
 def _points(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, common) -> DataFrame:
-    """doc_id, n, the set's 128-bit key, and the ranks and shingles of its prefix in rank order."""
+    """doc_id, n, the set's 128-bit key, the ranks of its prefix and its bitmap."""
 
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked_last = common.value
@@ -118,15 +146,15 @@ def _points(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
             n = np.diff(first)
             h1, h2 = set_keys(v, first)
             key = rank(v, ranked_last)
-            doc = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((key, doc))
+            order = np.lexsort((key, np.repeat(np.arange(len(n)), n)))
             place = np.arange(len(v)) - np.repeat(first[:-1], n)
-            keep = place < np.repeat(prefix_len(n, num, den), n)
-            pre = key[order][keep]
-            offs = np.concatenate([[0], np.cumsum(np.where(n > 0, prefix_len(n, num, den), 0))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array(n), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(pa.array(offs), pa.array(pre.view(np.int64)))], ["doc_id", "n", "h1", "h2", "prefix"])
+            size = np.where(n > 0, prefix_len(n, num, den), 0)
+            pre = key[order][place < np.repeat(size, n)]
+            offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            bits = pa.array([bitmap(v[x:y]).tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array(n), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(pa.array(offs), pa.array(pre.view(np.int64))), bits], ["doc_id", "n", "h1", "h2", "prefix", "bits"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(point, "doc_id long, n long, h1 long, h2 long, prefix array<long>")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(point, "doc_id long, n long, h1 long, h2 long, prefix array<long>, bits binary")
 
 
 def set_keys(v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,18 +170,21 @@ def set_keys(v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- cells
 
 
-def cell_ties(member: np.ndarray, n: np.ndarray, pre: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Ties (a, b) that connect all members of a cell between which the prefix bound admits a link.
+def cell_ties(member: np.ndarray, n: np.ndarray, bits: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Ties (a, b) that connect all members of a cell between which the bitmaps admit a link.
 
-    For a pair, let K be the lesser of the two prefixes' last ranks.  Up to K both sets are known: a and b members with
-    c in common.  Above K at most min(n_a - a, n_b - b) can be common.
+    Sets that link differ in at most (den - num) / (den + num) of n_a + n_b members.
     """
     m = len(member)
     label = np.arange(m)
-    flat = np.concatenate(pre) if m else np.zeros(0, V.U)
-    first = np.concatenate([[0], np.cumsum([len(p) for p in pre])]).astype(np.int64)
-    last = np.array([p[-1] for p in pre], V.U)
     ties: list[tuple[int, int]] = []
+    words = np.array([len(x) for x in bits])
+    place = np.zeros(m, np.int64)
+    rows = {}
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w)
+        place[at] = np.arange(len(at))
+        rows[w] = np.array([bits[i] for i in at])
     for i in range(m - 1):
         if len(ties) == m - 1:
             break
@@ -161,17 +192,12 @@ def cell_ties(member: np.ndarray, n: np.ndarray, pre: list[np.ndarray], num: int
         js = js[(label[js] != label[i]) & (den * np.minimum(n[i], n[js]) >= num * np.maximum(n[i], n[js]))]
         if not len(js):
             continue
-        lo, hi = first[js[0]], first[js[-1] + 1]
-        at = np.searchsorted(pre[i], flat[lo:hi])
-        at[at == len(pre[i])] = 0
-        c = np.concatenate([[0], np.cumsum(pre[i][at] == flat[lo:hi])])
-        common = c[first[js + 1] - lo] - c[first[js] - lo]
-        a = np.searchsorted(pre[i], np.minimum(last[i], last[js]), side="right")
-        b = first[js + 1] - first[js]
-        for q in np.flatnonzero(last[js] > last[i]):
-            b[q] = np.searchsorted(pre[js[q]], last[i], side="right")
-        best = common + np.minimum(n[i] - a, n[js] - b)
-        for j in js[best * (num + den) >= num * (n[i] + n[js])]:
+        apart = np.zeros(len(js), np.int64)
+        for w in np.unique(words[js]).tolist():
+            k = np.flatnonzero(words[js] == w)
+            t = min(w, int(words[i]))
+            apart[k] = np.bitwise_count(fold(rows[w][place[js[k]]], t) ^ fold(bits[i][None, :], t)).sum(1, dtype=np.int64)
+        for j in js[apart * (den + num) <= (den - num) * (n[i] + n[js])]:
             if label[i] != label[j]:
                 label[label == label[j]] = label[i]
                 ties.append((int(member[i]), int(member[j])))
@@ -212,23 +238,16 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _lists(col: pa.ChunkedArray) -> list[np.ndarray]:
-    out = []
-    for c in col.chunks:
-        v, o = c.values.to_numpy().view(V.U), c.offsets.to_numpy()
-        out += [v[a:z] for a, z in zip(o[:-1], o[1:], strict=True)]
-    return out
-
-
 def _tied(points: DataFrame, cells: DataFrame, num: int, den: int, most: int) -> DataFrame:
     def ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "cell"):
-            got = cell_ties(t.column("rid").to_numpy(), t.column("n").to_numpy(), _lists(t.column("prefix")), num, den)
+            bits = [np.frombuffer(x.as_py(), V.U) for x in t.column("bits")]
+            got = cell_ties(t.column("rid").to_numpy(), t.column("n").to_numpy(), bits, num, den)
             if got:
                 a, b = zip(*got, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = cells.where(F.col("m") <= most).select("cell", "rid").join(points.select("rid", "n", "prefix").hint("merge"), "rid")
+    rows = cells.where(F.col("m") <= most).select("cell", "rid").join(points.select("rid", "n", "bits").hint("merge"), "rid")
     small = rows.repartition("cell").sortWithinPartitions("cell", "rid").mapInArrow(ties, "a long, b long")
     # a larger cell's members are tied as they are: a region too large is no loss, a region too small would be
     return small.unionByName(cells.where((F.col("m") > most) & (F.col("rid") != F.col("r0"))).select(F.col("r0").alias("a"), F.col("rid").alias("b")))
@@ -246,97 +265,91 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a)) if len(b) else 0
 
 
-def join_region(sets: list[np.ndarray], num: int, den: int, leaf: int = 24) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links that connect all linked points of a region: component label per point, and the spanning links found.
+def overlaps(p: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of one ascending set with others, none of them empty."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(p, flat)
+    at[at == len(p)] = 0
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in others[:-1]])]).astype(np.int64)
+    return np.add.reduceat((p[at] == flat).astype(np.int64), starts)
+
+
+def join_region(sets: list[np.ndarray], num: int, den: int, leaf: int = 24, pivots: int = 16) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links that connect all linked points of a region: component label (least index) per point, and the links found.
 
-    Pivots are taken in turn.  Points within e of the pivot link to it.  What is left - the points outside, and those
-    inside that the triangle inequality cannot keep apart from them - is split by the nearest of several pivots, with
-    boundary points replicated, and joined recursively.
+    Pivots, each far from those before it, are compared with all points; points within e of a pivot link to it.  If the
+    windows of the pivots' Voronoi regions are narrow, the regions - each with the boundary points of others, which lie
+    within nearest + 2e of its pivot - are joined recursively.  Where they are wide (points that are all near, or all
+    far) the points are taken one by one, those of the smallest component first: a point is compared with those points of
+    other components that the triangle inequality over all pivots does not keep apart from it, and is then done.  That
+    ends when one component is left.
     """
     m = len(sets)
-    root = np.arange(m)
+    root = np.arange(m)  # always flat: the label of each point
     links: list[tuple[int, int]] = []
-    e = 1 - num / den
-    slack = 1e-9
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    e = 1 - num / den + 1e-9
+    n = np.array([len(s) for s in sets], np.int64)
 
     def tie(i: int, j: int) -> None:
-        ri, rj = find(i), find(j)
-        if ri != rj:
-            root[max(ri, rj)] = min(ri, rj)
+        a, b = sorted((root[i], root[j]))
+        if a != b:
+            root[root == b] = a
             links.append((i, j))
 
-    n = np.array([len(s) for s in sets], np.int64)
-
-    def against(p: int, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distances of idx to point p, and whether they link; sets too different in size to link are at their least distance."""
-        o = np.array([overlap(sets[p], sets[i]) for i in idx], np.int64)
+    def against(p: int, idx: np.ndarray) -> np.ndarray:
+        """Distances of idx to point p; ties those that link."""
+        o = overlaps(sets[p], [sets[i] for i in idx])
         u = n[p] + n[idx] - o
-        return 1 - o / u, den * o >= num * u
-
-    def solve(idx: np.ndarray, depth: int) -> None:
-        while len(idx) > 1:
-            if len({find(int(i)) for i in idx}) == 1:
+        for i in idx[den * o >= num * u]:
+            tie(p, int(i))
+        return 1 - o / u
+
+    def solve(idx: np.ndarray) -> None:
+        if len(idx) < 2 or len(np.unique(root[idx])) == 1:
+            return
+        rows: list[np.ndarray] = []
+        chosen = [int(np.flatnonzero(idx == idx[0])[0])]
+        if len(idx) > leaf:
+            far = np.full(len(idx), np.inf)
+            while True:
+                rows.append(against(int(idx[chosen[-1]]), idx))
+                far = np.minimum(far, rows[-1])
+                nxt = int(np.argmax(far))
+                if len(rows) == pivots or far[nxt] <= e or len(np.unique(root[idx])) == 1:
+                    break
+                chosen.append(nxt)
+        dist = np.array(rows).reshape(len(rows), len(idx))
+        if len(rows) > 1:
+            near, least = dist.argmin(0), dist.min(0)
+            parts = [idx[dist[k] <= least + 2 * e] for k in range(len(rows)) if (near == k).any()]
+            if sum(map(len, parts)) <= 1.3 * len(idx) and max(map(len, parts)) <= 0.8 * len(idx):
+                for part in parts:
+                    solve(part)
                 return
-            if len(idx) > leaf and depth < 12:
-                return divide(idx, depth)
-            p, rest = int(idx[0]), idx[1:]
-            d, ok = against(p, rest)
-            for i in rest[ok]:
-                tie(p, int(i))
-            out = ~ok
-            if not out.any():
+        left = np.ones(len(idx), bool)
+        left[chosen[: len(rows)]] = False  # the pivots have met everything
+        while True:
+            at = np.flatnonzero(left)
+            label, count = np.unique(root[idx[at]], return_counts=True)
+            if len(label) < 2:
                 return
-            # a linked point is needed only if something outside may be within e of it
-            idx = rest[out | (d >= d[out].min() - e - slack)]
-
-    def divide(idx: np.ndarray, depth: int) -> None:
-        q = int(min(16, max(2, len(idx) ** 0.5 / 2)))
-        pivots: list[int] = [int(idx[0])]
-        rows = []
-        far = None
-        for _ in range(q):
-            p = pivots[-1]
-            d, ok = against(p, idx)
-            for i in idx[ok]:
-                tie(p, int(i))
-            rows.append(d)
-            far = d if far is None else np.minimum(far, d)
-            nxt = int(np.argmax(far))
-            if far[nxt] <= e or len(rows) == q:
-                break
-            pivots.append(int(idx[nxt]))
-        dist = np.array(rows)
-        near = dist.argmin(0)
-        least = dist.min(0)
-        parts = []
-        for k in range(len(rows)):
-            inside = near == k
-            part = (dist[k] <= least + 2 * e + slack) if len(rows) > 1 else np.ones(len(idx), bool)
-            ok = dist[k] <= e + slack  # linked to the pivot, up to rounding, which solve() settles
-            exact = np.array([find(int(i)) == find(pivots[k]) for i in idx]) & ok
-            out = part & ~exact
-            if not out.any():
-                continue
-            part &= ~exact | (dist[k] >= dist[k][out].min() - e - slack)
-            part[idx == pivots[k]] = False
-            if (part & inside).any():
-                parts.append(part)
-        for part in parts:
-            sub = idx[part]
-            solve(sub, depth + 1 if len(sub) < len(idx) * 0.9 else 12)
-
-    solve(np.argsort(n, kind="stable"), 0)
-    return np.array([find(i) for i in range(m)]), links
+            own = root[idx[at]] == label[count.argmin()]
+            p = int(at[own][0])
+            js = at[root[idx[at]] != root[idx[p]]]
+            a, b = n[idx[p]], n[idx[js]]
+            js = js[den * np.minimum(a, b) >= num * np.maximum(a, b)]
+            if len(rows) and len(js):
+                js = js[(np.abs(dist[:, js] - dist[:, [p]]) <= e).all(0)]
+            if len(js):
+                against(int(idx[p]), idx[js])
+            left[p] = False
+
+    solve(np.argsort(n, kind="stable"))
+    return root, links
 
 
 def _region_links(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows (region, rid, members) -> links (a, b)."""
+    """rows (region, rid, members) -> (a, b): each linked point b with the least point a of its class in the region."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "region"):
@@ -344,98 +357,121 @@ def _region_links(rows: DataFrame, num: int, den: int) -> DataFrame:
             one = np.concatenate([[True], rid[1:] != rid[:-1]])  # a set may come from several rows of one id
             t, rid = t.filter(pa.array(one)), rid[one]
             sets = [np.frombuffer(x.as_buffer(), V.U) for c in t.column("members").chunks for x in c]
-            _, links = join_region(sets, num, den)
-            if links:
-                a, b = np.array(links).T
+            label, _ = join_region(sets, num, den)
+            b = np.flatnonzero(label != np.arange(len(label)))
+            a = label[b]
+            if len(b):
                 yield pa.RecordBatch.from_arrays([pa.array(rid[a]), pa.array(rid[b])], ["a", "b"])
 
     return rows.repartition("region").sortWithinPartitions("region", "rid").mapInArrow(join, "a long, b long")
 
 
 def _pivot_level(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """One level of large regions as a Spark job: the pivot of a region goes to its points wherever they are.
+    """One level of large regions as a Spark job: the pivots of a region go to its points wherever they are.
 
-    Returns the links to the pivot, and the points that remain (outside, or not kept apart from the outside)."""
-    pivot = rows.groupBy("region").agg(F.min_by(F.struct("rid", "members"), F.xxhash64("rid")).alias("p")).select("region", F.col("p.rid").alias("pivot"), F.col("p.members").alias("pivot_members"))
-    pivot = cut(pivot, "jaccard-pivot")
+    Returns the links to pivots, and the points that remain: those that for no pivot are linked to it and farther than e
+    from everything outside its links.
+    """
+    order = W.partitionBy("region").orderBy(F.xxhash64("rid"), "rid")
+    first = rows.select("region", "rid").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS)
+    each = F.array_sort(F.collect_list(F.struct("k", "rid", "members")))  # at most PIVOTS
+    pivots = cut(rows.join(F.broadcast(first) if first.count() <= 10_000 else first, ["region", "rid"]).groupBy("region").agg(each.alias("pivots")), "jaccard-pivots")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d, ok = np.ones(b.num_rows), np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column("members"), b.column("pivot_members"), strict=True)):
-                s, p = np.frombuffer(x.as_buffer(), V.U), np.frombuffer(y.as_buffer(), V.U)
-                o = overlap(s, p)
-                d[i], ok[i] = 1 - o / (len(s) + len(p) - o), den * o >= num * (len(s) + len(p) - o)
-            yield pa.RecordBatch.from_arrays([b.column("region"), b.column("rid"), b.column("pivot"), pa.array(d), pa.array(ok)], ["region", "rid", "pivot", "d", "ok"])
-
-    few = pivot.count() <= 1000  # a pivot's set is some kilobytes
-    at = rows.join(F.broadcast(pivot) if few else pivot.hint("merge"), "region").mapInArrow(measure, "region long, rid long, pivot long, d double, ok boolean")
-    at = cut(at, "jaccard-distances")
-    least = at.where("not ok").groupBy("region").agg(F.min("d").alias("least"))
+            out: list[tuple] = []
+            for region, rid, members, ps in zip(b.column("region").to_pylist(), b.column("rid").to_pylist(), b.column("members"), b.column("pivots").to_pylist(), strict=True):
+                s = np.frombuffer(members.as_buffer(), V.U)
+                for p in ps:
+                    q = np.frombuffer(p["members"], V.U)
+                    o = overlap(s, q)
+                    u = len(s) + len(q) - o
+                    out.append((region, rid, p["rid"], 1 - o / u, den * o >= num * u))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["region", "rid", "pivot", "d", "ok"])
+
+    few = pivots.count() <= 200  # each holds some tens of kilobytes
+    at = cut(rows.join(F.broadcast(pivots) if few else pivots.hint("merge"), "region").mapInArrow(measure, "region long, rid long, pivot long, d double, ok boolean"), "jaccard-distances")
+    least = at.where("not ok").groupBy("region", "pivot").agg(F.min("d").alias("least"))
     e = 1 - num / den
-    rest = at.join(least, "region").where(F.col("rid") != F.col("pivot")).where(~F.col("ok") | (F.col("d") >= F.col("least") - e - 1e-9)).select("region", "rid")
-    return at.where("ok and rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")), cut(rows.join(rest, ["region", "rid"], "left_semi"), "jaccard-rest")
+    settled = F.col("ok") & (F.col("least").isNull() | (F.col("d") < F.col("least") - e - 1e-9)) | (F.col("rid") == F.col("pivot"))
+    gone = at.join(F.broadcast(least) if few else least, ["region", "pivot"], "left").where(settled).select("region", "rid").distinct()
+    return at.where("ok and rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")), cut(rows.join(gone, ["region", "rid"], "left_anti"), "jaccard-rest")
+
+
+def _blocks(rows: DataFrame, size: DataFrame, most_bytes: int) -> DataFrame:
+    """Large regions as all pairs of their blocks, each pair a region that fits; a row goes to as many as there are blocks."""
+    n = F.greatest(F.lit(2), F.ceil(2 * F.col("b") / most_bytes)).cast("int")
+    r = rows.join(size.where(F.col("b") > most_bytes).select("region", n.alias("c")), "region").withColumn("own", F.pmod(F.xxhash64("rid", F.lit(3)), F.col("c")).cast("int"))
+    r = r.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    return r.select(F.xxhash64("region", F.least("own", "o"), F.greatest("own", "o")).alias("region"), "rid", "members")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100, most_common: int = MOST_COMMON, most_bytes: int = REGION_BYTES, cell_points: int = CELL_POINTS) -> DataFrame:
-    """doc_id, n_shingles, component_id and links (spanning links found at the document's set) of every row.
+    """doc_id, n_shingles and component_id of every row.
 
     Two documents link when den * |intersection| >= num * |union|.
     """
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(_common(docs, text_col, k, most_common))
     each = cut(_points(docs, id_col, text_col, k, num, den, common), "jaccard-documents")
-    kinds = each.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"))
+    kinds = each.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     points = cut(kinds.withColumn("rid", F.monotonically_increasing_id()), "jaccard-points")
+    slim = cut(each.select("doc_id", "n", "h1", "h2"), "jaccard-slim")
+    drop(each)
     ties = components(_tied(points, cut(_cells(points), "jaccard-cells"), num, den, cell_points))
-    # sets of the points that are tied to another, made anew from the text of one of their documents
-    tied = cut(points.join(ties.withColumnRenamed("node", "rid").hint("merge"), "rid").select("rid", "h1", "h2", F.col("component").alias("region")), "jaccard-tied")
-    links = _links(docs, each, tied, text_col, id_col, k, num, den, most_bytes)
+    tied = points.join(ties.withColumnRenamed("node", "rid").hint("merge"), "rid").select("rid", "h1", "h2", "n", "doc_id", F.col("component").alias("region"))
+    tied = cut(tied, "jaccard-tied")
+    links, more = _links(docs, tied, text_col, id_col, k, num, den, most_bytes)
     links = cut(links, "jaccard-links")
-    found = components(links)
-    degree = links.distinct().select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count("*").alias("links"))
-    named = points.select("rid", "h1", "h2", "n", "doc_id").join(found.withColumnRenamed("node", "rid").hint("merge"), "rid", "left").join(degree, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    # a point is in one region and its class in one part of it; only the links of several levels need joining again
+    found = components(links) if more else links.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    named = points.select("rid", "h1", "h2", "n", "doc_id").join(found.withColumnRenamed("node", "rid").hint("merge"), "rid")
     named = cut(named, "jaccard-named")
-    least = named.where("component <> rid or links is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    named = named.join(least, "component", "left").select("h1", "h2", "n", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = named.join(least, "component").select("h1", "h2", "n", "least")
     # one row per set; a set with many documents makes skewed keys here, which AQE splits
-    out = each.select("doc_id", "n", "h1", "h2").join(named.hint("merge"), ["h1", "h2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    own = points.select("h1", "h2", "n", "doc_id").join(named.hint("merge"), ["h1", "h2", "n"], "left").select("h1", "h2", "n", F.coalesce("least", "doc_id").alias("component_id"))
+    out = slim.join(own.hint("merge"), ["h1", "h2", "n"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _links(docs: DataFrame, each: DataFrame, tied: DataFrame, text_col: str, id_col: str, k: int, num: int, den: int, most_bytes: int) -> DataFrame:
-    wanted = each.select("h1", "h2", "doc_id").join(tied.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_semi")
-    one = cut(wanted.groupBy("h1", "h2").agg(F.min("doc_id").alias("__id")), "jaccard-wanted").select("__id").distinct()
-    n = one.count()
+def _links(docs: DataFrame, tied: DataFrame, text_col: str, id_col: str, k: int, num: int, den: int, most_bytes: int) -> tuple[DataFrame, bool]:
+    """Links within regions, from sets made anew of the texts of the points' first documents; whether there were levels."""
+    n = tied.count()
+    want = tied.select(F.col("doc_id").alias("__want"), "rid", "region", F.col("h1").alias("__h1"), F.col("h2").alias("__h2"))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    same = F.col("__id").eqNullSafe(F.col("__want"))
-    one = one.withColumnRenamed("__id", "__want")
-    texts = texts.join(F.broadcast(one) if n <= BROADCAST_ROWS else one.hint("merge"), same, "left_semi")
+    texts = texts.join(F.broadcast(want) if n <= BROADCAST_ROWS else want.hint("merge"), F.col("__id").eqNullSafe(F.col("__want")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in V.slices(batches, "__text"):
             v, first = sets_of(b, "__text", k)
             h1, h2 = set_keys(v, first)
+            # rows of one id may have other texts than the point's
+            own = np.flatnonzero((h1 == b.column("__h1").to_numpy()) & (h2 == b.column("__h2").to_numpy()))
             raw = v.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array([raw[8 * a : 8 * z] for a, z in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["h1", "h2", "members"])
-
-    made = texts.mapInArrow(build, "h1 long, h2 long, members binary").join(tied.hint("merge"), ["h1", "h2"])
-    rows = cut(made.select("region", "rid", "members"), "jaccard-regions")
-    size = cut(rows.groupBy("region").agg(F.sum(F.octet_length("members")).alias("b"), F.count("*").alias("m")), "jaccard-sizes")
-    found = []
-    while True:
+            yield pa.RecordBatch.from_arrays([b.column("region").take(pa.array(own)), b.column("rid").take(pa.array(own)), pa.array([raw[8 * first[i] : 8 * first[i + 1]] for i in own], pa.binary())], ["region", "rid", "members"])
+
+    made = texts.mapInArrow(build, "region long, rid long, members binary")
+    size = cut(tied.groupBy("region").agg((F.sum("n") * 8).alias("b"), F.count("*").alias("m")), "jaccard-sizes")
+    large = size.where((F.col("b") > most_bytes) & (F.col("m") > 2)).select("region")
+    if large.isEmpty():
+        return _region_links(made, num, den), False
+    here = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large.hint("merge")
+    out = _region_links(made.join(here, "region", "left_anti"), num, den)
+    rows = cut(made.join(here, "region", "left_semi").dropDuplicates(["rid"]), "jaccard-regions")
+    for _ in range(LEVELS):
+        got, left = _pivot_level(rows, num, den)
+        drop(rows)
+        out = out.unionByName(got)
+        size = cut(left.groupBy("region").agg(F.sum(F.octet_length("members")).alias("b"), F.count("*").alias("m")), "jaccard-sizes")
         large = size.where((F.col("b") > most_bytes) & (F.col("m") > 2)).select("region")
-        if large.isEmpty():
-            break
-        here = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large.hint("merge")
-        found.append(_region_links(rows.join(here, "region", "left_anti"), num, den))
-        got, rows = _pivot_level(rows.join(here, "region", "left_semi"), num, den)
-        found.append(got)
-        size = cut(rows.groupBy("region").agg(F.sum(F.octet_length("members")).alias("b"), F.count("*").alias("m")), "jaccard-sizes")
-    out = _region_links(rows, num, den)
-    for f in found:
-        out = out.unionByName(f)
-    return out
+        out = out.unionByName(cut(_region_links(left.join(large, "region", "left_anti"), num, den), "jaccard-found"))
+        rows = cut(left.join(large, "region", "left_semi"), "jaccard-regions")
+        drop(left)
+        if rows.isEmpty():
+            return out, True
+    return out.unionByName(_region_links(_blocks(rows, size, most_bytes), num, den)), True
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
