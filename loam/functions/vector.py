@@ -56,12 +56,17 @@ def quantize_int4(a: Column, block: int = 64) -> Column:
 
 def hashed_ngram_bins(text: Column, dim: int = 256) -> Column:
     """Bins of the two- and three-byte windows of the lower-cased text's UTF-8 bytes."""
-    h = F.hex(F.encode(F.lower(text), "UTF-8"))
-    n = F.octet_length(F.lower(text))
-    byte = lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    two = F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 2), lambda i: (byte(i) * 31 + byte(i + 1)) % dim)).otherwise(F.array().cast("array<int>"))
-    three = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: (byte(i) * 961 + byte(i + 1) * 31 + byte(i + 2)) % dim)).otherwise(F.array().cast("array<int>"))
-    return F.concat(two, three)
+    b = F.transform(F.regexp_extract_all(F.hex(F.encode(F.lower(text), "UTF-8")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
+
+    def windows(b: Column) -> Column:
+        n = F.size(b)
+        part = lambda i, k: F.slice(b, F.lit(i), F.greatest(n - k, F.lit(0)))
+        two = F.zip_with(part(1, 1), part(2, 1), lambda x, y: x * 31 + y)
+        three = F.zip_with(F.zip_with(part(1, 2), part(2, 2), lambda x, y: x * 961 + y * 31), part(3, 2), lambda x, y: x + y)
+        return F.transform(F.concat(two, three), lambda x: x % dim)
+
+    # the byte array is bound once, as the one element of an outer array
+    return F.flatten(F.transform(F.array(b), windows))
 
 
 def hashed_ngram_udf(dim: int = 256):

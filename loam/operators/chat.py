@@ -49,8 +49,7 @@ def requests(bodies: DataFrame, body_col: str = "body", max_tokens: int = 256, t
 
 def next_token_pairs(rows: DataFrame, id_col: str, text_col: str, vocab: int = 256) -> DataFrame:
     """(id, pos, input, target): each byte modulo vocab and the byte after it; texts of fewer than two bytes give none."""
-    h = F.hex(F.encode(F.col(text_col), "UTF-8"))
-    n = F.octet_length(text_col)
-    pos = rows.where(n >= 2).select(F.col(id_col).alias("id"), h.alias("__h"), F.explode(F.sequence(F.lit(0), n - 2)).alias("pos"))
-    at = lambda i: (F.conv(F.substring(F.col("__h"), i * 2 + 1, F.lit(2)), 16, 10).cast("int")) % vocab
-    return pos.select("id", "pos", at(F.col("pos")).alias("input"), at(F.col("pos") + 1).alias("target"))
+    b = F.transform(F.regexp_extract_all(F.hex(F.encode(F.col(text_col), "UTF-8")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int") % vocab)
+    r = rows.where(F.octet_length(text_col) >= 2).select(F.col(id_col).alias("id"), b.alias("b"))
+    pairs = F.zip_with(F.slice("b", F.lit(1), F.size("b") - 1), F.slice("b", F.lit(2), F.size("b") - 1), lambda x, y: F.struct(x.alias("input"), y.alias("target")))
+    return r.select("id", F.posexplode(pairs).alias("pos", "p")).select("id", "pos", "p.input", "p.target")

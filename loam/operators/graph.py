@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import dynamics as D
+from loam.lineage import cut
 
 
 def _cos(a, b) -> float:
@@ -121,15 +122,15 @@ def cheapest(spark: SparkSession, costs: DataFrame, start, most: int = 20) -> Da
 
     Each round relaxes only edges of nodes that became cheaper, and ends when none did.
     """
-    edges = costs.select(F.col("from_id").alias("f"), F.col("to_id").alias("t"), F.col("cost").alias("w"))
+    edges = cut(costs.select(F.col("from_id").alias("f"), F.col("to_id").alias("t"), F.col("cost").alias("w")))
     best = spark.createDataFrame([(start, 0.0)], "node long, cost double")
     front = best
     for _ in range(most):
         step = front.join(edges, F.col("node") == F.col("f")).groupBy(F.col("t").alias("n")).agg(F.min(F.col("cost") + F.col("w")).alias("new"))
         j = step.join(best, F.col("n") == F.col("node"), "left")
-        front = j.where(F.col("cost").isNull() | (F.col("new") < F.col("cost") - 1e-12)).select(F.col("n").alias("node"), F.col("new").alias("cost")).persist()
+        front = cut(j.where(F.col("cost").isNull() | (F.col("new") < F.col("cost") - 1e-12)).select(F.col("n").alias("node"), F.col("new").alias("cost")))
         if front.isEmpty():
             break
         gone = front.select(F.col("node").alias("g"))
-        best = best.join(gone, F.col("node") == F.col("g"), "left_anti").unionByName(front).persist()
+        best = cut(best.join(gone, F.col("node") == F.col("g"), "left_anti").unionByName(front))
     return best

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
 
+def first_line(text: Column) -> Column:
+    """A document's title: its first line."""
+    return F.substring_index(text, "\n", 1)
+
+
 #: Confidence of a document: from its size, so that every document has one.
 CONF = "((n_chars % 1000) / 1000.0)::DOUBLE"
 
@@ -56,14 +61,14 @@ k AS (SELECT *, quality AS pheromone, CASE WHEN quality >= 0.75 THEN 2 WHEN qual
 
 
 def kg(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as relation edges: customer -> clerk's day bucket."""
+    """Orders as relation edges between a hundred nodes."""
     o = t(spark, d, "orders")
     rel = F.element_at(F.array(*[F.lit(x) for x in RELATIONS]), (F.col("o_orderkey") % len(RELATIONS) + 1).cast("int"))
-    return o.select(F.col("o_orderkey").alias("edge_seq"), (F.col("o_custkey") % 500).alias("from_id"), (F.col("o_orderkey") * 7 % 500).alias("to_id"), rel.alias("relation"), ((F.col("o_orderkey") % 100) / 100.0).alias("confidence"), ((F.col("o_orderkey") % 13) / 10.0).alias("success"), ((F.col("o_orderkey") % 7) / 10.0).alias("traversal"), ((F.col("o_orderkey") % 11) / 10.0).alias("recency"))
+    return o.select(F.col("o_orderkey").alias("edge_seq"), (F.col("o_custkey") % 100).alias("from_id"), (F.col("o_orderkey") * 7 % 99).alias("to_id"), rel.alias("relation"), ((F.col("o_orderkey") % 100) / 100.0).alias("confidence"), ((F.col("o_orderkey") % 13) / 10.0).alias("success"), ((F.col("o_orderkey") % 7) / 10.0).alias("traversal"), ((F.col("o_orderkey") % 11) / 10.0).alias("recency"))
 
 
 RELATIONS = ["supports", "contradicts", "confirms", "refutes", "causes", "prevents", "leads_to", "similar"]
-KG_SQL = "g AS (SELECT o_orderkey AS edge_seq, o_custkey % 500 AS from_id, o_orderkey * 7 % 500 AS to_id, ['supports','contradicts','confirms','refutes','causes','prevents','leads_to','similar'][(o_orderkey % 8 + 1)::INT] AS relation, (o_orderkey % 100) / 100.0::DOUBLE AS confidence, (o_orderkey % 13) / 10.0::DOUBLE AS success, (o_orderkey % 7) / 10.0::DOUBLE AS traversal, (o_orderkey % 11) / 10.0::DOUBLE AS recency FROM orders)"
+KG_SQL = "g AS (SELECT o_orderkey AS edge_seq, o_custkey % 100 AS from_id, o_orderkey * 7 % 99 AS to_id, ['supports','contradicts','confirms','refutes','causes','prevents','leads_to','similar'][(o_orderkey % 8 + 1)::INT] AS relation, (o_orderkey % 100) / 100.0::DOUBLE AS confidence, (o_orderkey % 13) / 10.0::DOUBLE AS success, (o_orderkey % 7) / 10.0::DOUBLE AS traversal, (o_orderkey % 11) / 10.0::DOUBLE AS recency FROM orders)"
 
 
 def deposits(spark: SparkSession, d: str) -> DataFrame:

@@ -168,11 +168,11 @@ def diary_recent(spark: SparkSession, d: str) -> DataFrame:
     return S.diary_recent(x, 3).select("agent_id", "seq")
 
 
-@query(f"""WITH {KG_SQL}, p AS (SELECT o_custkey AS path_id, o_orderkey AS pos, o_orderkey * 7 % 500 AS node FROM orders), s AS (SELECT *, lead(node) OVER (PARTITION BY path_id ORDER BY pos) AS nx FROM p), f AS (SELECT from_id, to_id, min(edge_seq) AS edge_seq FROM g GROUP BY ALL),
+@query(f"""WITH {KG_SQL}, p AS (SELECT o_custkey AS path_id, o_orderkey AS pos, o_orderkey * 7 % 99 AS node FROM orders), s AS (SELECT *, lead(node) OVER (PARTITION BY path_id ORDER BY pos) AS nx FROM p), f AS (SELECT from_id, to_id, min(edge_seq) AS edge_seq FROM g GROUP BY ALL),
 h AS (SELECT path_id, pos, edge_seq FROM s JOIN f ON f.from_id = s.node AND f.to_id = s.nx), w AS (SELECT edge_seq, 1 - (row_number() OVER (PARTITION BY path_id ORDER BY pos) - 1)::DOUBLE / count(*) OVER (PARTITION BY path_id) AS w FROM h)
 SELECT edge_seq, round(sum(w), 6) AS success, round(count(*) * 0.1::DOUBLE, 6) AS traversal FROM w GROUP BY edge_seq""")
 def path_reward(spark: SparkSession, d: str) -> DataFrame:
-    p = t(spark, d, "orders").select(F.col("o_custkey").alias("path_id"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") * 7 % 500).alias("node"))
+    p = t(spark, d, "orders").select(F.col("o_custkey").alias("path_id"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") * 7 % 99).alias("node"))
     e, _ = S.path_reward(p, kg(spark, d))
     return e.select("edge_seq", r6(F.col("success"), "success"), r6(F.col("traversal"), "traversal"))
 
@@ -191,7 +191,7 @@ def astar_paths(spark: SparkSession, d: str) -> DataFrame:
     """Best-first paths; the tests check continuity, costs and bounds."""
     g = kg(spark, d)
     v = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    q = spark.range(0, 8).select(F.col("id").alias("qid"), (F.col("id") * 37 % 500).alias("start"), (F.col("id") * 91 % 500).alias("goal"))
+    q = spark.range(0, 40).select(F.col("id").alias("qid"), (F.col("id") * 37 % 100).alias("start"), (F.col("id") * 91 % 99).alias("goal"))
     out = graph.astar_batch(q, g, v, hops=3)
     return out.select("qid", "found", F.size("path").alias("length"), r6(F.col("cost"), "cost"))
 
@@ -228,11 +228,11 @@ def pc_skeleton(spark: SparkSession, d: str) -> DataFrame:
     return stats.causal_graph(spark, t(spark, d, "lineitem"), _NUM).withColumn("strength", F.round("strength", 6))
 
 
-@query("""WITH e AS (SELECT DISTINCT least(o_custkey % 40, o_orderkey * 7 % 40) AS i, greatest(o_custkey % 40, o_orderkey * 7 % 40) AS j FROM orders WHERE o_custkey % 40 <> o_orderkey * 7 % 40 AND o_orderkey % 23 = 0), b AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e)
+@query("""WITH e AS (SELECT DISTINCT least(o_custkey % 997, o_orderkey * 7 % 997) AS i, greatest(o_custkey % 997, o_orderkey * 7 % 997) AS j FROM orders WHERE o_custkey % 997 <> o_orderkey * 7 % 997), b AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e)
 SELECT x.i AS a, x.j AS b, y.j AS c FROM b x JOIN b y ON x.j = y.i AND x.i < y.j WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.i = x.i AND e.j = y.j)""")
 def v_structures(spark: SparkSession, d: str) -> DataFrame:
-    o = t(spark, d, "orders").where("o_orderkey % 23 = 0")
-    a, b = F.col("o_custkey") % 40, F.col("o_orderkey") * 7 % 40
+    o = t(spark, d, "orders")
+    a, b = F.col("o_custkey") % 997, F.col("o_orderkey") * 7 % 997
     e = o.where(a != b).select(F.least(a, b).alias("i"), F.greatest(a, b).alias("j")).distinct()
     return stats.colliders(e, spark.createDataFrame([], "i long, j long, z array<long>"))
 
@@ -266,21 +266,21 @@ def bge_marginal(spark: SparkSession, d: str) -> DataFrame:
     return stats.log_marginal(t(spark, d, "events"), "event_type", "value").withColumn("log_marginal", F.round("log_marginal", 4))
 
 
-@query("""WITH RECURSIVE n AS (SELECT user_id AS node, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, 0.5 + (event_id % 20) / 10.0::DOUBLE AS lr, (event_id % 5 + 1) / 5.0::DOUBLE AS s FROM events WHERE user_id < 50),
+@query("""WITH RECURSIVE n AS (SELECT user_id AS node, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, 0.5 + (event_id % 20) / 10.0::DOUBLE AS lr, (event_id % 5 + 1) / 5.0::DOUBLE AS s FROM events),
 f AS (SELECT node, 0::BIGINT AS k, 1.0::DOUBLE AS a, 1.0::DOUBLE AS b FROM (SELECT DISTINCT node FROM n) UNION ALL
 SELECT f.node, n.k, f.a + CASE WHEN lr > 1 THEN lr ELSE 1 END * s * greatest(ln(1 + f.k), 1), f.b + CASE WHEN lr > 1 THEN 1 ELSE 1 / lr END * s * greatest(ln(1 + f.k), 1) FROM f JOIN n ON n.node = f.node AND n.k = f.k + 1)
 SELECT node, round(arg_max(a, k), 4) AS alpha, round(arg_max(b, k), 4) AS beta, max(k)::INT AS n_updates FROM f GROUP BY node""")
 def belief_updates(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "events").where("user_id < 50").select(F.col("user_id").alias("node"), F.col("event_id").alias("seq"), (0.5 + (F.col("event_id") % 20) / 10.0).alias("lr"), ((F.col("event_id") % 5 + 1) / 5.0).alias("strength"))
+    e = t(spark, d, "events").select(F.col("user_id").alias("node"), F.col("event_id").alias("seq"), (0.5 + (F.col("event_id") % 20) / 10.0).alias("lr"), ((F.col("event_id") % 5 + 1) / 5.0).alias("strength"))
     return stats.belief_fold(e, "node").select("node", F.round("alpha", 4).alias("alpha"), F.round("beta", 4).alias("beta"), "n_updates")
 
 
-@query("""WITH o AS (SELECT user_id AS node, avg(value) / 100 AS mean, 1.0::DOUBLE AS strength FROM events WHERE user_id < 20 GROUP BY user_id), p AS (SELECT o_custkey % 30 AS parent, o_orderkey % 30 AS child, (o_orderkey % 10) / 10.0::DOUBLE AS weight FROM orders WHERE o_orderkey < 400)
+@query("""WITH o AS (SELECT user_id AS node, avg(value) / 100 AS mean, 1.0::DOUBLE AS strength FROM events GROUP BY user_id), p AS (SELECT o_custkey AS parent, o_orderkey % 1000 AS child, (o_orderkey % 10) / 10.0::DOUBLE AS weight FROM orders)
 SELECT child, round(1 + (mean - 0.5) * weight, 6) AS lr, strength / 2 AS strength FROM p JOIN o ON o.node = p.parent""")
 def belief_propagate(spark: SparkSession, d: str) -> DataFrame:
-    obs = t(spark, d, "events").where("user_id < 20").groupBy(F.col("user_id").alias("node")).agg((F.avg("value") / 100).alias("mean"), F.lit(1.0).alias("strength"))
-    deps = t(spark, d, "orders").where("o_orderkey < 400").select((F.col("o_custkey") % 30).alias("parent"), (F.col("o_orderkey") % 30).alias("child"), ((F.col("o_orderkey") % 10) / 10.0).alias("weight"))
-    return stats.propagate(spark.range(30).withColumnRenamed("id", "node"), deps, obs).withColumn("lr", F.round("lr", 6))
+    obs = t(spark, d, "events").groupBy(F.col("user_id").alias("node")).agg((F.avg("value") / 100).alias("mean"), F.lit(1.0).alias("strength"))
+    deps = t(spark, d, "orders").select(F.col("o_custkey").alias("parent"), (F.col("o_orderkey") % 1000).alias("child"), ((F.col("o_orderkey") % 10) / 10.0).alias("weight"))
+    return stats.propagate(spark.range(1000).withColumnRenamed("id", "node"), deps, obs).withColumn("lr", F.round("lr", 6))
 
 
 # ---------------------------------------------------------------- chat
@@ -311,14 +311,14 @@ def system_injection(spark: SparkSession, d: str) -> DataFrame:
 
 def _wrapped(spark: SparkSession, d: str) -> DataFrame:
     x = t(spark, d, "conversations").where("role = 'assistant'")
-    return x.select("conv_id", "turn", F.concat(F.lit("Hmm, "), F.lit("<think>"), F.substring("text", 1, 60), F.lit("</think> "), F.substring("text", 61, 4000)).alias("text"))
+    return x.select("conv_id", "turn", F.concat(F.lit("Hmm, "), F.lit("<think>"), F.substring("text", 1, 60), F.lit("</think> "), F.substring("text", F.lit(61), F.length("text"))).alias("text"))
 
 
-@query(r"""WITH x AS (SELECT conv_id, turn, left(text, 60) AS k, substr(text, 61, 4000) AS r FROM conversations WHERE role = 'assistant'), y AS (SELECT *, regexp_replace(regexp_replace('Hmm,  ' || r, '\s+$', ''), '^Hmm,\s+', '') AS a FROM x)
+@query(r"""WITH x AS (SELECT conv_id, turn, left(text, 60) AS k, substr(text, 61) AS r FROM conversations WHERE role = 'assistant'), y AS (SELECT *, regexp_replace(regexp_replace('Hmm,  ' || r, '\s+$', ''), '^Hmm,\s+', '') AS a FROM x)
 SELECT conv_id, turn, a AS answer FROM y WHERE a <> '' AND NOT regexp_matches(a, '^(Okay|Hmm|Wait|Alright)') AND NOT contains(a, chr(10) || chr(10))""")
 def think_strip(spark: SparkSession, d: str) -> DataFrame:
-    x = _wrapped(spark, d).select("conv_id", "turn", F.substring("text", 82, 10).alias("z"), T.strip_think(F.col("text")).alias("answer"))
-    x = x.join(t(spark, d, "conversations").where("role = 'assistant' and trim(substring(text, 61, 4000)) <> ''").select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")
+    x = _wrapped(spark, d).select("conv_id", "turn", T.strip_think(F.col("text")).alias("answer"))
+    x = x.join(t(spark, d, "conversations").where("role = 'assistant' and trim(substring(text, 61)) <> ''").select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")
     return x.select("conv_id", "turn", "answer")
 
 
@@ -337,11 +337,11 @@ def answer_extract(spark: SparkSession, d: str) -> DataFrame:
 
 def _logits(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings as logits: a row is a step, a dimension a token."""
-    e = t(spark, d, "embeddings").where("vec_id < 200")
+    e = t(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("step"), F.posexplode(F.col("embedding").cast("array<double>")).alias("token", "logit")).withColumn("logit", F.round(F.col("logit") * 5, 4))
 
 
-_LOG = "l AS (SELECT vec_id AS step, unnest(range(0, len(embedding)))::INT AS token, round(unnest(embedding)::DOUBLE * 5, 4) AS logit FROM embeddings WHERE vec_id < 200)"
+_LOG = "l AS (SELECT vec_id AS step, unnest(range(0, len(embedding)))::INT AS token, round(unnest(embedding)::DOUBLE * 5, 4) AS logit FROM embeddings)"
 
 
 @query(f"WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY logit DESC, token) AS k FROM l) SELECT step, token, logit FROM r WHERE k <= 5")
@@ -359,9 +359,9 @@ def logit_topp(spark: SparkSession, d: str) -> DataFrame:
     return sampling.top_p(_logits(spark, d), 0.5).select("step", "token", r6(F.col("p"), "p"))
 
 
-@query(f"WITH {_LOG}, h AS (SELECT user_id AS step, event_id % 64 AS token, count(*) AS n FROM events WHERE user_id < 200 GROUP BY ALL) SELECT l.step, l.token, round(CASE WHEN logit > 0 THEN logit / power(1.2, coalesce(n, 0)) ELSE logit * power(1.2, coalesce(n, 0)) END - 0.1 * coalesce(n, 0) - 0.2 * (coalesce(n, 0) > 0)::INT, 6) AS logit FROM l LEFT JOIN h ON h.step = l.step AND h.token = l.token")
+@query(f"WITH {_LOG}, h AS (SELECT user_id AS step, event_id % 64 AS token, count(*) AS n FROM events GROUP BY ALL) SELECT l.step, l.token, round(CASE WHEN logit > 0 THEN logit / power(1.2, coalesce(n, 0)) ELSE logit * power(1.2, coalesce(n, 0)) END - 0.1 * coalesce(n, 0) - 0.2 * (coalesce(n, 0) > 0)::INT, 6) AS logit FROM l LEFT JOIN h ON h.step = l.step AND h.token = l.token")
 def logit_penalties(spark: SparkSession, d: str) -> DataFrame:
-    h = t(spark, d, "events").where("user_id < 200").select(F.col("user_id").alias("step"), F.col("event_id").alias("pos"), (F.col("event_id") % 64).cast("int").alias("token"))
+    h = t(spark, d, "events").select(F.col("user_id").alias("step"), F.col("event_id").alias("pos"), (F.col("event_id") % 64).cast("int").alias("token"))
     return sampling.penalties(_logits(spark, d), h, 1.2, 0.1, 0.2).select("step", "token", r6(F.col("logit"), "logit"))
 
 
@@ -417,9 +417,9 @@ def token_deposits(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def provenance_chain(spark: SparkSession, d: str) -> DataFrame:
-    """Chains of three claims for each item, proved and verified."""
-    x = t(spark, d, "benchmark").select(F.col("item_id").alias("discovery_id"), F.posexplode(F.array(F.substring("text", 1, 40), F.substring("text", 41, 40), F.lit("decision"))).alias("pos", "claim"))
-    c = x.withColumn("type", F.element_at(F.array(F.lit("observation"), F.lit("hypothesis"), F.lit("discovery")), F.col("pos") + 1))
+    """A chain of the lines of each item, proved and verified."""
+    x = t(spark, d, "benchmark").select(F.col("item_id").alias("discovery_id"), F.posexplode(F.split("text", "\n")).alias("pos", "claim"))
+    c = x.withColumn("type", F.element_at(F.array(F.lit("observation"), F.lit("hypothesis"), F.lit("discovery")), F.col("pos") % 3 + 1))
     return provenance.verify_chain(provenance.build_chain(c, 123456789))
 
 
@@ -527,7 +527,7 @@ def top_orders(spark: SparkSession, d: str) -> DataFrame:
     return o.withColumn("r", F.row_number().over(w)).where("r <= 2").drop("r")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def idle_customers(spark: SparkSession, d: str) -> DataFrame:
     c = t(spark, d, "customer").select("c_custkey")
-    return c.join(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return c.join(t(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
