@@ -30,7 +30,6 @@ from loam.llm.common import BROADCAST_ROWS, cut
 _CALL = "array<struct<id:string,name:string,arguments:map<string,string>,after:array<string>>>"
 #: JSON types that a schema may name, each with the pattern that a value's JSON text must match.
 JSON_TYPES = {"string": None, "integer": r"^-?(0|[1-9][0-9]*)$", "number": r"^-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?$", "boolean": r"^(true|false)$", "object": r"^\{.*\}$", "array": r"^\[.*\]$"}
-LONGEST_CHAIN = 64
 PART_TURNS = 512
 
 
@@ -60,7 +59,8 @@ def events(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     calls = F.when(F.col("looks"), F.from_json(F.get_json_object("text", "$.tool_calls"), _CALL))
     rid = F.when(F.col("looks") & (F.col("role") == "tool"), F.get_json_object("text", "$.tool_call_id"))
     body = F.when(F.col("looks"), F.get_json_object("text", "$.content"))
-    m = m.select("conv_id", "turn", "role", F.when(calls.isNotNull() | rid.isNotNull(), F.coalesce(body, F.lit(""))).otherwise(F.col("text")).alias("content"), calls.alias("calls"), rid.alias("rid"))
+    # parsed once: what follows reads the parsed table
+    m = cut(m.select("conv_id", "turn", "role", F.when(calls.isNotNull() | rid.isNotNull(), F.coalesce(body, F.lit(""))).otherwise(F.col("text")).alias("content"), calls.alias("calls"), rid.alias("rid")), "tool-messages")
     call = m.select("conv_id", "turn", F.posexplode("calls").alias("pos", "c")).select("conv_id", "turn", "pos", "c.id", "c.name", F.coalesce("c.arguments", F.create_map().cast("map<string,string>")).alias("arguments"), F.coalesce("c.after", F.array().cast("array<string>")).alias("after"))
     result = m.where("rid is not null").select("conv_id", "turn", F.col("rid").alias("id"), "content")
     return m.select("conv_id", "turn", "role", "content", F.col("rid").isNotNull().alias("is_result")), call, result
@@ -104,35 +104,56 @@ def link(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return linked, back.select("conv_id", "turn", "id", F.when(F.col("ci").isNull(), "orphan").otherwise("linked").alias("state"))
 
 
-def topological(calls: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
+def topological(calls: DataFrame) -> DataFrame:
     """Adds rank: 0 without references, else 1 + the greatest rank among those referred to; null on circles.
 
-    Ranks settle level by level; a level is one join of the calls that became ready, however many there are.
+    Calls with one reference form chains.  Pointers along chains are doubled until they point to a call that is no link of
+    a chain, so a chain of n calls takes log n joins.  The other calls settle level by level: a level takes those whose
+    references are all settled, however many they are.  What never gets there lies on a circle or behind one.
     """
-    key = ["conv_id", "id"]
-    own = calls.where("first").select(*key, F.array_distinct("after").alias("after"))
-    refs = own.select(F.col("conv_id").alias("c"), F.col("id").alias("i"), F.explode("after").alias("r"))
-    there = own.select(F.col("conv_id").alias("c2"), F.col("id").alias("r2"))
-    refs = refs.join(there, F.col("c").eqNullSafe(F.col("c2")) & (F.col("r") == F.col("r2"))).select("c", "i", "r")
+    key = F.concat_ws("\x01", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.col("id"))
+    own = calls.where("first").select(key.alias("k"), F.transform(F.array_distinct("after"), lambda r: F.concat_ws("\x01", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), r)).alias("after"))
+    refs = own.select("k", F.explode("after").alias("r")).join(own.select(F.col("k").alias("r")), "r")
+    refs = cut(refs, "tool-refs")
     if refs.isEmpty():
         return calls.withColumn("rank", F.when(F.col("first"), F.lit(0)))
-    refs = cut(refs, "tool-refs")
-    waiting = cut(refs.select("c", "i").distinct(), "tool-waiting")
-    w = waiting.select(F.col("c").alias("wc"), F.col("i").alias("wi"))
-    done = own.select(F.col("conv_id").alias("c"), F.col("id").alias("i"), F.lit(0).alias("rank"))
-    done = cut(done.join(w, F.col("c").eqNullSafe(F.col("wc")) & (F.col("i") == F.col("wi")), "left_anti"), "tool-done")
-    for level in range(1, longest + 1):
-        d = done.select(F.col("c").alias("dc"), F.col("i").alias("di"))
-        open_ = refs.join(d, F.col("c").eqNullSafe(F.col("dc")) & (F.col("r") == F.col("di")), "left_anti").select(F.col("c").alias("oc"), F.col("i").alias("oi")).distinct()
-        ready = waiting.join(open_, F.col("c").eqNullSafe(F.col("oc")) & (F.col("i") == F.col("oi")), "left_anti")
-        ready = cut(ready.withColumn("rank", F.lit(level)), "tool-ready")
-        if ready.isEmpty():
+    kinds = cut(refs.groupBy("k").agg(F.count("*").alias("n"), F.min("r").alias("to")), "tool-kinds")
+    links = kinds.where("n = 1").select("k", "to", F.lit(1).cast("long").alias("d"))
+    ends, links = None, cut(links, "tool-links")
+    for _ in range(62):  # longer chains than 2**62 there are not
+        nxt = links.select(F.col("k").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"))
+        j = links.join(nxt, "to", "left")
+        step = cut(j.select("k", F.coalesce("to2", "to").alias("to"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"), F.col("to2").isNull().alias("end")), "tool-links")
+        links = step.drop("end")
+        if step.where("not end").isEmpty():
+            ends = links
+            break
+        # pointers on a circle never end; all others have ended once their number no longer falls
+        left = step.where("not end").count()
+        if ends is not None and left == ends:
+            ends = step.where("end").drop("end")
+            break
+        ends = left
+    links = ends if isinstance(ends, DataFrame) else links
+    # what calls with several references wait for: the ends of chains, and how far behind them
+    many = refs.join(kinds.where("n > 1").select("k"), "k", "left_semi")
+    via = links.select(F.col("k").alias("r"), "to", "d")
+    on_chain = kinds.where("n = 1").select(F.col("k").alias("r"), F.lit(True).alias("chained"))
+    wait = many.join(via, "r", "left").join(on_chain, "r", "left").select("k", F.when(F.col("chained").isNull(), F.col("r")).otherwise(F.col("to")).alias("to"), F.coalesce("d", F.lit(0).cast("long")).alias("d"))
+    wait = cut(wait, "tool-wait")
+    done = cut(own.join(kinds, "k", "left_anti").select("k", F.lit(0).cast("long").alias("rank")), "tool-done")
+    new = done
+    while not wait.isEmpty():
+        told = wait.join(done.select(F.col("k").alias("to"), "rank"), "to", "left")
+        new = told.groupBy("k").agg(F.max(F.col("rank") + F.col("d") + 1).alias("rank"), F.bool_and(F.col("rank").isNotNull()).alias("all")).where("all").select("k", "rank")
+        new = cut(new, "tool-done")
+        if new.isEmpty():
             break
-        done = done.unionByName(ready)
-        waiting = waiting.join(ready.select(F.col("c").alias("rc"), F.col("i").alias("ri")), F.col("c").eqNullSafe(F.col("rc")) & (F.col("i") == F.col("ri")), "left_anti")
-        waiting = cut(waiting, "tool-waiting")
-    done = done.select(F.col("c").alias("dc"), F.col("i").alias("di"), "rank")
-    return calls.join(done, F.col("conv_id").eqNullSafe(F.col("dc")) & (F.col("id") == F.col("di")) & F.col("first"), "left").drop("dc", "di")
+        done = done.unionByName(new)
+        wait = cut(wait.join(new.select("k"), "k", "left_anti"), "tool-wait")
+    behind = links.join(done.select(F.col("k").alias("to"), "rank"), "to").select("k", (F.col("rank") + F.col("d")).alias("rank"))
+    ranks = done.unionByName(behind).select(F.col("k").alias("__k"), F.col("rank").cast("int").alias("rank"))
+    return calls.withColumn("__c", F.when(F.col("first"), key)).join(ranks, F.col("__c") == F.col("__k"), "left").drop("__c", "__k")
 
 
 def format_chat(messages: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -142,7 +163,8 @@ def format_chat(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     part = F.when(F.col("turn") < 0, F.lit(-1)).otherwise(F.floor(F.col("turn") / PART_TURNS)).cast("long").alias("part")
     msgs, calls, results = events(messages.select("conv_id", "turn", "role", "text"))
     linked, back = link(validate(calls, schemas), results)
-    ranked = topological(linked)
+    linked, back = cut(linked, "tool-linked"), cut(back, "tool-back")
+    ranked = cut(topological(linked), "tool-ranked")
     errors = F.array_join(F.transform("errors", json_string), ",")
     opt = lambda name, c: F.concat(F.lit(f'"{name}":'), F.coalesce(c, F.lit("null")))
     call = F.concat(
