@@ -224,8 +224,9 @@ def fisher_z(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pc_skeleton(spark: SparkSession, d: str) -> DataFrame:
-    """Causal graph over order lines; the tests check known structures."""
-    return stats.causal_graph(spark, t(spark, d, "lineitem"), _NUM).withColumn("strength", F.round("strength", 6))
+    """Causal graph over order lines and their revenue; the tests check known structures."""
+    x = t(spark, d, "lineitem").withColumn("revenue", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return stats.causal_graph(spark, x, [*_NUM, "revenue"]).withColumn("strength", F.round("strength", 6))
 
 
 @query("""WITH e AS (SELECT DISTINCT least(o_custkey % 997, o_orderkey * 7 % 997) AS i, greatest(o_custkey % 997, o_orderkey * 7 % 997) AS j FROM orders WHERE o_custkey % 997 <> o_orderkey * 7 % 997), b AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e)
