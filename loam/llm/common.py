@@ -28,16 +28,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    try:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-    except Exception:  # some sessions refuse to read core settings
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="loam-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Rows of an Arrow batch of texts.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of at most TEXT_ROWS rows (Spark's own default is 10,000): a batch is held whole by the
+    JVM and by the worker, so a run of long texts would take much memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/loam-{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))

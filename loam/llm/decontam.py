@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm import vectext as V
+from loam.llm.common import small_batches
 from loam.llm.toxicity import _PUNCT
 
 STRIDE = 128
@@ -221,6 +222,7 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", question_col: str = "
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, **options) -> DataFrame:
     """doc_id, item_id, passage (its first word), score, question_overlap, answer_overlap: the best verified hit of each pair."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kind = "doc_id long, item_id long, passage long, score double, question_overlap double, answer_overlap double"
     out = None
@@ -242,6 +244,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id",
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, **options) -> DataFrame:
     """The rows of docs without any verified item, whatever other columns there are; texts don't move."""
+    small_batches(docs.sparkSession)
     for index in indexes(benchmark, **options):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 

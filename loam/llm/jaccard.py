@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.llm import vectext as V
-from loam.llm.common import BROADCAST_ROWS, components, cut, drop
+from loam.llm.common import BROADCAST_ROWS, components, cut, drop, small_batches
 
 #: Shingles that are ranked last: at most so many, the most frequent; any choice gives the same links.
 MOST_COMMON = 1 << 18
@@ -413,6 +413,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     Two documents link when den * |intersection| >= num * |union|.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     common = spark.sparkContext.broadcast(_common(docs, text_col, k, most_common))
     each = cut(_points(docs, id_col, text_col, k, num, den, common), "jaccard-documents")
     kinds = each.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))

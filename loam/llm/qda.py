@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from loam.llm import docstats as D
 from loam.llm import vectext as V
-from loam.llm.common import crc_bucket, cut
+from loam.llm.common import crc_bucket, cut, small_batches
 from loam.llm.labelled import MOST_LABELLED, training_labels
 
 P = len(D.FEATURES)
@@ -100,6 +100,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = D.features(*D.texts(b, "text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), P).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     made = cut(rows.mapInArrow(stats, "doc_id long, x array<double>"), "qda-statistics")
     ids = training_labels(labels, label, most_labelled)

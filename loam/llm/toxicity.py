@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm import vectext as V
-from loam.llm.common import crc_bucket, cut
+from loam.llm.common import crc_bucket, cut, small_batches
 from loam.llm.labelled import MOST_LABELLED, labelled, training_labels
 from loam.llm.qda import platt
 
@@ -163,6 +163,7 @@ def _model(words: dict[str, np.ndarray], stems: dict[str, np.ndarray], p0: float
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str = "text", most_labelled: int = MOST_LABELLED, most_tokens: int = MOST_TOKENS) -> Model:
+    small_batches(docs.sparkSession)
     ids = training_labels(labels, label, most_labelled)
     train = labelled(docs, ids, text_col).withColumn("__f", F.pmod(F.xxhash64("__id"), F.lit(FOLDS)).cast("int"))
 
@@ -239,6 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, evidence and passages: significant segments as (first word, last word, score, p), words counted from 0."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("p", pa.float64())]))
 
@@ -263,6 +265,7 @@ def score(docs: DataFrame, labels: DataFrame, cut_off: float = 0.7, **options) -
 
 def clean_rows(docs: DataFrame, model: Model, cut_off: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of docs that score below cut_off, whatever other columns there are; texts are read once and don't move."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

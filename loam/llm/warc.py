@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm import vectext as V
-from loam.llm.common import BROADCAST_ROWS, cut, fresh_dir
+from loam.llm.common import BROADCAST_ROWS, cut, fresh_dir, small_batches
 
 MAGIC = 0x184D2A5D
 SAMPLE_BYTES = 8 << 20
@@ -156,6 +156,7 @@ def _decided(pages: DataFrame, min_bytes: int) -> DataFrame:
 def write(pages: DataFrame, path: str, min_bytes: int = 0, sample_bytes: int = SAMPLE_BYTES, dict_bytes: int = DICT_BYTES, file_bytes: int = FILE_BYTES, level: int = LEVEL) -> DataFrame:
     """Archives pages (page_id, url, html) under path; returns (file, records, bytes) of what was written."""
     spark = pages.sparkSession
+    small_batches(spark)
     trained = spark.sparkContext.broadcast(dictionary(_sample(pages, sample_bytes), dict_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
