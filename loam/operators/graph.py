@@ -91,7 +91,10 @@ def navigate(start, goal, edges: dict, vectors: dict, degree: dict, pheromone: d
 def astar_batch(queries: DataFrame, kg: DataFrame, vectors: DataFrame, hops: int = 4, most: int = 1000) -> DataFrame:
     """queries (qid, start, goal) -> (qid, found, path, cost): each query searches the part of the graph within ``hops`` of
     its start, gathered by joins, in a task of its own."""
-    e = kg.select("from_id", "to_id", "relation", "success", "traversal", "recency")
+    # of parallel edges only the cheapest can be on a path: the rest of an edge's cost depends on its end alone
+    part = 0.3 * (1 - D.pheromone_factor(F.col("success"), F.col("recency"), F.col("traversal"))) + 0.3 * D.structural_cost(F.col("relation"))
+    best = F.min_by(F.struct("relation", "success", "traversal", "recency"), F.struct(part, "relation")).alias("e")
+    e = kg.groupBy("from_id", "to_id").agg(best).select("from_id", "to_id", "e.*")
     near = queries.select("qid", F.col("start").alias("node"))
     for _ in range(hops):
         out = near.join(e.select(F.col("from_id").alias("node"), "to_id").distinct(), "node").select("qid", F.col("to_id").alias("node"))
