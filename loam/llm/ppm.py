@@ -11,8 +11,13 @@ Text model: lower-cased words joined by one space and ended by a line feed, whic
 empty one too, has a probability, and the probabilities of all texts add up to 1.
 
 Counts.  Tasks count runs of ORDER + 1 bytes; the counts are summed by key, and shorter contexts' counts are sums over
-longer ones'.  The trie that scoring holds in memory keeps whole contexts, the most frequent, up to ``MOST_NODES``
-successors; a text whose longer context isn't kept is predicted by the shorter one, which stays a proper distribution.
+longer ones'.  The trie that scoring holds in memory keeps whole contexts, the most frequent, up to ``HELD_NODES``
+successors, and all contexts of up to LOW bytes.  Positions whose longest context isn't held are looked up in the full
+counts, which stay a partitioned table: counts and the positions' distinct keys are dealt by the last LOW + 1 bytes of
+their contexts, so all longer contexts a key needs are in its group, whose size has a fixed bound (2^24 keys), and a join
+by key brings the results to the texts.  So no count is lost, whatever the input's size.  Only a given ``most_nodes``
+makes a smaller model: a text whose longer context isn't kept is then predicted by the shorter one, which stays a proper
+distribution.
 
 Base: unigram counts of words, by 64-bit hash; the most frequent MOST_WORDS words go to all tasks, the others meet
 the scored texts' words in a shuffle, so no count is lost.
@@ -34,7 +39,8 @@ from loam.llm import vectext as V
 from loam.llm.common import cut, small_batches
 
 ORDER = 5
-MOST_NODES = 1 << 20
+LOW = 2
+HELD_NODES = 1 << 20
 MOST_WORDS = 1 << 19
 END = 10
 U = np.uint64
@@ -134,11 +140,13 @@ class Level:
 
 
 class Trie:
-    def __init__(self, key: np.ndarray, count: np.ndarray, order: np.ndarray, k_max: int = ORDER):
-        """key (context << 8 | successor), count and order of every node that is kept; whole contexts only."""
-        self.levels: list[Level] = []
+    def __init__(self, key: np.ndarray, count: np.ndarray, order: np.ndarray, k_max: int = ORDER, low: tuple[Level, ...] = ()):
+        """key (context << 8 | successor), count and order of every node that is kept; whole contexts only.  low: the
+        lowest orders, if they are made already."""
+        self.levels: list[Level] = list(low)
         self.k_max = k_max
-        for k in range(k_max + 1):
+        self.whole = True  # holds every context there is
+        for k in range(len(low), k_max + 1):
             m = order == k
             nk, nc = key[m], count[m].astype(np.float64)
             o = np.argsort(nk)
@@ -234,8 +242,9 @@ def gather(docs: DataFrame, text_col: str = "text", held_rows: int = 2_000_000)
     return docs.select(text_col).mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _trie(grams: DataFrame, most_nodes: int) -> Trie:
-    """The kept part of the trie.  Contexts are kept by their count, so a kept context's shorter contexts are kept too."""
+def _trie(grams: DataFrame, most_nodes: int, low: int = 0) -> Trie:
+    """The kept part of the trie: all contexts of up to low bytes (bounded by 256^(low + 1) successors), others while all are
+    at most most_nodes.  Contexts are kept by their count, so a kept context's shorter contexts are kept too."""
     level = grams.select("key", "n")
     levels = []
     for k in range(ORDER, -1, -1):
@@ -249,20 +258,67 @@ def _trie(grams: DataFrame, most_nodes: int) -> Trie:
     ctx = cut(nodes.groupBy("k", F.shiftright("key", 8).alias("c")).agg(F.sum("n").alias("t"), F.count("*").alias("d")), "ppm-contexts")
     # nodes by their context's count: exact for counts, so a histogram decides the least count that fits
     size = F.floor(F.log2("t") * 64).cast("int").alias("z")  # steps of about 1 %: a bounded number of rows
-    hist = ctx.groupBy(size).agg(F.sum("d").alias("d")).toPandas().sort_values("z", ascending=False)
-    fit = hist[hist.d.cumsum() <= most_nodes]
+    hist = ctx.groupBy(size, (F.col("k") <= low).alias("low")).agg(F.sum("d").alias("d")).toPandas()
+    free = most_nodes - hist.d[hist.low].sum()
+    hist = hist[~hist.low].sort_values("z", ascending=False)
+    fit = hist[hist.d.cumsum() <= free]
     least = int(fit.z.min()) if len(fit) else 1 << 30
-    kept = ctx.where((F.floor(F.log2("t") * 64) >= least) | (F.col("k") == 0)).select("k", "c")
-    got = nodes.withColumn("c", F.shiftright("key", 8)).join(kept.hint("merge"), ["k", "c"], "left_semi").select("key", "n", "k").toArrow()  # at most most_nodes rows
-    return Trie(got.column("key").to_numpy().view(U), got.column("n").to_numpy(), got.column("k").to_numpy())
+    kept = ctx.where((F.floor(F.log2("t") * 64) >= least) | (F.col("k") <= low)).select("k", "c")
+    got = nodes.withColumn("c", F.shiftright("key", 8)).join(kept.hint("merge"), ["k", "c"], "left_semi").select("key", "n", "k").toArrow()  # at most most_nodes rows, or the low orders
+    trie = Trie(got.column("key").to_numpy().view(U), got.column("n").to_numpy(), got.column("k").to_numpy())
+    trie.whole = len(fit) == len(hist)
+    return trie
+
+
+def _rare(grams: DataFrame, asked: DataFrame, low: list[Level], held_rows: int = 500_000) -> DataFrame:
+    """(key, p): log2 probability of each asked key (distinct) by the full counts.  low: orders 0 to LOW, complete."""
+    shared = asked.sparkSession.sparkContext.broadcast(tuple(low))
+    group = (U(8), U((1 << (8 * (LOW + 1))) - 1))
+
+    def answer(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        q, key, count = k[n == 0], k[n > 0], n[n > 0]
+        if not len(q):
+            return
+        levels = []
+        for order in range(LOW + 1, ORDER + 1):
+            u, inv = np.unique(key & U((1 << (8 * (order + 1))) - 1), return_inverse=True)
+            levels.append((u, np.bincount(inv, count, len(u)), np.full(len(u), order)))
+        p = Trie(*[np.concatenate(x) for x in zip(*levels, strict=True)], low=shared.value).log2(q)
+        for i in range(0, len(q), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(q[i : i + 100_000].view(np.int64)), pa.array(p[i : i + 100_000])], ["key", "p"])
 
-
-def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_nodes: int = MOST_NODES, most_words: int = MOST_WORDS) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10) of every row of docs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows, most = 0, held_rows
+        for b in batches:
+            held.append((b.column("key").to_numpy().view(U), b.column("n").to_numpy()))
+            rows += b.num_rows
+            if rows > most:  # groups come one after another; the last one may go on
+                k, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                g = (k >> group[0]) & group[1]
+                z = int(np.searchsorted(g, g[-1]))
+                yield from answer(k[:z], n[:z])
+                held, rows = [(k[z:], n[z:])], len(k) - z
+                most = max(held_rows, 2 * rows)
+        if held:
+            yield from answer(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    both = grams.select("key", "n").unionByName(asked.select("key", F.lit(0).cast("long").alias("n")))
+    g = F.shiftright("key", 8).bitwiseAND(F.lit(int(group[1])))
+    return both.withColumn("g", g).repartition("g").sortWithinPartitions("g").select("key", "n").mapInArrow(run, "key long, p double")
+
+
+def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_nodes: int | None = None, most_words: int = MOST_WORDS, held_nodes: int = HELD_NODES) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10) of every row of docs.
+
+    most_nodes: for a smaller model on purpose; without it the model is all of training's counts.  held_nodes: what tasks
+    hold of it; the result does not depend on it.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     counts = cut(gather(training, text_col), "ppm-counts")
-    trie = _trie(counts.where("kind = 0"), most_nodes)
+    trie = _trie(counts.where("kind = 0"), held_nodes, LOW) if most_nodes is None else _trie(counts.where("kind = 0"), most_nodes)
+    all_held = trie.whole or most_nodes is not None
     n_texts = training.count()
     words = counts.where("kind = 1")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -279,21 +335,39 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
         for b in V.slices(batches, "text", V.SEG):
             buf, offs, w = _texts(b, "text")
             key, ends = keys(*stream(buf, offs, w))
-            total = V.per_doc_sum(trie.log2(key), ends)
+            p = np.zeros(len(key))
+            held = np.ones(len(key), bool) if all_held else trie.levels[ORDER].contexts.find(key >> U(8)) >= 0
+            p[held] = trie.log2(key[held])
+            total = V.per_doc_sum(p, ends)
+            # keys whose context isn't held: each text's distinct ones and how often they come
+            doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[~held]
+            gram = key[~held]
+            order = np.lexsort((gram, doc))
+            doc, gram = doc[order], gram[order]
+            new = np.flatnonzero(np.concatenate([[len(gram) > 0], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])])[: len(gram)])
+            of = np.searchsorted(doc[new], np.arange(len(ends))).astype(np.int32)
+            times = np.diff(np.append(new, len(gram)))
+            far = [pa.ListArray.from_arrays(pa.array(of), pa.array(x)) for x in (gram[new].view(np.int64), times.astype(np.int64))]
             row = table.find(w.hash)
             known = row >= 0
             base = np.where(known, np.log10((freq[np.maximum(row, 0)] + 0.5) / floor) if len(freq) else 0, np.log10(0.5 / floor))
             # words beyond the table: their counts come by a join, and replace the count of 0 taken here
             rest = np.flatnonzero(~known) if not all_told else np.zeros(0, np.int64)
             cuts = np.searchsorted(rest, w.first).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(w.counts + 1), pa.array(V.per_doc_sum(known, w.first) + (n_texts > 0)), pa.array(V.per_doc_sum(base, w.first) + end), pa.array(total * LOG10_2), pa.ListArray.from_arrays(pa.array(cuts), pa.array(w.hash[rest].view(np.int64)))], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(w.counts + 1), pa.array(V.per_doc_sum(known, w.first) + (n_texts > 0)), pa.array(V.per_doc_sum(base, w.first) + end), pa.array(total * LOG10_2), pa.ListArray.from_arrays(pa.array(cuts), pa.array(w.hash[rest].view(np.int64))), *far], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest", "grams", "times"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = cut(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rest array<long>"), "ppm-scores")
+    out = cut(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rest array<long>, grams array<long>, times array<long>"), "ppm-scores")
+    scored = out
     if not all_told:
         # only words that are not among the frequent ones come here, so none can be hot
-        seen = out.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("m"))
+        seen = scored.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("m"))
         gain = F.col("m") * (F.log10((F.col("n") + 0.5) / floor) - float(np.log10(0.5 / floor)))
         more = seen.join(words.select("key", "n").hint("merge"), "key").groupBy("row").agg(F.sum("m").alias("more"), F.sum(gain).alias("gain"))
         out = out.join(more.hint("merge"), "row", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("more", F.lit(0)), "base": F.col("base") + F.coalesce("gain", F.lit(0.0))})
+    if not all_held:
+        far = scored.select("row", F.explode(F.arrays_zip("grams", "times")).alias("x")).select("row", F.col("x.grams").alias("key"), F.col("x.times").alias("m"))
+        rare = _rare(counts.where("kind = 0"), far.select("key").distinct(), trie.levels[: LOW + 1])
+        more = far.join(rare.hint("merge"), "key").groupBy("row").agg((F.sum(F.col("m") * F.col("p")) * LOG10_2).alias("far"))
+        out = out.join(more.hint("merge"), "row", "left").withColumn("score", F.col("score") + F.coalesce("far", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -346,6 +346,18 @@ def test_ppm_bounds_change_no_counts(spark, docs):
     assert sum(x.score for x in b.values()) < sum(x.score for x in a.values())
 
 
+@pytest.mark.parametrize("share", [0, 0.6])
+def test_ppm_held_part_changes_no_score(spark, docs, share):
+    train = docs.where("doc_id < 8")
+    some = docs.where("doc_id between 4 and 14").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "unseen éü zzz unseen zzz")], "doc_id long, text string"))
+    slow = Slow([stream_by_hand(x.text) for x in train.collect()], ppm.ORDER)
+    nodes = sum(len(d) for d in slow.c.values())
+    got = {x.doc_id: x.score for x in ppm.score(some, train, held_nodes=int(nodes * share)).collect()}
+    for x in some.collect():
+        s = stream_by_hand(x.text)
+        assert got[x.doc_id] == pytest.approx(sum(slow.log2(s[j - ppm.ORDER : j], s[j]) for j in range(ppm.ORDER, len(s))) * math.log10(2))
+
+
 def test_ppm_is_a_distribution(spark):
     df = spark.createDataFrame([(0, "abra cadabra"), (1, "bar abba")], "doc_id long, text string")
     trie = ppm._trie(ppm.gather(df).where("kind = 0"), 1 << 16)
