@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.functions.dynamics import clamp
+from loam.lineage import cut
 from loam.operators import gates, novelty
 
 
@@ -48,7 +49,7 @@ def admit(rows: DataFrame, min_novelty: float = gates.MIN_NOVELTY, max_share: fl
             yield pd.DataFrame({"seq": pdf.seq, "accepted": out})
 
     done = slim.repartition(1).sortWithinPartitions("seq").mapInPandas(resolve, "seq long, accepted boolean")
-    state = rows.join(done, "seq", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    state = rows.join(cut(done), "seq", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
     nov = novelty.max_jaccard(state.where("accepted"), "seq", "title").withColumnRenamed("id", "seq")
     out = state.join(nov, "seq", "left")
     quality = F.when(F.col("accepted"), gates.admission_quality(F.col("confidence"), gates.reliability(F.col("source")), F.col("novelty")))

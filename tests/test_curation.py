@@ -112,6 +112,17 @@ def test_admission_equals_fold(spark, novelty, share):
     assert got == fold(rows, novelty, share)
 
 
+def test_admission_runs_on_whole_texts(spark, tmp_path):
+    from loam.plans import curation
+
+    tail = " ".join(f"t{i}" for i in range(30))
+    texts = ["same first line here\n" + " ".join(f"w{i}" for i in range(30)), "same first line here\n" + tail, "another first line there\n" + tail]
+    df = spark.createDataFrame([(i, t, f"s{i}", 800) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.seq: x.accepted for x in curation.corpus_admission(spark, str(tmp_path)).collect()}
+    assert got == {0: True, 1: True, 2: False}
+
+
 def test_diversity_is_strict(spark):
     rows = [(0, "arxiv", "one two three four", 0.8), (1, "nasa_power", "five six seven eight", 0.8), (2, "arxiv", "nine ten eleven twelve", 0.8)]
     df = spark.createDataFrame(rows, "seq long, source string, title string, confidence double")
