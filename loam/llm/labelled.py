@@ -11,22 +11,23 @@ from loam.llm.common import crc_bucket, cut
 MOST_LABELLED = 200_000
 
 
-def training_labels(labels: DataFrame, label: str, most: int = MOST_LABELLED, held_out_mod: int | None = 3) -> DataFrame:
-    """(__id, __y): labelled ids outside the held-out third, one row per id, at most about ``most`` of them.
+def training_labels(labels: DataFrame, label: str, most: int | None = MOST_LABELLED, held_out_mod: int | None = 3, id_col: str = "doc_id") -> DataFrame:
+    """(__id as text, __y): labelled ids outside the held-out third, one row per id, at most about ``most`` of them
+    (None: all).
 
     Ids labelled more than once count with the greatest label; null ids and null labels don't count.
     """
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
     if held_out_mod:
-        rows = rows.where(crc_bucket("doc_id", held_out_mod) != 1)
-    rows = rows.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(label).cast("int").alias("__y"))
+        rows = rows.where(crc_bucket(id_col, held_out_mod) != 1)
+    rows = rows.groupBy(F.col(id_col).cast("string").alias("__id")).agg(F.max(label).cast("int").alias("__y"))
     rows = cut(rows, "labels")
-    n = rows.count()
-    if n > most:
+    n = rows.count() if most is not None else 0
+    if most is not None and n > most:
         rows = cut(rows.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(most / n * (1 << 30))), "labels")
     return rows
 
 
-def labelled(docs: DataFrame, ids: DataFrame, text_col: str = "text") -> DataFrame:
+def labelled(docs: DataFrame, ids: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(__id, __y, __text) of labelled documents.  The ids are few (see MOST_LABELLED), so no text moves."""
-    return docs.select(F.col("doc_id").cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(ids), "__id")
+    return docs.select(F.col(id_col).cast("string").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(ids), "__id")

@@ -7,7 +7,10 @@ is fitted on the training rows (Platt), as correlated statistics would make raw
 
 Labels are learnt from a bounded sample (labelled.MOST_LABELLED); all documents are scored.
 
-Defined results.  Null text: as the empty text.  With one class in training the score is that class's prior.
+Defined results.  Empty table: no rows.  Null text: as the empty text.  Very long texts are read whole, in bounded slices.
+Repeated rows: each scored, and each learnt from if labelled.  Ids may have any type; other columns are not looked at,
+whatever their names.  A score equal to the cut-off counts as class 1.  With one class in training the score is that
+class's prior.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loam.llm import docstats as D
 from loam.llm import vectext as V
-from loam.llm.common import crc_bucket, cut, small_batches
+from loam.llm.common import crc_bucket, cut, id_type, small_batches
 from loam.llm.labelled import MOST_LABELLED, training_labels
 
 P = len(D.FEATURES)
@@ -44,7 +47,7 @@ class Model:
         z = (x - self.centre) / self.scale
         q = []
         for m, c, d in zip(self.means, self.chols, self.logdets, strict=True):
-            s = np.linalg.solve(c, (z - m).T)
+            s = forward(c, (z - m).T)
             q.append(-0.5 * (s * s).sum(0) - 0.5 * d)
         # a bounded root keeps order and tames the tails
         g = q[1] - q[0] + self.log_prior
@@ -54,6 +57,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * self.margin(x) + self.b, -30, 30)))
 
 
+def forward(c: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Solves c s = z for a lower triangular c by forward substitution."""
+    s = np.empty_like(z)
+    for i in range(len(c)):
+        s[i] = (z[i] - c[i, :i] @ s[:i]) / c[i, i]
+    return s
+
+
 def _fit(n: np.ndarray, s: np.ndarray, ss: np.ndarray, pooled: float, diagonal: float) -> Model:
     """From counts (2), sums (2 x P) and sums of products (2 x P x P)."""
     total = n.sum()
@@ -101,10 +112,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), P).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = cut(rows.mapInArrow(stats, "doc_id long, x array<double>"), "qda-statistics")
-    ids = training_labels(labels, label, most_labelled)
-    train = cut(made.join(F.broadcast(ids.withColumnRenamed("__id", "doc_id")), "doc_id").select("x", F.col("__y").alias("y")), "qda-train")
+    kind = id_type(docs, id_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    made = cut(rows.mapInArrow(stats, f"doc_id {kind}, x array<double>"), "qda-statistics")
+    ids = training_labels(labels, label, most_labelled, id_col=id_col)
+    train = cut(made.join(F.broadcast(ids), F.col("doc_id").cast("string") == F.col("__id")).select("x", F.col("__y").alias("y")), "qda-train")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros((2, 1 + P + P * P))
@@ -141,5 +153,5 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             s = model.score(b.column("x").flatten().to_numpy().reshape(-1, P)) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
-    out = made.mapInArrow(apply, "doc_id long, score double")
+    out = made.mapInArrow(apply, f"doc_id {kind}, score double")
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut_off).cast("int").alias("predicted"))

@@ -1,13 +1,14 @@
 """Quality rules: base counts, and a hashed n-gram log-likelihood ratio between trusted target and raw corpus.
 
-The n-grams are runs of four bytes, hashed into 2**16 buckets.  Target: texts of trusted documents (labels.quality = 1;
-a bounded sample, see labelled.MOST_LABELLED).  Raw: all documents.  Both are multinomials with add-one smoothing.  A
+The n-grams are runs of four bytes, hashed into 2**16 buckets.  Target: texts of all trusted documents (labels.quality = 1;
+their ids are broadcast while they are counted few, else joined by a shuffle).  Raw: all documents.  Both are multinomials with add-one smoothing.  A
 document's score is the mean of log2(target / raw) over its n-grams, so length does not count.  The threshold lies
 ``SPREAD`` times as far below the trusted documents' median as their ``quantile``: outside their bulk, so that minor
 languages among them stay.  Both come from all their scores, in steps of 1/1000 bit, so every run gives the same verdicts.
 
-Defined results.  Null and empty texts: all counts 0, base_failed, not kept, score null; so texts under four bytes.
-Repeated rows are judged each.  Without trusted documents the score is 0 and the base rules alone decide.
+Defined results.  Empty table: no rows.  Null and empty texts: all counts 0, base_failed, not kept, score null; so texts under
+four bytes.  Very long texts are read whole, in bounded slices.  Repeated rows are judged each.  A score equal to the
+threshold is kept.  Ids may have any type; other columns are not looked at, whatever their names.  Without trusted documents the score is 0 and the base rules alone decide.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from loam.llm import docstats as D
 from loam.llm import vectext as V
-from loam.llm.common import cut, small_batches
-from loam.llm.labelled import MOST_LABELLED, training_labels
+from loam.llm.common import cut, id_type, join_small, small_batches
+from loam.llm.labelled import training_labels
 
 BUCKETS = 1 << 16
 N = 4
@@ -88,13 +89,13 @@ def scores(buf: np.ndarray, offs: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     return np.where(n > 0, (c[o[1:]] - c[o[:-1]]) / np.maximum(n, 1), np.nan)
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_trusted: int = MOST_LABELLED, quantile: float = QUANTILE) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quantile: float = QUANTILE) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, threshold, kept per row."""
     spark = docs.sparkSession
     small_batches(spark)
-    ids = training_labels(labels, "quality", most_trusted, None).where("__y = 1")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(ids.select(F.col("__id").alias("doc_id"), F.lit(True).alias("trusted"))), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    ids = cut(training_labels(labels, "quality", None, None, id_col).where("__y = 1").select("__id", F.lit(True).alias("trusted")), "trusted")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("__id"))
+    rows = join_small(rows, ids, ["__id"]).drop("__id").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     ratio = spark.sparkContext.broadcast(log_ratio(_counts(rows, "text", "trusted")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +107,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(base[c]) for c in cols], pa.array((n < MIN_WORDS) | (100 * rep > MOST_REPEATED * n)), pa.array(s, from_pandas=True), b.column("trusted")], ["doc_id", *cols, "base_failed", "score", "trusted"])
 
-    out = rows.mapInArrow(score, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, trusted boolean")
+    out = rows.mapInArrow(score, f"doc_id {id_type(docs, id_col)}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, trusted boolean")
     out = cut(out, "quality-scores")
     # A histogram in steps of 1/1000 bit; scores lie within +-40 bits, so it has a bounded number of rows.
     hist = out.where("trusted and score is not null").groupBy(F.round("score", 3).alias("v")).agg(F.count("*").alias("n")).toPandas().sort_values("v")
