@@ -1,32 +1,42 @@
 """N-gram Jaccard join: an exact metric-space join, d = 1 - Jaccard, of all documents' shingle sets.
 
-Documents with equal sets are one point.  Points meet in three steps, each of which loses no link:
-
-1. Outer Voronoi cells.  The outer pivots are the one-shingle sets.  A set is at distance 1 - 1/n from each of its own
-   shingles and 1 from all others, so ties are broken by a fixed rank of shingles, common ones last.  If two sets link,
-   their least common shingle is among the first n - ceil(t n) + 1 of either: those are the windows to which a set is
-   replicated as a boundary document.  (Whole documents as outer pivots give no regions: nearly all documents are at
-   distance 1 from any of them and would be replicated to every region.)  Cells with equal members are one.
-2. In a cell, a bitmap of each set bounds every distance from below: a shingle flips one bit, so two sets differ in at
-   least as many members as their bitmaps in bits (Sandes et al., "Bitmap filter", 2020).  A bitmap has about as many bits
-   as its set has members, at least BITS; the longer of two is folded to the size of the shorter.  Pairs whose bound
-   admits a link tie points to a region; a region's points come together once, whatever the number of their cells.
-3. In a region, document pivots create Voronoi regions; points at d <= e of a pivot link to it; the triangle inequality
-   bounds which points still need comparing, boundary points (d <= nearest + 2e) are replicated, and the parts are
-   joined recursively.  A region above ``most_bytes`` takes up to LEVELS such levels as Spark jobs, PIVOTS pivots each;
-   what no pivot tells apart even then is joined by pairs of blocks.
+Documents with equal sets are one point.  Let e be the greatest distance of a link.
+
+1. Voronoi regions of document pivots, over all points.  The pivots are documents of a bounded sample (``SAMPLE_BYTES`` of
+   text by least hash, each text once), more than 2 * RADIUS apart from each other; the PIVOTS with the most sampled
+   documents around them stay.  A point within RADIUS of its nearest pivot is at home in that pivot's region, and visits
+   the regions of other pivots p with d(p) <= min(RADIUS + e, nearest + 2e).  A point with no pivot that near is at home
+   outside, and visits the regions of pivots at d <= RADIUS + e.  By the triangle inequality a point at home in a region
+   meets everything it links to there.  Points within e of a pivot link to it; those with d(p) < least - e, where least is
+   the least distance of a point that does not link to p, have no other links that matter and go no further.
+2. Points at home outside are at distance 1, or nearly so, from all pivots and mostly from each other, so no document tells
+   them apart.  Their pivots are the one-shingle sets.  A set is at distance 1 - 1/n from each of its own shingles and
+   1 from all others, so ties are broken by a fixed rank of shingles, common ones last.  If two sets link, their least
+   common shingle is among the first n - ceil(t n) + 1 of either: those are the windows to which a set is replicated as
+   a boundary document.  Cells with equal members are one.  In a cell, a bitmap of each set bounds every distance from
+   below: a shingle flips one bit, so two sets differ in at least as many members as their bitmaps in bits (Sandes et
+   al., "Bitmap filter", 2020).  A bitmap has about as many bits as its set has members, at least BITS; the longer of two
+   is folded to the size of the shorter.  Pairs whose bound admits a link tie points to a region; a region's points come
+   together once, whatever the number of their cells.
+3. Regions of either kind are joined recursively: pivots of their own create Voronoi regions with windows of
+   ``nearest + 2e``, points at d <= e of a pivot link to it, and the triangle inequality bounds which points still need
+   comparing.  A region above ``most_bytes`` takes up to LEVELS such levels as Spark jobs, REGION_PIVOTS pivots each; what
+   no pivot tells apart even then is joined by pairs of blocks.
 
 Every comparison that decides a link is exact on whole sets of 64-bit shingle hashes and in whole numbers:
 den * intersection >= num * union.
 
-Defined results.  Null, empty and blank texts: empty set, linked with nothing.  Rows with equal ids: each row has its
-own set, and the component of an id's rows is that of their links.  Null ids take part, but never name a component
-unless all its ids are null (then null).  Columns of the input other than id and text are not looked at.
+Defined results.  Empty table: no rows.  Null, empty and blank texts: empty set, linked with nothing.  Very long texts are
+read whole, in slices of bounded scratch.  Ids may have any type that has an order.  Rows with equal ids: each row has its
+own set, and the component of an id's rows is that of their links.  Null ids take part, but never name a component unless
+all its ids are null (then null).  Ties are on the side of the link.  Columns of the input other than id and text are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,19 +45,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.llm import vectext as V
-from loam.llm.common import BROADCAST_ROWS, components, cut, drop, small_batches
+from loam.llm.common import BROADCAST_ROWS, components, cut, drop, id_type, least_count, small_batches
 
 #: Shingles that are ranked last: at most so many, the most frequent; any choice gives the same links.
 MOST_COMMON = 1 << 18
 #: Shingles among which a task looks for common ones.
-WINDOW = 4_000_000
+WINDOW = 1_000_000
+#: Bytes of text of the sample that document pivots come from, the most pivots, and the radius of a pivot's own region.
+SAMPLE_BYTES = 4 << 20
+PIVOTS = 1024
+RADIUS = 0.3
+#: (document, pivot) meetings on a shingle that are counted at once.
+MEETINGS = 1 << 19
 #: Bytes of sets up to which a region is joined within a task.
-REGION_BYTES = 32 << 20
+REGION_BYTES = 8 << 20
 #: Points up to which a cell is compared by bounds; a larger one is a region as it is.
 CELL_POINTS = 4096
 #: Least bits of a bitmap.
 BITS = 1024
-PIVOTS, LEVELS = 8, 4
+REGION_PIVOTS, LEVELS = 8, 4
 
 
 def sets_of(batch: pa.RecordBatch, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +127,9 @@ def _common(docs: DataFrame, text_col: str, k: int, most: int) -> tuple[np.ndarr
         if used:
             yield flush(held[:used])
 
-    got = docs.select(text_col).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    top = got.orderBy(F.desc("c"), "h").limit(most).toArrow()  # at most `most` pairs of numbers
+    got = cut(docs.select(text_col).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "jaccard-counts")
+    top = got.where(F.col("c") >= least_count(got, "c", most)).toArrow()  # at most `most` pairs of numbers
+    drop(got)
     h, c = top.column("h").to_numpy().view(V.U), top.column("c").to_numpy()
     by_count = np.lexsort((h, c))
     places = np.empty(len(h), V.U)
@@ -136,25 +153,129 @@ def fold(rows: np.ndarray, words: int) -> np.ndarray:
     return rows
 
 
-def _points(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, common) -> DataFrame:
-    """doc_id, n, the set's 128-bit key, the ranks of its prefix and its bitmap."""
+@dataclass
+class Pivots:
+    """Document pivots: for each shingle of theirs (ascending) the pivots that hold it."""
+
+    shingle: np.ndarray
+    first: np.ndarray
+    pivot: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> Pivots:
+        size = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, V.U)
+        who = np.repeat(np.arange(len(sets), dtype=np.int32), size)
+        order = np.argsort(flat, kind="stable")
+        shingle, first = np.unique(flat[order], return_index=True)
+        return cls(shingle, np.append(first, len(flat)), who[order], size)
+
+    def overlaps(self, v: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Sizes of the intersections of sets with all pivots, in runs: the run's first set, and a row per set."""
+        m = len(self.size)
+        at = np.minimum(np.searchsorted(self.shingle, v), max(len(self.shingle) - 1, 0))
+        hit = np.flatnonzero(self.shingle[at] == v) if len(self.shingle) else np.zeros(0, np.int64)
+        at = at[hit]
+        times = self.first[at + 1] - self.first[at]
+        meets = np.concatenate([[0], np.cumsum(times)])
+        bound = np.searchsorted(hit, first)  # hits before each set
+        a = 0
+        while a < len(first) - 1:
+            z = a + 1
+            while z < len(first) - 1 and meets[bound[z + 1]] - meets[bound[a]] <= MEETINGS and (z + 1 - a) * m <= MEETINGS:
+                z += 1
+            lo, hi = bound[a], bound[z]
+            k = times[lo:hi]
+            post = np.repeat(self.first[at[lo:hi]] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            doc = np.repeat(np.searchsorted(first, hit[lo:hi], side="right") - 1 - a, k)
+            yield a, np.bincount(doc * m + self.pivot[post], minlength=(z - a) * m).reshape(z - a, m)
+            a = z
+
+    def regions(self, v: np.ndarray, first: np.ndarray, num: int, den: int, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each set is at home outside; and (set, pivot, distance, linked) of each region it takes part in."""
+        n = np.diff(first)
+        e = 1 - num / den
+        outside = n > 0
+        got = []
+        for a, o in self.overlaps(v, first) if len(self.size) else ():
+            own = n[a : a + len(o), None]
+            union = own + self.size[None, :] - o
+            d = np.where(own > 0, 1 - o / np.maximum(union, 1), 2.0)
+            near = d.min(1)
+            home = near <= radius
+            outside[a : a + len(o)] &= ~home
+            window = np.where(home, np.minimum(radius + e, near + 2 * e), radius + e)
+            i, p = np.nonzero(d <= window[:, None] + 1e-9)
+            got.append((i + a, p, d[i, p], den * o[i, p] >= num * union[i, p]))
+        if not got:
+            z = np.zeros(0, np.int64)
+            return outside, z, z, z.astype(float), z.astype(bool)
+        return outside, *(np.concatenate(x) for x in zip(*got, strict=True))
+
+
+def _pivots(docs: DataFrame, text_col: str, k: int, sample_bytes: int, most: int, radius: float) -> Pivots:
+    """Pivots among the non-empty texts with the least hashes, each text once, of about sample_bytes in all."""
+    text = docs.select(F.col(text_col).alias("t")).where(F.octet_length("t") > 0)
+    total = text.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    share = min(1.0, sample_bytes / max(total, 1))
+    h = F.shiftrightunsigned(F.xxhash64("t"), 32)
+    few = text.select("t", h.alias("h")).where(F.col("h") < int(share * (1 << 32)))
+    few = few.groupBy("h").agg(F.first("t").alias("t")).orderBy("h").toArrow()  # about sample_bytes at most: copies count once
+    sets: dict[bytes, np.ndarray] = {}
+    for b in V.slices(few.to_batches(), "t"):
+        v, first = sets_of(b, "t", k)
+        for a, z in zip(first[:-1], first[1:], strict=True):
+            if z > a:
+                sets.setdefault(v[a:z].tobytes(), v[a:z])
+    return Pivots.of(apart(list(sets.values()), most, 2 * radius))
+
+
+def apart(sets: list[np.ndarray], most: int, radius: float) -> list[np.ndarray]:
+    """Sets more than radius apart, taken greedily in their order; of these the most with the most sets around them."""
+    if not sets:
+        return []
+    every = Pivots.of(sets)
+    first = np.concatenate([[0], np.cumsum(every.size)])
+    taken = np.zeros(len(sets), bool)
+    around = np.zeros(len(sets), np.int64)
+    for a, o in every.overlaps(np.concatenate(sets), first):
+        for i, row in enumerate(o, a):
+            near = taken & (1 - row / (every.size[i] + every.size - row) <= radius)
+            if near.any():
+                around[near] += 1
+            else:
+                taken[i] = True
+    at = np.flatnonzero(taken)
+    at = at[np.argsort(-around[at], kind="stable")][:most]
+    return [sets[i] for i in at]
+
+
+def _points(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, common, pivots, radius: float) -> DataFrame:
+    """doc_id, n, the set's 128-bit key, the regions of document pivots it takes part in, and of sets at home outside the
+    ranks of the prefix and the bitmap."""
+    kind = pa.list_(pa.struct([("p", pa.int32()), ("d", pa.float64()), ("ok", pa.bool_())]))
 
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked_last = common.value
-        for b in V.slices(batches, text_col):
-            v, first = sets_of(b, text_col, k)
+        for b in V.slices(batches, "text"):
+            v, first = sets_of(b, "text", k)
             n = np.diff(first)
             h1, h2 = set_keys(v, first)
+            outside, doc, p, d, ok = pivots.value.regions(v, first, num, den, radius)
+            at = pa.array(np.searchsorted(doc, np.arange(len(n) + 1)).astype(np.int32))
+            near = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(p.astype(np.int32)), pa.array(d), pa.array(ok)], fields=list(kind.value_type)))
             key = rank(v, ranked_last)
             order = np.lexsort((key, np.repeat(np.arange(len(n)), n)))
             place = np.arange(len(v)) - np.repeat(first[:-1], n)
-            size = np.where(n > 0, prefix_len(n, num, den), 0)
+            size = np.where(outside, prefix_len(n, num, den), 0)
             pre = key[order][place < np.repeat(size, n)]
             offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            bits = pa.array([bitmap(v[x:y]).tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array(n), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(pa.array(offs), pa.array(pre.view(np.int64))), bits], ["doc_id", "n", "h1", "h2", "prefix", "bits"])
+            bits = pa.array([bitmap(v[x:y]).tobytes() if out else None for x, y, out in zip(first[:-1], first[1:], outside, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(h1), pa.array(h2), near, pa.ListArray.from_arrays(pa.array(offs), pa.array(pre.view(np.int64))), bits], ["doc_id", "n", "h1", "h2", "near", "prefix", "bits"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(point, "doc_id long, n long, h1 long, h2 long, prefix array<long>, bits binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(point, f"doc_id {id_type(docs, id_col)}, n long, h1 long, h2 long, near array<struct<p:int,d:double,ok:boolean>>, prefix array<long>, bits binary")
 
 
 def set_keys(v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,34 +291,48 @@ def set_keys(v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- cells
 
 
-def cell_ties(member: np.ndarray, n: np.ndarray, bits: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Ties (a, b) that connect all members of a cell between which the bitmaps admit a link.
+class Bits:
+    """Bitmaps of a group of sets of n members, compared at the size of the smaller one."""
+
+    def __init__(self, n: np.ndarray, bits: list[np.ndarray], num: int, den: int):
+        self.n, self.bits, self.num, self.den = n, bits, num, den
+        self.words = np.array([len(x) for x in bits])
+        self.kinds = np.unique(self.words).tolist()
+        self.place = np.zeros(len(bits), np.int64)
+        self.rows: dict[tuple[int, int], np.ndarray] = {}
+        for w in self.kinds:
+            at = np.flatnonzero(self.words == w)
+            self.place[at] = np.arange(len(at))
+            self.rows[w, w] = np.array([bits[i] for i in at])
+
+    def _folded(self, w: int, t: int) -> np.ndarray:
+        if (w, t) not in self.rows:
+            self.rows[w, t] = fold(self.rows[w, w], t)
+        return self.rows[w, t]
+
+    def admitted(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Those of js whose bitmaps and sizes admit a link with i: sets that link differ in at most
+        (den - num) / (den + num) of n_i + n_j members."""
+        js = js[self.den * np.minimum(self.n[i], self.n[js]) >= self.num * np.maximum(self.n[i], self.n[js])]
+        differ = np.zeros(len(js), np.int64)
+        for w in self.kinds:
+            k = np.flatnonzero(self.words[js] == w) if len(self.kinds) > 1 else slice(None)
+            t = min(w, int(self.words[i]))
+            differ[k] = np.bitwise_count(self._folded(w, t)[self.place[js[k]]] ^ fold(self.bits[i][None, :], t)).sum(1, dtype=np.int64)
+        return js[differ * (self.den + self.num) <= (self.den - self.num) * (self.n[i] + self.n[js])]
 
-    Sets that link differ in at most (den - num) / (den + num) of n_a + n_b members.
-    """
+
+def cell_ties(member: np.ndarray, n: np.ndarray, bits: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Ties (a, b) that connect all members of a cell between which the bitmaps admit a link."""
     m = len(member)
     label = np.arange(m)
     ties: list[tuple[int, int]] = []
-    words = np.array([len(x) for x in bits])
-    place = np.zeros(m, np.int64)
-    rows = {}
-    for w in np.unique(words).tolist():
-        at = np.flatnonzero(words == w)
-        place[at] = np.arange(len(at))
-        rows[w] = np.array([bits[i] for i in at])
+    maps = Bits(n, bits, num, den)
     for i in range(m - 1):
         if len(ties) == m - 1:
             break
         js = np.arange(i + 1, m)
-        js = js[(label[js] != label[i]) & (den * np.minimum(n[i], n[js]) >= num * np.maximum(n[i], n[js]))]
-        if not len(js):
-            continue
-        apart = np.zeros(len(js), np.int64)
-        for w in np.unique(words[js]).tolist():
-            k = np.flatnonzero(words[js] == w)
-            t = min(w, int(words[i]))
-            apart[k] = np.bitwise_count(fold(rows[w][place[js[k]]], t) ^ fold(bits[i][None, :], t)).sum(1, dtype=np.int64)
-        for j in js[apart * (den + num) <= (den - num) * (n[i] + n[js])]:
+        for j in maps.admitted(i, js[label[js] != label[i]]):
             if label[i] != label[j]:
                 label[label == label[j]] = label[i]
                 ties.append((int(member[i]), int(member[j])))
@@ -281,14 +416,15 @@ def join_region(sets: list[np.ndarray], num: int, den: int, leaf: int = 24, pivo
     windows of the pivots' Voronoi regions are narrow, the regions - each with the boundary points of others, which lie
     within nearest + 2e of its pivot - are joined recursively.  Where they are wide (points that are all near, or all
     far) the points are taken one by one, those of the smallest component first: a point is compared with those points of
-    other components that the triangle inequality over all pivots does not keep apart from it, and is then done.  That
-    ends when one component is left.
+    other components that neither the triangle inequality over all pivots nor sizes and bitmaps keep apart from it, and is
+    then done.  That ends when one component is left.
     """
     m = len(sets)
     root = np.arange(m)  # always flat: the label of each point
     links: list[tuple[int, int]] = []
     e = 1 - num / den + 1e-9
     n = np.array([len(s) for s in sets], np.int64)
+    maps = Bits(n, [bitmap(s) for s in sets], num, den) if m > 2 else None
 
     def tie(i: int, j: int) -> None:
         a, b = sorted((root[i], root[j]))
@@ -336,12 +472,11 @@ def join_region(sets: list[np.ndarray], num: int, den: int, leaf: int = 24, pivo
             own = root[idx[at]] == label[count.argmin()]
             p = int(at[own][0])
             js = at[root[idx[at]] != root[idx[p]]]
-            a, b = n[idx[p]], n[idx[js]]
-            js = js[den * np.minimum(a, b) >= num * np.maximum(a, b)]
             if len(rows) and len(js):
                 js = js[(np.abs(dist[:, js] - dist[:, [p]]) <= e).all(0)]
-            if len(js):
-                against(int(idx[p]), idx[js])
+            near = maps.admitted(int(idx[p]), idx[js]) if maps else idx[js]
+            if len(near):
+                against(int(idx[p]), near)
             left[p] = False
 
     solve(np.argsort(n, kind="stable"))
@@ -373,8 +508,8 @@ def _pivot_level(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFr
     from everything outside its links.
     """
     order = W.partitionBy("region").orderBy(F.xxhash64("rid"), "rid")
-    first = rows.select("region", "rid").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS)
-    each = F.array_sort(F.collect_list(F.struct("k", "rid", "members")))  # at most PIVOTS
+    first = rows.select("region", "rid").withColumn("k", F.row_number().over(order)).where(F.col("k") <= REGION_PIVOTS)
+    each = F.array_sort(F.collect_list(F.struct("k", "rid", "members")))  # at most REGION_PIVOTS
     pivots = cut(rows.join(F.broadcast(first) if first.count() <= 10_000 else first, ["region", "rid"]).groupBy("region").agg(each.alias("pivots")), "jaccard-pivots")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,41 +542,67 @@ def _blocks(rows: DataFrame, size: DataFrame, most_bytes: int) -> DataFrame:
     return r.select(F.xxhash64("region", F.least("own", "o"), F.greatest("own", "o")).alias("region"), "rid", "members")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100, most_common: int = MOST_COMMON, most_bytes: int = REGION_BYTES, cell_points: int = CELL_POINTS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
+def _near(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of regions of document pivots: the links to pivots (a, b), and (rid, region) of the points that are left to join."""
+    at = cut(points.select("rid", F.explode("near").alias("x")).select("rid", "x.*"), "jaccard-near")
+    least = at.groupBy("p").agg(F.min(F.when(~F.col("ok"), F.col("d"))).alias("least"), F.min(F.when(F.col("d") == 0, F.col("rid"))).alias("pivot"))  # a row a pivot
+    at = at.join(F.broadcast(least), "p")
+    return at.where("ok and rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")), at
 
-    Two documents link when den * |intersection| >= num * |union|.
-    """
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, most_common: int, most_bytes: int, cell_points: int, sample_bytes: int, pivots: int, radius: float) -> DataFrame:
+    """doc_id, n, h1, h2, cls (a number of the class, null for empty sets) and component_id of every row."""
     spark = docs.sparkSession
     small_batches(spark)
     common = spark.sparkContext.broadcast(_common(docs, text_col, k, most_common))
-    each = cut(_points(docs, id_col, text_col, k, num, den, common), "jaccard-documents")
-    kinds = each.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    chosen = spark.sparkContext.broadcast(_pivots(docs, text_col, k, sample_bytes, pivots, radius))
+    each = cut(_points(docs, id_col, text_col, k, num, den, common, chosen, radius), "jaccard-documents")
+    common.destroy()
+    chosen.destroy()
+    kinds = each.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("near", "prefix", "bits")])
     points = cut(kinds.withColumn("rid", F.monotonically_increasing_id()), "jaccard-points")
     slim = cut(each.select("doc_id", "n", "h1", "h2"), "jaccard-slim")
     drop(each)
-    ties = components(_tied(points, cut(_cells(points), "jaccard-cells"), num, den, cell_points))
-    tied = points.join(ties.withColumnRenamed("node", "rid").hint("merge"), "rid").select("rid", "h1", "h2", "n", "doc_id", F.col("component").alias("region"))
-    tied = cut(tied, "jaccard-tied")
-    links, more = _links(docs, tied, text_col, id_col, k, num, den, most_bytes)
-    links = cut(links, "jaccard-links")
-    # a point is in one region and its class in one part of it; only the links of several levels need joining again
-    found = components(links) if more else links.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    direct, at = _near(points)
+    e = 1 - num / den
+    # settled: linked to the pivot, and farther than e from all that do not
+    settled = F.col("ok") & (F.col("least").isNull() | (F.col("d") < F.col("least") - e - 1e-9))
+    unsettled = at.groupBy("rid").agg(F.bool_or(settled).alias("gone"), F.collect_list(F.struct("p", "least", "ok")).alias("ps")).where("not gone")  # at most PIVOTS
+    regions = cut(unsettled.select("rid", F.explode(F.transform(F.filter("ps", lambda x: x["least"].isNotNull()), lambda x: -1 - x["p"].cast("long"))).alias("region")), "jaccard-regions")
+    outside = points.where(F.size("prefix") > 0)
+    ties = components(_tied(points, cut(_cells(outside), "jaccard-cells"), num, den, cell_points))
+    both = regions.unionByName(ties.select(F.col("node").alias("rid"), F.col("component").alias("region")))
+    tied = both.groupBy("rid").agg(F.collect_list("region").alias("regions"))  # at most PIVOTS + 1
+    tied = cut(points.select("rid", "h1", "h2", "n", "doc_id").join(tied.hint("merge"), "rid"), "jaccard-tied")
+    links = _links(docs, tied, text_col, id_col, k, num, den, most_bytes).unionByName(direct)
+    found = components(cut(links, "jaccard-links"))
     named = points.select("rid", "h1", "h2", "n", "doc_id").join(found.withColumnRenamed("node", "rid").hint("merge"), "rid")
     named = cut(named, "jaccard-named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
-    named = named.join(least, "component").select("h1", "h2", "n", "least")
+    named = named.join(least, "component").select("h1", "h2", "n", "least", "component")
     # one row per set; a set with many documents makes skewed keys here, which AQE splits
-    own = points.select("h1", "h2", "n", "doc_id").join(named.hint("merge"), ["h1", "h2", "n"], "left").select("h1", "h2", "n", F.coalesce("least", "doc_id").alias("component_id"))
+    own = points.select("h1", "h2", "n", "doc_id", "rid").join(named.hint("merge"), ["h1", "h2", "n"], "left")
+    own = own.select("h1", "h2", "n", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("component", "rid").alias("cls"))
     out = slim.join(own.hint("merge"), ["h1", "h2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n", "h1", "h2", "cls", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _links(docs: DataFrame, tied: DataFrame, text_col: str, id_col: str, k: int, num: int, den: int, most_bytes: int) -> tuple[DataFrame, bool]:
-    """Links within regions, from sets made anew of the texts of the points' first documents; whether there were levels."""
+_OPTIONS = {"k": 4, "num": 85, "den": 100, "most_common": MOST_COMMON, "most_bytes": REGION_BYTES, "cell_points": CELL_POINTS, "sample_bytes": SAMPLE_BYTES, "pivots": PIVOTS, "radius": RADIUS}
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row.
+
+    Two documents link when den * |intersection| >= num * |union| of their sets of k-word shingles.
+    """
+    return _classes(docs, id_col, text_col, **_OPTIONS | options).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _links(docs: DataFrame, tied: DataFrame, text_col: str, id_col: str, k: int, num: int, den: int, most_bytes: int) -> DataFrame:
+    """Links within regions, from sets made anew of the texts of the points' first documents."""
     n = tied.count()
-    want = tied.select(F.col("doc_id").alias("__want"), "rid", "region", F.col("h1").alias("__h1"), F.col("h2").alias("__h2"))
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    want = tied.select(F.col("doc_id").alias("__want"), "rid", "regions", F.col("h1").alias("__h1"), F.col("h2").alias("__h2"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     texts = texts.join(F.broadcast(want) if n <= BROADCAST_ROWS else want.hint("merge"), F.col("__id").eqNullSafe(F.col("__want")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,17 +611,17 @@ def _links(docs: DataFrame, tied: DataFrame, text_col: str, id_col: str, k: int,
             h1, h2 = set_keys(v, first)
             # rows of one id may have other texts than the point's
             own = np.flatnonzero((h1 == b.column("__h1").to_numpy()) & (h2 == b.column("__h2").to_numpy()))
-            raw = v.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("region").take(pa.array(own)), b.column("rid").take(pa.array(own)), pa.array([raw[8 * first[i] : 8 * first[i + 1]] for i in own], pa.binary())], ["region", "rid", "members"])
+            raw, take = v.tobytes(), pa.array(own)
+            yield pa.RecordBatch.from_arrays([b.column("regions").take(take), b.column("rid").take(take), pa.array([raw[8 * first[i] : 8 * first[i + 1]] for i in own], pa.binary())], ["regions", "rid", "members"])
 
-    made = texts.mapInArrow(build, "region long, rid long, members binary")
-    size = cut(tied.groupBy("region").agg((F.sum("n") * 8).alias("b"), F.count("*").alias("m")), "jaccard-sizes")
+    made = texts.mapInArrow(build, "regions array<long>, rid long, members binary").select(F.explode("regions").alias("region"), "rid", "members")
+    size = cut(tied.select(F.explode("regions").alias("region"), "n").groupBy("region").agg((F.sum("n") * 8).alias("b"), F.count("*").alias("m")), "jaccard-sizes")
     large = size.where((F.col("b") > most_bytes) & (F.col("m") > 2)).select("region")
     if large.isEmpty():
-        return _region_links(made, num, den), False
+        return _region_links(made, num, den)
     here = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large.hint("merge")
-    out = _region_links(made.join(here, "region", "left_anti"), num, den)
-    rows = cut(made.join(here, "region", "left_semi").dropDuplicates(["rid"]), "jaccard-regions")
+    out = cut(_region_links(made.join(here, "region", "left_anti"), num, den), "jaccard-found")
+    rows = cut(made.join(here, "region", "left_semi").dropDuplicates(["region", "rid"]), "jaccard-large")
     for _ in range(LEVELS):
         got, left = _pivot_level(rows, num, den)
         drop(rows)
@@ -468,27 +629,42 @@ def _links(docs: DataFrame, tied: DataFrame, text_col: str, id_col: str, k: int,
         size = cut(left.groupBy("region").agg(F.sum(F.octet_length("members")).alias("b"), F.count("*").alias("m")), "jaccard-sizes")
         large = size.where((F.col("b") > most_bytes) & (F.col("m") > 2)).select("region")
         out = out.unionByName(cut(_region_links(left.join(large, "region", "left_anti"), num, den), "jaccard-found"))
-        rows = cut(left.join(large, "region", "left_semi"), "jaccard-regions")
+        rows = cut(left.join(large, "region", "left_semi"), "jaccard-large")
         drop(left)
         if rows.isEmpty():
-            return out, True
-    return out.unionByName(_region_links(_blocks(rows, size, most_bytes), num, den)), True
+            return out
+    return out.unionByName(_region_links(_blocks(rows, size, most_bytes), num, den))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each class: the one whose id names the component.  Rows with a null id stay only in classes
-    without any id, one per text."""
-    cls = cut(classes(docs, id_col, text_col, **options), "jaccard-classes")
-    stay = cut(cls.where("doc_id <=> component_id and doc_id is not null").select(F.col("doc_id").alias("__stay")).distinct(), "jaccard-stay")
-    n = stay.count()
-    ids = docs.where(F.col(id_col).isNotNull())
-    kept = ids.join(F.broadcast(stay) if n <= BROADCAST_ROWS else stay.hint("merge"), F.col(id_col).cast("long") == F.col("__stay"), "left_semi")
-    many = cls.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("__many"))
-    many = cut(many, "jaccard-many")
-    if not many.isEmpty():
-        hint = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many.hint("merge")
-        same = F.col(id_col).cast("long") == F.col("__many")
-        kept = kept.join(hint, same, "left_anti").unionByName(kept.join(hint, same, "left_semi").dropDuplicates([id_col]))
-    if not cls.where("doc_id is null").isEmpty():
-        kept = kept.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
-    return kept
+    """docs with one row of each class: that with the least id (null last), then the least key of its set.  Rows with empty
+    sets all stay.  The other columns of docs, whatever their names, stay as they are."""
+    o = _OPTIONS | options
+    rows = cut(_classes(docs, id_col, text_col, **o), "jaccard-classes")
+    stay = rows.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")).alias("s"))
+    stay = cut(stay.select(F.col("s.doc_id").alias("__id"), F.col("s.h1").alias("__h1"), F.col("s.h2").alias("__h2")), "jaccard-stay")
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("c"))
+    odd = cut(ids.where("c > 1 or doc_id is null").select(F.col("doc_id").alias("__odd")), "jaccard-odd")
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+    empty = rows.where("n = 0").select(F.col("doc_id").alias("__id"))
+    keep = cut(stay.select("__id").unionByName(empty), "jaccard-keep")
+    if odd.isEmpty():
+        return docs.join(few(keep), F.col(id_col) == F.col("__id"), "left_semi")
+    # ids that several rows share, or none: a row is told by its id and its set
+    is_odd = F.col(id_col).eqNullSafe(F.col("__odd"))
+    plain = docs.join(few(odd), is_odd, "left_anti").join(few(keep), F.col(id_col) == F.col("__id"), "left_semi")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in V.slices(batches, "__text"):
+            v, first = sets_of(b, "__text", o["k"])
+            h1, h2 = set_keys(v, first)
+            yield pa.RecordBatch.from_arrays([b.column("__row"), b.column("__key"), pa.array(np.diff(first)), pa.array(h1), pa.array(h2)], ["__row", "__key", "__n", "__a", "__b"])
+
+    each = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = docs.join(few(odd), is_odd, "left_semi").select(each.alias("__row"), F.col(id_col).alias("__key"), F.col(text_col).alias("__text"))
+    kind = row.schema["__row"].dataType.simpleString()
+    row = cut(row.mapInArrow(keyed, f"__row {kind}, __key {id_type(docs, id_col)}, __n long, __a long, __b long"), "jaccard-rows")
+    same = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__a") == F.col("__h1")) & (F.col("__b") == F.col("__h2"))
+    one = row.where("__n > 0").join(stay.hint("merge"), same, "left_semi").dropDuplicates(["__key", "__a", "__b"])
+    back = row.where("__n = 0").unionByName(one).select("__row.*")
+    return plain.unionByName(back)

@@ -6,7 +6,7 @@ Words are identified by a 64-bit hash (a polynomial in the word's bytes, then an
 Two different words share a hash with probability 2**-64 per pair.
 
 Work is done in segments of about ``SEG`` bytes cut at white space, so that the scratch arrays
-stay bounded however long a document is.
+stay bounded however long a document is; only a single word longer than that makes a longer segment.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEG = 1 << 20
+SEG = 1 << 18
 U = np.uint64
 _P = 0x9E3779B97F4A7C15
 _M1, _M2 = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
@@ -40,19 +40,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """p**i and p**-i modulo 2**64, grown on demand."""
+    """p**i and p**-i modulo 2**64."""
 
-    up = np.ones(1, U)
-    down = np.ones(1, U)
+    held: tuple[np.ndarray, np.ndarray] | None = None
+
+    @staticmethod
+    def make(n: int) -> tuple[np.ndarray, np.ndarray]:
+        inv = pow(_P, -1, 1 << 64)
+        with np.errstate(over="ignore"):
+            return tuple(np.concatenate([[U(1)], np.full(n - 1, U(x))]).cumprod(dtype=U) for x in (_P, inv))
 
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            inv = pow(_P, -1, 1 << 64)
-            with np.errstate(over="ignore"):
-                cls.up = np.concatenate([[U(1)], np.full(n - 1, U(_P))]).cumprod(dtype=U)
-                cls.down = np.concatenate([[U(1)], np.full(n - 1, U(inv))]).cumprod(dtype=U)
-        return cls.up, cls.down
+        """At least n of each; kept for segments of the usual length, made anew for longer ones."""
+        if n > SEG + 1:
+            return cls.make(n)
+        if cls.held is None:
+            cls.held = cls.make(SEG + 1)
+        return cls.held
 
 
 @dataclass
@@ -134,7 +139,7 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> Words:
             after[cut - 1] = False
             s = np.flatnonzero(word & ~before)
             e = np.flatnonzero(word & ~after) + 1
-            up, down = _Powers.get(max(b - a + 1, SEG + 1))
+            up, down = _Powers.get(b - a + 1)
             h = np.zeros(b - a + 1, U)
             np.cumsum((part.astype(U) + U(1)) * up[: b - a], out=h[1:])
             hashes.append(mix((h[e] - h[s]) * down[s] + (e - s).astype(U)))
