@@ -121,7 +121,7 @@ WITH m AS (SELECT conv_id, turn, role, text, to_json(text)::VARCHAR AS j FROM co
 c AS (SELECT u.conv_id, u.turn, u.j, r.j AS result, row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn) - 1 AS rank
       FROM m u LEFT JOIN m r ON r.conv_id = u.conv_id AND r.turn = u.turn + 1 AND r.role = 'assistant' WHERE u.role = 'user'),
 k AS (SELECT conv_id, count(*) AS n_calls, count(result) AS n_linked,
-      string_agg('{"arguments":{"prompt":' || j || ',"turn":"' || turn || '"},"errors":[],"id":"c' || turn || '","name":"reply","rank":' || rank || ',"result":' || coalesce(result, 'null') || ',"state":' || CASE WHEN result IS NULL THEN '"pending"' ELSE '"linked"' END || '}', ',' ORDER BY rank, turn) AS cj
+      string_agg('{"arguments":{"prompt":' || j || ',"turn":' || turn || '},"errors":[],"id":"c' || turn || '","name":"reply","rank":' || rank || ',"result":' || coalesce(result, 'null') || ',"state":' || CASE WHEN result IS NULL THEN '"pending"' ELSE '"linked"' END || '}', ',' ORDER BY rank, turn) AS cj
       FROM c GROUP BY conv_id),
 o AS (SELECT conv_id, count(*) AS n_messages, string_agg('{"content":' || CASE role WHEN 'user' THEN '""' ELSE j END || ',"role":"' || CASE role WHEN 'assistant' THEN 'tool' ELSE role END || '"}', ',' ORDER BY turn) AS mj,
       count(*) FILTER (WHERE role = 'assistant') AS n_results FROM m GROUP BY conv_id)

@@ -5,20 +5,25 @@ Input: messages (conv_id, turn, role, text).  Events are read from texts that ar
 * a message may hold ``{"content": ..., "tool_calls": [{"id": ..., "name": ..., "arguments": {...}, "after": [ids]}]}``;
 * a message of role ``tool`` holds ``{"tool_call_id": ..., "content": ...}``.
 
-Everything else is plain content.  Calls and results are hash-joined on (conversation, identifier); a call's
-arguments are checked against its tool's schema; calls are put in topological order of their ``after``
-references; and each conversation is serialised as canonical JSON: keys in code-point order, no spaces.
-
-Defined results.  Null text: empty content.  Null turn: before all others.  A null conversation is one
-conversation.  Repeated identifiers: the first call (least turn, then position) owns the identifier, later ones
-are ``duplicate``; of several results the first is linked, the others are ``orphan``.  A result without a call is
-``orphan``, a call without a result is ``pending``.  Unknown tools fail validation.  Calls whose references form a
-circle, or point to no call of the conversation, get rank null, respectively ignore that reference.  Empty input:
+Everything else is plain content.  Calls and results are hash-joined on (conversation, identifier); a call's arguments are
+checked against its tool's schema; calls are put in topological order of their ``after`` references; and each conversation
+is serialised as canonical JSON: keys in code-point order, no spaces, arguments with the JSON types that they came with
+(numbers in shortest form: 1.0 is 1, 2.50 is 2.5).
+
+Defined results.  Null text: empty content.  Null turn: before all others.  A null conversation is one conversation.
+Repeated identifiers: the first call (least turn, then position) owns the identifier, later ones are ``duplicate``; calls
+without an identifier are ``duplicate`` too, as nothing can refer to them; of several results the first (least turn, then
+content) is linked, the others are ``orphan``.  A result without a call is ``orphan``, a call without a result is
+``pending``.  Unknown tools fail validation.  Arguments that are no object fail it and are written as they are; missing ones,
+null and objects with a repeated key count as {}; a number that no double holds is read as text.  Calls whose references
+form a circle, or wait for one that does, get rank null; references to no call of the conversation are ignored.  Repeated
+messages are each written.  Very long texts are read whole.  Columns other than the four are not looked at.  Empty input:
 empty output.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -27,9 +32,10 @@ from pyspark.sql import functions as F
 
 from loam.llm.common import BROADCAST_ROWS, cut
 
-_CALL = "array<struct<id:string,name:string,arguments:map<string,string>,after:array<string>>>"
-#: JSON types that a schema may name, each with the pattern that a value's JSON text must match.
-JSON_TYPES = {"string": None, "integer": r"^-?(0|[1-9][0-9]*)$", "number": r"^-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?$", "boolean": r"^(true|false)$", "object": r"^\{.*\}$", "array": r"^\[.*\]$"}
+_CALL = "array<struct<id:string,name:string,arguments:variant,after:array<string>>>"
+#: JSON types that a schema may name, each with the pattern of the types that Spark finds in such values.
+JSON_TYPES = {"string": "^STRING$", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "boolean": "^BOOLEAN$", "object": "^OBJECT", "array": "^ARRAY", "null": "^VOID$"}
+#: Turns of a conversation that are one row of the output.
 PART_TURNS = 512
 
 
@@ -38,30 +44,35 @@ def json_string(c: Column) -> Column:
     return F.when(c.isNotNull(), F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1))
 
 
-def canonical_map(m: Column) -> Column:
-    """A map of strings as a JSON object with its keys in order."""
-    items = F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))))
-    pair = lambda e: F.concat(json_string(e["k"]), F.lit(":"), F.coalesce(json_string(e["v"]), F.lit("null")))
-    return F.concat(F.lit("{"), F.array_join(F.transform(items, pair), ","), F.lit("}"))
-
-
 def schema_table(spark, schemas: Mapping[str, Mapping]) -> DataFrame:
-    """{tool: {"required": [...], "properties": {name: {"type": ..., "enum": [...], "maxLength": n}}}} as rows."""
-    rows = [(tool, key, p.get("type", "string"), key in s.get("required", []), [str(x) for x in p["enum"]] if "enum" in p else None, p.get("maxLength")) for tool, s in schemas.items() for key, p in s["properties"].items()]
-    return spark.createDataFrame(rows, "name string, key string, kind string, required boolean, enum array<string>, longest int")
+    """{tool: {"required": [...], "properties": {name: {"type": ..., "enum": [...], "maxLength": n}}}} as rows; enum values as
+    canonical JSON."""
+    rows = [(tool, key, p.get("type", "string"), key in s.get("required", []), [json.dumps(x, ensure_ascii=False) for x in p["enum"]] if "enum" in p else None, p.get("maxLength")) for tool, s in schemas.items() for key, p in s["properties"].items()]
+    table = spark.createDataFrame(rows, "name string, key string, kind string, required boolean, enum array<string>, longest int")
+    return table.withColumn("enum", F.transform("enum", lambda x: F.to_json(F.parse_json(x))))
 
 
 def events(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Messages (conv_id, turn, role, content), calls (+ pos, id, name, arguments, after), results (+ id, content)."""
+    """Messages (conv_id, turn, role, content), calls (+ pos, id, name, json, is_object, arguments,
+    after), results (+ id, content)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     looks = F.ltrim(text).startswith("{")
     m = messages.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), looks.alias("looks"))
     calls = F.when(F.col("looks"), F.from_json(F.get_json_object("text", "$.tool_calls"), _CALL))
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    # each argument once: its name, type and canonical JSON
+    each = lambda v: F.transform(
+        F.map_entries(F.when(is_object(v), v).cast("map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), F.schema_of_variant(e["value"]).alias("kind"), F.to_json(e["value"]).alias("json")))
+    no_args = F.array().cast("array<struct<key:string,kind:string,json:string>>")
+    plain = lambda v: F.when(v.isNull() | (F.schema_of_variant(v) == "VOID"), F.lit("{}")).otherwise(F.to_json(v))
+    calls = F.transform(calls, lambda c: F.struct(
+        c["id"].alias("id"), c["name"].alias("name"), c["after"].alias("after"), plain(c["arguments"]).alias("json"), (is_object(c["arguments"]) | (plain(c["arguments"]) == "{}")).alias("is_object"),
+        F.when(is_object(c["arguments"]), each(c["arguments"])).otherwise(no_args).alias("arguments")))
     rid = F.when(F.col("looks") & (F.col("role") == "tool"), F.get_json_object("text", "$.tool_call_id"))
     body = F.when(F.col("looks"), F.get_json_object("text", "$.content"))
     # parsed once: what follows reads the parsed table
     m = cut(m.select("conv_id", "turn", "role", F.when(calls.isNotNull() | rid.isNotNull(), F.coalesce(body, F.lit(""))).otherwise(F.col("text")).alias("content"), calls.alias("calls"), rid.alias("rid")), "tool-messages")
-    call = m.select("conv_id", "turn", F.posexplode("calls").alias("pos", "c")).select("conv_id", "turn", "pos", "c.id", "c.name", F.coalesce("c.arguments", F.create_map().cast("map<string,string>")).alias("arguments"), F.coalesce("c.after", F.array().cast("array<string>")).alias("after"))
+    call = m.select("conv_id", "turn", F.posexplode("calls").alias("pos", "c")).select("conv_id", "turn", "pos", "c.id", "c.name", "c.json", "c.is_object", "c.arguments", F.coalesce("c.after", F.array().cast("array<string>")).alias("after"))
     result = m.where("rid is not null").select("conv_id", "turn", F.col("rid").alias("id"), "content")
     return m.select("conv_id", "turn", "role", "content", F.col("rid").isNotNull().alias("is_result")), call, result
 
@@ -73,25 +84,29 @@ def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     c = calls.join(F.broadcast(rules) if n <= BROADCAST_ROWS else rules.hint("merge"), "name", "left")
 
     def wrong(r: Column) -> Column:
-        v = F.try_element_at(F.col("arguments"), r["key"])
-        typed = F.coalesce(*[F.when(r["kind"] == k, v.rlike(p) if p else F.lit(True)) for k, p in JSON_TYPES.items()], F.lit(False))
+        v = F.get(F.filter("arguments", lambda x: x["key"] == r["key"]), F.lit(0))
+        typed = F.coalesce(*[F.when(r["kind"] == k, v["kind"].rlike(p)) for k, p in JSON_TYPES.items()], F.lit(False))
+        # a string's canonical JSON has escapes
+        length = F.when(v["kind"] == "STRING", F.length(F.get_json_object(F.concat(F.lit("["), v["json"], F.lit("]")), "$[0]")))
         return (
             F.when(v.isNull() & r["required"], F.concat(F.lit("missing:"), r["key"]))
             .when(v.isNull(), F.lit(None).cast("string"))
             .when(~typed, F.concat(F.lit("type:"), r["key"]))
-            .when(r["has_enum"] & ~F.array_contains(r["enum"], v), F.concat(F.lit("enum:"), r["key"]))
-            .when(F.length(v) > r["longest"], F.concat(F.lit("length:"), r["key"]))
+            .when(r["has_enum"] & ~F.array_contains(r["enum"], v["json"]), F.concat(F.lit("enum:"), r["key"]))
+            .when(length > r["longest"], F.concat(F.lit("length:"), r["key"]))
         )
 
     known = F.transform("rules", lambda r: r["key"])
-    extra = F.transform(F.array_sort(F.array_except(F.map_keys("arguments"), known)), lambda k: F.concat(F.lit("unknown:"), k))
-    errors = F.when(F.col("rules").isNull(), F.array(F.lit("tool"))).otherwise(F.concat(F.filter(F.transform("rules", wrong), lambda x: x.isNotNull()), extra))
-    return c.withColumn("errors", errors).drop("rules")
+    extra = F.transform(F.array_sort(F.array_except(F.transform("arguments", lambda x: x["key"]), known)), lambda k: F.concat(F.lit("unknown:"), k))
+    found = F.concat(F.filter(F.transform("rules", wrong), lambda x: x.isNotNull()), extra)
+    errors = F.when(F.col("rules").isNull(), F.array(F.lit("tool"))).when(~F.col("is_object"), F.array(F.lit("arguments"))).otherwise(found)
+    return c.withColumn("errors", errors).drop("rules", "arguments")
 
 
 def link(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls with state, result_turn and result; results with state."""
-    order = W.partitionBy("conv_id", "id").orderBy("turn", "pos")
+    # calls without an identifier need no order: each is a group of its own
+    order = W.partitionBy("conv_id", "id", F.when(F.col("id").isNull(), F.struct("turn", "pos"))).orderBy("turn", "pos")
     calls = calls.withColumn("first", (F.row_number().over(order) == 1) & F.col("id").isNotNull())
     ranked = results.withColumn("k", F.row_number().over(W.partitionBy("conv_id", "id").orderBy("turn", "content")))
     r = ranked.where("k = 1").select(F.col("conv_id").alias("rc"), F.col("id").alias("ri"), F.col("turn").alias("result_turn"), F.col("content").alias("result"))
@@ -149,7 +164,7 @@ def topological(calls: DataFrame) -> DataFrame:
         new = cut(new, "tool-done")
         if new.isEmpty():
             break
-        done = done.unionByName(new)
+        done = cut(done.unionByName(new), "tool-done")
         wait = cut(wait.join(new.select("k"), "k", "left_anti"), "tool-wait")
     behind = links.join(done.select(F.col("k").alias("to"), "rank"), "to").select("k", (F.col("rank") + F.col("d")).alias("rank"))
     ranks = done.unionByName(behind).select(F.col("k").alias("__k"), F.col("rank").cast("int").alias("rank"))
@@ -168,7 +183,7 @@ def format_chat(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     errors = F.array_join(F.transform("errors", json_string), ",")
     opt = lambda name, c: F.concat(F.lit(f'"{name}":'), F.coalesce(c, F.lit("null")))
     call = F.concat(
-        F.lit("{"), opt("arguments", canonical_map(F.col("arguments"))), F.lit(","), F.lit('"errors":['), errors, F.lit("],"), opt("id", json_string(F.col("id"))), F.lit(","), opt("name", json_string(F.col("name"))), F.lit(","),
+        F.lit("{"), opt("arguments", F.col("json")), F.lit(","), F.lit('"errors":['), errors, F.lit("],"), opt("id", json_string(F.col("id"))), F.lit(","), opt("name", json_string(F.col("name"))), F.lit(","),
         opt("rank", F.col("rank").cast("string")), F.lit(","), opt("result", json_string(F.col("result"))), F.lit(","), opt("state", json_string(F.col("state"))), F.lit("}"),
     )
     count = lambda c: F.count_if(c)
@@ -202,7 +217,7 @@ def turns_as_calls(messages: DataFrame) -> DataFrame:
     plain = ~F.ltrim(text).startswith("{")
     name = lambda t: F.concat(F.lit("c"), F.coalesce(t.cast("string"), F.lit("")))
     turn = F.col("turn")
-    call = F.to_json(F.struct(F.lit("").alias("content"), F.array(F.struct(name(turn).alias("id"), F.lit("reply").alias("name"), F.struct(text.alias("prompt"), turn.cast("string").alias("turn")).alias("arguments"), F.when(turn >= 2, F.array(name(turn - 2))).otherwise(F.array().cast("array<string>")).alias("after"))).alias("tool_calls")))
+    call = F.to_json(F.struct(F.lit("").alias("content"), F.array(F.struct(name(turn).alias("id"), F.lit("reply").alias("name"), F.struct(text.alias("prompt"), turn.alias("turn")).alias("arguments"), F.when(turn >= 2, F.array(name(turn - 2))).otherwise(F.array().cast("array<string>")).alias("after"))).alias("tool_calls")))
     result = F.to_json(F.struct(name(turn - 1).alias("tool_call_id"), text.alias("content")))
     role = F.when(plain & (F.col("role") == "assistant"), "tool").otherwise(F.col("role"))
     return messages.select("conv_id", "turn", role.alias("role"), F.when(plain & (F.col("role") == "user"), call).when(plain & (F.col("role") == "assistant"), result).otherwise(F.col("text")).alias("text"))
