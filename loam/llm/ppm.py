@@ -22,7 +22,9 @@ distribution.
 Base: unigram counts of words, by 64-bit hash; the most frequent MOST_WORDS words go to all tasks, the others meet
 the scored texts' words in a shuffle, so no count is lost.
 
-Defined results.  Null text: empty: one token (the end).  Repeated rows: each scored.  No training text: uniform bytes.
+Defined results.  Empty table: no rows.  Null, empty and blank texts: one token (the end).  Very long texts are read whole, in
+bounded slices.  Repeated rows: each scored.  Ids may have any type; other columns are not looked at, whatever their names.
+Words of equal counts are held or looked up together.  No training text: uniform bytes.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm import vectext as V
-from loam.llm.common import cut, small_batches
+from loam.llm.common import cut, id_type, least_count, small_batches
 
 ORDER = 5
 LOW = 2
@@ -323,7 +325,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     words = counts.where("kind = 1")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_tokens, v = int(total) + n_texts, int(kinds) + (n_texts > 0)
-    top = words.orderBy(F.desc("n"), "key").limit(most_words).select("key", "n").toArrow()  # at most most_words rows
+    top = words.where(F.col("n") >= least_count(words, "n", most_words)).select("key", "n").toArrow()  # at most most_words rows
     order = np.argsort(top.column("key").to_numpy().view(U))
     all_told = kinds <= most_words
     model = spark.sparkContext.broadcast((trie, Table.of(top.column("key").to_numpy().view(U)[order]), top.column("n").to_numpy()[order].astype(float)))
@@ -356,8 +358,8 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
             cuts = np.searchsorted(rest, w.first).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(w.counts + 1), pa.array(V.per_doc_sum(known, w.first) + (n_texts > 0)), pa.array(V.per_doc_sum(base, w.first) + end), pa.array(total * LOG10_2), pa.ListArray.from_arrays(pa.array(cuts), pa.array(w.hash[rest].view(np.int64))), *far], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest", "grams", "times"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = cut(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rest array<long>, grams array<long>, times array<long>"), "ppm-scores")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out = cut(rows.mapInArrow(run, f"row long, doc_id {id_type(docs, id_col)}, n_tokens long, n_known long, base double, score double, rest array<long>, grams array<long>, times array<long>"), "ppm-scores")
     scored = out
     if not all_told:
         # only words that are not among the frequent ones come here, so none can be hot

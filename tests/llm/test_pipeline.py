@@ -21,20 +21,20 @@ def plain(spark, limit):
     kept = {}
     for d, r in rows.items():
         t = toxicity.tokens(pa.record_batch({"text": [r.text]}), "text")
-        e, _ = model.evidence(model.segments(t)[0], int(t.words.counts[0]))
+        e = model.evidence(model.segments(t)[0][0], int(t.words.counts[0]))
         if model.score(np.array([e]))[0] < 0.7:
             kept[d] = r
     cls = classes_by_hand([(d, r.text) for d, r in kept.items()], 5, 80, 100)
     kept = {d: r for d, r in kept.items() if cls[d][1] == d}
-    ix = decontam.build([(r.item_id, r.text, None) for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()])
+    ix = decontam.build([decontam.Item.of(r.item_id, r.text, None) for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()])
     for d in list(kept):
         buf, offs = V.buffer(pa.array([kept[d].text]))
         w = V.words(decontam._PUNCT[buf], offs)
         for _, a, z in zip(*decontam.passages(w.first), strict=True):
-            here, score = decontam.word_pairs(w.hash[a:z]), np.zeros(len(ix.aside))
+            here, score = decontam.word_pairs(w.hash[a:z]), np.zeros(ix.pieces)
             for t in np.flatnonzero(np.isin(ix.terms, w.hash[a:z])):
                 score[ix.piece[ix.first[t] : ix.first[t + 1]]] += ix.impact[ix.first[t] : ix.first[t + 1]]
-            if any(all(np.isin(x, here).mean() >= decontam.OVERLAP - 1e-9 for x in ix.pairs[p]) for p in np.flatnonzero(score >= decontam.THRESHOLD - 1e-9)):
+            if any(all(np.isin(x, here).mean() >= decontam.OVERLAP - 1e-9 for x in ix.pairs[ix.item[p]]) for p in np.flatnonzero(score >= decontam.THRESHOLD - 1e-9)):
                 kept.pop(d, None)
     size = {d: len(WORD.findall(r.text or "")) for d, r in kept.items()}
     h = {d: int(hashlib.md5(f"{d}\x01{r.text or ''}".encode()).hexdigest()[:15], 16) for d, r in kept.items()}
