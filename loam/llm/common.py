@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +22,7 @@ BROADCAST_ROWS = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 _made: list[tuple[SparkSession, str]] = []
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  A temporary one only where that is unset and all
+    tasks run on the driver's machine; on a cluster the setting is a must."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loam-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="loam-shared-")
+        atexit.register(shutil.rmtree, _own[app], True)
+    return "file://" + _own[app]
 
 
 #: Rows of an Arrow batch of texts.

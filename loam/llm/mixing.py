@@ -8,8 +8,8 @@ next bits of the hash, and so on until a bucket holds one hash.  Nothing is sort
 
 Defined results.  Null text: size 0.  A row of size 0 costs nothing and is taken once.  A null source is a source of its own, last in order.  Null or repeated
 ids: rows that agree in id and text share a hash and are taken or left together.  The last such row is taken
-if that brings the source nearer to its target.  Empty input: empty output.  Other columns pass through,
-except that columns named as the results are replaced.
+if that brings the source nearer to its target.  Empty input: empty output.  Very long texts are counted whole.  Other
+columns pass through, whatever their names, except that columns named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -103,9 +103,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     per = cut(plan(slim.select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__h").alias("h")), weights, share, most_times), "mix-plan")
     per = per.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("times").alias("__times"), F.col("below").alias("__below"))
     if keep:
-        rows = docs.drop(*new).withColumns({"__size": n_words(F.col(text_col)), "__h": row_hash(id_col, text_col)})
-        on = F.col(source_col).eqNullSafe(F.col("__s"))
-        cols = [c for c in docs.columns if c not in new]
+        old = [c for c in docs.columns if c not in new]
+        # the input's columns travel in one, so their names can't clash with those made here
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in old]).alias("__row"), F.col(source_col).alias("__source"), size, h)
+        on = F.col("__source").eqNullSafe(F.col("__s"))
+        cols = [F.col("__row").getField(c).alias(c) for c in old]
     else:
         rows, on, cols = slim.withColumnsRenamed({"__id": id_col, "__source": source_col}), F.col(source_col).eqNullSafe(F.col("__s")), [id_col, source_col]
     n = per.count()
@@ -118,5 +120,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row as often as it is taken, with the columns of docs."""
     out = mix(docs, **options)
-    again = out.where("times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("__time"))
-    return again.select(*docs.columns)
+    # by place, as out's columns may bear any names
+    each = F.explode(F.array_repeat(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col("times").cast("int"))).alias("__row")
+    return out.where("times > 0").select(each).select("__row.*")

@@ -11,7 +11,8 @@ exceed the limit they are numbered - within each input partition, then offset by
 filled one after the other into shards of their own, ``<prefix>+<n>``.
 
 Defined results.  Null text: 0 bytes.  A row above the limit makes a shard of its own, with oversized true.
-Null and repeated ids are hashed as they are.  Empty input: empty output.  Columns named as the results are replaced.
+Null and repeated ids are hashed as they are.  Very long texts are measured whole.  Empty input: empty output.  Other columns
+pass through, whatever their names.  Columns named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     rounds, same = _directory(slim, limit)
     if keep:
         old = [c for c in docs.columns if c not in NEW]
-        rows = docs.select(F.struct(*old).alias("__row"), row_hash(id_col, text_col).alias("h"), n_bytes(text_col).alias("n_bytes"))
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in old]).alias("__row"), row_hash(id_col, text_col).alias("h"), n_bytes(text_col).alias("n_bytes"))
         cols = [F.col(f"__row.`{c}`").alias(c) for c in old]
     else:
         rows, cols = slim, [F.col("__id").alias(id_col)]

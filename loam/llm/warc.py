@@ -7,10 +7,12 @@ The dictionary is built from archived records: of a bounded sample (``SAMPLE_BYT
 Of records with equal payloads (SHA-1) of at least ``min_bytes``, the one with the least page_id is a response and the
 others revisit it.
 
-Files are written by tasks under a temporary name and renamed; a repeated task overwrites its own file with equal bytes.
+A task's files bear its attempt's number and are never renamed or overwritten.  What write() returns lists the files of the
+attempts that were committed; only those are read, and what lost or repeated attempts have left behind is deleted.
 
 Defined results.  Null html: empty payload.  Null url: ``urn:page:<id>``.  Null page_id: after all others; rows that
-share the least id of a payload are all responses.  Repeated rows: a record each.  Empty input: no file, no rows.
+share the least id of a payload are all responses.  Repeated rows: a record each, with an identifier of its own.  Very long
+pages are written whole.  Columns other than page_id, url and html are not looked at.  Empty input: no file, no rows.
 """
 
 from __future__ import annotations
@@ -52,12 +54,13 @@ def _line(x: str) -> str:
     return x.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, original: tuple[int, str | None] | None, date: str = DATE) -> bytes:
-    """A response record, or a revisit of the page ``original`` (id, url), whose block is the HTTP header alone."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, original: tuple[int, str | None] | None, date: str = DATE, place: str = "") -> bytes:
+    """A response record, or a revisit of the page ``original`` (id, url), whose block is the HTTP header alone.  place:
+    what tells the record from all others of an archive."""
     uri = _line(url) if url is not None else f"urn:page:{page_id}"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if original else http + payload
-    rid = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}\x01{uri}\x01{digest}")
+    rid = uuid.uuid5(uuid.NAMESPACE_URL, f"{place}\x01{page_id}\x01{uri}\x01{digest}")
     fields = [("WARC-Type", "revisit" if original else "response"), ("WARC-Record-ID", f"<urn:uuid:{rid}>"), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}")]
     if page_id is not None:
         fields.append(("X-Page-Id", str(page_id)))
@@ -157,6 +160,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, sample_bytes: int = S
     """Archives pages (page_id, url, html) under path; returns (file, records, bytes) of what was written."""
     spark = pages.sparkSession
     small_batches(spark)
+    mark = uuid.uuid4().hex[:12]  # of this call's files
     trained = spark.sparkContext.broadcast(dictionary(_sample(pages, sample_bytes), dict_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,15 +173,16 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, sample_bytes: int = S
         used = 0
 
         def records() -> Iterator[bytes]:
+            nth = 0
             for b in V.slices(batches, "payload"):
                 for page, url, payload, revisit, first, first_url in zip(*[b.column(c).to_pylist() for c in ("page_id", "url", "payload", "revisit", "first_id", "first_url")], strict=True):
-                    yield record(page, url, payload, base32_sha1(payload), (first, first_url) if revisit else None)
+                    nth += 1
+                    yield record(page, url, payload, base32_sha1(payload), (first, first_url) if revisit else None, place=f"{task}-{attempt}-{nth}")
 
         feed = records()
         ahead = next(feed, None)
         while ahead is not None:
-            name = f"part-{task:06d}-{len(done):04d}.warc.zst"
-            hidden = f"{base}/.{name}.{attempt}"
+            name = f"part-{mark}-{task:06d}-{attempt}-{len(done):04d}.warc.zst"
             used = 0
 
             def some(info=record_info(name)) -> Iterator[bytes]:
@@ -188,15 +193,28 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, sample_bytes: int = S
                     now, ahead = ahead, next(feed, None)
                     yield now
 
-            with store.open_output_stream(hidden, compression=None) as out:
+            with store.open_output_stream(f"{base}/{name}", compression=None) as out:
                 n, size = write_file(out, some(), trained.value, level)
-            store.move(hidden, f"{base}/{name}")
             done.append((f"{path}/{name}", n - 1, size))
         if done:
             f, n, s = zip(*done, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n, pa.int64()), pa.array(s, pa.int64())], ["file", "records", "bytes"])
 
-    return cut(_decided(pages, min_bytes).mapInArrow(run, "file string, records long, bytes long"), "warc-files")
+    files = cut(_decided(pages, min_bytes).mapInArrow(run, "file string, records long, bytes long"), "warc-files")
+    _tidy(files, path, mark)
+    return files
+
+
+def _tidy(files: DataFrame, path: str, mark: str) -> None:
+    """Deletes archives of this call that are not in its manifest: what attempts that were not committed have written."""
+    spark = files.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(p):
+        good = {r.file.rpartition("/")[2] for r in files.select("file").toLocalIterator()}
+        for f in store.listStatus(p):
+            if f.getPath().getName().startswith(f"part-{mark}-") and f.getPath().getName() not in good:
+                store.delete(f.getPath(), False)
 
 
 def record_info(name: str) -> bytes:

@@ -53,6 +53,12 @@ def test_mix_is_nested_and_repeats(spark):
     assert large == {x.doc_id: x.times for x in mixing.mix(rows.repartition(7), share=0.8).collect()}
 
 
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(i, "a b", "s", 70 + i, "h", 1.5) for i in range(5)], "doc_id long, text string, source string, __size int, __row string, __time double")
+    for out in (mixing.mix(df), mixing.mixed_rows(df), sharding.shard(df)):
+        assert {x["__size"] for x in out.collect()} == {70, 71, 72, 73, 74} and {(x["__row"], x["__time"]) for x in out.collect()} == {("h", 1.5)}
+
+
 def test_mix_edges(edge, empty):
     out = mixing.mix(edge)
     assert out.count() == edge.count() and set(edge.columns) <= set(out.columns)

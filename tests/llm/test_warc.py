@@ -47,6 +47,20 @@ def test_every_record_reads_by_its_frame(spark, tmp_path):
     assert f.bytes < sum(len(zstandard.compress(warc.record(i, f"http://h/{i}", b"<html>" + b"same words " * 40, "", None))) for i in range(300))
 
 
+def test_what_lost_attempts_leave_is_deleted(spark, tmp_path):
+    pages = spark.createDataFrame(rows((1, "u", "a"), (1, "u", "a")), KIND)
+    first = warc.write(pages, f"file://{tmp_path}/d")
+    second = warc.write(pages, f"file://{tmp_path}/d")
+    names = {x.file for x in first.union(second).collect()}
+    assert {f"file://{p}" for p in (tmp_path / "d").glob("*.zst")} == names
+    mark = first.first().file.rpartition("/")[2].split("-")[1]
+    (tmp_path / "d" / f"part-{mark}-000000-999-0000.warc.zst").write_bytes(b"half")
+    warc._tidy(first, f"file://{tmp_path}/d", mark)
+    assert {f"file://{p}" for p in (tmp_path / "d").glob("*.zst")} == names
+    ids = [warc.parse(raw)[0]["WARC-Record-ID"] for f in names for raw in warc.read_file(open(f.removeprefix("file://"), "rb"))]
+    assert len(set(ids)) == len(ids)
+
+
 def test_broken_files_are_noticed(tmp_path):
     out = io.BytesIO()
     warc.write_file(out, iter([warc.record(1, "u", b"abc", warc.base32_sha1(b"abc"), None)]), b"x" * 64)
