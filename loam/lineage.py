@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as written to spark.checkpoint.dir, which all executors share; a temporary folder where that is unset, as in tests."""
+    """df as written to spark.checkpoint.dir, which all executors share; a temporary folder only where that is unset and all
+    tasks run on the driver's machine, as in tests."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loam-checkpoint-"))
     return df.checkpoint()
