@@ -42,7 +42,8 @@ from loam.llm.common import cut, id_type, least_count, small_batches
 
 ORDER = 5
 LOW = 2
-HELD_NODES = 1 << 20
+#: Successors that a task holds: some 60 bytes each.
+HELD_NODES = 1 << 21
 MOST_WORDS = 1 << 19
 END = 10
 U = np.uint64
