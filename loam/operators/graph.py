@@ -88,17 +88,23 @@ def navigate(start, goal, edges: dict, vectors: dict, degree: dict, pheromone: d
     return found["path"] if found else greedy_walk(start, goal, edges, vectors, pheromone, max_steps)
 
 
-def astar_batch(queries: DataFrame, kg: DataFrame, vectors: DataFrame, hops: int = 4, most: int = 1000) -> DataFrame:
-    """queries (qid, start, goal) -> (qid, found, path, cost): each query searches the part of the graph within ``hops`` of
-    its start, gathered by joins, in a task of its own."""
+def astar_batch(queries: DataFrame, kg: DataFrame, vectors: DataFrame, hops: int | None = None, most: int = 1000) -> DataFrame:
+    """queries (qid, start, goal) -> (qid, found, path, cost): each query searches the part of the graph that its start reaches,
+    gathered by joins until no new node appears, in a task of its own.  hops: for a smaller part on purpose.  A search of
+    ``most`` steps gets no farther than as many edges."""
     # of parallel edges only the cheapest can be on a path: the rest of an edge's cost depends on its end alone
     part = 0.3 * (1 - D.pheromone_factor(F.col("success"), F.col("recency"), F.col("traversal"))) + 0.3 * D.structural_cost(F.col("relation"))
     best = F.min_by(F.struct("relation", "success", "traversal", "recency"), F.struct(part, "relation")).alias("e")
     e = kg.groupBy("from_id", "to_id").agg(best).select("from_id", "to_id", "e.*")
-    near = queries.select("qid", F.col("start").alias("node"))
-    for _ in range(hops):
-        out = near.join(e.select(F.col("from_id").alias("node"), "to_id").distinct(), "node").select("qid", F.col("to_id").alias("node"))
-        near = near.unionByName(out).distinct()
+    e = cut(e)
+    near = front = cut(queries.select("qid", F.col("start").alias("node")).distinct())
+    step = e.select(F.col("from_id").alias("node"), "to_id").distinct()
+    for _ in range(most if hops is None else hops):
+        out = front.join(step, "node").select("qid", F.col("to_id").alias("node")).distinct()
+        front = cut(out.join(near, ["qid", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        near = cut(near.unionByName(front))
     deg = kg.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     part = near.join(e.withColumnRenamed("from_id", "node"), "node", "left")
     nodes = near.unionByName(queries.select("qid", F.col("goal").alias("node"))).distinct().join(vectors.select(F.col("id").alias("node"), "embedding"), "node").join(deg, "node", "left")
@@ -120,20 +126,24 @@ def astar_batch(queries: DataFrame, kg: DataFrame, vectors: DataFrame, hops: int
     return rows.groupBy("qid").applyInPandas(search, "qid long, found boolean, path array<long>, cost double")
 
 
-def cheapest(spark: SparkSession, costs: DataFrame, start, most: int = 20) -> DataFrame:
+def cheapest(spark: SparkSession, costs: DataFrame, start, most: int | None = None) -> DataFrame:
     """(node, cost): least sum of cost over (from_id, to_id, cost) from start, by label-correcting joins.
 
-    Each round relaxes only edges of nodes that became cheaper, and ends when none did.
+    Each round relaxes only edges of nodes that became cheaper, and ends when none did.  A search that isn't finished after
+    ``most`` rounds is an error; without it rounds go on as long as costs fall, which ends unless a circle has a negative sum.
     """
     edges = cut(costs.select(F.col("from_id").alias("f"), F.col("to_id").alias("t"), F.col("cost").alias("w")))
     best = spark.createDataFrame([(start, 0.0)], "node long, cost double")
     front = best
-    for _ in range(most):
+    rounds = 0
+    while True:
         step = front.join(edges, F.col("node") == F.col("f")).groupBy(F.col("t").alias("n")).agg(F.min(F.col("cost") + F.col("w")).alias("new"))
         j = step.join(best, F.col("n") == F.col("node"), "left")
         front = cut(j.where(F.col("cost").isNull() | (F.col("new") < F.col("cost") - 1e-12)).select(F.col("n").alias("node"), F.col("new").alias("cost")))
         if front.isEmpty():
-            break
+            return best
+        rounds += 1
+        if most is not None and rounds > most:
+            raise RuntimeError(f"costs still fall after {most} rounds")
         gone = front.select(F.col("node").alias("g"))
         best = cut(best.join(gone, F.col("node") == F.col("g"), "left_anti").unionByName(front))
-    return best

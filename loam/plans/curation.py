@@ -120,10 +120,10 @@ def word_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH w AS (SELECT doc_id, {WORDS_SQL.format('lower(text)')} AS w FROM documents), g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM w)
-SELECT g AS gram, count(*) AS n FROM g GROUP BY g HAVING count(*) >= 20""")
+SELECT g AS gram, count(*) AS n FROM g GROUP BY g""")
 def ngrams(spark: SparkSession, d: str) -> DataFrame:
     g = t(spark, d, "documents").select(F.explode(T.uni_bigrams(F.col("text"))).alias("gram"))
-    return g.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 20")
+    return g.groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, {WORDS_SQL.format('text')} AS w FROM documents) SELECT doc_id, greatest(len(w) - 1, 0)::INT AS n_pairs, len(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))::INT AS n_distinct FROM w""")

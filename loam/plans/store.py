@@ -192,15 +192,15 @@ def astar_paths(spark: SparkSession, d: str) -> DataFrame:
     g = kg(spark, d)
     v = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     q = spark.range(0, 40).select(F.col("id").alias("qid"), (F.col("id") * 37 % 100).alias("start"), (F.col("id") * 91 % 99).alias("goal"))
-    out = graph.astar_batch(q, g, v, hops=3)
+    out = graph.astar_batch(q, g, v)
     return out.select("qid", "found", F.size("path").alias("length"), r6(F.col("cost"), "cost"))
 
 
 @query(f"""WITH RECURSIVE {KG_SQL}, e AS (SELECT from_id, to_id, min(0.1 + confidence) AS c FROM g GROUP BY ALL),
-r AS (SELECT 0::BIGINT AS node, 0::DOUBLE AS cost, 0 AS hop UNION ALL SELECT e.to_id, min(r.cost + e.c), any_value(hop) + 1 FROM r JOIN e ON e.from_id = r.node WHERE hop < 6 GROUP BY e.to_id) SELECT node, round(min(cost), 6) AS cost FROM r GROUP BY node""", name="cheapest_paths")
+r AS (SELECT 0::BIGINT AS node, 0::DOUBLE AS cost, 0 AS hop UNION ALL SELECT e.to_id, min(r.cost + e.c), any_value(hop) + 1 FROM r JOIN e ON e.from_id = r.node WHERE hop < 12 GROUP BY e.to_id) SELECT node, round(min(cost), 6) AS cost FROM r GROUP BY node""", name="cheapest_paths")
 def cheapest_paths(spark: SparkSession, d: str) -> DataFrame:
     c = kg(spark, d).groupBy("from_id", "to_id").agg(F.min(0.1 + F.col("confidence")).alias("cost"))
-    return graph.cheapest(spark, c, 0, 6).withColumn("cost", F.round("cost", 6))
+    return graph.cheapest(spark, c, 0).withColumn("cost", F.round("cost", 6))
 
 
 # ---------------------------------------------------------------- statistics

@@ -182,3 +182,17 @@ def test_streams_equal_batch(spark, tmp_path):
     assert {(x.user_id, x.state, x.total) for x in got.collect()} == {(x.user_id, x.state, x.total) for x in batch.collect()}
     w = streams.to_table(streams.windowed(s, late="60 days"), "win", "complete", str(tmp_path / "c2"))
     assert w.agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_paths_of_any_length_are_found(spark):
+    n = 9
+    edge = "from_id long, to_id long, relation string, success double, traversal double, recency double"
+    kg = spark.createDataFrame([(i, i + 1, "supports", 1.0, 1.0, 1.0) for i in range(n)] + [(50, 51, "supports", 1.0, 1.0, 1.0)], edge)
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in [*range(n + 1), 50, 51]], "id long, embedding array<float>")
+    q = spark.createDataFrame([(1, 0, n), (2, 0, 51)], "qid long, start long, goal long")
+    got = {x.qid: x for x in graph.astar_batch(q, kg, vectors).collect()}
+    assert got[1].found and got[1].path == list(range(n + 1)) and not got[2].found
+    costs = kg.selectExpr("from_id", "to_id", "1D as cost")
+    assert {x.node: x.cost for x in graph.cheapest(spark, costs, 0).collect()} == {i: float(i) for i in range(n + 1)}
+    with pytest.raises(RuntimeError):
+        graph.cheapest(spark, costs, 0, most=3)
