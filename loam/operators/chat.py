@@ -53,3 +53,32 @@ def next_token_pairs(rows: DataFrame, id_col: str, text_col: str, vocab: int = 2
     r = rows.where(F.octet_length(text_col) >= 2).select(F.col(id_col).alias("id"), b.alias("b"))
     pairs = F.zip_with(F.slice("b", F.lit(1), F.size("b") - 1), F.slice("b", F.lit(2), F.size("b") - 1), lambda x, y: F.struct(x.alias("input"), y.alias("target")))
     return r.select("id", F.posexplode(pairs).alias("pos", "p")).select("id", "pos", "p.input", "p.target")
+
+
+def response_id(prefix: str, ts: Column) -> Column:
+    """prefix-, whole seconds, and six digits of microseconds of a time."""
+    us = F.unix_micros(ts.cast("timestamp"))
+    return F.concat(F.lit(prefix + "-"), F.unix_seconds(ts.cast("timestamp")).cast("string"), F.lpad((us % 1_000_000).cast("string"), 6, "0"))
+
+
+def visible_tokens(tokens: DataFrame, key: str = "conv_id", budget: int = 100) -> DataFrame:
+    """tokens (key, pos, text) -> the rows a client sees: what lies between <think> and </think> is held back, tags that
+    tokens cut included, but no more than ``budget`` tokens of a block; tokens go in order within a key.
+
+    A token in which a block opens or closes is held back whole, as is the one with which the budget ends.
+    """
+    e = tokens.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("e"))
+    start = F.struct(F.lit("").alias("tail"), F.lit(False).alias("inside"), F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        seen = F.concat(s["tail"], x["text"])
+        after = F.when(s["inside"], seen).otherwise(F.substring(seen, F.instr(seen, "<think>") + 7, F.length(seen)))
+        opens = ~s["inside"] & F.contains(seen, F.lit("<think>"))
+        closes = (s["inside"] | opens) & F.contains(after, F.lit("</think>"))
+        n = F.when(s["inside"], s["n"] + 1).otherwise(0)
+        inside = (s["inside"] | opens) & ~closes & (n <= budget)
+        tail = F.when(opens & ~closes, F.right(after, F.lit(7))).when(closes | (s["inside"] & ~inside), F.lit("")).otherwise(F.right(seen, F.lit(7)))
+        return F.struct(tail.alias("tail"), inside.alias("inside"), n.cast("int").alias("n"), F.array_append(s["out"], ~s["inside"] & ~opens).alias("out"))
+
+    z = e.withColumn("shown", F.aggregate("e", start, step)["out"])
+    return z.select(key, F.explode(F.arrays_zip("e", "shown")).alias("z")).where("z.shown").select(key, "z.e.pos", "z.e.text")

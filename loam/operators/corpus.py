@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loam.functions import text as T
 from loam.functions.dynamics import clamp
 from loam.lineage import cut
-from loam.operators import gates, novelty
+from loam.operators import gates, novelty, provenance
 
 
 def admit(rows: DataFrame, min_novelty: float = gates.MIN_NOVELTY, max_share: float = gates.MAX_SOURCE_SHARE) -> DataFrame:
@@ -57,6 +57,37 @@ def admit(rows: DataFrame, min_novelty: float = gates.MIN_NOVELTY, max_share: fl
     return out.withColumn("tier", F.when(F.col("accepted"), gates.tier(F.col("quality")))).withColumn("pheromone", F.col("quality"))
 
 
+def ingest(rows: DataFrame, **options) -> DataFrame:
+    """One row (accepted, rejected) of admit()."""
+    return admit(rows, **options).agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
+
+
+#: Observations of a discovery that its chain names, and bytes of each.
+CHAIN_OBSERVATIONS, CHAIN_BYTES = 3, 100
+
+
+def safe_admit(rows: DataFrame, observations: DataFrame, secret: int, blocked: list[str] = gates.BLOCKED, **options) -> tuple[DataFrame, DataFrame]:
+    """Safety filter, then ordered admission of what it passes, then a provenance chain for each accepted row.
+
+    rows (seq, cycle, source, title, confidence, quality_score), observations (seq, pos, source, content) -> rows with
+    reasons, safe and admit()'s columns, and the chains' links.  A row that the filter stops is not accepted and takes no
+    part in later rows' novelty or share.  Links: the first observations in order, at most 100 bytes of each and no cut
+    character, then the discovery itself.
+    """
+    n = observations.groupBy("seq").agg(F.count("*").alias("observations"))
+    counted = rows.join(n, "seq", "left").withColumn("observations", F.coalesce("observations", F.lit(0)))
+    told = gates.safety_filter(counted, blocked=blocked)
+    got = admit(told.where("safe").drop("reasons", "safe"), **options)
+    state = told.join(got.select("seq", "accepted", "novelty", "quality", "tier", "pheromone"), "seq", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    state = cut(state)
+    first = W.partitionBy("seq").orderBy("pos")
+    o = observations.join(state.where("accepted").select("seq"), "seq", "left_semi").withColumn("pos", F.row_number().over(first) - 1).where(F.col("pos") < CHAIN_OBSERVATIONS)
+    head = F.coalesce(F.get(T.chunks(F.substring("content", 1, CHAIN_BYTES), CHAIN_BYTES), F.lit(0)), F.lit(""))
+    seen = o.select(F.col("seq").alias("discovery_id"), "pos", F.concat(F.lit("Observation from "), "source", F.lit(": "), head).alias("claim"), F.lit("observation").alias("type"))
+    own = state.where("accepted").select(F.col("seq").alias("discovery_id"), F.least("observations", F.lit(CHAIN_OBSERVATIONS)).cast("int").alias("pos"), F.concat(F.lit("Discovery: "), "title", F.lit(" | quality="), F.format_string("%.2f", "quality_score")).alias("claim"), F.lit("discovery").alias("type"))
+    return state, provenance.build_chain(seen.unionByName(own), secret)
+
+
 def stats(corpus: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return corpus.agg(
@@ -145,6 +176,26 @@ class Lcg:
         return self.next() / (2**64 - 1)
 
 
+class Xorshift:
+    """64-bit xorshift generator; a zero seed is replaced."""
+
+    # The seed in place of zero, and the three shifts.
+    SEED, SHIFTS = 0xDEADBEEFCAFEBABE, (13, 7, 17)
+
+    def __init__(self, seed: int = 0):
+        self.x = seed & (2**64 - 1) or self.SEED
+
+    def next(self) -> int:
+        a, b, c = self.SHIFTS
+        self.x ^= self.x << a & (2**64 - 1)
+        self.x ^= self.x >> b
+        self.x ^= self.x << c & (2**64 - 1)
+        return self.x
+
+    def unit(self) -> float:
+        return (self.next() >> 11) / 2**53
+
+
 def weighted_pick(weights: list[float], k: int, rng: Lcg | None = None) -> list[int]:
     """Sequential weighted sampling without replacement by a running sum; for small lists on the driver."""
     rng = rng or Lcg()

@@ -74,13 +74,35 @@ def engine_stats(discoveries: DataFrame) -> DataFrame:
     return discoveries.agg(F.coalesce(F.max("cycle"), F.lit(0)).alias("cycles"), F.count("*").alias("total"), F.coalesce(F.avg("quality"), F.lit(0.0)).alias("mean_quality"))
 
 
-def branching(history: DataFrame, key: str = "key", step: str = "step", loss: str = "loss", window: int = 5, eps: float = 0.01, spread: float = 0.05) -> DataFrame:
-    """Adds branch: the last changes are flat though the losses so far vary by at least ``spread``."""
-    from loam.operators.corpus import plateau
+def branching(cycles: DataFrame, key: str = "key", step: str = "step", ratio: str = "ratio", losses: str = "losses", window: int = 5, eps: float = 0.01, spread: float = 0.05, delta: float = 0.1, reset: bool = False) -> DataFrame:
+    """cycles (key, step, ratio, losses array) -> (key, step, plateaued, variance, branch, ratio_a, ratio_b).
 
-    p = plateau(history, key, step, loss, window, eps)
-    var = F.var_pop(loss).over(W.partitionBy(key).orderBy(step))
-    return p.withColumn("branch", F.coalesce(F.col("plateau"), F.lit(False)) & (F.coalesce(var, F.lit(0.0)) >= spread))
+    A cycle branches if the last ``window`` changes of the exploration ratio are below eps while its own losses vary by
+    spread or more; the branches explore delta less and more, within .05 and .95.  With ``reset`` a branch clears the
+    history before the next cycle: then a key's cycles are folded in order.
+    """
+    n = F.greatest(F.size(losses), F.lit(1))
+    mean = F.aggregate(losses, F.lit(0.0), lambda s, x: s + x) / n
+    var = F.when(F.size(losses) < 2, 0.0).otherwise(F.aggregate(losses, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
+    r = cycles.select(key, step, F.col(ratio).cast("double").alias("ratio"), F.coalesce(var, F.lit(0.0)).alias("variance"))
+    if reset:
+        e = r.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(step, "ratio", "variance"))).alias("e"))
+        start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).alias("flat"), F.array().cast("array<boolean>").alias("out"))
+
+        def fold(s: Column, x: Column) -> Column:
+            flat = F.when(s["last"].isNull() | (F.abs(x["ratio"] - s["last"]) >= eps), 0).otherwise(s["flat"] + 1)
+            go = (flat >= window) & (x["variance"] >= spread)
+            return F.struct(F.when(~go, x["ratio"]).alias("last"), F.when(go, 0).otherwise(flat).cast("int").alias("flat"), F.array_append(s["out"], flat >= window).alias("out"))
+
+        z = e.withColumn("p", F.aggregate("e", start, fold)["out"])
+        r = z.select(key, F.explode(F.arrays_zip("e", "p")).alias("z")).select(key, f"z.e.{step}", "z.e.ratio", "z.e.variance", F.col("z.p").alias("plateaued"))
+    else:
+        w = W.partitionBy(key).orderBy(step)
+        last = w.rowsBetween(-(window - 1), 0)
+        r = r.withColumn("__d", F.abs(F.col("ratio") - F.lag("ratio").over(w)))
+        r = r.withColumn("plateaued", F.coalesce((F.count("__d").over(last) == window) & (F.max("__d").over(last) < eps), F.lit(False)))
+    side = lambda x: clamp(F.col("ratio") + x, 0.05, 0.95)
+    return r.select(key, step, "plateaued", "variance", (F.col("plateaued") & (F.col("variance") >= spread)).alias("branch"), side(-delta).alias("ratio_a"), side(delta).alias("ratio_b"))
 
 
 def agent_beliefs(observations: DataFrame, mean0: float = 0.5, precision0: float = 1.0) -> DataFrame:

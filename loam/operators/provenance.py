@@ -46,6 +46,46 @@ def hmac_sha256(key: Column | str, message: Column | str) -> Column:
     return run(key, message)
 
 
+def mac(key: bytes, message: Column) -> Column:
+    """HMAC-SHA-256 of a binary column under one key, as hex digits: two SHA-256 in the JVM, the pads are constants."""
+    k = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ p for b in k)) for p in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
+
+
+def mac_claim(statement: Column, witness: Column, key: bytes) -> Column:
+    """struct(statement, witness_hash, proof, key_hash): the proof binds the statement to the witness's hash."""
+    w = F.sha2(witness.cast("binary"), 256)
+    return F.struct(statement.alias("statement"), w.alias("witness_hash"), mac(key, F.concat(statement.cast("binary"), F.unhex(w))).alias("proof"), F.lit(hashlib.sha256(key).hexdigest()).alias("key_hash"))
+
+
+def mac_verify(claim: Column, key: bytes) -> Column:
+    same = claim["key_hash"] == hashlib.sha256(key).hexdigest()
+    return same & (claim["proof"] == mac(key, F.concat(claim["statement"].cast("binary"), F.unhex(claim["witness_hash"]))))
+
+
+# Offset and prime of the 64-bit FNV-1a hash.
+FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+
+
+def fnv1a(text: Column | str) -> Column:
+    """FNV-1a of the UTF-8 bytes as 16 hex digits."""
+
+    @F.pandas_udf("string")
+    def run(t: pd.Series) -> pd.Series:
+        def one(x: str | None) -> str | None:
+            if x is None:
+                return None
+            h = FNV_OFFSET
+            for b in x.encode():
+                h = (h ^ b) * FNV_PRIME & MASK
+            return f"{h:016x}"
+
+        return t.map(one)
+
+    return run(text)
+
+
 def discovery_id(source: Column, title: Column) -> Column:
     return F.concat(F.lit("disc:"), F.regexp_replace(source, r"\.", "_"), F.lit(":"), title_hash(title))
 

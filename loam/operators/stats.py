@@ -185,12 +185,7 @@ def belief_fold(observations: DataFrame, key: str) -> DataFrame:
     e = observations.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "lr", "strength"))).alias("e"))
     start = F.struct(F.lit(1.0).alias("a"), F.lit(1.0).alias("b"), F.lit(0).alias("n"))
 
-    def step(s: Column, x: Column) -> Column:
-        w = x["strength"] * F.greatest(F.log(1.0 + s["n"]), F.lit(1.0))
-        up = x["lr"] > 1
-        return F.struct((s["a"] + F.when(up, x["lr"] * w).otherwise(w)).alias("a"), (s["b"] + F.when(up, w).otherwise(w / x["lr"])).alias("b"), (s["n"] + 1).alias("n"))
-
-    r = e.withColumn("s", F.aggregate("e", start, step))
+    r = e.withColumn("s", F.aggregate("e", start, _belief_step))
     mean = F.col("s.a") / (F.col("s.a") + F.col("s.b"))
     return r.select(key, F.col("s.a").alias("alpha"), F.col("s.b").alias("beta"), (2 * F.abs(mean - 0.5)).alias("confidence"), F.col("s.n").alias("n_updates"))
 
@@ -199,3 +194,71 @@ def propagate(nodes: DataFrame, deps: DataFrame, observed: DataFrame) -> DataFra
     """One hop: observations to the children of observed nodes (node, mean, strength): likelihood ratio 1 + (mean - .5) w."""
     j = deps.join(observed, deps["parent"] == observed["node"]).select("child", (1 + (F.col("mean") - 0.5) * F.col("weight")).alias("lr"), (F.col("strength") / 2).alias("strength"))
     return j.join(nodes.select(F.col("node").alias("child")), "child", "left_semi")
+
+
+def belief_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """nodes (node, alpha, beta, confidence, n_updates) with new (node, mean, weight) ones, which replace those of their name:
+    Beta(1, 1) where mean is null, else ten times the weight as pseudo-counts around the mean."""
+    m, w = F.col("mean"), F.col("weight") * 10
+    made = new.select("node", F.when(m.isNull(), 1.0).otherwise(m * w).alias("alpha"), F.when(m.isNull(), 1.0).otherwise((1 - m) * w).alias("beta"), F.when(m.isNull(), 0.0).otherwise(2 * F.abs(m - 0.5)).alias("confidence"), F.lit(0).alias("n_updates"))
+    return nodes.join(made.select("node"), "node", "left_anti").select(made.columns).unionByName(made)
+
+
+def dependencies(deps: DataFrame, new: DataFrame) -> DataFrame:
+    """(child, parent, weight): new edges are appended, repeats kept."""
+    return deps.unionByName(new.select(deps.columns))
+
+
+def _belief_step(s: Column, x: Column) -> Column:
+    w = x["strength"] * F.greatest(F.log(1.0 + s["n"]), F.lit(1.0))
+    up = x["lr"] > 1
+    a, b = s["a"] + F.when(up, x["lr"] * w).otherwise(w), s["b"] + F.when(up, w).otherwise(w / x["lr"])
+    return F.struct(a.alias("a"), b.alias("b"), (s["n"] + 1).alias("n"))
+
+
+def observe(nodes: DataFrame, deps: DataFrame, observations: DataFrame) -> DataFrame:
+    """nodes after observations (node, seq, lr, strength), folded in order; each also moves the node's children, by
+    1 + (mean - .5) weight and half the strength, with the mean right after it.
+
+    One batch: an observed parent must not itself be the child of an observed node, or its mean would hang on the batch's
+    own order; such a batch raises, and is to be given in parts.  Observations of unknown nodes move their children from a
+    mean of a half.
+    """
+    seen = observations.select("node").distinct()
+    inner = deps.join(seen.withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node")).join(seen, "node", "left_semi")
+    if not inner.join(deps.select(F.col("parent").alias("node")), "node", "left_semi").isEmpty():
+        raise ValueError("an observed parent is the child of an observed node: give the observations in parts")
+    start = lambda: F.struct(F.col("alpha").cast("double").alias("a"), F.col("beta").cast("double").alias("b"), F.col("n_updates").cast("int").alias("n"))
+    e = observations.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("seq", "lr", "strength"))).alias("e"))
+    trail = F.struct(start().alias("s"), F.array().cast("array<struct<seq:bigint,mean:double,strength:double>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = _belief_step(acc["s"], x)
+        return F.struct(s.alias("s"), F.array_append(acc["out"], F.struct(x["seq"].cast("long").alias("seq"), (s["a"] / (s["a"] + s["b"])).alias("mean"), x["strength"].cast("double").alias("strength"))).alias("out"))
+
+    means = e.join(nodes, "node").select("node", F.explode(F.aggregate("e", trail, step)["out"]).alias("m")).select("node", "m.*")
+    lost = observations.join(nodes.select("node"), "node", "left_anti").select("node", F.col("seq").cast("long").alias("seq"), F.lit(0.5).alias("mean"), F.col("strength").cast("double").alias("strength"))
+    moved = deps.join(means.unionByName(lost), deps["parent"] == F.col("node")).select(F.col("child").alias("node"), "seq", F.lit(1).alias("turn"), (1 + (F.col("mean") - 0.5) * F.col("weight")).alias("lr"), (F.col("strength") / 2).alias("strength"))
+    every = observations.select("node", F.col("seq").cast("long").alias("seq"), F.lit(0).alias("turn"), F.col("lr").cast("double").alias("lr"), F.col("strength").cast("double").alias("strength")).unionByName(moved)
+    folded = every.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("seq", "turn", "lr", "strength"))).alias("e"))
+    r = nodes.join(folded, "node", "left").withColumn("s", F.aggregate(F.coalesce("e", F.array().cast("array<struct<seq:bigint,turn:int,lr:double,strength:double>>")), start(), _belief_step))
+    mean = F.col("s.a") / (F.col("s.a") + F.col("s.b"))
+    return r.select("node", F.col("s.a").alias("alpha"), F.col("s.b").alias("beta"), F.when(F.col("s.n") > F.col("n_updates"), 2 * F.abs(mean - 0.5)).otherwise(F.col("confidence")).alias("confidence"), F.col("s.n").alias("n_updates"))
+
+
+# ---------------------------------------------------------------- reading a causal graph
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """edges (from, to, type) -> (node, neighbour), once each, of either direction."""
+    a = edges.select(F.col("from").alias("node"), F.col("to").alias("neighbour"))
+    return a.unionByName(edges.select(F.col("to").alias("node"), F.col("from").alias("neighbour"))).where("node <> neighbour").distinct()
+
+
+def parents(edges: DataFrame) -> DataFrame:
+    """(node, parent) of directed edges."""
+    return edges.where("type = 'directed'").select(F.col("to").alias("node"), F.col("from").alias("parent"))
+
+
+def n_directed(edges: DataFrame) -> DataFrame:
+    return edges.agg(F.count_if(F.col("type") == "directed").alias("n_directed"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -120,56 +122,139 @@ def half_floats(raw: bytes, kind: str) -> np.ndarray:
     return u.view(np.float16).astype(np.float32) if kind == "F16" else (u.astype(np.uint32) << 16).view(np.float32)
 
 
+def tensor_file(tensors: dict[str, np.ndarray]) -> bytes:
+    """A safetensors file of float32 tensors: header length, JSON header, raw little-endian values."""
+    head, body = {}, b""
+    for name, x in tensors.items():
+        raw = np.ascontiguousarray(x, "<f4").tobytes()
+        head[name] = {"dtype": "F32", "shape": list(np.shape(x)), "data_offsets": [len(body), len(body) + len(raw)]}
+        body += raw
+    text = json.dumps(head).encode()
+    return struct.pack("<Q", len(text)) + text + body
+
+
+def _headers(data: bytes) -> tuple[int, dict]:
+    (n,) = struct.unpack_from("<Q", data)
+    return 8 + n, {k: t for k, t in json.loads(bytes(data[8 : 8 + n])).items() if k != "__metadata__"}
+
+
 def tensor_headers(files: DataFrame) -> DataFrame:
     """binaryFile rows (path, content) -> (path, name, dtype, shape, start, end) of the tensors in a safetensors file."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-        import struct
-
         for pdf in it:
-            rows = []
-            for path, data in zip(pdf.path, pdf.content, strict=True):
-                (n,) = struct.unpack_from("<Q", data)
-                for name, t in json.loads(bytes(data[8 : 8 + n])).items():
-                    if name != "__metadata__":
-                        rows.append((path, name, t["dtype"], t["shape"], t["data_offsets"][0], t["data_offsets"][1]))
+            rows = [(path, name, t["dtype"], t["shape"], *t["data_offsets"]) for path, data in zip(pdf.path, pdf.content, strict=True) for name, t in _headers(data)[1].items()]
             yield pd.DataFrame(rows, columns=["path", "name", "dtype", "shape", "start", "end"])
 
     return files.select("path", "content").mapInPandas(run, "path string, name string, dtype string, shape array<long>, start long, end long")
 
 
+def tensor_values(files: DataFrame) -> DataFrame:
+    """binaryFile rows -> (path, name, shape, values) as float32, a row per tensor; F32, F16 and BF16, others raise."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for path, data in zip(pdf.path, pdf.content, strict=True):
+                at, head = _headers(data)
+                for name, t in head.items():
+                    if t["dtype"] not in ("F32", "F16", "BF16"):
+                        raise ValueError(f"{name}: {t['dtype']} is not read")
+                    a, b = t["data_offsets"]
+                    raw = bytes(data[at + a : at + b])
+                    x = np.frombuffer(raw, "<f4") if t["dtype"] == "F32" else half_floats(raw, t["dtype"])
+                    yield pd.DataFrame({"path": [path], "name": [name], "shape": [t["shape"]], "values": [x]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, name string, shape array<long>, values array<float>")
+
+
 class Validator:
-    """Recursive validator: z <- tanh(Wz z + Wx x + Wy y) for ``depth`` rounds; verdict from y's last value."""
+    """Recursive validator of causal claims.
 
-    def __init__(self, dim: int = 16, depth: int = 6, seed: int = 42):
-        r = np.random.default_rng(seed)
-        self.wz, self.wx, self.wy = (r.normal(0, dim**-0.5, (dim, dim)) for _ in range(3))
-        self.head, self.depth, self.dim = r.normal(0, dim**-0.5, dim), depth, dim
+    A claim's text and the mean of its evidence feed z <- tanh(Wz z + Wx x + Wy y) for ``depth`` rounds; the head's score is
+    combined with the prior and scaled by the amount of evidence.  Evidence against goes through a second cell: above
+    ``against`` the verdict is a contradiction.  Weights are seeded, not trained.
+    """
 
-    def __call__(self, x: np.ndarray) -> tuple[str, float]:
-        z = y = np.zeros(self.dim)
+    def __init__(self, dim: int = 256, hidden: int = 256, depth: int = 6, passing: float = 0.65, against: float = 0.35, seed: int = 42):
+        r = np.random.default_rng(seed)
+        cell = lambda: (r.normal(0, hidden**-0.5, (hidden, hidden)), r.normal(0, dim**-0.5, (hidden, dim)), r.normal(0, dim**-0.5, (hidden, dim)))
+        self.cells, self.heads = (cell(), cell()), r.normal(0, hidden**-0.5, (2, hidden))
+        self.dim, self.depth, self.passing, self.against = dim, depth, passing, against
+
+    def encode(self, text: str) -> np.ndarray:
+        b = np.frombuffer(text.lower().encode(), np.uint8).astype(np.int64)
+        h = np.concatenate([b[:-1] * 31 + b[1:], b[:-2] * 961 + b[1:-1] * 31 + b[2:]]) if len(b) > 1 else b[:0]
+        v = np.bincount(h % self.dim, minlength=self.dim).astype(float)
+        return v / max(np.sqrt((v * v).sum()), 1e-8)
+
+    def pool(self, items: list[str]) -> np.ndarray:
+        return np.mean([self.encode(t) for t in items], 0) if len(items) else np.zeros(self.dim)
+
+    def score(self, which: int, x: np.ndarray, y: np.ndarray) -> float:
+        wz, wx, wy = self.cells[which]
+        u, z = wx @ x + wy @ y, np.zeros(len(wz))
         for _ in range(self.depth):
-            z = np.tanh(self.wz @ z + self.wx @ x + self.wy @ y)
-            y = np.tanh(z + y)
-        p = float(1 / (1 + np.exp(-self.head @ y)))
-        return ("pass" if p >= 0.55 else "fail" if p >= 0.45 else "contradiction"), p
+            z = np.tanh(wz @ z + u)
+        return float(1 / (1 + np.exp(-self.heads[which] @ z)))
+
+    def __call__(self, cause: str, effect: str, evidence: list[str] = (), contra: list[str] = (), prior: float = 0.5) -> tuple[str, float]:
+        x = self.encode(f"{cause} causes {effect}")
+        if len(contra) and (c := self.score(1, x, self.pool(contra))) > self.against:
+            return "contradiction", c
+        p, q = (min(max(v, 0.001), 0.999) for v in (prior, self.score(0, x, self.pool(evidence))))
+        n = len(evidence)
+        quality = min(1.0, 0.5 + 0.5 * min(np.log(n), 2.0) / 2) if n else 0.5
+        got = float(min(max(p * q / (p * q + (1 - p) * (1 - q)) * quality, 0.0), 1.0))
+        return ("pass" if got >= self.passing else "fail"), got
+
+    def chain(self, nodes: list[str], evidence: list[str] = ()) -> tuple[str, float]:
+        """Link by link, each with the confidence so far as its prior; the first link that does not pass ends it."""
+        sure = 1.0
+        for a, b in zip(nodes, nodes[1:], strict=False):
+            verdict, c = self(a, b, evidence, prior=sure)
+            if verdict != "pass":
+                return "fail", c
+            sure = float(np.sqrt(sure * c))
+        return "pass", sure
+
+
+def _strings(x) -> list[str]:
+    return [] if x is None else [t for t in x if t is not None]
+
+
+def validate(claims: DataFrame, id_col: str = "id", **options) -> DataFrame:
+    """claims (id, cause, effect[, evidence array, contra array, prior]) -> (id, verdict, confidence), in Arrow batches."""
+    have = claims.columns
+    none = F.array().cast("array<string>")
+    c = claims.select(F.col(id_col).cast("long").alias("id"), "cause", "effect", *[(F.col(k) if k in have else none).alias(k) for k in ("evidence", "contra")], (F.col("prior") if "prior" in have else F.lit(0.5)).cast("double").alias("prior"))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Validator(**options)
+        for pdf in it:
+            got = [model(a or "", b or "", _strings(e), _strings(k), 0.5 if p != p or p is None else p) for a, b, e, k, p in zip(pdf.cause, pdf.effect, pdf.evidence, pdf.contra, pdf.prior, strict=True)]
+            yield pd.DataFrame({"id": pdf.id, "verdict": [g[0] for g in got], "confidence": [g[1] for g in got]})
+
+    return c.mapInPandas(run, "id long, verdict string, confidence double")
+
+
+def validate_graph(edges: DataFrame, graph: str = "graph", **options) -> tuple[DataFrame, DataFrame]:
+    """edges (id, graph, cause, effect[, evidence]) -> verdicts of the edges, and the mean confidence of each graph."""
+    v = validate(edges, "id", **options).join(edges.select(F.col("id").cast("long").alias("id"), graph), "id")
+    return v, v.groupBy(graph).agg(F.avg("confidence").alias("confidence"))
 
 
-def validate(rows: DataFrame, id_col: str, vector_col: str, dim: int = 16) -> DataFrame:
-    """(id, verdict, confidence) in Arrow batches; vectors are folded to dim."""
+def validate_chains(chains: DataFrame, **options) -> DataFrame:
+    """chains (id, nodes array[, evidence array]) -> (id, verdict, confidence); fewer than two nodes pass with 1."""
+    none = F.array().cast("array<string>")
+    c = chains.select(F.col("id").cast("long").alias("id"), "nodes", (F.col("evidence") if "evidence" in chains.columns else none).alias("evidence"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Validator(dim)
+        model = Validator(**options)
         for pdf in it:
-            got = []
-            for v in pdf.v:
-                x = np.zeros(dim)
-                np.add.at(x, np.arange(len(v)) % dim, np.asarray(v, float))
-                got.append(model(x))
+            got = [model.chain(_strings(n), _strings(e)) for n, e in zip(pdf.nodes, pdf.evidence, strict=True)]
             yield pd.DataFrame({"id": pdf.id, "verdict": [g[0] for g in got], "confidence": [g[1] for g in got]})
 
-    return rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(run, "id long, verdict string, confidence double")
+    return c.mapInPandas(run, "id long, verdict string, confidence double")
 
 
 def traced(fn: Callable[[np.ndarray], float], steps: list[np.ndarray], gamma: float = 0.5) -> float:

@@ -75,3 +75,20 @@ def deposits(spark: SparkSession, d: str) -> DataFrame:
 DEP_SQL = "d AS (SELECT event_id AS seq, user_id AS drawer_id, event_type AS tag, abs(value) % 3 AS value FROM events)"
 WORDS_SQL = r"list_filter(regexp_split_to_array({0}, '[ \t\n\r]+'), lambda w: w <> '')"
 COS_SQL = "CASE WHEN {n1} >= 1e-8 AND {n2} >= 1e-8 THEN greatest(-1, least(1, {dot} / ({n1} * {n2}))) ELSE 0 END"
+
+# Ordered admission as a recursive query: one step a candidate, with the accepted ones so far.
+_ADMIT = r"""RECURSIVE r AS (SELECT doc_id AS seq, doc_id % 7 AS cycle, source, text, lower(text) AS l, (n_chars % 1000) / 1000.0::DOUBLE AS c, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: w <> '') AS w FROM documents),
+{filter}
+ok AS (SELECT *, row_number() OVER (ORDER BY seq) AS k FROM m WHERE c >= 0.40 AND len(w) >= 3),
+g AS (SELECT k, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM ok), n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+p AS (SELECT a.k AS k, b.k AS o, count(*)::DOUBLE AS m FROM g a JOIN g b ON a.g = b.g AND a.k > b.k GROUP BY ALL),
+j AS (SELECT p.k, p.o, m / (x.n + y.n - m) AS j FROM p JOIN n x ON x.k = p.k JOIN n y ON y.k = p.o), s AS (SELECT k, list(o) AS sim FROM j WHERE 1 - j < 0.25 GROUP BY k),
+os AS (SELECT ok.k, ok.source, coalesce(s.sim, []::BIGINT[]) AS sim FROM ok LEFT JOIN s ON s.k = ok.k),
+f AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS acc, []::VARCHAR[] AS src UNION ALL
+SELECT k, CASE WHEN fine THEN list_append(acc, k) ELSE acc END, CASE WHEN fine THEN list_append(src, source) ELSE src END FROM (SELECT os.k, os.source, acc, src, (len(acc) = 0 OR len(list_filter(src, lambda z: z = os.source))::DOUBLE / len(acc) < 0.5) AND NOT list_has_any(acc, os.sim) AS fine FROM f JOIN os ON os.k = f.k + 1)),
+a AS (SELECT unnest(acc) AS k FROM (SELECT acc FROM f ORDER BY k DESC LIMIT 1)), h AS (SELECT min(k) AS k FROM a),
+v AS (SELECT a.k, CASE WHEN a.k = (SELECT k FROM h) THEN 1 ELSE 1 - coalesce(max(j.j), 0) END AS novelty FROM a LEFT JOIN (SELECT j.* FROM j JOIN a b ON b.k = j.o) j ON j.k = a.k GROUP BY a.k),
+z AS (SELECT ok.seq, (ok.c + 0.6 + novelty) / 3 AS quality FROM v JOIN ok ON ok.k = v.k)"""
+ADMIT_SQL = _ADMIT.replace("{filter}", "m AS (SELECT * FROM r),")
+SAFE_ADMIT_SQL = _ADMIT.replace("{filter}", """t0 AS (SELECT *, c >= 0.5 AND l NOT LIKE '%idiot%' AND l NOT LIKE '%license%' AS pre FROM r), t1 AS (SELECT *, coalesce(sum(pre::INT) OVER (PARTITION BY cycle ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t0),
+m AS (SELECT * FROM t1 WHERE pre AND before < 50),""")

@@ -9,7 +9,7 @@ from loam.functions import dynamics as D
 from loam.functions import text as T
 from loam.functions import vector as V
 from loam.operators import chat, corpus, gates, novelty
-from loam.plans.base import CONF, CORPUS_SQL, WORDS_SQL, docs, query, r6, t
+from loam.plans.base import ADMIT_SQL, CONF, CORPUS_SQL, WORDS_SQL, docs, query, r6, t
 from loam.plans.base import corpus as table
 from loam.sources import readers
 
@@ -268,12 +268,11 @@ def bigram_near_dups(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query()
+@query(f"WITH {ADMIT_SQL} SELECT r.seq, z.seq IS NOT NULL AS accepted, round(quality::DOUBLE, 6) AS quality, CASE WHEN quality >= 0.75 THEN 2 WHEN quality >= 0.55 THEN 1 WHEN quality IS NOT NULL THEN 0 END AS tier FROM r LEFT JOIN z USING (seq)")
 def corpus_admission(spark: SparkSession, d: str) -> DataFrame:
-    """Ordered admission; the tests hold it against a sequential fold."""
+    """Ordered admission of whole texts."""
     rows = t(spark, d, "documents").select(F.col("doc_id").alias("seq"), "source", F.col("text").alias("title"), ((F.col("n_chars") % 1000) / 1000.0).alias("confidence"))
-    out = corpus.admit(rows)
-    return out.select("seq", "accepted", r6(F.col("quality"), "quality"), "tier")
+    return corpus.admit(rows).select("seq", "accepted", r6(F.col("quality"), "quality"), "tier")
 
 
 @query("SELECT doc_id, round(CASE WHEN (n_chars % 100) / 100.0 * (1 - 0.02) < 1e-4 THEN 0 ELSE (n_chars % 100) / 100.0 * (1 - 0.02) END::DOUBLE, 6) AS exp1, round(CASE WHEN (n_chars % 100) / 100.0 * power(0.95, n_chars % 20) < 1e-4 THEN 0 ELSE (n_chars % 100) / 100.0 * power(0.95, n_chars % 20) END::DOUBLE, 6) AS exp_n, round(greatest((n_chars % 100) / 100.0 - 0.1, 0)::DOUBLE, 6) AS lin FROM documents")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loam.functions import dynamics as D
 from loam.functions import text as T
 from loam.functions import vector as V
-from loam.operators import chat, corpus, graph, ooda, provenance, safety, sampling, stats, training, vectors
+from loam.operators import chat, corpus, graph, ooda, provenance, safety, sampling, stats, vectors
 from loam.operators import store as S
 from loam.plans.base import CORPUS_SQL, DEP_SQL, KG_SQL, deposits, kg, query, r6, t
 
@@ -416,19 +416,6 @@ def token_deposits(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- provenance and safety
 
 
-@query()
-def provenance_chain(spark: SparkSession, d: str) -> DataFrame:
-    """A chain of the lines of each item, proved and verified."""
-    x = t(spark, d, "benchmark").select(F.col("item_id").alias("discovery_id"), F.posexplode(F.split("text", "\n")).alias("pos", "claim"))
-    c = x.withColumn("type", F.element_at(F.array(F.lit("observation"), F.lit("hypothesis"), F.lit("discovery")), F.col("pos") % 3 + 1))
-    return provenance.verify_chain(provenance.build_chain(c, 123456789))
-
-
-@query()
-def title_hash(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "benchmark").select("item_id", provenance.title_hash("text").alias("hash"), provenance.hmac_sha256(F.lit("key"), "text").alias("mac"))
-
-
 @query("SELECT o_orderkey, sha256(unhex(lpad(hex(7::BIGINT), 16, '0') || lpad(hex(o_orderkey), 16, '0')) || encode(o_orderpriority)) AS hash FROM orders")
 def tx_hash(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "orders").select("o_orderkey", provenance.tx_hash(F.lit(7).cast("long"), F.col("o_orderkey"), F.col("o_orderpriority")).alias("hash"))
@@ -488,11 +475,6 @@ def windowed_events(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
-@query()
-def validator(spark: SparkSession, d: str) -> DataFrame:
-    return training.validate(t(spark, d, "embeddings"), "vec_id", "embedding")
-
-
 @query()
 def ooda_decide(spark: SparkSession, d: str) -> DataFrame:
     """Phrase hypotheses of documents, decided in order against the items; the tests hold it against a plain fold."""
