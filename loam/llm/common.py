@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -56,6 +58,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_ROWS))
 
 
+def freed(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """task for mapInArrow(), after which its worker gives memory back to the system: workers are used again, and what their
+    allocators keep would add up over the stages of a job."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # no glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/loam-{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
@@ -133,7 +151,7 @@ def _forest(edges: DataFrame, most_nodes: int = 500_000) -> DataFrame:
         if root:
             yield stars()
 
-    return edges.mapInArrow(run, "u long, v long")
+    return edges.mapInArrow(freed(run), "u long, v long")
 
 
 #: Edges of 16 bytes that a single task joins at most.

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from loam.llm import vectext as V
-from loam.llm.common import WORD, id_type, small_batches
+from loam.llm.common import WORD, freed, id_type, small_batches
 from loam.llm.toxicity import _PUNCT
 
 STRIDE = 128
@@ -289,7 +289,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id",
                     d, k, at, s, q, a = zip(*got, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), pa.array([shared.value.items[x].id for x in k], item_kind), pa.array(at, pa.int64()), pa.array(s, pa.float64()), pa.array(q, pa.float64()), pa.array(a, pa.float64())], ["doc_id", "item_id", "passage", "score", "question_overlap", "answer_overlap"])
 
-        hits = rows.mapInArrow(run, kind)
+        hits = rows.mapInArrow(freed(run), kind)
         out = hits if out is None else out.unionByName(hits)
     best = F.max_by(F.struct("passage", "score", "question_overlap", "answer_overlap"), F.struct("score", -F.col("passage"))).alias("h")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "h.*")
@@ -306,5 +306,5 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", th
                 bad = {x[0] for x in find(shared.value, b, text_col, threshold, overlap)}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)]))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(freed(run), docs.schema)
     return docs

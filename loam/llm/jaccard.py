@@ -45,7 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.llm import vectext as V
-from loam.llm.common import BROADCAST_ROWS, components, cut, drop, id_type, least_count, small_batches
+from loam.llm.common import BROADCAST_ROWS, components, cut, drop, freed, id_type, least_count, small_batches
 
 #: Shingles that are ranked last: at most so many, the most frequent; any choice gives the same links.
 MOST_COMMON = 1 << 18
@@ -127,7 +127,7 @@ def _common(docs: DataFrame, text_col: str, k: int, most: int) -> tuple[np.ndarr
         if used:
             yield flush(held[:used])
 
-    got = cut(docs.select(text_col).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "jaccard-counts")
+    got = cut(docs.select(text_col).mapInArrow(freed(count), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "jaccard-counts")
     top = got.where(F.col("c") >= least_count(got, "c", most)).toArrow()  # at most `most` pairs of numbers
     drop(got)
     h, c = top.column("h").to_numpy().view(V.U), top.column("c").to_numpy()
@@ -275,7 +275,7 @@ def _points(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(h1), pa.array(h2), near, pa.ListArray.from_arrays(pa.array(offs), pa.array(pre.view(np.int64))), bits], ["doc_id", "n", "h1", "h2", "near", "prefix", "bits"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(point, f"doc_id {id_type(docs, id_col)}, n long, h1 long, h2 long, near array<struct<p:int,d:double,ok:boolean>>, prefix array<long>, bits binary")
+    return rows.mapInArrow(freed(point), f"doc_id {id_type(docs, id_col)}, n long, h1 long, h2 long, near array<struct<p:int,d:double,ok:boolean>>, prefix array<long>, bits binary")
 
 
 def set_keys(v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -383,7 +383,7 @@ def _tied(points: DataFrame, cells: DataFrame, num: int, den: int, most: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     rows = cells.where(F.col("m") <= most).select("cell", "rid").join(points.select("rid", "n", "bits").hint("merge"), "rid")
-    small = rows.repartition("cell").sortWithinPartitions("cell", "rid").mapInArrow(ties, "a long, b long")
+    small = rows.repartition("cell").sortWithinPartitions("cell", "rid").mapInArrow(freed(ties), "a long, b long")
     # a larger cell's members are tied as they are: a region too large is no loss, a region too small would be
     return small.unionByName(cells.where((F.col("m") > most) & (F.col("rid") != F.col("r0"))).select(F.col("r0").alias("a"), F.col("rid").alias("b")))
 
@@ -498,7 +498,7 @@ def _region_links(rows: DataFrame, num: int, den: int) -> DataFrame:
             if len(b):
                 yield pa.RecordBatch.from_arrays([pa.array(rid[a]), pa.array(rid[b])], ["a", "b"])
 
-    return rows.repartition("region").sortWithinPartitions("region", "rid").mapInArrow(join, "a long, b long")
+    return rows.repartition("region").sortWithinPartitions("region", "rid").mapInArrow(freed(join), "a long, b long")
 
 
 def _pivot_level(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -526,7 +526,7 @@ def _pivot_level(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["region", "rid", "pivot", "d", "ok"])
 
     few = pivots.count() <= 200  # each holds some tens of kilobytes
-    at = cut(rows.join(F.broadcast(pivots) if few else pivots.hint("merge"), "region").mapInArrow(measure, "region long, rid long, pivot long, d double, ok boolean"), "jaccard-distances")
+    at = cut(rows.join(F.broadcast(pivots) if few else pivots.hint("merge"), "region").mapInArrow(freed(measure), "region long, rid long, pivot long, d double, ok boolean"), "jaccard-distances")
     least = at.where("not ok").groupBy("region", "pivot").agg(F.min("d").alias("least"))
     e = 1 - num / den
     settled = F.col("ok") & (F.col("least").isNull() | (F.col("d") < F.col("least") - e - 1e-9)) | (F.col("rid") == F.col("pivot"))
@@ -614,7 +614,7 @@ def _links(docs: DataFrame, tied: DataFrame, text_col: str, id_col: str, k: int,
             raw, take = v.tobytes(), pa.array(own)
             yield pa.RecordBatch.from_arrays([b.column("regions").take(take), b.column("rid").take(take), pa.array([raw[8 * first[i] : 8 * first[i + 1]] for i in own], pa.binary())], ["regions", "rid", "members"])
 
-    made = texts.mapInArrow(build, "regions array<long>, rid long, members binary").select(F.explode("regions").alias("region"), "rid", "members")
+    made = texts.mapInArrow(freed(build), "regions array<long>, rid long, members binary").select(F.explode("regions").alias("region"), "rid", "members")
     size = cut(tied.select(F.explode("regions").alias("region"), "n").groupBy("region").agg((F.sum("n") * 8).alias("b"), F.count("*").alias("m")), "jaccard-sizes")
     large = size.where((F.col("b") > most_bytes) & (F.col("m") > 2)).select("region")
     if large.isEmpty():
@@ -663,7 +663,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     row = docs.join(few(odd), is_odd, "left_semi").select(each.alias("__row"), F.col(id_col).alias("__key"), F.col(text_col).alias("__text"))
     kind = row.schema["__row"].dataType.simpleString()
-    row = cut(row.mapInArrow(keyed, f"__row {kind}, __key {id_type(docs, id_col)}, __n long, __a long, __b long"), "jaccard-rows")
+    row = cut(row.mapInArrow(freed(keyed), f"__row {kind}, __key {id_type(docs, id_col)}, __n long, __a long, __b long"), "jaccard-rows")
     same = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__a") == F.col("__h1")) & (F.col("__b") == F.col("__h2"))
     one = row.where("__n > 0").join(stay.hint("merge"), same, "left_semi").dropDuplicates(["__key", "__a", "__b"])
     back = row.where("__n = 0").unionByName(one).select("__row.*")

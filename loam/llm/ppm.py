@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm import vectext as V
-from loam.llm.common import cut, id_type, least_count, small_batches
+from loam.llm.common import cut, freed, id_type, least_count, small_batches
 
 ORDER = 5
 LOW = 2
@@ -242,7 +242,7 @@ def gather(docs: DataFrame, text_col: str = "text", held_rows: int = 2_000_000)
             if held[kind]:
                 yield from flush(kind)
 
-    return docs.select(text_col).mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(freed(count), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _trie(grams: DataFrame, most_nodes: int, low: int = 0) -> Trie:
@@ -308,7 +308,7 @@ def _rare(grams: DataFrame, asked: DataFrame, low: list[Level], held_rows: int =
 
     both = grams.select("key", "n").unionByName(asked.select("key", F.lit(0).cast("long").alias("n")))
     g = F.shiftright("key", 8).bitwiseAND(F.lit(int(group[1])))
-    return both.withColumn("g", g).repartition("g").sortWithinPartitions("g").select("key", "n").mapInArrow(run, "key long, p double")
+    return both.withColumn("g", g).repartition("g").sortWithinPartitions("g").select("key", "n").mapInArrow(freed(run), "key long, p double")
 
 
 def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_nodes: int | None = None, most_words: int = MOST_WORDS, held_nodes: int = HELD_NODES) -> DataFrame:
@@ -360,7 +360,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(w.counts + 1), pa.array(V.per_doc_sum(known, w.first) + (n_texts > 0)), pa.array(V.per_doc_sum(base, w.first) + end), pa.array(total * LOG10_2), pa.ListArray.from_arrays(pa.array(cuts), pa.array(w.hash[rest].view(np.int64))), *far], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest", "grams", "times"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = cut(rows.mapInArrow(run, f"row long, doc_id {id_type(docs, id_col)}, n_tokens long, n_known long, base double, score double, rest array<long>, grams array<long>, times array<long>"), "ppm-scores")
+    out = cut(rows.mapInArrow(freed(run), f"row long, doc_id {id_type(docs, id_col)}, n_tokens long, n_known long, base double, score double, rest array<long>, grams array<long>, times array<long>"), "ppm-scores")
     scored = out
     if not all_told:
         # only words that are not among the frequent ones come here, so none can be hot

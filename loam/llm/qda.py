@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loam.llm import docstats as D
 from loam.llm import vectext as V
-from loam.llm.common import crc_bucket, cut, id_type, small_batches
+from loam.llm.common import crc_bucket, cut, freed, id_type, small_batches
 from loam.llm.labelled import MOST_LABELLED, training_labels
 
 P = len(D.FEATURES)
@@ -114,7 +114,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     small_batches(docs.sparkSession)
     kind = id_type(docs, id_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    made = cut(rows.mapInArrow(stats, f"doc_id {kind}, x array<double>"), "qda-statistics")
+    made = cut(rows.mapInArrow(freed(stats), f"doc_id {kind}, x array<double>"), "qda-statistics")
     ids = training_labels(labels, label, most_labelled, id_col=id_col)
     train = cut(made.join(F.broadcast(ids), F.col("doc_id").cast("string") == F.col("__id")).select("x", F.col("__y").alias("y")), "qda-train")
 
@@ -128,7 +128,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 acc[k] += np.concatenate([[len(z)], z.sum(0), (z.T @ z).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(acc.tolist(), pa.list_(pa.float64()))], ["y", "v"])
 
-    parts = train.mapInArrow(moments, "y int, v array<double>").select("y", F.posexplode("v").alias("i", "v")).groupBy("y", "i").agg(F.sum("v").alias("v")).collect()  # 2 x (1 + P + P*P) numbers
+    parts = train.mapInArrow(freed(moments), "y int, v array<double>").select("y", F.posexplode("v").alias("i", "v")).groupBy("y", "i").agg(F.sum("v").alias("v")).collect()  # 2 x (1 + P + P*P) numbers
     acc = np.zeros((2, 1 + P + P * P))
     for y, i, v in parts:
         acc[y, i] = v
@@ -145,7 +145,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(np.round(model.margin(x), 2)), b.column("y")], ["m", "y"])
 
     # the margins' histogram in steps of 1/100 (they are logarithms: some thousands of rows at most)
-    hist = train.mapInArrow(margins, "m double, y int").groupBy("m", "y").agg(F.count("*").alias("n")).toPandas()
+    hist = train.mapInArrow(freed(margins), "m double, y int").groupBy("m", "y").agg(F.count("*").alias("n")).toPandas()
     model.a, model.b = platt(hist.m.to_numpy(), hist.y.to_numpy(), hist.n.to_numpy().astype(float))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,5 +153,5 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             s = model.score(b.column("x").flatten().to_numpy().reshape(-1, P)) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
-    out = made.mapInArrow(apply, f"doc_id {kind}, score double")
+    out = made.mapInArrow(freed(apply), f"doc_id {kind}, score double")
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut_off).cast("int").alias("predicted"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from loam.llm import docstats as D
 from loam.llm import vectext as V
-from loam.llm.common import cut, id_type, join_small, small_batches
+from loam.llm.common import cut, freed, id_type, join_small, small_batches
 from loam.llm.labelled import training_labels
 
 BUCKETS = 1 << 16
@@ -64,7 +64,7 @@ def _counts(rows: DataFrame, text_col: str, trusted_col: str) -> np.ndarray:
                 total[1] += np.bincount(g[inside & trusted], minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total[0]), pa.array(total[1])], ["bucket", "raw", "target"])
 
-    got = rows.select(text_col, trusted_col).mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    got = rows.select(text_col, trusted_col).mapInArrow(freed(count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     out = np.zeros((2, BUCKETS), np.int64)
     at = got.column("bucket").to_numpy()
     out[0, at], out[1, at] = got.column("raw").to_numpy(), got.column("target").to_numpy()
@@ -107,7 +107,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(base[c]) for c in cols], pa.array((n < MIN_WORDS) | (100 * rep > MOST_REPEATED * n)), pa.array(s, from_pandas=True), b.column("trusted")], ["doc_id", *cols, "base_failed", "score", "trusted"])
 
-    out = rows.mapInArrow(score, f"doc_id {id_type(docs, id_col)}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, trusted boolean")
+    out = rows.mapInArrow(freed(score), f"doc_id {id_type(docs, id_col)}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, trusted boolean")
     out = cut(out, "quality-scores")
     # A histogram in steps of 1/1000 bit; scores lie within +-40 bits, so it has a bounded number of rows.
     hist = out.where("trusted and score is not null").groupBy(F.round("score", 3).alias("v")).agg(F.count("*").alias("n")).toPandas().sort_values("v")

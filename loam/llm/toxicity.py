@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm import vectext as V
-from loam.llm.common import crc_bucket, cut, id_type, small_batches
+from loam.llm.common import crc_bucket, cut, freed, id_type, small_batches
 from loam.llm.labelled import MOST_LABELLED, labelled, training_labels
 from loam.llm.qda import platt
 
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
     folds = [F.sum(F.when(F.col("f") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for c in "tn" for f in range(FOLDS)]
     sums = [sum((F.col(f"{c}{f}") for f in range(FOLDS)), F.lit(0)).alias(c) for c in "tn"]
-    words = cut(train.mapInArrow(count, "w long, s long, f int, t long, n long").groupBy("w", "s").agg(*folds).select("*", *sums), "toxic-words")
+    words = cut(train.mapInArrow(freed(count), "w long, s long, f int, t long, n long").groupBy("w", "s").agg(*folds).select("*", *sums), "toxic-words")
     sizes = dict(train.groupBy("__y").count().collect())
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     z = np.zeros(0)
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
             top = [max((s for *_, s in e), default=0.0) for _, e in segs]
             yield pa.RecordBatch.from_arrays([b.column("__y"), pa.array(t.words.counts), pa.array([[s for *_, s in o] for o, _ in segs], pa.list_(pa.float64())), pa.array(top, pa.float64())], ["y", "n", "s", "top"])
 
-    seen = train.mapInArrow(best, "y int, n long, s array<double>, top double").toPandas()  # at most about MOST_LABELLED rows of a few numbers
+    seen = train.mapInArrow(freed(best), "y int, n long, s array<double>, top double").toPandas()  # at most about MOST_LABELLED rows of a few numbers
     shared.destroy()
     clean = seen[(seen.y == 0) & (seen.n > 0)]
     model.first = Law.of(clean.n.to_numpy(), np.array([max(s, default=0.0) for s in clean.s]))
@@ -281,7 +281,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(m.score(ev)), pa.array(ev, pa.float64()), pa.array(spans, kind)], ["id", "score", "evidence", "passages"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"id {id_type(docs, id_col)}, score double, evidence double, passages array<struct<first:long,last:long,score:double,p:double>>")
+    out = rows.mapInArrow(freed(run), f"id {id_type(docs, id_col)}, score double, evidence double, passages array<struct<first:long,last:long,score:double,p:double>>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -303,4 +303,4 @@ def clean_rows(docs: DataFrame, model: Model, cut_off: float = 0.7, text_col: st
             ev = np.array([m.evidence(o, c) for (o, _), c in zip(m.segments(t), t.words.counts.tolist(), strict=True)])
             yield b.filter(pa.array(m.score(ev) < cut_off))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm import vectext as V
-from loam.llm.common import BROADCAST_ROWS, cut, fresh_dir, small_batches
+from loam.llm.common import BROADCAST_ROWS, cut, freed, fresh_dir, small_batches
 
 MAGIC = 0x184D2A5D
 SAMPLE_BYTES = 8 << 20
@@ -200,7 +200,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, sample_bytes: int = S
             f, n, s = zip(*done, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n, pa.int64()), pa.array(s, pa.int64())], ["file", "records", "bytes"])
 
-    files = cut(_decided(pages, min_bytes).mapInArrow(run, "file string, records long, bytes long"), "warc-files")
+    files = cut(_decided(pages, min_bytes).mapInArrow(freed(run), "file string, records long, bytes long"), "warc-files")
     _tidy(files, path, mark)
     return files
 
@@ -256,7 +256,7 @@ def read(files: DataFrame, payloads: bool = True) -> DataFrame:
 
     n = max(1, files.count())
     schema = READ if payloads else READ.rpartition(", ")[0]
-    return files.select("file").repartition(n).mapInArrow(run, schema)
+    return files.select("file").repartition(n).mapInArrow(freed(run), schema)
 
 
 def archive(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
