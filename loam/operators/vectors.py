@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,12 @@ def hybrid_search(rows: DataFrame, query: str, query_vector: Column, k: int, id_
     return rows.select(F.col(id_col).alias("id"), score.alias("score"), F.substring(F.col(content), 1, 120).alias("preview")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def _unit(x: pa.Array) -> np.ndarray:
+    m = np.array(x.to_pylist(), np.float64)
+    s = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.where(s >= 1e-8, m / np.maximum(s, 1e-8), 0.0)
+
+
 def pairs(rows: DataFrame, threshold: float, both: bool = False, cells: int | None = None, group: str | None = None) -> DataFrame:
     """(a, b, cosine) of all pairs with cosine > threshold, a < b (or both orders); rows (id, embedding[, group]).
 
@@ -49,11 +56,6 @@ def pairs(rows: DataFrame, threshold: float, both: bool = False, cells: int | No
     other = F.sequence(F.lit(0), F.lit(c - 1))
     spread = r.select("id", "v", "g", "c", F.explode(other).alias("o")).withColumn("cell", F.least("c", "o") * c + F.greatest("c", "o"))
 
-    def unit(x: pa.Array) -> np.ndarray:
-        m = np.array(x.to_pylist(), np.float64)
-        s = np.sqrt((m * m).sum(1, keepdims=True))
-        return np.where(s >= 1e-8, m / np.maximum(s, 1e-8), 0.0)
-
     def multiply(table: pa.Table) -> pa.Table:
         cell = table.column("cell")[0].as_py()
         own = table.column("c").to_numpy()
@@ -61,7 +63,7 @@ def pairs(rows: DataFrame, threshold: float, both: bool = False, cells: int | No
         right = table.filter(pa.array(own == cell % c)).combine_chunks()
         if not left.num_rows or not right.num_rows:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        s = np.clip(unit(left.column("v")) @ unit(right.column("v")).T, -1, 1)
+        s = np.clip(_unit(left.column("v")) @ _unit(right.column("v")).T, -1, 1)
         keep = s > threshold
         ia, ib = left.column("id").to_numpy(), right.column("id").to_numpy()
         if cell // c == cell % c:
@@ -77,10 +79,37 @@ def pairs(rows: DataFrame, threshold: float, both: bool = False, cells: int | No
 
 
 def duplicate_of(query: DataFrame, rows: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(id, match, score): for each query row (id, room, embedding) the most similar row of its room above threshold."""
-    j = query.alias("q").join(rows.alias("r"), (F.col("q.room") == F.col("r.room")) & (F.col("q.id") != F.col("r.id")))
-    j = j.select(F.col("q.id").alias("id"), F.col("r.id").alias("o"), V.cosine(F.col("q.embedding"), F.col("r.embedding")).alias("s")).where(F.col("s") > threshold)
-    return j.groupBy("id").agg(F.max_by("o", F.struct("s", -F.col("o"))).alias("match"), F.max("s").alias("score"))
+    """(id, match, score): for each query row (id, room, embedding) the most similar row of its room above threshold; of equal
+    ones (to 12 digits) the least id.
+
+    A room's rows are dealt into blocks, and the pairs of blocks into tasks, so a large room is many tasks of bounded size; a
+    task multiplies two matrices and gives one row for each query row at most.
+    """
+    count = lambda df, c: df.groupBy("room").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(c))
+    sizes = count(query, "cq").join(count(rows, "cr"), "room")
+    block = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    v = F.col("embedding").cast("array<float>").alias("v")
+    asks = query.join(sizes, "room").select("room", "id", v, block("cq").alias("i"), spread("cr").alias("j"), F.lit(True).alias("asks"))
+    known = rows.join(sizes, "room").select("room", "id", v, spread("cq").alias("i"), block("cr").alias("j"), F.lit(False).alias("asks"))
+
+    def best(table: pa.Table) -> pa.Table:
+        left = table.filter(table.column("asks")).combine_chunks()
+        right = table.filter(pc.invert(table.column("asks"))).sort_by("id").combine_chunks()
+        if not left.num_rows or not right.num_rows:
+            return table.select(["id"]).slice(0, 0).append_column("match", table.column("id").slice(0, 0)).append_column("score", pa.array([], pa.float64()))
+        s = np.clip(_unit(left.column("v")) @ _unit(right.column("v")).T, -1, 1)
+        own = np.array(left.column("id").to_pylist(), object)[:, None] == np.array(right.column("id").to_pylist(), object)[None, :]
+        s[own] = -2
+        at = np.round(s, 12).argmax(1)  # the first of equal ones
+        score = s[np.arange(len(at)), at]
+        hit = np.nonzero(score > threshold)[0]
+        return pa.table({"id": left.column("id").take(hit), "match": right.column("id").take(at[hit]), "score": score[hit]})
+
+    kind = query.schema["id"].dataType.simpleString()
+    out = asks.unionByName(known).groupBy("room", "i", "j").applyInArrow(best, f"id {kind}, match {kind}, score double")
+    top = F.min(F.struct((-F.round("score", 12)).alias("s"), F.col("match").alias("match"), F.col("score").alias("score"))).alias("m")
+    return out.groupBy("id").agg(top).select("id", "m.match", "m.score")
 
 
 def mean_pool(rows: DataFrame, key: str, vector_col: str) -> DataFrame:

@@ -7,19 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.functions.text import SPACE
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with SQL that states the same."""
+    """Registers a query under its function's name, with SQL that states the same; <space> stands for runs of white space."""
 
     def add(f: Query) -> Query:
         key = name or f.__name__
         QUERIES[key] = f
         if sql:
-            SQL[key] = sql
+            SQL[key] = sql.replace("<space>", SPACE)
         return f
 
     return add
@@ -55,15 +57,16 @@ CORPUS_SQL = """c AS (SELECT doc_id AS id, source, (n_chars % 1000) / 1000.0::DO
 k AS (SELECT *, quality AS pheromone, CASE WHEN quality >= 0.75 THEN 2 WHEN quality >= 0.55 THEN 1 ELSE 0 END AS tier FROM c)"""
 
 
-def kg(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as relation edges between a hundred nodes."""
+def kg(spark: SparkSession, d: str, wide: bool = False) -> DataFrame:
+    """Orders as relation edges between a hundred nodes; with wide, from as many nodes as there are customers."""
     o = t(spark, d, "orders")
     rel = F.element_at(F.array(*[F.lit(x) for x in RELATIONS]), (F.col("o_orderkey") % len(RELATIONS) + 1).cast("int"))
-    return o.select(F.col("o_orderkey").alias("edge_seq"), (F.col("o_custkey") % 100).alias("from_id"), (F.col("o_orderkey") * 7 % 99).alias("to_id"), rel.alias("relation"), ((F.col("o_orderkey") % 100) / 100.0).alias("confidence"), ((F.col("o_orderkey") % 13) / 10.0).alias("success"), ((F.col("o_orderkey") % 7) / 10.0).alias("traversal"), ((F.col("o_orderkey") % 11) / 10.0).alias("recency"))
+    return o.select(F.col("o_orderkey").alias("edge_seq"), (F.col("o_custkey") if wide else F.col("o_custkey") % 100).alias("from_id"), (F.col("o_orderkey") * 7 % 99).alias("to_id"), rel.alias("relation"), ((F.col("o_orderkey") % 100) / 100.0).alias("confidence"), ((F.col("o_orderkey") % 13) / 10.0).alias("success"), ((F.col("o_orderkey") % 7) / 10.0).alias("traversal"), ((F.col("o_orderkey") % 11) / 10.0).alias("recency"))
 
 
 RELATIONS = ["supports", "contradicts", "confirms", "refutes", "causes", "prevents", "leads_to", "similar"]
 KG_SQL = "g AS (SELECT o_orderkey AS edge_seq, o_custkey % 100 AS from_id, o_orderkey * 7 % 99 AS to_id, ['supports','contradicts','confirms','refutes','causes','prevents','leads_to','similar'][(o_orderkey % 8 + 1)::INT] AS relation, (o_orderkey % 100) / 100.0::DOUBLE AS confidence, (o_orderkey % 13) / 10.0::DOUBLE AS success, (o_orderkey % 7) / 10.0::DOUBLE AS traversal, (o_orderkey % 11) / 10.0::DOUBLE AS recency FROM orders)"
+KG_WIDE_SQL = KG_SQL.replace("o_custkey % 100", "o_custkey")
 
 
 def deposits(spark: SparkSession, d: str) -> DataFrame:
@@ -73,11 +76,11 @@ def deposits(spark: SparkSession, d: str) -> DataFrame:
 
 
 DEP_SQL = "d AS (SELECT event_id AS seq, user_id AS drawer_id, event_type AS tag, abs(value) % 3 AS value FROM events)"
-WORDS_SQL = r"list_filter(regexp_split_to_array({0}, '[ \t\n\r]+'), lambda w: w <> '')"
+WORDS_SQL = r"list_filter(regexp_split_to_array({0}, '<space>'), lambda w: w <> '')"
 COS_SQL = "CASE WHEN {n1} >= 1e-8 AND {n2} >= 1e-8 THEN greatest(-1, least(1, {dot} / ({n1} * {n2}))) ELSE 0 END"
 
 # Ordered admission as a recursive query: one step a candidate, with the accepted ones so far.
-_ADMIT = r"""RECURSIVE r AS (SELECT doc_id AS seq, doc_id % 7 AS cycle, source, text, lower(text) AS l, (n_chars % 1000) / 1000.0::DOUBLE AS c, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: w <> '') AS w FROM documents),
+_ADMIT = r"""RECURSIVE r AS (SELECT doc_id AS seq, doc_id % 7 AS cycle, source, text, lower(text) AS l, (n_chars % 1000) / 1000.0::DOUBLE AS c, list_filter(regexp_split_to_array(text, '<space>'), lambda w: w <> '') AS w FROM documents),
 {filter}
 ok AS (SELECT *, row_number() OVER (ORDER BY seq) AS k FROM m WHERE c >= 0.40 AND len(w) >= 3),
 g AS (SELECT k, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM ok), n AS (SELECT k, count(*) AS n FROM g GROUP BY k),

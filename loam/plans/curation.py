@@ -174,7 +174,7 @@ _PH = [(" the ", 0.75), (" und ", 0.65), (" de ", 0.6)]
 
 
 @query(r"""WITH q AS (SELECT doc_id, lower(text) AS t, unnest([{'p': ' the ', 'c': 0.75}, {'p': ' und ', 'c': 0.65}, {'p': ' de ', 'c': 0.6}]) AS p FROM documents), x AS (SELECT *, instr(t, q.p.p) AS i FROM q WHERE instr(t, q.p.p) > 0),
-y AS (SELECT doc_id, p AS ph, list_filter(regexp_split_to_array(left(t, (i - 1)::INT), '[ \t\n\r]+'), lambda w: w <> '') AS b, list_filter(regexp_split_to_array(substr(t, i + length(x.p.p)), '[ \t\n\r]+'), lambda w: w <> '') AS a FROM x),
+y AS (SELECT doc_id, p AS ph, list_filter(regexp_split_to_array(left(t, (i - 1)::INT), '<space>'), lambda w: w <> '') AS b, list_filter(regexp_split_to_array(substr(t, i + length(x.p.p)), '<space>'), lambda w: w <> '') AS a FROM x),
 z AS (SELECT doc_id, ph, coalesce(b[-1], 'X') AS c, coalesce(a[1], 'Y') AS e FROM y)
 SELECT doc_id, ph.p AS phrase, regexp_replace(c, '^\P{L}+|\P{L}+$', '', 'g') AS cause, regexp_replace(e, '^\P{L}+|\P{L}+$', '', 'g') AS effect, ph.c::DOUBLE AS confidence FROM z WHERE strlen(c) > 1 AND strlen(e) > 1""")
 def causal_phrase(spark: SparkSession, d: str) -> DataFrame:

@@ -105,7 +105,7 @@ def response_ids(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select("event_id", chat.response_id("chat", ts).alias("id"))
 
 
-@query(r"""WITH w AS (SELECT conv_id * 1000 + turn AS id, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: w <> '') AS w FROM conversations), p AS (SELECT id, w, unnest(range(4, len(w) + 1)) AS i FROM w)
+@query(r"""WITH w AS (SELECT conv_id * 1000 + turn AS id, list_filter(regexp_split_to_array(text, '<space>'), lambda w: w <> '') AS w FROM conversations), p AS (SELECT id, w, unnest(range(4, len(w) + 1)) AS i FROM w)
 SELECT id, (i + 2)::INT AS pos, w[i] AS text FROM p""")
 def visible_tokens(spark: SparkSession, d: str) -> DataFrame:
     """The first three words of each turn are put into a think block, whose opening tag is cut in two tokens."""
@@ -115,7 +115,7 @@ def visible_tokens(spark: SparkSession, d: str) -> DataFrame:
     return chat.visible_tokens(x, "id").where("text <> '<thi'")
 
 
-@query(r"""WITH x AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Well <think>' || text ELSE '<think>' || text || '</think>' END AS t, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: w <> '')[1:5] AS w FROM conversations)
+@query(r"""WITH x AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Well <think>' || text ELSE '<think>' || text || '</think>' END AS t, list_filter(regexp_split_to_array(text, '<space>'), lambda w: w <> '')[1:5] AS w FROM conversations)
 SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Well <think>' || array_to_string(w, ' ') || '</think>' ELSE t END AS text FROM x""")
 def think_budget(spark: SparkSession, d: str) -> DataFrame:
     x = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Well <think>"), "text")).otherwise(F.concat(F.lit("<think>"), "text", F.lit("</think>")))

@@ -11,7 +11,7 @@ from loam.functions import text as T
 from loam.functions import vector as V
 from loam.operators import chat, corpus, graph, ooda, provenance, safety, sampling, stats, vectors
 from loam.operators import store as S
-from loam.plans.base import CORPUS_SQL, DEP_SQL, KG_SQL, deposits, kg, query, r6, t
+from loam.plans.base import CORPUS_SQL, DEP_SQL, KG_SQL, KG_WIDE_SQL, deposits, kg, query, r6, t
 
 _VEC = "v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT id, label, CASE WHEN sqrt(list_sum(list_transform(e, lambda x: x * x))) >= 1e-8 THEN list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) ELSE list_transform(e, lambda x: 0.0) END AS e FROM v)"
 
@@ -100,12 +100,14 @@ def palace_status(spark: SparkSession, d: str) -> DataFrame:
     return S.status(wings=w, rooms=r, drawers=x, kg=g, similar=g.where("relation = 'similar'"))
 
 
-@query("SELECT 'wing:' || lang || ':' || source || ':drawer:' || (row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1) AS id, doc_id AS title FROM documents")
+@query("""WITH b AS (SELECT *, list_transform(regexp_extract_all(hex(encode(lower(text))), '..'), lambda x: ('0x' || x)::INT) AS b FROM documents)
+SELECT 'wing:' || lang || ':' || source || ':drawer:' || (row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1) AS id, doc_id AS title,
+len(list_distinct(list_concat(list_transform(range(1, len(b)), lambda i: (b[i] * 31 + b[i + 1]) % 256), list_transform(range(1, len(b) - 1), lambda i: (b[i] * 961 + b[i + 1] * 31 + b[i + 2]) % 256))))::INT AS n_bins FROM b""")
 def drawer_insert(spark: SparkSession, d: str) -> DataFrame:
     _, rooms, x = _entities(spark, d)
     new = t(spark, d, "documents").select(F.col("doc_id").alias("seq"), S.room_id(S.wing_id(F.col("lang")), F.col("source")).alias("room_id"), F.col("doc_id").alias("title"), F.col("text").alias("content"))
     empty = spark.createDataFrame([], "id string, room_id string, title long, content string, embedding array<float>")
-    return S.insert_drawers(empty, rooms, new)[0].select("id", "title")
+    return S.insert_drawers(empty, rooms, new)[0].select("id", "title", F.size(F.filter("embedding", lambda x: x != 0)).alias("n_bins"))
 
 
 @query(f"WITH {KG_SQL}, e AS (SELECT unnest(list_distinct([from_id, to_id])) AS node FROM g) SELECT node, count(*) AS degree FROM e GROUP BY node")
@@ -129,9 +131,9 @@ def hot_edges(spark: SparkSession, d: str) -> DataFrame:
     return S.hot_edges(kg(spark, d)).select("edge_seq", r6(F.col("factor"), "factor"))
 
 
-@query(f"WITH {KG_SQL}, o AS (SELECT unnest(['supports','contradicts','confirms','refutes','causes','prevents']) AS a, unnest(['contradicts','supports','refutes','confirms','prevents','causes']) AS b) SELECT x.edge_seq AS seq1, y.edge_seq AS seq2, x.from_id, x.to_id, x.relation || ' vs ' || y.relation AS conflict, round(x.confidence + y.confidence, 6) AS weight FROM g x JOIN o ON o.a = x.relation JOIN g y ON y.from_id = x.from_id AND y.to_id = x.to_id AND y.relation = o.b AND y.edge_seq > x.edge_seq WHERE x.confidence + y.confidence > 0.25")
+@query(f"WITH {KG_WIDE_SQL}, o AS (SELECT unnest(['supports','contradicts','confirms','refutes','causes','prevents']) AS a, unnest(['contradicts','supports','refutes','confirms','prevents','causes']) AS b) SELECT x.edge_seq AS seq1, y.edge_seq AS seq2, x.from_id, x.to_id, x.relation || ' vs ' || y.relation AS conflict, round(x.confidence + y.confidence, 6) AS weight FROM g x JOIN o ON o.a = x.relation JOIN g y ON y.from_id = x.from_id AND y.to_id = x.to_id AND y.relation = o.b AND y.edge_seq > x.edge_seq WHERE x.confidence + y.confidence > 0.25")
 def contradictions(spark: SparkSession, d: str) -> DataFrame:
-    return S.contradictions(kg(spark, d), 0.25).withColumn("weight", F.round("weight", 6))
+    return S.contradictions(kg(spark, d, wide=True), 0.25).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"WITH {KG_SQL} SELECT edge_seq, to_id, relation FROM g WHERE from_id = 3")
@@ -315,22 +317,30 @@ def _wrapped(spark: SparkSession, d: str) -> DataFrame:
     return x.select("conv_id", "turn", F.concat(F.lit("Hmm, "), F.lit("<think>"), F.substring("text", 1, 60), F.lit("</think> "), F.substring("text", F.lit(61), F.length("text"))).alias("text"))
 
 
-@query(r"""WITH x AS (SELECT conv_id, turn, left(text, 60) AS k, substr(text, 61) AS r FROM conversations WHERE role = 'assistant'), y AS (SELECT *, regexp_replace(regexp_replace('Hmm,  ' || r, '\s+$', ''), '^Hmm,\s+', '') AS a FROM x)
-SELECT conv_id, turn, a AS answer FROM y WHERE a <> '' AND NOT regexp_matches(a, '^(Okay|Hmm|Wait|Alright)') AND NOT contains(a, chr(10) || chr(10))""")
+def _texts(xs: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+_META = "^(" + "|".join(x.replace(".", r"\.").replace("'", "''") for x in T.META_STARTS) + ")"
+#: x3: the best line of b, for rows of src.
+_EXTRACT = rf"""x1 AS (SELECT *, list_transform(regexp_split_to_array(b, '\r?\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM src),
+x2 AS (SELECT *, list_filter(list_transform(l, lambda x, i: {{'s': least(strlen(x), 200) + CASE WHEN x LIKE '%.' OR x LIKE '%!' THEN 100 WHEN contains(x, ' is ') OR contains(x, ' are ') OR contains(x, ' was ') THEN 80 ELSE 0 END, 'i': i, 'x': x}}), lambda r: strlen(r.x) >= 8 AND NOT regexp_matches(r.x, '{_META}')) AS g FROM x1),
+x3 AS (SELECT *, coalesce(list_sort(g, 'DESC')[1].x, list_filter(l, lambda x: strlen(x) > 15)[1], '{T.NO_ANSWER}') AS best FROM x2)"""
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, left(text, 60) AS k, regexp_replace('Hmm,  ' || substr(text, 61), '^\s+|\s+$', '', 'g') AS a FROM conversations WHERE role = 'assistant'),
+p AS (SELECT *, list_reduce(list_prepend(a, {_texts(T.FILLER_PREFIXES)}), lambda s, p: CASE WHEN starts_with(s, p) THEN regexp_replace(substr(s, length(p) + 1), '^\s+', '') ELSE s END) AS s FROM t),
+c AS (SELECT *, length(s) - instr(reverse(s), chr(10) || chr(10)) - 1 AS cut FROM p), f AS (SELECT *, regexp_replace(substr(s, cut + 3), '^\s+|\s+$', '', 'g') AS tail FROM c),
+z AS (SELECT *, CASE WHEN contains(s, chr(10) || chr(10)) AND (strlen(tail) < 10 AND NOT contains(tail, '.') OR regexp_matches(lower(tail), '^({"|".join(T.FILLER_TAILS)})')) THEN regexp_replace(left(s, cut), '\s+$', '') ELSE s END AS y FROM f),
+src AS (SELECT conv_id, turn, regexp_replace(k, '^\s+|\s+$', '', 'g') AS b, list_reduce(list_prepend(y, {_texts(T.FILLER_SUFFIXES)}), lambda s, x: CASE WHEN ends_with(s, x) THEN regexp_replace(left(s, length(s) - length(x)), '\s+$', '') ELSE s END) AS w FROM z),
+{_EXTRACT} SELECT conv_id, turn, CASE WHEN w <> '' THEN w WHEN b <> '' THEN best ELSE '{T.NO_ANSWER}' END AS answer FROM x3""")
 def think_strip(spark: SparkSession, d: str) -> DataFrame:
-    x = _wrapped(spark, d).select("conv_id", "turn", T.strip_think(F.col("text")).alias("answer"))
-    x = x.join(t(spark, d, "conversations").where("role = 'assistant' and trim(substring(text, 61)) <> ''").select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")
-    return x.select("conv_id", "turn", "answer")
+    return _wrapped(spark, d).select("conv_id", "turn", T.strip_think(F.col("text")).alias("answer"))
 
 
-@query(r"""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM conversations),
-s AS (SELECT conv_id, turn, i, trim(x) AS x, least(strlen(trim(x)), 200) + CASE WHEN trim(x) LIKE '%.' OR trim(x) LIKE '%!' THEN 100 WHEN contains(trim(x), ' is ') OR contains(trim(x), ' are ') OR contains(trim(x), ' was ') THEN 80 ELSE 0 END AS s FROM l
-WHERE strlen(trim(x)) >= 8 AND NOT regexp_matches(trim(x), '^(Okay|Hmm|Wait|Let me|User|Need|First|I think|I need|I recall|I should|So,|So |The user|Now,|Now |Alright|Right|I''m |Let''s|\.\.\.|---)')),
-b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY s DESC, i DESC) AS k FROM s) SELECT conv_id, turn, x AS answer FROM b WHERE k = 1""")
+@query(f"WITH src AS (SELECT conv_id, turn, text AS b FROM conversations), {_EXTRACT} SELECT conv_id, turn, best AS answer FROM x3")
 def answer_extract(spark: SparkSession, d: str) -> DataFrame:
-    x = t(spark, d, "conversations").select("conv_id", "turn", "text", T.extract_answer(F.col("text")).alias("answer"))
-    some = F.exists(F.split("text", "\n"), lambda l: (F.octet_length(F.trim(l)) >= 8) & ~F.trim(l).rlike("^(" + "|".join(s.replace(".", r"\.") for s in T.META_STARTS) + ")"))
-    return x.where(some).select("conv_id", "turn", "answer")
+    return t(spark, d, "conversations").select("conv_id", "turn", T.extract_answer(F.col("text")).alias("answer"))
 
 
 # ---------------------------------------------------------------- sampling
