@@ -196,3 +196,38 @@ def test_paths_of_any_length_are_found(spark):
     assert {x.node: x.cost for x in graph.cheapest(spark, costs, 0).collect()} == {i: float(i) for i in range(n + 1)}
     with pytest.raises(RuntimeError):
         graph.cheapest(spark, costs, 0, most=3)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_duplicate_of_equals_brute_force_over_several_blocks(spark, monkeypatch, kind):
+    """Ties go to the least id, null rooms match nothing, zero vectors resemble nothing."""
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    r = np.random.default_rng(3)
+    name = (lambda i: i) if kind == "long" else (lambda i: f"d{i:03d}")
+    rows = [(name(i), "hot" if i % 3 else "b", [float(x) for x in r.integers(-2, 3, 4)]) for i in range(60)]
+    rows += [(name(100), "alone", [1.0, 0.0, 0.0, 0.0]), (name(101), None, [1.0, 0.0, 0.0, 0.0]), (name(102), "hot", [0.0] * 4)]
+    df = spark.createDataFrame(rows, f"id {kind}, room string, embedding array<float>")
+    want = {}
+    for a, room, x in rows:
+        for b, other, y in rows:
+            n = np.linalg.norm(x) * np.linalg.norm(y)
+            s = round(float(np.dot(x, y) / n), 12) if n else 0.0
+            if room is not None and room == other and a != b and s > 0.5:
+                want[a] = min(want[a], (-s, b)) if a in want else (-s, b)
+    got = {x.id: (-round(x.score, 9), x.match) for x in vectors.duplicate_of(df, df, 0.5).collect()}
+    assert got == {k: (round(s, 9), b) for k, (s, b) in want.items()}
+    assert vectors.duplicate_of(df, df.where("false"), 0.5).count() == 0
+
+
+def test_words_split_at_unicode_white_space(spark):
+    from loam.functions import text as T
+
+    x = spark.createDataFrame([("a b　c d\x0be\x85f  g​h",)], "t string")
+    assert x.select(T.words(F.col("t"))).first()[0] == ["a", "b", "c", "d", "e", "f", "g​h"]
+
+
+def test_answers_without_a_good_line(spark):
+    from loam.functions import text as T
+
+    x = spark.createDataFrame([("<think>Let me see what this one is about</think>",), ("<think>Okay</think>  ",), ("",)], "t string")
+    assert [r[0] for r in x.select(T.strip_think(F.col("t"))).collect()] == ["Let me see what this one is about", T.NO_ANSWER, T.NO_ANSWER]
