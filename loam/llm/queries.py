@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import decontam, jaccard, mixing, ppm, qda, quality_rules, sharding, toolcalls, toxicity, warc
+from loam.llm import decontam, jaccard, mixing, ppm, qda, quality_rules, sharding, spelling, toolcalls, toxicity, warc
 from loam.llm.common import crc_bucket, table
 
 #: Byte limit of a shard in op8.
@@ -61,6 +61,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), noise=199)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1,
     "op2_quality_rules": op2,
@@ -72,11 +76,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8,
     "op9_jaccard_join": op9,
     "op10_ppm": op10,
+    "op13_spelling_variants": op13,
 }
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _HASH = "('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || chr(1) || coalesce(text, '')), 1, 15))::BIGINT"
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _crc32(text: str) -> str:
+    """crc32 of a string's UTF-8 bytes: a fold over its bytes (0 to 255) with eight shifts (-1) after each."""
+    steps = f"flatten(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: [('0x' || x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
 SQL: dict[str, str] = {
     # The boundary row is found on the sorted hashes here: a plain statement of what the histograms find.
     "op1_source_mix": f"""
@@ -129,4 +143,18 @@ SELECT o.conv_id, 0::BIGINT AS part, n_messages, coalesce(n_calls, 0)::BIGINT AS
        (n_results - coalesce(n_linked, 0))::BIGINT AS n_orphan, 0::BIGINT AS n_invalid, 0::BIGINT AS n_circular,
        '{"calls":[' || coalesce(cj, '') || '],"conv_id":' || o.conv_id || ',"messages":[' || mj || '],"part":0}' AS json
 FROM o LEFT JOIN k ON k.conv_id = o.conv_id""",
+    # Near words meet here on what is left of them without one character.
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS r FROM documents),
+c AS (SELECT doc_id, r, count(*) AS n FROM t WHERE length(r) >= 6 GROUP BY ALL),
+h AS (SELECT r, n, {_crc32("doc_id || ':' || r")} AS h FROM c),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, (h % length(r))::BIGINT) || substr(r, (h % length(r))::BIGINT + 2) ELSE r END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1),
+v AS (SELECT word, n, length(word) AS l FROM w WHERE length(word) >= 6 AND n >= 5),
+d AS (SELECT DISTINCT word, n, l, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, l + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near, b.n AS m FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT a.word, d.word, d.n FROM v a JOIN d ON d.rest = a.word UNION SELECT d.word, a.word, a.n FROM v a JOIN d ON d.rest = a.word),
+b AS (SELECT word, count(*) AS n_near, min(struct_pack(m := -m, w := near)) AS best FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.m >= 5 * v.n THEN best.w END AS form, CASE WHEN -best.m >= 5 * v.n THEN (-best.m)::BIGINT END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+s AS (SELECT word, word AS at FROM f UNION SELECT s.word, f.form FROM s JOIN f ON f.word = s.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, s.at AS root FROM f JOIN s ON s.word = f.word JOIN f e ON e.word = s.at AND e.form IS NULL""",
 }

@@ -11,7 +11,7 @@ stay bounded however long a document is; only a single word longer than that mak
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,12 +122,13 @@ def _cuts(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = best
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> Words:
+def words(buf: np.ndarray, offsets: np.ndarray, member: Callable[[np.ndarray], np.ndarray] | None = None) -> Words:
+    """Words of each document; member tells which bytes belong to one (white space must not), where they are others than above."""
     starts, ends, hashes = [], [], []
     with np.errstate(over="ignore"):
         for a, b in _cuts(buf, offsets):
             part = buf[a:b]
-            word = ~_SPACE[part]
+            word = ~_SPACE[part] if member is None else member(part)
             cut = offsets[np.searchsorted(offsets, a, side="right") : np.searchsorted(offsets, b, side="left")] - a
             before = np.empty_like(word)
             before[0] = False
