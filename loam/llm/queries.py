@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import decontam, jaccard, mixing, ppm, qda, quality_rules, sharding, spelling, toolcalls, toxicity, warc
+from loam.llm import decontam, jaccard, mixing, periodic, ppm, qda, quality_rules, sharding, spelling, toolcalls, toxicity, warc
 from loam.llm.common import crc_bucket, table
 
 #: Byte limit of a shard in op8.
@@ -61,6 +61,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.runs(table(spark, sf_dir, "documents"), plant=True)
+    out = out.withColumn("top", F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("s"), (-r.period).alias("p")))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.s")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.p")).alias("period"),
+        F.expr("(1000 * top.length) div -top.p").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), noise=199)
 
@@ -76,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8,
     "op9_jaccard_join": op9,
     "op10_ppm": op10,
+    "op12_periodic_runs": op12,
     "op13_spelling_variants": op13,
 }
 
@@ -143,6 +160,21 @@ SELECT o.conv_id, 0::BIGINT AS part, n_messages, coalesce(n_calls, 0)::BIGINT AS
        (n_results - coalesce(n_linked, 0))::BIGINT AS n_orphan, 0::BIGINT AS n_invalid, 0::BIGINT AS n_circular,
        '{"calls":[' || coalesce(cj, '') || '],"conv_id":' || o.conv_id || ',"messages":[' || mj || '],"part":0}' AS json
 FROM o LEFT JOIN k ON k.conv_id = o.conv_id""",
+    # All pairs of equal words in a text, as stretches of equal distance.
+    "op12_periodic_runs": f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w, {_crc32("doc_id::VARCHAR")} AS h FROM documents),
+p AS (SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a, (h // 10) % 8 AS k FROM d),
+t AS (SELECT doc_id, list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + k)) + 1] END) AS w FROM p),
+u AS (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS i FROM t),
+e AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i),
+g AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM e),
+m AS (SELECT doc_id, q, min(i) AS s, max(i) + 1 + q AS e FROM g GROUP BY doc_id, q, isle HAVING max(i) + 1 + q - min(i) >= greatest(12, 2 * q)),
+r AS (SELECT doc_id, s, e - s AS l, min(q) AS q FROM m GROUP BY doc_id, s, e),
+c AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM u WHERE NOT EXISTS (FROM r WHERE r.doc_id = u.doc_id AND u.i >= r.s + r.q AND u.i < r.s + r.l) GROUP BY u.doc_id),
+o AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(s := s, l := l, q := q), struct_pack(l := -l, s := s, q := q)) AS top, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.s::BIGINT AS start, top.l::BIGINT AS length, top.q::BIGINT AS period, (1000 * top.l // top.q)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN o ON o.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id""",
     # Near words meet here on what is left of them without one character.
     "op13_spelling_variants": rf"""
 WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS r FROM documents),
