@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import decontam, jaccard, mixing, periodic, ppm, qda, quality_rules, sharding, spelling, toolcalls, toxicity, warc
+from loam.llm import decontam, jaccard, licenses, mixing, periodic, ppm, qda, quality_rules, sharding, spelling, toolcalls, toxicity, warc
 from loam.llm.common import crc_bucket, table
 
 #: Byte limit of a shard in op8.
@@ -61,6 +61,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases = {f"phrase:{k}": v for k, v in licenses.PHRASES.items()}
+    out = licenses.scan(table(spark, sf_dir, "documents"), phrases | licenses.TEMPLATES)
+    label = lambda m: F.replace(m.template, F.lit("phrase:"), F.lit(""))
+    base = F.filter("matches", lambda m: m.template.startswith("phrase:"))
+    places = F.transform(base, lambda m: m.start)
+    joined = lambda ms: F.array_join(F.array_sort(F.array_distinct(F.transform(ms, label))), ",")
+    return out.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), joined(base).alias("base_labels"), joined(F.col("matches")).alias("labels"), "score")
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = periodic.runs(table(spark, sf_dir, "documents"), plant=True)
     out = out.withColumn("top", F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("s"), (-r.period).alias("p")))))
@@ -92,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8,
     "op9_jaccard_join": op9,
     "op10_ppm": op10,
+    "op11_license_scan": op11,
     "op12_periodic_runs": op12,
     "op13_spelling_variants": op13,
 }
