@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,43 +9,27 @@ from pyspark.sql import functions as F
 from loam.functions import text as T
 from loam.functions.dynamics import clamp
 from loam.lineage import cut
-from loam.operators import gates, novelty, provenance
+from loam.operators import gates, novelty, ordered, provenance
 
 
 def admit(rows: DataFrame, min_novelty: float = gates.MIN_NOVELTY, max_share: float = gates.MAX_SOURCE_SHARE) -> DataFrame:
     """Ordered admission of rows (seq, source, title, confidence): adds accepted, reason-free novelty, quality, tier, pheromone.
 
-    What a row's fate depends on is narrowed before anything is ordered: the stateless gates, and the similar earlier
-    rows (a prefix-filtered join), without which novelty cannot fail.  Only (seq, source, similar earlier rows) of the rows
-    that pass the stateless gates go through the sequential resolver; texts don't.  It keeps one flag per row, and is the
-    one step that its semantics make sequential (the source share is a running share of all rows accepted so far).
+    A row's fate depends on the stateless gates, on similar accepted rows before it, without which novelty cannot fail, and on
+    its source's share of all rows accepted before.  The gates are expressions, similar rows come from a prefix-filtered join of
+    distinct word-pair sets, and ordered.admitted() decides in rounds on (place, source, class) and the links between classes.
     """
     ok = gates.static_gates(rows).where("pass")
+    members, points = novelty.classes(novelty.hashed(ok, "seq", T.bigrams(T.words(F.col("title")))))
     # candidates with some slack; the decision is on the same number as the novelty itself
-    cand = novelty.jaccard_pairs(ok, "seq", T.bigrams(T.words(F.col("title"))), max(1 - min_novelty - 1e-9, 0.0)).where(1 - F.col("jaccard") < min_novelty)
-    similar = cand.groupBy(F.col("b").alias("seq")).agg(F.collect_list("a").alias("similar"))
-    slim = ok.select("seq", "source", (T.word_count(F.col("title")) < 2).alias("short")).join(similar, "seq", "left")
-
-    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        accepted: set[int] = set()
-        per: dict[str, int] = {}
-        n = 0
-        for pdf in batches:
-            out = []
-            for seq, source, short, sim in zip(pdf.seq, pdf.source, pdf.short, pdf.similar, strict=True):
-                fine = n == 0 or per.get(source, 0) / n < max_share
-                if n and short:
-                    fine &= 0.5 >= min_novelty
-                elif sim is not None:
-                    fine &= not any(int(s) in accepted for s in sim)
-                if fine:
-                    accepted.add(int(seq))
-                    per[source] = per.get(source, 0) + 1
-                    n += 1
-                out.append(fine)
-            yield pd.DataFrame({"seq": pdf.seq, "accepted": out})
-
-    done = slim.repartition(1).sortWithinPartitions("seq").mapInPandas(resolve, "seq long, accepted boolean")
+    near = cut(novelty.class_pairs(points, max(1 - min_novelty - 1e-9, 0.0)).where(1 - F.col("jaccard") < min_novelty).select("a", "b"))
+    links = near.toDF("x", "y").union(near.select("b", "a"))
+    slim = ordered.numbered(members.join(ok.select(F.col("seq").alias("id"), "source", (T.word_count(F.col("title")) < 2).alias("short")), "id"), "id")
+    if min_novelty > 0.5:  # the novelty of titles without a word pair
+        slim = slim.where("not short or place = 0")
+    slim = cut(slim)
+    chosen = ordered.admitted(slim.select("place", "source", "cls"), links, max_share)
+    done = slim.join(chosen, "place", "left_semi").select(F.col("id").alias("seq"), F.lit(True).alias("accepted"))
     state = rows.join(cut(done), "seq", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
     nov = novelty.max_jaccard(state.where("accepted"), "seq", "title").withColumnRenamed("id", "seq")
     out = state.join(nov, "seq", "left")
@@ -114,22 +95,29 @@ def health(corpus: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- batches
 
 
-def _weighted(weight: Column, seed: int) -> Column:
-    """Key of weighted sampling without replacement: the k greatest of u ** (1 / w) (Efraimidis & Spirakis), as a logarithm."""
-    return F.log(F.rand(seed)) / F.greatest(weight, F.lit(1e-12))
+def draw(id_col: str | Column, seed: int) -> Column:
+    """A number in (0, 1) for each id: 52 bits of MD5 over seed and id.  It depends on nothing else, neither on the order of rows
+    nor on partitions, and SQL can state it."""
+    key = F.concat(F.lit(f"{seed}:"), (F.col(id_col) if isinstance(id_col, str) else id_col).cast("string"))
+    return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
 def sample(corpus: DataFrame, strategy: str, k: int, seed: int = 42, temperature: float = 0.5) -> DataFrame:
-    """k rows (fewer if the corpus has fewer, or after removal of repeats in "mixed")."""
+    """k rows (fewer if the corpus has fewer, or after removal of repeats in "mixed"), the same for the same seed.
+
+    Weighted draws without replacement are the k least of waiting times -ln(u) / weight (Efraimidis & Spirakis, 2006), u by id:
+    a top-k of each task and of those, no sort.  Weights of 0 come last, by u; if all are 0, or their sum is, u alone decides.
+    "stigmergic" weighs by exp(pheromone / temperature), taken as logarithms so that nothing overflows.
+    """
+    wait = -F.log(draw("id", seed))
     if strategy == "curriculum":
         return corpus.orderBy("tier", "id").limit(k)
     if strategy == "uniform":
-        return corpus.orderBy(F.rand(seed)).limit(k)
+        return corpus.orderBy(draw("id", seed), "id").limit(k)
     if strategy == "pheromone":
-        return corpus.orderBy(_weighted(F.col("pheromone"), seed).desc()).limit(k)
+        return corpus.orderBy(F.when(F.col("pheromone") > 0, wait / F.col("pheromone")).otherwise(float("inf")), wait.desc(), "id").limit(k)
     if strategy == "stigmergic":
-        gumbel = -F.log(-F.log(F.rand(seed)))
-        return corpus.orderBy((F.col("pheromone") / max(temperature, 0.01) + gumbel).desc()).limit(k)
+        return corpus.orderBy(F.log(wait) - F.col("pheromone") / max(temperature, 0.01), "id").limit(k)
     if strategy == "mixed":
         m = round(0.6 * k)
         return sample(corpus, "pheromone", m, seed).unionByName(sample(corpus, "uniform", k - m, seed + 1)).dropDuplicates(["id"])

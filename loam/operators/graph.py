@@ -1,17 +1,22 @@
-"""Path search over relation edges: best-first per query, and least-cost relaxation as joins."""
+"""Path search over relation edges: best-first searches of many queries side by side, greedy walks, least-cost relaxation."""
 
 from __future__ import annotations
 
 import heapq
 import math
+import pickle
+import re
 from collections.abc import Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.functions import dynamics as D
-from loam.lineage import cut
+from loam.functions import vector as V
+from loam.lineage import cut, drop
 
 
 def _cos(a, b) -> float:
@@ -26,12 +31,17 @@ def _factor(e: Mapping) -> float:
 
 
 def best_first(start, goal, edges: dict, vectors: dict, degree: dict, most: int = 1000, weights=(0.4, 0.3, 0.3)) -> dict | None:
-    """Path, relations, cost and steps; None if there is none or the search takes more than ``most`` steps.
+    """Path, relations, cost, steps and counts of one search in plain Python, for small graphs and as astar()'s measure; None if
+    there is no path, an end is unknown, or more than ``most`` labels are taken.
 
     A node is opened again only if it is reached for less by over 1e-6.  The heuristic may overestimate, so the path need
     not be the cheapest.
     """
     a, b, c = weights
+    if start not in vectors or goal not in vectors:
+        return None
+    if start == goal:
+        return {"path": [start], "relations": [], "cost": 0.0, "steps": [], "iterations": 0, "expanded": 0}
 
     def h(x) -> float:
         s = _cos(vectors.get(x), vectors.get(goal))
@@ -41,9 +51,15 @@ def best_first(start, goal, edges: dict, vectors: dict, degree: dict, most: int
 
     best, came = {start: 0.0}, {}
     queue = [(h(start), start, 0.0)]
-    rounds = 0
+    rounds = expanded = 0
     while queue:
         f, node, g = heapq.heappop(queue)
+        rounds += 1
+        if rounds > most:
+            return None
+        if g > best.get(node, math.inf) + 1e-6:
+            continue
+        expanded += 1
         if node == goal:
             steps, at = [], goal
             while at in came:
@@ -51,12 +67,7 @@ def best_first(start, goal, edges: dict, vectors: dict, degree: dict, most: int
                 steps.append((at, e["relation"], gg, h(at)))
                 at = prev
             steps.reverse()
-            return {"path": [start] + [s[0] for s in steps], "relations": [s[1] for s in steps], "cost": g, "steps": [{"node": n, "g": x, "h": y, "f": x + y} for n, _, x, y in steps], "iterations": rounds}
-        rounds += 1
-        if rounds > most:
-            return None
-        if g > best.get(node, math.inf) + 1e-6:
-            continue
+            return {"path": [start] + [s[0] for s in steps], "relations": [s[1] for s in steps], "cost": g, "steps": [{"node": n, "g": x, "h": y, "f": x + y} for n, _, x, y in steps], "iterations": rounds, "expanded": expanded}
         for e in edges.get(node, ()):
             to = e["to_id"]
             if to not in vectors:
@@ -88,42 +99,176 @@ def navigate(start, goal, edges: dict, vectors: dict, degree: dict, pheromone: d
     return found["path"] if found else greedy_walk(start, goal, edges, vectors, pheromone, max_steps)
 
 
-def astar_batch(queries: DataFrame, kg: DataFrame, vectors: DataFrame, hops: int | None = None, most: int = 1000) -> DataFrame:
-    """queries (qid, start, goal) -> (qid, found, path, cost): each query searches the part of the graph that its start reaches,
-    gathered by joins until no new node appears, in a task of its own.  hops: for a smaller part on purpose.  A search of
-    ``most`` steps gets no farther than as many edges."""
-    # of parallel edges only the cheapest can be on a path: the rest of an edge's cost depends on its end alone
-    part = 0.3 * (1 - D.pheromone_factor(F.col("success"), F.col("recency"), F.col("traversal"))) + 0.3 * D.structural_cost(F.col("relation"))
-    best = F.min_by(F.struct("relation", "success", "traversal", "recency"), F.struct(part, "relation")).alias("e")
-    e = kg.groupBy("from_id", "to_id").agg(best).select("from_id", "to_id", "e.*")
-    e = cut(e)
-    near = front = cut(queries.select("qid", F.col("start").alias("node")).distinct())
-    step = e.select(F.col("from_id").alias("node"), "to_id").distinct()
-    for _ in range(most if hops is None else hops):
-        out = front.join(step, "node").select("qid", F.col("to_id").alias("node")).distinct()
-        front = cut(out.join(near, ["qid", "node"], "left_anti"))
-        if front.isEmpty():
+#: Open labels of a search whose edges a round fetches.
+WINDOW = 32
+#: Weights of nearness to the goal, deposits and kind of relation in an edge's cost.
+WEIGHTS = (0.4, 0.3, 0.3)
+
+
+def _tables(queries: DataFrame, kg: DataFrame, vectors: DataFrame, weights: tuple[float, float, float]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges (node, to, base, relation), of parallel ones the cheapest; places (to, v, degree); and the searches whose ends are
+    places (qid, start, goal, gv, v, degree)."""
+    _, b, c = weights
+    base = b * (1 - D.pheromone_factor(F.col("success"), F.col("recency"), F.col("traversal"))) + c * D.structural_cost(F.col("relation"))
+    edges = kg.select("from_id", "to_id", base.alias("base"), "relation").groupBy("from_id", "to_id").agg(F.min(F.struct("base", "relation")).alias("e"))
+    deg = kg.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("to")).groupBy("to").agg(F.count("*").alias("degree"))
+    places = cut(vectors.select(F.col("id").alias("to"), F.col("embedding").alias("v")).join(deg, "to", "left").withColumn("degree", F.coalesce("degree", F.lit(0))))
+    ends = queries.join(places.select(F.col("to").alias("goal"), F.col("v").alias("gv")), "goal").join(places.withColumnRenamed("to", "start"), "start")
+    return cut(edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("to"), "e.base", "e.relation")), places, ends
+
+
+def astar(queries: DataFrame, kg: DataFrame, vectors: DataFrame, most: int = 1000, weights: tuple[float, float, float] = WEIGHTS, window: int = WINDOW) -> DataFrame:
+    """queries (qid, start, goal) -> (qid, found, path, cost, iterations, expanded, steps), all searches side by side.
+
+    Each search takes its labels (a node, its cost g and distance estimate h) in order of g + h, as best_first() does, so the
+    heuristic may overestimate and the result is the same.  A search is a row that holds its open and its taken labels; no more
+    than ``most`` labels are ever taken, so of the open ones only as many as may still be taken are kept, and a row is bounded
+    whatever the graph.  A round fetches the edges of each search's ``window`` first open labels in one join, of a hub only those
+    that may matter, and goes on until a label's edges are not among them.  The graph is never gathered for a search.
+
+    found is false for unknown starts and goals (those without a vector), without a path, and after ``most`` labels.  steps
+    (node, relation, g, h, f) follow the path, the start excluded.  Of parallel edges only the cheapest takes part.  Edges to
+    nodes without a vector are dropped.
+    """
+    edges, places, ends = _tables(queries, kg, vectors, weights)
+    near = V.cosine(F.col("v"), F.col("gv"))
+    h = D.heuristic(near, F.col("degree"))
+    kind = queries.schema["start"].dataType.simpleString()
+    qkind = queries.schema["qid"].dataType.simpleString()
+    goals = cut(ends.select("qid", "start", "goal", "gv", h.alias("h0")))
+    shape = f"array<struct<node:{kind},relation:string,g:double,h:double,f:double>>"
+    told = f"found boolean, path array<{kind}>, cost double, iterations long, expanded long, steps {shape}"
+    state = cut(goals.select("qid", "start", "goal", "h0", F.lit(None).cast("binary").alias("held"), F.array("start").alias("asked")))
+    ended = []
+    while True:
+        asked = state.select("qid", F.explode("asked").alias("node"))
+        out = asked.join(edges, "node").join(places, "to").join(goals.select("qid", "gv"), "qid")
+        out = out.select("qid", F.col("node").alias("parent"), F.col("to").alias("node"), (weights[0] * (1 - near) + F.col("base")).alias("step"), h.alias("h"), "relation")
+        best = W.partitionBy("qid", "parent").orderBy(F.col("step") + F.col("h"), "node")
+        out = out.withColumn("k", F.row_number().over(best)).where(F.col("k") <= most + 1).drop("k")
+        both = state.unionByName(out, allowMissingColumns=True)
+        state = cut(both.groupBy("qid").applyInPandas(_search(most, window), f"qid {qkind}, start {kind}, goal {kind}, h0 double, held binary, asked array<{kind}>, {told}"))
+        done, left = state.agg(F.count_if(F.col("held").isNull()), F.count_if(F.col("held").isNotNull())).first()
+        if done:
+            ended.append(state.where("held is null").select("qid", "found", "path", "cost", "iterations", "expanded", "steps"))
+        if not left:
             break
-        near = cut(near.unionByName(front))
-    deg = kg.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    part = near.join(e.withColumnRenamed("from_id", "node"), "node", "left")
-    nodes = near.unionByName(queries.select("qid", F.col("goal").alias("node"))).distinct().join(vectors.select(F.col("id").alias("node"), "embedding"), "node").join(deg, "node", "left")
-    rows = part.select("qid", F.col("node").alias("from_id"), "to_id", "relation", "success", "traversal", "recency", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("long").alias("degree"), F.lit(None).cast("long").alias("goal")).where("to_id is not null")
-    rows = rows.unionByName(nodes.select("qid", F.col("node").alias("from_id"), F.lit(None).cast("long").alias("to_id"), F.lit(None).cast("string").alias("relation"), *[F.lit(None).cast("double").alias(c) for c in ("success", "traversal", "recency")], "embedding", F.col("degree").cast("long").alias("degree"), F.lit(None).cast("long").alias("goal")))
-    rows = rows.unionByName(queries.select("qid", F.col("start").alias("from_id"), F.lit(None).cast("long").alias("to_id"), F.lit(None).cast("string").alias("relation"), *[F.lit(None).cast("double").alias(c) for c in ("success", "traversal", "recency")], F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("long").alias("degree"), "goal"))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf[pdf.goal.notna()].iloc[0]
-        v = pdf[pdf.embedding.notna()]
-        vec = {int(r.from_id): r.embedding for r in v.itertuples()}
-        degree = {int(r.from_id): (0 if pd.isna(r.degree) else int(r.degree)) for r in v.itertuples()}
-        edges: dict = {}
-        for r in pdf[pdf.to_id.notna()].sort_values(["from_id", "to_id", "relation"]).itertuples():
-            edges.setdefault(int(r.from_id), []).append({"to_id": int(r.to_id), "relation": r.relation, "success": r.success, "traversal": r.traversal, "recency": r.recency})
-        got = best_first(int(q.from_id), int(q.goal), edges, vec, degree, most)
-        return pd.DataFrame([{"qid": int(q.qid), "found": got is not None, "path": got["path"] if got else [], "cost": got["cost"] if got else None}])
-
-    return rows.groupBy("qid").applyInPandas(search, "qid long, found boolean, path array<long>, cost double")
+        state = state.where("held is not null").select("qid", "start", "goal", "h0", "held", "asked")
+    if not ended:
+        ended = [queries.limit(0).select("qid", *[F.lit(None).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in re.split(r", (?=\w+ )", told))])]
+    out = queries.select("qid").join(reduce(DataFrame.unionByName, ended), "qid", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    return out.select("qid", F.coalesce("found", F.lit(False)).alias("found"), none("path", f"array<{kind}>"), "cost", zero("iterations"), zero("expanded"), none("steps", shape))
+
+
+def _search(most: int, window: int):
+    """Goes on with one search as far as its edges are here."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf[pdf.goal.notna()].iloc[0]
+        kids: dict = {}
+        for r in pdf[pdf.goal.isna()].itertuples():
+            kids.setdefault(r.parent, []).append((r.node, r.step, r.h, r.relation))
+        plain = lambda x: x.item() if hasattr(x, "item") else x
+        start, goal, known = plain(row.start), plain(row.goal), {plain(x) for x in row.asked}
+        if pdf.start.dtype.kind == "f":  # longs beside nulls
+            start, goal = int(start), int(goal)
+            kids = {int(k): [(int(n), *x) for n, *x in v] for k, v in kids.items()}
+        queue, best, came, taken, rounds, expanded = pickle.loads(row.held) if row.held is not None else ([(row.h0, start, 0.0)], {start: 0.0}, {}, set(), 0, 0)
+        told = {"held": None, "asked": [], "found": False, "path": [], "cost": None, "steps": []}
+        if start == goal:
+            queue, told = [], told | {"found": True, "path": [start], "cost": 0.0}
+        while queue:
+            f, node, g = queue[0]
+            stale = g > best.get(node, math.inf) + 1e-6
+            if not stale and node != goal and node not in known:
+                queue = heapq.nsmallest(most - rounds + 1, queue)
+                taken_or_open = taken | {x[1] for x in queue}
+                keep = lambda d: {k: v for k, v in d.items() if k in taken_or_open}  # noqa: B023, E731
+                told["held"] = pickle.dumps((queue, keep(best), keep(came), taken, rounds, expanded))
+                told["asked"] = list(dict.fromkeys(n for _, n, x in queue if n != goal and x <= best[n] + 1e-6))[:window]
+                break
+            heapq.heappop(queue)
+            rounds += 1
+            if rounds > most:
+                break
+            if stale:
+                continue
+            expanded += 1
+            if node == goal:
+                steps, at = [], goal
+                while at != start:
+                    at0, relation, gg, hh = came[at]
+                    steps.append({"node": at, "relation": relation, "g": gg, "h": hh, "f": gg + hh})
+                    at = at0
+                steps.reverse()
+                told |= {"found": True, "path": [start] + [x["node"] for x in steps], "cost": g, "steps": steps}
+                break
+            taken.add(node)
+            for to, step, h, relation in kids.get(node, ()):
+                if g + step < best.get(to, math.inf) - 1e-6:
+                    best[to] = g + step
+                    came[to] = (node, relation, g + step, h)
+                    heapq.heappush(queue, (g + step + h, to, g + step))
+        return pd.DataFrame([{"qid": row.qid, "start": start, "goal": goal, "h0": row.h0, **told, "iterations": rounds, "expanded": expanded}])
+
+    return run
+
+
+def least_costs(queries: DataFrame, kg: DataFrame, vectors: DataFrame, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+    """queries (qid, start, goal) -> (qid, found, cost): the least cost of any path, with astar()'s costs and no heuristic.
+
+    Order does not matter here, so a round goes on from all labels that became cheaper and are cheaper than their goal's, and
+    ends when there are none.  A label is a row; edges, labels and vectors meet in joins, whatever a search reaches.
+    """
+    edges, places, ends = _tables(queries, kg, vectors, weights)
+    goals = cut(ends.select("qid", "start", "goal", "gv"))
+    best = cut(goals.select("qid", F.col("start").alias("node"), F.lit(0.0).alias("g"), F.lit(True).alias("open")))
+    while True:
+        top = goals.select("qid", F.col("goal").alias("node")).join(best, ["qid", "node"]).select("qid", F.col("g").alias("top"))
+        front = best.where("open").join(top, "qid", "left").where("top is null or g < top").select("qid", "node", "g")
+        out = front.join(edges, "node").join(places, "to").join(goals.select("qid", "gv"), "qid")
+        step = weights[0] * (1 - V.cosine(F.col("v"), F.col("gv"))) + F.col("base")
+        new = out.groupBy("qid", F.col("to").alias("node")).agg(F.min(F.col("g") + step).alias("new"))
+        j = best.drop("open").join(new, ["qid", "node"], "full")
+        less = F.col("new").isNotNull() & (F.col("g").isNull() | (F.col("new") < F.col("g") - 1e-12))
+        nxt = cut(j.select("qid", "node", F.least("g", "new").alias("g"), less.alias("open")))
+        drop(best)
+        best = nxt
+        if best.where("open").isEmpty():
+            break
+    hit = goals.select("qid", F.col("goal").alias("node")).join(best, ["qid", "node"]).select("qid", F.col("g").alias("cost"))
+    return queries.select("qid").join(hit, "qid", "left").select("qid", F.col("cost").isNotNull().alias("found"), "cost")
+
+
+def walks(queries: DataFrame, kg: DataFrame, vectors: DataFrame, pheromone: DataFrame, most: int = 20) -> DataFrame:
+    """queries (qid, start, goal), pheromone (id, value) -> (qid, path): greedy walks, a step of all of them a round.
+
+    Each goes to the unvisited neighbour nearest to its goal, deposits counting as nearness (of equal ones to the least id), and
+    ends at the goal, without such a neighbour, or after ``most`` steps.  A path holds at most that many nodes.
+    """
+    edges = cut(kg.select(F.col("from_id").alias("node"), F.col("to_id").alias("to")).distinct())
+    places = cut(vectors.select(F.col("id").alias("to"), F.col("embedding").alias("v")).join(pheromone.select(F.col("id").alias("to"), "value"), "to", "full"))
+    at = queries.join(places.select(F.col("to").alias("goal"), F.col("v").alias("gv")), "goal", "left").select("qid", "goal", "gv", F.col("start").alias("node"), F.array("start").alias("path"))
+    at, ends = cut(at), []
+    for _ in range(most):
+        on = at.where(~F.coalesce(F.col("node") == F.col("goal"), F.lit(False)))
+        far = 1 - F.coalesce(V.cosine(F.col("v"), F.col("gv")), F.lit(0.0)) - 0.2 * F.coalesce("value", F.lit(0.0))
+        near = on.join(edges, "node").where(~F.array_contains("path", F.col("to"))).join(places, "to", "left").groupBy("qid").agg(F.min(F.struct(far.alias("far"), "to")).alias("best"))
+        step = cut(at.join(near, "qid", "left"))
+        ends.append(step.where("best is null").select("qid", "path"))
+        at = step.where("best is not null").select("qid", "goal", "gv", F.col("best.to").alias("node"), F.concat("path", F.array("best.to")).alias("path"))
+        if at.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, ends).unionByName(at.select("qid", "path")) if ends else at.select("qid", "path")
+
+
+def navigate_all(queries: DataFrame, kg: DataFrame, vectors: DataFrame, pheromone: DataFrame, max_steps: int = 20) -> DataFrame:
+    """(qid, path): astar() of ten labels a step, and for what it does not find a greedy walk."""
+    got = cut(astar(queries, kg, vectors, max_steps * 10).select("qid", "found", "path"))
+    lost = queries.join(got.where("not found").select("qid"), "qid", "left_semi")
+    return got.where("found").select("qid", "path").unionByName(walks(lost, kg, vectors, pheromone, max_steps))
 
 
 def cheapest(spark: SparkSession, costs: DataFrame, start, most: int | None = None) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loam.functions import text as T
 from loam.functions.dynamics import clamp
+from loam.lineage import cut
+from loam.operators import novelty, ordered
 from loam.sources import readers
 
 MIN_CONFIDENCE, MIN_NOVELTY, MAX_PER_CYCLE = 0.3, 0.30, 100
@@ -27,36 +27,26 @@ def orient(observations: DataFrame, numeric_body: str = "content", text: str = "
 def decide(hypotheses: DataFrame, known: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_novelty: float = MIN_NOVELTY) -> DataFrame:
     """hypotheses (seq, cause, effect, confidence), known (title) -> accepted (seq, title, confidence, novelty, quality).
 
-    Confidence, emptiness and exact repeats are decided by expressions.  The distinct titles left go in order through one
-    task that keeps the accepted words as an inverted index: novelty is against all that was accepted before.
+    Confidence, emptiness and exact repeats are decided by expressions.  Titles that resemble a known one are out; those that
+    resemble each other meet in a join on their rarest words, and of them the earlier one stays, in rounds (ordered.blocked).
+    An accepted title's novelty is against all that is known or was accepted before.
     """
     title = F.concat_ws(" → ", "cause", "effect")
     ok = hypotheses.where((F.col("confidence") >= min_confidence) & (F.col("cause") != "") & (F.col("effect") != "")).withColumn("title", title)
     first = ok.withColumn("__r", F.row_number().over(W.partitionBy("title").orderBy("seq"))).where("__r = 1").join(known.select("title").distinct(), "title", "left_anti")
-    both = known.select(F.lit(-1).cast("long").alias("seq"), "title", F.lit(0.0).alias("confidence")).unionByName(first.select(F.col("seq").cast("long").alias("seq"), "title", F.col("confidence").cast("double").alias("confidence")))
-
-    def resolve(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sizes: list[int] = []
-        where: dict[str, list[int]] = {}
-        for pdf in it:
-            out = []
-            for seq, t, conf in zip(pdf.seq, pdf.title, pdf.confidence, strict=True):
-                words = t.split()
-                hits: dict[int, int] = {}
-                for x in words:
-                    for j in where.get(x, ()):
-                        hits[j] = hits.get(j, 0) + 1
-                nov = 1 - max((2 * c / (len(words) + sizes[j]) for j, c in hits.items()), default=0.0)
-                if seq >= 0 and nov < min_novelty:
-                    continue
-                for x in set(words):
-                    where.setdefault(x, []).append(len(sizes))
-                sizes.append(len(words))
-                if seq >= 0:
-                    out.append((seq, t, conf, nov))
-            yield pd.DataFrame(out, columns=["seq", "title", "confidence", "novelty"])
-
-    got = both.repartition(1).sortWithinPartitions("seq", "title").mapInPandas(resolve, "seq long, title string, confidence double, novelty double")
+    words = F.transform(T.words(F.col("title")), lambda w: F.xxhash64(w)).alias("g")
+    old = known.select("title").distinct().select((-1 - F.monotonically_increasing_id()).alias("id"), words)  # before all others
+    lists = cut(first.select(F.col("seq").cast("long").alias("id"), words).unionByName(cut(old)))
+    links = cut(novelty.dice_links(lists, 1 - min_novelty - 1e-9).where("b >= 0"))
+    out = cut(links.where("a < 0").select(F.col("b").alias("node")).distinct())
+    left = links.where("a >= 0").join(out.toDF("a"), "a", "left_anti").join(out.toDF("b"), "b", "left_anti")
+    out = out.union(ordered.blocked(left))
+    kept = lists.join(out.toDF("id"), "id", "left_anti")
+    told = lambda x, g: x.select("id", g.alias("g"), F.size("g").cast("long").alias("n"))
+    kept = cut(kept)
+    best = novelty.best_match(told(kept.where("id >= 0"), F.col("g")), told(kept, F.array_distinct("g")), "dice", earlier=True)
+    took = kept.where("id >= 0").select(F.col("id").alias("seq")).join(best.toDF("seq", "best"), "seq", "left").select("seq", (1 - F.coalesce("best", F.lit(0.0))).alias("novelty"))
+    got = first.select(F.col("seq").cast("long").alias("seq"), "title", F.col("confidence").cast("double").alias("confidence")).join(took, "seq")
     return got.withColumn("quality", clamp(0.6 * F.col("confidence") + 0.4 * F.col("novelty"), 0.0, 1.0))
 
 

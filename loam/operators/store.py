@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from loam.functions import dynamics as D
 from loam.functions import text as T
 from loam.functions import vector as V
+from loam.lineage import cut
+from loam.operators import ordered, vectors
 
 # Relations that contradict each other.
 OPPOSITES = [("supports", "contradicts"), ("confirms", "refutes"), ("causes", "prevents"), ("increases", "decreases")]
@@ -58,34 +60,25 @@ def insert_drawers(drawers: DataFrame, rooms: DataFrame, new: DataFrame, dim: in
 
 
 def insert_unique(drawers: DataFrame, rooms: DataFrame, new: DataFrame, threshold: float = 0.85) -> tuple[DataFrame, DataFrame]:
-    """As insert_drawers() for rows that nothing of their room, nor an earlier new row, resembles above threshold.
+    """As insert_drawers() for rows that nothing of their room, nor an earlier new row, resembles above threshold (0 or more).
 
-    The rooms are independent: each is decided in order on its own, in one group per room.
+    Rows of equal vectors are one class: only its first can be new.  Classes that a drawer resembles are out; the others meet in
+    pairs of blocks of their room, and of those that resemble each other the earlier one stays, in rounds (ordered.blocked).
     """
-    import numpy as np
-    import pandas as pd
-
     r = rooms.select(F.col("id").alias("room_id"))
-    good = new.join(r, "room_id", "left_semi").withColumn("embedding", V.hashed_ngram_udf()("content"))
-    old = drawers.join(good.select("room_id").distinct(), "room_id", "left_semi").select(F.lit(None).cast("long").alias("seq"), "room_id", "embedding")
-    both = old.unionByName(good.select(F.col("seq").cast("long").alias("seq"), "room_id", "embedding"))
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors = [np.asarray(x, float) for x in pdf[pdf.seq.isna()].embedding]
-        out = []
-        for row in pdf[pdf.seq.notna()].sort_values("seq").itertuples():
-            v = np.asarray(row.embedding, float)
-            n = np.sqrt((v * v).sum())
-            m = np.array(vectors) if vectors else np.zeros((0, len(v)))
-            s = (m @ v) / np.maximum(np.sqrt((m * m).sum(1)) * n, 1e-16) if len(m) else np.zeros(0)
-            fresh = not len(s) or s.max() <= threshold
-            if fresh:
-                vectors.append(v)
-            out.append((int(row.seq), bool(fresh)))
-        return pd.DataFrame(out, columns=["seq", "is_new"])
-
-    told = both.groupBy("room_id").applyInPandas(decide, "seq long, is_new boolean")
-    keep = good.drop("embedding").join(told.where("is_new"), "seq", "left_semi")
+    made = cut(new.join(r, "room_id", "left_semi").select(F.col("seq").cast("long").alias("id"), F.col("room_id").alias("room"), V.hashed_ngram_udf()("content").alias("embedding")))
+    zero = F.forall("embedding", lambda x: x == 0)  # resembles nothing
+    same = F.min("id").over(W.partitionBy("room", F.xxhash64("embedding"), F.xxhash64(F.lit(7), F.col("embedding"))).orderBy("id"))
+    made = cut(made.withColumn("cls", F.when(zero, F.col("id")).otherwise(same)))
+    points = made.where("id = cls").drop("cls")
+    old = drawers.where(F.col("embedding").isNotNull()).select((-1 - F.monotonically_increasing_id()).alias("id"), F.col("room_id").alias("room"), "embedding")
+    out = cut(vectors.duplicate_of(points, old, threshold).select(F.col("id").alias("node")))
+    free = points.join(out.toDF("id"), "id", "left_anti")
+    links = vectors.pairs(cut(free), threshold, within="room")
+    out = out.union(ordered.blocked(links))
+    told = made.join(out.withColumn("lost", F.lit(True)), F.col("id") == F.col("node"), "left").select(F.col("id").alias("seq"), ((F.col("id") == F.col("cls")) & F.col("lost").isNull()).alias("is_new"))
+    told = cut(told)
+    keep = new.join(told.where("is_new"), "seq", "left_semi")
     return insert_drawers(drawers, rooms, keep)[0], told
 
 

@@ -38,43 +38,48 @@ def hybrid_search(rows: DataFrame, query: str, query_vector: Column, k: int, id_
 
 
 def _unit(x: pa.Array) -> np.ndarray:
-    m = np.array(x.to_pylist(), np.float64)
+    """Rows of unit length; zero vectors stay.  All vectors have one length."""
+    x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+    m = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
     s = np.sqrt((m * m).sum(1, keepdims=True))
     return np.where(s >= 1e-8, m / np.maximum(s, 1e-8), 0.0)
 
 
-def pairs(rows: DataFrame, threshold: float, both: bool = False, cells: int | None = None, group: str | None = None) -> DataFrame:
-    """(a, b, cosine) of all pairs with cosine > threshold, a < b (or both orders); rows (id, embedding[, group]).
+def pairs(rows: DataFrame, threshold: float, both: bool = False, group: str | None = None, within: str | None = None) -> DataFrame:
+    """(a, b, cosine) of all pairs with cosine > threshold, a < b (or both orders); rows (id, embedding[, group or within]).
 
     Rows are dealt into c blocks, and the c (c + 1) / 2 pairs of blocks into tasks: each task multiplies two matrices, so a
-    row goes to c tasks and nowhere are pairs below the threshold made into rows.  With ``group`` only rows of unequal
-    groups pair.
+    row goes to c tasks and nowhere are pairs below the threshold made into rows.  With ``group`` only rows of unequal groups
+    pair, with ``within`` only rows of one (null is none); its rows are dealt into blocks of their own, a large one into many.
     """
-    n = rows.count()
-    c = cells or max(1, -(-n // BLOCK))
-    r = rows.select("id", F.col("embedding").cast("array<float>").alias("v"), (F.col(group) if group else F.lit(None)).cast("string").alias("g"), F.pmod(F.xxhash64("id"), F.lit(c)).cast("int").alias("c"))
-    other = F.sequence(F.lit(0), F.lit(c - 1))
-    spread = r.select("id", "v", "g", "c", F.explode(other).alias("o")).withColumn("cell", F.least("c", "o") * c + F.greatest("c", "o"))
+    kind = rows.schema["id"].dataType.simpleString()
+    name = F.col(within).cast("string") if within else F.lit("")
+    r = rows.select("id", F.col("embedding").cast("array<float>").alias("v"), (F.col(group) if group else F.lit(None)).cast("string").alias("g"), name.alias("w"))
+    sizes = r.where("w is not null").groupBy("w").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("c"))
+    r = r.join(sizes, "w").withColumn("i", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
+    spread = r.select("w", "id", "v", "g", "i", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("o")).withColumns({"lo": F.least("i", "o"), "hi": F.greatest("i", "o")})
 
     def multiply(table: pa.Table) -> pa.Table:
-        cell = table.column("cell")[0].as_py()
-        own = table.column("c").to_numpy()
-        left = table.filter(pa.array(own == cell // c)).combine_chunks()
-        right = table.filter(pa.array(own == cell % c)).combine_chunks()
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        own = table.column("i").to_numpy()
+        left = table.filter(pa.array(own == lo)).combine_chunks()
+        right = table.filter(pa.array(own == hi)).combine_chunks()
+        ids = table.schema.field("id").type
         if not left.num_rows or not right.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+            return pa.table({"a": pa.array([], ids), "b": pa.array([], ids), "cosine": pa.array([], pa.float64())})
         s = np.clip(_unit(left.column("v")) @ _unit(right.column("v")).T, -1, 1)
         keep = s > threshold
-        ia, ib = left.column("id").to_numpy(), right.column("id").to_numpy()
-        if cell // c == cell % c:
-            keep &= ia[:, None] < ib[None, :]
+        if lo == hi:
+            keep &= np.triu(np.ones(s.shape, bool), 1)
         if group:
-            keep &= np.array(left.column("g").to_pylist(), object)[:, None] != np.array(right.column("g").to_pylist(), object)[None, :]
+            code = pc.fill_null(pa.concat_arrays([*left.column("g").chunks, *right.column("g").chunks]).dictionary_encode().indices, -1).to_numpy()
+            keep &= code[: len(s), None] != code[None, len(s) :]
         i, j = np.nonzero(keep)
-        a, b = ia[i], ib[j]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": s[i, j]})
+        x, y = left.column("id").take(pa.array(i)), right.column("id").take(pa.array(j))
+        swap = pc.greater(x, y)
+        return pa.table({"a": pc.if_else(swap, y, x), "b": pc.if_else(swap, x, y), "cosine": s[i, j]})
 
-    out = spread.groupBy("cell").applyInArrow(multiply, "a long, b long, cosine double")
+    out = spread.groupBy("w", "lo", "hi").applyInArrow(multiply, f"a {kind}, b {kind}, cosine double")
     return out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")) if both else out
 
 

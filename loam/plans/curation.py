@@ -89,9 +89,14 @@ def batch_effects(spark: SparkSession, d: str) -> DataFrame:
     return corpus.dispatch(table(spark, d), "curriculum", 32)[2].select("id", "samples", r6(F.col("pheromone"), "pheromone"))
 
 
-@query()
+_DRAW = "(('0x' || substr(md5('{seed}:' || id), 1, 13))::BIGINT + 0.5) / 4503599627370496"
+
+
+@query(f"""WITH {CORPUS_SQL}, w AS (SELECT id, pheromone, {_DRAW.format(seed=42)} AS u, {_DRAW.format(seed=43)} AS u2 FROM k),
+p AS (SELECT id, row_number() OVER (ORDER BY CASE WHEN pheromone > 0 THEN -ln(u) / pheromone ELSE 'inf'::DOUBLE END, u, id) AS p, row_number() OVER (ORDER BY u, id) AS q,
+             row_number() OVER (ORDER BY u2, id) AS q2, row_number() OVER (ORDER BY ln(-ln(u)) - pheromone / 0.5, id) AS s FROM w)
+SELECT 'pheromone' AS strategy, id FROM p WHERE p <= 32 UNION ALL SELECT 'uniform', id FROM p WHERE q <= 32 UNION ALL SELECT 'stigmergic', id FROM p WHERE s <= 32 UNION ALL SELECT 'mixed', id FROM p WHERE p <= 19 OR q2 <= 13""")
 def weighted_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Seeded draws: no SQL can state the generator; the tests check their distribution."""
     x = table(spark, d)
     out = [corpus.sample(x, s, 32).select(F.lit(s).alias("strategy"), "id") for s in ("pheromone", "uniform", "stigmergic", "mixed")]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])

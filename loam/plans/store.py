@@ -188,14 +188,38 @@ def pheromone_deposits(spark: SparkSession, d: str) -> DataFrame:
     return S.deposit(spark.createDataFrame([], "drawer_id long, tag string, value double"), x, drawers).withColumn("value", F.round("value", 6))
 
 
+def _searches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A search for each supplier, from the node of its number, in the graph of all customers' orders; and the nodes' vectors."""
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("qid"), F.col("s_suppkey").alias("start"), (F.col("s_suppkey") * 91 % 99).alias("goal"))
+    return s, kg(spark, d, wide=True), t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
 @query()
 def astar_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Best-first paths; the tests check continuity, costs and bounds."""
-    g = kg(spark, d)
-    v = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    q = spark.range(0, 40).select(F.col("id").alias("qid"), (F.col("id") * 37 % 100).alias("start"), (F.col("id") * 91 % 99).alias("goal"))
-    out = graph.astar_batch(q, g, v)
-    return out.select("qid", "found", F.size("path").alias("length"), r6(F.col("cost"), "cost"))
+    """Best-first paths; the order of labels is no SQL, so the tests hold it against a search of one query after the other."""
+    out = graph.astar(*_searches(spark, d))
+    return out.select("qid", "found", "path", r6(F.col("cost"), "cost"), "iterations", "expanded", F.transform("steps", lambda s: s["relation"]).alias("relations"))
+
+
+# The least costs by relaxing all edges of all searches again and again; 24 edges are more than any least path here has.
+@query(f"""WITH RECURSIVE {KG_WIDE_SQL}, v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT id, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-8)) AS e FROM v),
+e AS (SELECT from_id, to_id, min(0.3 * (1 - (0.5 * least(success, 1) + 0.3 * least(recency, 1) + 0.2 * least(traversal, 1))) + 0.3 * CASE WHEN relation IN ('similar', 'leads_to') THEN 0.4 WHEN relation = 'causes' THEN 0.6 WHEN relation = 'prevents' THEN 1.0 ELSE 0.5 END)::DOUBLE AS c FROM g GROUP BY ALL),
+q AS (SELECT s_suppkey AS qid, s_suppkey AS start, s_suppkey * 91 % 99 AS goal FROM supplier),
+k AS (SELECT b.id AS goal, a.id AS to_id, 0.4 * (1 - greatest(-1, least(1, list_dot_product(a.e, b.e)))) AS near FROM u a, u b WHERE b.id IN (SELECT goal FROM q) AND a.id IN (SELECT to_id FROM e)),
+r AS (SELECT q.qid, q.goal, q.start AS node, 0::DOUBLE AS cost, 0 AS hop FROM q WHERE q.start IN (SELECT id FROM u) AND q.goal IN (SELECT id FROM u)
+      UNION ALL SELECT r.qid, r.goal, e.to_id, min(r.cost + e.c + k.near), any_value(r.hop) + 1 FROM r JOIN e ON e.from_id = r.node JOIN k ON k.goal = r.goal AND k.to_id = e.to_id WHERE r.hop < 24 GROUP BY r.qid, r.goal, e.to_id)
+SELECT q.qid, min(r.cost) IS NOT NULL AS found, round(min(r.cost), 6) AS cost FROM q LEFT JOIN r ON r.qid = q.qid AND r.node = q.goal GROUP BY q.qid""")
+def astar_least_costs(spark: SparkSession, d: str) -> DataFrame:
+    return graph.least_costs(*_searches(spark, d)).select("qid", "found", r6(F.col("cost"), "cost"))
+
+
+@query()
+def navigate_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of few labels, else greedy walks, with the store's deposits; held against the plain version in the tests."""
+    q, g, v = _searches(spark, d)
+    top = deposits(spark, d).groupBy(F.col("drawer_id").alias("id")).agg(F.max("value").alias("value"))
+    return graph.navigate_all(q, g, v, top, 2)
 
 
 @query(f"""WITH RECURSIVE {KG_SQL}, e AS (SELECT from_id, to_id, min(0.1 + confidence) AS c FROM g GROUP BY ALL),

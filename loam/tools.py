@@ -88,15 +88,11 @@ class Store:
         return self.t["kg"].agg(F.count("*").alias("n_edges"), F.count_if(F.col("relation") == "similar").alias("n_similar"), F.countDistinct("relation").alias("n_relations"))
 
     def tool_navigate(self, start: str, goal: str, max_steps: int = 20) -> DataFrame:
-        """One query over a store that one machine can hold; batches go through graph.astar_batch()."""
-        edges: dict = {}
-        for r in self.t["kg"].orderBy("edge_seq").collect():
-            edges.setdefault(r.from_id, []).append(r.asDict())
-        vec = {r.id: list(r.embedding) for r in self.t["drawers"].select("id", "embedding").collect()}
-        deg = {r.node: r.degree for r in S.degree(self.t["kg"]).collect()}
-        ph = {r.drawer_id: r.pheromone for r in S.hot_paths(self.t["deposits"], 1 << 30).collect()}
-        path = graph.navigate(start, goal, edges, vec, deg, ph, max_steps)
-        return self.spark.createDataFrame(list(enumerate(path)), "pos int, id string")
+        """The path as rows (pos, id); navigate_all() of one query."""
+        q = self.spark.createDataFrame([(0, start, goal)], "qid long, start string, goal string")
+        top = self.t["deposits"].groupBy(F.col("drawer_id").alias("id")).agg(F.max("value").alias("value"))
+        found = graph.navigate_all(q, self.t["kg"], self.t["drawers"].select("id", "embedding"), top, max_steps)
+        return found.select(F.posexplode("path").alias("pos", "id"))
 
     # writes
     def tool_add_wing(self, name: str, description: str = "") -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loam.functions import dynamics as D
 from loam.operators import graph, provenance, safety, sampling, stats, training, vectors
 from loam.operators import store as S
 
@@ -46,16 +47,20 @@ def test_path_reward(spark):
     assert {x.edge_seq: x.success for x in e.collect()} == {0: 1.0, 2: 0.5}
 
 
-def test_vector_pairs_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [1024, 25])
+def test_vector_pairs_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
     r = np.random.default_rng(0)
     m = r.normal(size=(90, 8))
     df = spark.createDataFrame([(i, [float(x) for x in v], i % 3) for i, v in enumerate(m)], "id long, embedding array<float>, g int")
     u = m.astype(np.float32).astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     c = u @ u.T
-    for cells in (1, 4):
-        got = {(x.a, x.b) for x in vectors.pairs(df, 0.4, cells=cells).collect()}
-        assert got == {(i, j) for i in range(90) for j in range(i + 1, 90) if c[i, j] > 0.4}
+    near = [(i, j) for i in range(90) for j in range(i + 1, 90) if c[i, j] > 0.4]
+    got = sorted((x.a, x.b) for x in vectors.pairs(df, 0.4).collect())
+    assert got == near
+    got = sorted((x.a, x.b) for x in vectors.pairs(df, 0.4, within="g").collect())
+    assert got == [(i, j) for i, j in near if i % 3 == j % 3]
     got = {(x.a, x.b) for x in vectors.pairs(df, 0.4, group="g").collect()}
     assert got == {(i, j) for i in range(90) for j in range(i + 1, 90) if c[i, j] > 0.4 and i % 3 != j % 3}
 
@@ -190,7 +195,7 @@ def test_paths_of_any_length_are_found(spark):
     kg = spark.createDataFrame([(i, i + 1, "supports", 1.0, 1.0, 1.0) for i in range(n)] + [(50, 51, "supports", 1.0, 1.0, 1.0)], edge)
     vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in [*range(n + 1), 50, 51]], "id long, embedding array<float>")
     q = spark.createDataFrame([(1, 0, n), (2, 0, 51)], "qid long, start long, goal long")
-    got = {x.qid: x for x in graph.astar_batch(q, kg, vectors).collect()}
+    got = {x.qid: x for x in graph.astar(q, kg, vectors).collect()}
     assert got[1].found and got[1].path == list(range(n + 1)) and not got[2].found
     costs = kg.selectExpr("from_id", "to_id", "1D as cost")
     assert {x.node: x.cost for x in graph.cheapest(spark, costs, 0).collect()} == {i: float(i) for i in range(n + 1)}
@@ -231,3 +236,57 @@ def test_answers_without_a_good_line(spark):
 
     x = spark.createDataFrame([("<think>Let me see what this one is about</think>",), ("<think>Okay</think>  ",), ("",)], "t string")
     assert [r[0] for r in x.select(T.strip_think(F.col("t"))).collect()] == ["Let me see what this one is about", T.NO_ANSWER, T.NO_ANSWER]
+
+
+def _random_graph(r, n, m):
+    edges = [(int(r.integers(n)), int(r.integers(n)), str(r.choice(["supports", "similar", "causes", "odd"])), *[round(float(x), 2) for x in r.random(3)]) for _ in range(m)]
+    vec = {i: [round(float(x), 3) for x in r.normal(size=3)] for i in range(n) if i % 13}
+    return edges, vec
+
+
+@pytest.mark.parametrize("seed", range(1))
+def test_searches_side_by_side_equal_one_by_one(spark, seed):
+    """Paths, costs and counts, with a heuristic that overestimates, small windows, unknown ends and dangling edges."""
+    r = np.random.default_rng(seed)
+    rows, vec = _random_graph(r, 40, 130)
+    kg = spark.createDataFrame(rows, "from_id long, to_id long, relation string, success double, traversal double, recency double")
+    vectors = spark.createDataFrame(list(vec.items()), "id long, embedding array<double>")
+    asks = [(i, int(r.integers(40)), int(r.integers(40))) for i in range(60)] + [(100, 1, 1), (101, 0, 1), (102, 1, 999)]
+    q = spark.createDataFrame(asks, "qid long, start long, goal long")
+    cheapest, degree = {}, {}
+    for f, t, rel, s, tr, re in rows:
+        for x in {f, t}:
+            degree[x] = degree.get(x, 0) + 1
+        e = {"to_id": t, "relation": rel, "success": s, "traversal": tr, "recency": re}
+        cost = (0.3 * (1 - graph._factor(e)) + 0.3 * D.STRUCTURAL_COST.get(rel, 1.0), rel)
+        if (f, t) not in cheapest or cost < cheapest[f, t][0]:
+            cheapest[f, t] = (cost, e)
+    edges = {}
+    for (f, _), (_, e) in sorted(cheapest.items()):
+        edges.setdefault(f, []).append(e)
+    for most, window in ((1000, 64), (6, 2)):
+        got = {x.qid: x for x in graph.astar(q, kg, vectors, most=most, window=window).collect()}
+        assert len(got) == len(asks)
+        for i, s, g in asks:
+            want = graph.best_first(s, g, edges, vec, degree, most)
+            assert got[i].found == (want is not None), (i, s, g)
+            if want:
+                assert got[i].path == want["path"] and got[i].cost == pytest.approx(want["cost"]) and (got[i].iterations, got[i].expanded) == (want["iterations"], want["expanded"])
+                assert [(x.node, x.relation) for x in got[i].steps] == list(zip(want["path"][1:], want["relations"], strict=True))
+    least = {x.qid: x for x in graph.least_costs(q, kg, vectors).collect()}
+    for i, s, g in asks:
+        best = {s: 0.0} if s in vec and g in vec else {}
+        for _ in range(len(vec)):
+            for f in list(best):
+                for e in edges.get(f, ()):
+                    if e["to_id"] in vec:
+                        c = best[f] + 0.4 * (1 - graph._cos(vec[e["to_id"]], vec[g])) + 0.3 * (1 - graph._factor(e)) + 0.3 * D.STRUCTURAL_COST.get(e["relation"], 1.0)
+                        best[e["to_id"]] = min(best.get(e["to_id"], math.inf), c)
+        assert least[i].found == (g in best)
+        if g in best:
+            assert least[i].cost == pytest.approx(best[g], abs=1e-5)
+    ph = spark.createDataFrame([(i, float(i % 5) / 5) for i in range(0, 40, 3)], "id long, value double")
+    paths = {x.qid: x.path for x in graph.navigate_all(q, kg, vectors, ph, 3).collect()}
+    for i, s, g in asks:
+        near = graph.best_first(s, g, edges, vec, degree, 30)
+        assert paths[i] == (near["path"] if near else graph.greedy_walk(s, g, edges, vec, {j: float(j % 5) / 5 for j in range(0, 40, 3)}, 3)), (i, s, g)
