@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 #: Rows up to which the small side of a join is broadcast.  Its rows are a few numbers, or at most an id and a name: some
 #: tens of megabytes in all.
 BROADCAST_ROWS = 500_000
+#: Bytes of the texts in such a side, where it has ids or names that are texts.
+BROADCAST_BYTES = 32 << 20
 #: The pattern of one word, for SQL.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -107,13 +109,33 @@ def drop(df: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins with a broadcast only if small has at most ``most`` rows; else by shuffle, where AQE splits skewed keys.
+def hinted(small: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """small with the hint by which it is to be joined: broadcast only if it has at most ``most`` rows, and its texts at most
+    BROADCAST_BYTES together; else by shuffle, where AQE splits skewed keys.  small should be cut() before, so that counting it
+    costs little."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in small.dtypes if kind in ("string", "binary")]
+    if rows is None or texts:
+        rows, size = small.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0)).cast("long")), F.lit(0))).first()
+        if size > BROADCAST_BYTES:
+            return small.hint("merge")
+    return F.broadcast(small) if rows <= most else small.hint("merge")
 
-    small should be cut() before, so that counting it costs little.
-    """
-    n = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if n <= most else small.hint("merge"), on, how)
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Joins small as hinted() says."""
+    return big.join(hinted(small, rows, most), on, how)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df bears it; case does not count."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def crc_bucket(doc_id: str | Column, k: int) -> Column:

@@ -45,7 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.llm import vectext as V
-from loam.llm.common import BROADCAST_ROWS, components, cut, drop, freed, id_type, least_count, small_batches
+from loam.llm.common import BROADCAST_ROWS, components, cut, drop, freed, hinted, id_type, least_count, small_batches, unused
 
 #: Shingles that are ranked last: at most so many, the most frequent; any choice gives the same links.
 MOST_COMMON = 1 << 18
@@ -642,17 +642,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     o = _OPTIONS | options
     rows = cut(_classes(docs, id_col, text_col, **o), "jaccard-classes")
     stay = rows.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")).alias("s"))
+    name_id, name_odd = unused(docs, "__id", "__odd")  # as docs may have columns of any names
     stay = cut(stay.select(F.col("s.doc_id").alias("__id"), F.col("s.h1").alias("__h1"), F.col("s.h2").alias("__h2")), "jaccard-stay")
     ids = rows.groupBy("doc_id").agg(F.count("*").alias("c"))
-    odd = cut(ids.where("c > 1 or doc_id is null").select(F.col("doc_id").alias("__odd")), "jaccard-odd")
-    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+    odd = cut(ids.where("c > 1 or doc_id is null").select(F.col("doc_id").alias(name_odd)), "jaccard-odd")
     empty = rows.where("n = 0").select(F.col("doc_id").alias("__id"))
-    keep = cut(stay.select("__id").unionByName(empty), "jaccard-keep")
+    keep = hinted(cut(stay.select("__id").unionByName(empty).withColumnRenamed("__id", name_id), "jaccard-keep"))
     if odd.isEmpty():
-        return docs.join(few(keep), F.col(id_col) == F.col("__id"), "left_semi")
+        return docs.join(keep, F.col(id_col) == F.col(name_id), "left_semi")
     # ids that several rows share, or none: a row is told by its id and its set
-    is_odd = F.col(id_col).eqNullSafe(F.col("__odd"))
-    plain = docs.join(few(odd), is_odd, "left_anti").join(few(keep), F.col(id_col) == F.col("__id"), "left_semi")
+    is_odd = F.col(id_col).eqNullSafe(F.col(name_odd))
+    odd = hinted(odd)
+    plain = docs.join(odd, is_odd, "left_anti").join(keep, F.col(id_col) == F.col(name_id), "left_semi")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in V.slices(batches, "__text"):
@@ -661,7 +662,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column("__row"), b.column("__key"), pa.array(np.diff(first)), pa.array(h1), pa.array(h2)], ["__row", "__key", "__n", "__a", "__b"])
 
     each = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    row = docs.join(few(odd), is_odd, "left_semi").select(each.alias("__row"), F.col(id_col).alias("__key"), F.col(text_col).alias("__text"))
+    row = docs.join(odd, is_odd, "left_semi").select(each.alias("__row"), F.col(id_col).alias("__key"), F.col(text_col).alias("__text"))
     kind = row.schema["__row"].dataType.simpleString()
     row = cut(row.mapInArrow(freed(keyed), f"__row {kind}, __key {id_type(docs, id_col)}, __n long, __a long, __b long"), "jaccard-rows")
     same = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__a") == F.col("__h1")) & (F.col("__b") == F.col("__h2"))

@@ -9,7 +9,8 @@ next bits of the hash, and so on until a bucket holds one hash.  Nothing is sort
 Defined results.  Null text: size 0.  A row of size 0 costs nothing and is taken once.  A null source is a source of its own, last in order.  Null or repeated
 ids: rows that agree in id and text share a hash and are taken or left together.  The last such row is taken
 if that brings the source nearer to its target.  Empty input: empty output.  Very long texts are counted whole.  Other
-columns pass through, whatever their names, except that columns named as the results are replaced.
+columns pass through, whatever their names; mix() replaces those named as its results, mixed_rows() none.  All sources' sizes
+meet in one task, a row each, so sources are names of collections, not of single hosts.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loam.llm.common import BROADCAST_ROWS, WORD, cut, union_all
+from loam.llm.common import BROADCAST_ROWS, WORD, cut, hinted, union_all
 
 BITS = 12
 DIGITS = 15  # hex digits of the hash: 60 bits, five levels of 12
@@ -97,29 +98,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     keep=False returns id and source only beside these; then texts are read once.
     """
+    rows = _taken(docs, id_col, text_col, source_col, weights, share, most_times, keep)
     new = ["size", "source_size", "target", "times", "taken"]
+    cols = [F.col("__row").getField(c).alias(c) for c in docs.columns if c not in new] if keep else [F.col("__id").alias(id_col), F.col("__source").alias(source_col)]
+    return rows.select(*cols, *[F.col(f"__{c}").alias(c) for c in new])
+
+
+def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most_times: float, keep: bool) -> DataFrame:
+    """__size, __source_size, __target, __times and __taken of each row, beside its columns as __row, or its __id and __source."""
     size, h = n_words(F.col(text_col)).alias("__size"), row_hash(id_col, text_col).alias("__h")
     slim = cut(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size, h), "mix-slim")
     per = cut(plan(slim.select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__h").alias("h")), weights, share, most_times), "mix-plan")
-    per = per.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("times").alias("__times"), F.col("below").alias("__below"))
+    per = per.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("times").alias("__whole"), F.col("below").alias("__below"))
     if keep:
-        old = [c for c in docs.columns if c not in new]
         # the input's columns travel in one, so their names can't clash with those made here
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in old]).alias("__row"), F.col(source_col).alias("__source"), size, h)
-        on = F.col("__source").eqNullSafe(F.col("__s"))
-        cols = [F.col("__row").getField(c).alias(c) for c in old]
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(source_col).alias("__source"), size, h)
+        cols = ["__row"]
     else:
-        rows, on, cols = slim.withColumnsRenamed({"__id": id_col, "__source": source_col}), F.col(source_col).eqNullSafe(F.col("__s")), [id_col, source_col]
-    n = per.count()
-    times = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.col("__times") + (F.col("__h") < F.col("__below")).cast("int")).cast("long")
+        rows, cols = slim, ["__id", "__source"]
+    times = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.col("__whole") + (F.col("__h") < F.col("__below")).cast("int")).cast("long")
     times = F.least(times, F.lit(int(most_times)).cast("long"))
-    joined = rows.join(F.broadcast(per) if n <= BROADCAST_ROWS else per.hint("merge"), on, "left")
-    return joined.select(*cols, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), times.alias("times"), (times * F.col("__size")).alias("taken"))
+    joined = rows.join(hinted(per), F.col("__source").eqNullSafe(F.col("__s")), "left")
+    return joined.select(*cols, "__size", "__source_size", "__target", times.alias("__times"), (times * F.col("__size")).alias("__taken"))
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with the columns of docs."""
-    out = mix(docs, **options)
-    # by place, as out's columns may bear any names
-    each = F.explode(F.array_repeat(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col("times").cast("int"))).alias("__row")
-    return out.where("times > 0").select(each).select("__row.*")
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most_times: float = MOST_TIMES) -> DataFrame:
+    """The mix itself: each row as often as it is taken, with the columns of docs, whatever their names."""
+    out = _taken(docs, id_col, text_col, source_col, weights, share, most_times, True)
+    return out.where("__times > 0").select(F.explode(F.array_repeat("__row", F.col("__times").cast("int"))).alias("__row")).select("__row.*")

@@ -17,7 +17,7 @@ content) is linked, the others are ``orphan``.  A result without a call is ``orp
 ``pending``.  Unknown tools fail validation.  Arguments that are no object fail it and are written as they are; missing ones,
 null and objects with a repeated key count as {}; a number that no double holds is read as text.  Calls whose references
 form a circle, or wait for one that does, get rank null; references to no call of the conversation are ignored.  Repeated
-messages are each written.  Very long texts are read whole.  Columns other than the four are not looked at.  Empty input:
+messages are each written.  Conversation ids may have any type; numbers are written as such, others as texts.  Very long texts are read whole.  Columns other than the four are not looked at.  Empty input:
 empty output.
 """
 
@@ -40,7 +40,7 @@ PART_TURNS = 512
 
 
 def json_string(c: Column) -> Column:
-    """A JSON string literal, as to_json writes it."""
+    """A JSON literal of a text, or of another value, as to_json writes it."""
     return F.when(c.isNotNull(), F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1))
 
 
@@ -171,11 +171,11 @@ def topological(calls: DataFrame) -> DataFrame:
     return calls.withColumn("__c", F.when(F.col("first"), key)).join(ranks, F.col("__c") == F.col("__k"), "left").drop("__c", "__k")
 
 
-def format_chat(messages: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row per conversation and run of PART_TURNS turns: conv_id, part, n_messages, n_calls, n_linked, n_pending, n_duplicate,
+def format_chat(messages: DataFrame, schemas: DataFrame, part_turns: int | None = PART_TURNS) -> DataFrame:
+    """One row per conversation and run of part_turns turns, or per conversation if that is None: conv_id, part, n_messages, n_calls, n_linked, n_pending, n_duplicate,
     n_orphan, n_invalid, n_circular, json.  So an endless conversation becomes many rows; linking knows no parts.
     """
-    part = F.when(F.col("turn") < 0, F.lit(-1)).otherwise(F.floor(F.col("turn") / PART_TURNS)).cast("long").alias("part")
+    part = (F.when(F.col("turn") < 0, F.lit(-1)).otherwise(F.floor(F.col("turn") / part_turns)) if part_turns else F.lit(0)).cast("long").alias("part")
     msgs, calls, results = events(messages.select("conv_id", "turn", "role", "text"))
     linked, back = link(validate(calls, schemas), results)
     linked, back = cut(linked, "tool-linked"), cut(back, "tool-back")
@@ -201,7 +201,7 @@ def format_chat(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     same = lambda c, p: F.col("conv_id").eqNullSafe(F.col(c)) & (F.col("part") == F.col(p))
     out = per_msg.join(a, same("c1", "p1"), "left").join(b, same("c2", "p2"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
+    conv = F.coalesce(json_string(F.col("conv_id")), F.lit("null"))
     whole = F.concat(F.lit('{"calls":['), F.coalesce("cj", F.lit("")), F.lit('],"conv_id":'), conv, F.lit(',"messages":['), "mj", F.lit('],"part":'), F.col("part").cast("string"), F.lit("}"))
     return out.select("conv_id", "part", "n_messages", *[zero(c) for c in ("n_calls", "n_linked", "n_pending", "n_duplicate", "n_orphan", "n_invalid", "n_circular")], whole.alias("json"))
 

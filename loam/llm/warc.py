@@ -2,7 +2,8 @@
 
 A file is: one skippable frame (magic 0x184D2A5D) that holds the dictionary, itself a Zstandard frame; one warcinfo
 record; then records, each a frame of its own made with the dictionary, so that any record can be read by its offset.
-The dictionary is built from archived records: of a bounded sample (``SAMPLE_BYTES``), the pages with the least hash.
+The dictionary is built from archived records: of a bounded sample (``SAMPLE_BYTES``), the pages with the least hash, up to
+64 Ki characters of each; so one huge page does not fill the sample.  The archive itself holds all pages whole.
 
 Of records with equal payloads (SHA-1) of at least ``min_bytes``, the one with the least page_id is a response and the
 others revisit it.
@@ -12,7 +13,7 @@ attempts that were committed; only those are read, and what lost or repeated att
 
 Defined results.  Null html: empty payload.  Null url: ``urn:page:<id>``.  Null page_id: after all others; rows that
 share the least id of a payload are all responses.  Repeated rows: a record each, with an identifier of its own.  Very long
-pages are written whole.  Columns other than page_id, url and html are not looked at.  Empty input: no file, no rows.
+pages are written whole.  Page ids may have any type that casts to text and back; order among them is their type's.  Columns other than page_id, url and html are not looked at.  Empty input: no file, no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm import vectext as V
-from loam.llm.common import BROADCAST_ROWS, cut, freed, fresh_dir, small_batches
+from loam.llm.common import cut, freed, fresh_dir, hinted, id_type, small_batches
 
 MAGIC = 0x184D2A5D
 SAMPLE_BYTES = 8 << 20
@@ -54,19 +56,24 @@ def _line(x: str) -> str:
     return x.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, original: tuple[int, str | None] | None, date: str = DATE, place: str = "") -> bytes:
+def _id(x: int | str) -> str:
+    """An id as a header value that unquote() gives back."""
+    return quote(str(x), safe=" !#$&'()*+,/:;=?@[]")
+
+
+def record(page_id: int | str | None, url: str | None, payload: bytes, digest: str, original: tuple[int | str, str | None] | None, date: str = DATE, place: str = "") -> bytes:
     """A response record, or a revisit of the page ``original`` (id, url), whose block is the HTTP header alone.  place:
     what tells the record from all others of an archive."""
-    uri = _line(url) if url is not None else f"urn:page:{page_id}"
+    uri = _line(url) if url is not None else "urn:page:None" if page_id is None else f"urn:page:{_id(page_id)}"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if original else http + payload
     rid = uuid.uuid5(uuid.NAMESPACE_URL, f"{place}\x01{page_id}\x01{uri}\x01{digest}")
     fields = [("WARC-Type", "revisit" if original else "response"), ("WARC-Record-ID", f"<urn:uuid:{rid}>"), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}")]
     if page_id is not None:
-        fields.append(("X-Page-Id", str(page_id)))
+        fields.append(("X-Page-Id", _id(page_id)))
     fields.append(("X-Payload-Length", str(len(payload))))
     if original:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", _line(original[1]) if original[1] is not None else f"urn:page:{original[0]}"), ("X-Refers-To-Page-Id", str(original[0]))]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", _line(original[1]) if original[1] is not None else f"urn:page:{_id(original[0])}"), ("X-Refers-To-Page-Id", _id(original[0]))]
     fields += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
     return _header(fields) + block + b"\r\n\r\n"
 
@@ -145,15 +152,14 @@ def _sample(pages: DataFrame, sample_bytes: int) -> list[bytes]:
 def _decided(pages: DataFrame, min_bytes: int) -> DataFrame:
     """page_id, url, payload, digest (hex), original: null, or (page_id, url) of the response that the row revisits."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("payload"), F.sha1(body).alias("digest"), F.octet_length(body).alias("size"))
+    rows = pages.select("page_id", "url", body.alias("payload"), F.sha1(body).alias("digest"), F.octet_length(body).alias("size"))
     slim = cut(rows.where(F.col("size") >= min_bytes).select("page_id", "url", "digest"), "warc-digests")
     # only digests that occur twice matter; a task's rows of a digest are reduced before they move
     same = slim.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("no"), "page_id", "url")).alias("o"), F.count("*").alias("n")).where("n > 1")
     same = cut(same.select(F.col("digest").alias("d"), F.col("o.page_id").alias("first_id"), F.col("o.url").alias("first_url")), "warc-originals")
-    n = same.count()
-    out = rows.join(F.broadcast(same) if n <= BROADCAST_ROWS else same.hint("merge"), (F.col("digest") == F.col("d")) & (F.col("size") >= min_bytes), "left")
+    out = rows.join(hinted(same), (F.col("digest") == F.col("d")) & (F.col("size") >= min_bytes), "left")
     revisit = F.col("first_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")))
-    return out.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("first_id")).alias("first_id"), F.when(revisit, F.col("first_url")).alias("first_url"))
+    return out.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("first_id").cast("string")).alias("first_id"), F.when(revisit, F.col("first_url")).alias("first_url"))
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0, sample_bytes: int = SAMPLE_BYTES, dict_bytes: int = DICT_BYTES, file_bytes: int = FILE_BYTES, level: int = LEVEL) -> DataFrame:
@@ -222,13 +228,13 @@ def record_info(name: str) -> bytes:
     return _header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(block)))]) + block + b"\r\n\r\n"
 
 
-READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, payload binary"
+READ = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, file string, payload binary"
 
 
-def read(files: DataFrame, payloads: bool = True) -> DataFrame:
-    """Every record of the files (column file); each payload's digest is computed anew and must match its header's."""
+def read(files: DataFrame, payloads: bool = True, kind: str = "long") -> DataFrame:
+    """Every record of the files (column file), ids as of type kind; each payload's digest is computed anew and must match its header's."""
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "payload"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
     keep = names if payloads else names[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +252,7 @@ def read(files: DataFrame, payloads: bool = True) -> DataFrame:
                         digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
                         if body is not None and (base32_sha1(body) != digest or len(body) != int(f["X-Payload-Length"])):
                             raise ValueError(f"{file}: payload differs from its digest")
-                        rows.append((int(f["X-Page-Id"]) if "X-Page-Id" in f else None, f["WARC-Target-URI"], int(f["X-Payload-Length"]), digest, f["WARC-Type"], int(f["X-Refers-To-Page-Id"]) if f.get("X-Refers-To-Page-Id", "None") != "None" else None, file, body if payloads else None))
+                        rows.append((unquote(f["X-Page-Id"]) if "X-Page-Id" in f else None, f["WARC-Target-URI"], int(f["X-Payload-Length"]), digest, f["WARC-Type"], unquote(f["X-Refers-To-Page-Id"]) if "X-Refers-To-Page-Id" in f else None, file, body if payloads else None))
                         size += len(body or b"")
                         if len(rows) >= 4096 or size > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k, _ in zip(zip(*rows, strict=True), kinds, keep, strict=False)], keep)
@@ -256,10 +262,11 @@ def read(files: DataFrame, payloads: bool = True) -> DataFrame:
 
     n = max(1, files.count())
     schema = READ if payloads else READ.rpartition(", ")[0]
-    return files.select("file").repartition(n).mapInArrow(freed(run), schema)
+    out = files.select("file").repartition(n).mapInArrow(freed(run), schema)
+    return out.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def archive(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Writes pages and reads the archives back, without payloads."""
     path = path or fresh_dir(pages.sparkSession, "warc")
-    return read(write(pages, path, **options), payloads=False)
+    return read(write(pages, path, **options), payloads=False, kind=id_type(pages, "page_id"))
