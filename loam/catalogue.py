@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.plans import curation, details, store  # noqa: F401  they register themselves
+from loam.plans import curation, details, service, store  # noqa: F401  they register themselves
 from loam.plans.base import QUERIES, SQL
 
 

@@ -1,4 +1,4 @@
-"""Byte-level BPE: ranks on the driver's side are shared with tasks; each distinct piece is merged once per task."""
+"""Byte-level BPE: the tokenizer is sent to the tasks; each distinct piece is merged once in a task."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,27 +73,56 @@ class Tokenizer:
         return data.decode(errors="replace")
 
 
+#: Pieces whose merges a task keeps.
+KNOWN = 500_000
+
+
 def encode(rows: DataFrame, tokenizer: Tokenizer, id_col: str, text_col: str) -> DataFrame:
-    """(id, tokens); pieces are cached by the task, so a frequent piece is merged once."""
+    """(id, tokens) of each row; null texts have no tokens.
+
+    Special tokens are cut out first, the longest at a place.  A batch's pieces become a dictionary of distinct ones, each is
+    merged once in a task, and the ids of all pieces are one gather: no loop over tokens.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(tokenizer)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         tok, table = shared.value, byte_chars()
-        known: dict[str, list[int]] = {}
-
-        def ids(p: str) -> list[int]:
-            if p not in known:
-                if len(known) > 500_000:
-                    known.clear()
-                known[p] = tok.piece("".join(table[b] for b in p.encode()))
-            return known[p]
-
-        for pdf in it:
-            yield pd.DataFrame({"id": pdf.id, "tokens": [[i for p in regex.findall(PRETOKEN, t or "") for i in ids(p)] for t in pdf.text]})
-
-    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, tokens array<int>")
+        marks = sorted(tok.specials, key=lambda m: (-len(m), m))
+        pattern = regex.compile("|".join([*map(regex.escape, marks), PRETOKEN]) if marks else PRETOKEN)
+        cut = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
+        known: dict[str, list[int]] = {m: [i] for m, i in tok.specials.items()}
+
+        def pieces(text: str | None) -> list[str]:
+            if not text:
+                return []
+            if cut is None or not cut.search(text):
+                return pattern.findall(text)
+            # a piece must not reach into a special token: what lies between is split by itself
+            return [p for part in cut.split(text) for p in ([part] if part in tok.specials else regex.findall(PRETOKEN, part))]
+
+        for batch in it:
+            lists = [pieces(t) for t in batch.column("text").to_pylist()]
+            size = np.array([len(x) for x in lists], np.int64)
+            coded = pa.array([p for x in lists for p in x], pa.string()).dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            if len(known) + len(names) > KNOWN:
+                known = {m: [i] for m, i in tok.specials.items()}
+            for p in names:
+                if p not in known:
+                    known[p] = tok.piece("".join(table[b] for b in p.encode()))
+            ids = [known[p] for p in names]
+            n = np.array([len(x) for x in ids], np.int64)
+            flat = np.array([i for x in ids for i in x], np.int32)
+            first = np.cumsum(n) - n
+            at = coded.indices.to_numpy()
+            out = flat[np.arange(n[at].sum()) + np.repeat(first[at] - (np.cumsum(n[at]) - n[at]), n[at])] if len(at) else flat[:0]
+            upto = np.concatenate([[0], np.cumsum(n[at])])[np.concatenate([[0], np.cumsum(size)])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(out))], ["id", "tokens"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, tokens array<int>")
 
 
 def token_names(ids: DataFrame, vocab: DataFrame) -> DataFrame:

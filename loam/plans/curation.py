@@ -217,17 +217,39 @@ def gpt4_pretokenize(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", F.size(p).alias("pieces"), F.size(F.array_distinct(p)).alias("distinct_pieces"))
 
 
-@query()
-def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
-    """A byte vocabulary with a few merges; the tests check ids and the round trip."""
+def _tokenizer():
+    """A byte vocabulary, id = byte, with a few merges."""
     from loam.functions import bpe
 
-    chars = bpe.byte_chars()
-    vocab = {c: i for i, c in enumerate(chars)}
+    vocab = {c: i for i, c in enumerate(bpe.byte_chars())}
     pairs = [("e", "r"), ("t", "h"), ("e", "n"), ("th", "e")]
     vocab |= {a + b: 256 + i for i, (a, b) in enumerate(pairs)}
-    tok = bpe.Tokenizer(vocab, {p: i for i, p in enumerate(pairs)})
-    return bpe.encode(t(spark, d, "documents"), tok, "doc_id", "text").select("id", F.size("tokens").alias("n_tokens"))
+    return bpe.Tokenizer(vocab, {p: i for i, p in enumerate(pairs)})
+
+
+# Bytes as hex marks; each merge in order of rank replaces two marks by one.  Letters of a pair never lie in two pieces here.
+_BPE_SQL = """b AS (SELECT doc_id AS id, regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g') AS h FROM documents),
+m AS (SELECT id, replace(replace(replace(replace(h, '65 72 ', 'X0 '), '74 68 ', 'X1 '), '65 6E ', 'X2 '), 'X1 65 ', 'X3 ') AS h FROM b),
+k AS (SELECT id, list_transform(list_filter(string_split(h, ' '), lambda x: x <> ''), lambda x: CASE WHEN x[1] = 'X' THEN 256 + x[2]::INT ELSE ('0x' || x)::INT END) AS tokens FROM m)"""
+
+
+@query(f"WITH {_BPE_SQL} SELECT id, len(tokens)::INT AS n_tokens, sha256(array_to_string(tokens, ',')) AS ids FROM k")
+def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
+    from loam.functions import bpe
+
+    out = bpe.encode(t(spark, d, "documents"), _tokenizer(), "doc_id", "text")
+    return out.select("id", F.size("tokens").alias("n_tokens"), F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ","), 256).alias("ids"))
+
+
+@query(f"WITH {_BPE_SQL}, e AS (SELECT unnest(tokens) AS token_id FROM k) SELECT token_id, count(*) AS n, CASE WHEN token_id > 258 THEN 'the' WHEN token_id > 255 THEN ['er', 'th', 'en'][token_id - 255] WHEN token_id BETWEEN 33 AND 126 THEN chr(token_id) END AS token FROM e WHERE token_id BETWEEN 33 AND 126 OR token_id > 255 GROUP BY token_id")
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Printable tokens of all documents, counted by id and named by a join."""
+    from loam.functions import bpe
+
+    tok = _tokenizer()
+    ids = bpe.encode(t(spark, d, "documents"), tok, "doc_id", "text").select(F.explode("tokens").alias("token_id")).groupBy("token_id").agg(F.count("*").alias("n"))
+    names = spark.createDataFrame([(i, x) for x, i in tok.vocab.items()], "token_id int, token string")
+    return bpe.token_names(ids, names).where("token_id between 33 and 126 or token_id > 255").select("token_id", "n", "token")
 
 
 @query("SELECT doc_id, sha256(lower(text)) AS digest FROM documents")

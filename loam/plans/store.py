@@ -509,17 +509,6 @@ def windowed_events(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
-@query()
-def ooda_decide(spark: SparkSession, d: str) -> DataFrame:
-    """Phrase hypotheses of documents, decided in order against the items; the tests hold it against a plain fold."""
-    from loam.sources import readers
-
-    h = readers.phrase_hypotheses(t(spark, d, "documents"), "doc_id", "text", [(" and ", 0.75), (" und ", 0.65), (" de ", 0.6)])
-    h = h.select((F.col("doc_id") * 3 + F.when(F.col("phrase") == " and ", 0).when(F.col("phrase") == " und ", 1).otherwise(2)).alias("seq"), "cause", "effect", "confidence")
-    out = ooda.decide(h, t(spark, d, "benchmark").select(F.col("text").alias("title")))
-    return out.select("seq", "title", r6(F.col("novelty"), "novelty"), r6(F.col("quality"), "quality"))
-
-
 @query("SELECT user_id AS agent, event_type AS place, round((sum(value * 2) + 0.5) / (sum(2.0) + 1), 6) AS mean, round(sum(2.0) + 1, 6)::DOUBLE AS precision, count(*) AS visits FROM events GROUP BY ALL")
 def agent_beliefs(spark: SparkSession, d: str) -> DataFrame:
     x = t(spark, d, "events").select(F.col("user_id").alias("agent"), F.col("event_type").alias("place"), F.col("event_id").alias("seq"), "value", F.lit(2.0).alias("precision"))
