@@ -1,4 +1,11 @@
-"""A corpus pipeline of five operators; each stage reads what the one before it wrote."""
+"""A corpus pipeline of five operators; each stage reads what the one before it wrote.
+
+Defined results, of all stages.  Null and empty texts: no words, so never toxic, no copy of anything, no benchmark item, taken
+once by the mix, and a shard's row of no bytes.  Very long texts are read whole.  Repeated rows: near copies of each other, so one
+stays, unless their texts are empty.  Null ids: judged by their texts; they share a shard's hash only with equal texts.  Ties: of a
+group of copies the least id stays (null last).  An empty table gives an empty one at every stage.  Other columns pass through,
+whatever their names, but for the last stage's own (shard, depth and its sizes), which replace those of the same name.
+"""
 
 from __future__ import annotations
 
