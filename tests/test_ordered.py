@@ -42,7 +42,7 @@ def admit_by_hand(rows, min_novelty, max_share):
             yield seq
 
 
-@pytest.mark.parametrize(("stretch", "hot"), [(7, 0.3), (11, 0.8), (1 << 16, 0.6)])
+@pytest.mark.parametrize(("stretch", "hot"), [(40, 0.3), (30, 0.8), (1 << 16, 0.6)])
 def test_admission_equals_the_plain_fold(spark, monkeypatch, stretch, hot):
     """Shares that bind often and rarely, copies, chains of similar titles; stretches of any size."""
     monkeypatch.setattr(ordered.admitted, "__defaults__", (stretch, 5))
