@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 DECAY_RATES = {"exploitation": 0.02, "exploration": 0.05, "success": 0.01, "traversal": 0.03, "recency": 0.10}
 CALIBRATION = 3.3
 # Structural cost of a relation; any other costs 1.
-STRUCTURAL_COST = {"CONTAINS": 0.2, "contains": 0.2, "HAS_ROOM": 0.3, "has_room": 0.3, "similar": 0.4, "leads_to": 0.4, "HALL": 0.5, "hall": 0.5, "supports": 0.5, "contradicts": 0.5, "refutes": 0.5, "confirms": 0.5, "causes": 0.6, "TUNNEL": 0.7, "tunnel": 0.7}
+STRUCTURAL_COST = {"CONTAINS": 0.2, "contains": 0.2, "HAS_ROOM": 0.3, "has_room": 0.3, "similar": 0.4, "HALL": 0.5, "hall": 0.5, "causes": 0.6, "TUNNEL": 0.7, "tunnel": 0.7, "supports": 0.5, "contradicts": 0.5, "refutes": 0.5, "confirms": 0.5, "leads_to": 0.4}
 # Temperature and policy of each agent archetype.
 ARCHETYPES = {"explorer": (1.0, "softmax", 1.0), "exploiter": (0.1, "greedy", 0.0), "specialist": (0.3, "softmax", 0.3), "generalist": (0.5, "epsilon", 0.15), "critic": (0.2, "softmax", 0.2)}
 FLOOR = 1e-4

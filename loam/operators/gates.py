@@ -10,11 +10,13 @@ from loam.functions import text as T
 from loam.functions.dynamics import clamp
 
 # Reliability of known sources; any other counts as DEFAULT_RELIABILITY.
-RELIABILITY = {"arxiv": 0.85, "nasa_power": 0.90, "text_pattern": 0.60, "unknown": 0.50, "who_gho": 0.90, "world_bank": 0.85}
+RELIABILITY = {"arxiv": 0.85, "nasa_power": 0.90, "who_gho": 0.90, "world_bank": 0.85, "text_pattern": 0.60, "unknown": 0.50}
 DEFAULT_RELIABILITY = 0.6
+# What the gates ask for.
 MIN_CONFIDENCE, MIN_RELIABILITY, MIN_WORDS, MIN_NOVELTY, MAX_SOURCE_SHARE = 0.40, 0.4, 3, 0.25, 0.5
 # Phrases that the safety filter blocks.
 BLOCKED = ["flat earth", "perpetual motion", "5g causes"]
+# Least confidence and most rows of a cycle that are safe.
 SAFE_CONFIDENCE, MAX_PER_CYCLE = 0.50, 50
 
 

@@ -12,6 +12,7 @@ from loam.lineage import cut
 from loam.operators import novelty, ordered
 from loam.sources import readers
 
+# What a cycle's decisions ask for, and the most of them.
 MIN_CONFIDENCE, MIN_NOVELTY, MAX_PER_CYCLE = 0.3, 0.30, 100
 
 

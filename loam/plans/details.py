@@ -283,9 +283,13 @@ def sharpened_scores(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sharpen(x, 1.0, 0.5, 3).select("key", "item", "s", r6(F.col("p"), "p"))
 
 
-@query("SELECT * FROM (VALUES ('explorer', 1.0::DOUBLE, 'softmax', 1.0::DOUBLE), ('exploiter', 0.1, 'greedy', 0.0), ('specialist', 0.3, 'softmax', 0.3), ('generalist', 0.5, 'epsilon', 0.15), ('critic', 0.2, 'softmax', 0.2)) v(archetype, temperature, policy, parameter)")
+@query("WITH v AS (SELECT * FROM (VALUES (0, 'explorer', 1.0::DOUBLE, 'softmax', 1.0::DOUBLE), (1, 'exploiter', 0.1, 'greedy', 0.0), (2, 'specialist', 0.3, 'softmax', 0.3), (3, 'generalist', 0.5, 'epsilon', 0.15), (4, 'critic', 0.2, 'softmax', 0.2)) v(k, archetype, temperature, policy, parameter)) SELECT c_custkey AS agent, archetype, temperature, policy, parameter FROM customer JOIN v ON k = c_custkey % 5")
 def archetype_defaults(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in D.ARCHETYPES.items()], "archetype string, temperature double, policy string, parameter double")
+    """Each customer as an agent of some archetype, with that archetype's settings."""
+    names = F.array(*[F.lit(k) for k in D.ARCHETYPES])
+    table = spark.createDataFrame([(k, *v) for k, v in D.ARCHETYPES.items()], "archetype string, temperature double, policy string, parameter double")
+    agents = t(spark, d, "customer").select(F.col("c_custkey").alias("agent"), F.element_at(names, (F.col("c_custkey") % 5 + 1).cast("int")).alias("archetype"))
+    return agents.join(F.broadcast(table), "archetype").select("agent", "archetype", "temperature", "policy", "parameter")  # a row an archetype
 
 
 # ---------------------------------------------------------------- writes

@@ -429,10 +429,12 @@ def ucb_action(spark: SparkSession, d: str) -> DataFrame:
     return sampling.ucb(_actions(spark, d), 0.5).withColumn("score", F.round("score", 6))
 
 
-@query("WITH p AS (SELECT i, i / 20.0::DOUBLE AS p FROM range(0, 21) r(i)) SELECT i, round(1 + (0.1 - 1) * p, 6) AS linear, round(power(0.1, p), 6) AS exponential, round(0.1 + 0.9 * 0.5 * (1 + cos(pi() * p)), 6) AS cosine, round(CASE WHEN i < 5 THEN 0.01 * i / 5 ELSE 0.005 * (1 + cos(pi() * (i - 5) / 15.0)) END, 6) AS lr FROM p")
+@query("WITH p AS (SELECT o_orderkey AS id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) % 21 AS i FROM orders), q AS (SELECT id, i, i / 20.0::DOUBLE AS p FROM p) SELECT id, i::INT AS i, round(1 + (0.1 - 1) * p, 6) AS linear, round(power(0.1, p), 6) AS exponential, round(0.1 + 0.9 * 0.5 * (1 + cos(pi() * p)), 6) AS cosine, round(CASE WHEN i < 5 THEN 0.01 * i / 5 ELSE 0.005 * (1 + cos(pi() * (i - 5) / 15.0)) END, 6) AS lr FROM q")
 def annealing(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's orders as the steps of a run of 21."""
     p = F.col("i") / 20.0
-    return spark.range(21).withColumnRenamed("id", "i").select("i", *[r6(D.annealed(1.0, 0.1, p, k), k) for k in ("linear", "exponential", "cosine")], r6(D.lr_schedule(F.col("i"), 0.01, 5, 20), "lr"))
+    step = (F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1) % 21
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), step.cast("int").alias("i")).select("id", "i", *[r6(D.annealed(1.0, 0.1, p, k), k) for k in ("linear", "exponential", "cosine")], r6(D.lr_schedule(F.col("i"), 0.01, 5, 20), "lr"))
 
 
 @query("SELECT event_id, round(0.5 * 2 * pow(value / 100 - 0.5, 2) + 0.5 * ln(2 * pi() / 2), 6) AS vfe, round(-(0.5 + greatest(value / 100 - 0.5, 0) + 0.5 * 0.3 - 0.3 * 0.6), 6) AS efe FROM events")
