@@ -9,10 +9,11 @@ import re
 from collections.abc import Mapping
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loam.functions import dynamics as D
 from loam.functions import vector as V
@@ -138,6 +139,7 @@ def astar(queries: DataFrame, kg: DataFrame, vectors: DataFrame, most: int = 100
     goals = cut(ends.select("qid", "start", "goal", "gv", h.alias("h0")))
     shape = f"array<struct<node:{kind},relation:string,g:double,h:double,f:double>>"
     told = f"found boolean, path array<{kind}>, cost double, iterations long, expanded long, steps {shape}"
+    shaped = queries.sparkSession.createDataFrame([], f"qid {qkind}, start {kind}, goal {kind}, h0 double, held binary, asked array<{kind}>, {told}").schema
     state = cut(goals.select("qid", "start", "goal", "h0", F.lit(None).cast("binary").alias("held"), F.array("start").alias("asked")))
     ended = []
     while True:
@@ -147,7 +149,7 @@ def astar(queries: DataFrame, kg: DataFrame, vectors: DataFrame, most: int = 100
         best = W.partitionBy("qid", "parent").orderBy(F.col("step") + F.col("h"), "node")
         out = out.withColumn("k", F.row_number().over(best)).where(F.col("k") <= most + 1).drop("k")
         both = state.unionByName(out, allowMissingColumns=True)
-        state = cut(both.groupBy("qid").applyInPandas(_search(most, window), f"qid {qkind}, start {kind}, goal {kind}, h0 double, held binary, asked array<{kind}>, {told}"))
+        state = cut(both.groupBy("qid").applyInArrow(_search(most, window, to_arrow_schema(shaped)), shaped))
         done, left = state.agg(F.count_if(F.col("held").isNull()), F.count_if(F.col("held").isNotNull())).first()
         if done:
             ended.append(state.where("held is null").select("qid", "found", "path", "cost", "iterations", "expanded", "steps"))
@@ -162,20 +164,18 @@ def astar(queries: DataFrame, kg: DataFrame, vectors: DataFrame, most: int = 100
     return out.select("qid", F.coalesce("found", F.lit(False)).alias("found"), none("path", f"array<{kind}>"), "cost", zero("iterations"), zero("expanded"), none("steps", shape))
 
 
-def _search(most: int, window: int):
+def _search(most: int, window: int, shape: pa.Schema):
     """Goes on with one search as far as its edges are here."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf[pdf.goal.notna()].iloc[0]
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        row = next(r for r in rows if r["goal"] is not None)
         kids: dict = {}
-        for r in pdf[pdf.goal.isna()].itertuples():
-            kids.setdefault(r.parent, []).append((r.node, r.step, r.h, r.relation))
-        plain = lambda x: x.item() if hasattr(x, "item") else x
-        start, goal, known = plain(row.start), plain(row.goal), {plain(x) for x in row.asked}
-        if pdf.start.dtype.kind == "f":  # longs beside nulls
-            start, goal = int(start), int(goal)
-            kids = {int(k): [(int(n), *x) for n, *x in v] for k, v in kids.items()}
-        queue, best, came, taken, rounds, expanded = pickle.loads(row.held) if row.held is not None else ([(row.h0, start, 0.0)], {start: 0.0}, {}, set(), 0, 0)
+        for r in rows:
+            if r["goal"] is None:
+                kids.setdefault(r["parent"], []).append((r["node"], r["step"], r["h"], r["relation"]))
+        start, goal, known, held = row["start"], row["goal"], set(row["asked"]), row["held"]
+        queue, best, came, taken, rounds, expanded = pickle.loads(held) if held is not None else ([(row["h0"], start, 0.0)], {start: 0.0}, {}, set(), 0, 0)
         told = {"held": None, "asked": [], "found": False, "path": [], "cost": None, "steps": []}
         if start == goal:
             queue, told = [], told | {"found": True, "path": [start], "cost": 0.0}
@@ -211,7 +211,7 @@ def _search(most: int, window: int):
                     best[to] = g + step
                     came[to] = (node, relation, g + step, h)
                     heapq.heappush(queue, (g + step + h, to, g + step))
-        return pd.DataFrame([{"qid": row.qid, "start": start, "goal": goal, "h0": row.h0, **told, "iterations": rounds, "expanded": expanded}])
+        return pa.Table.from_pylist([{"qid": row["qid"], "start": start, "goal": goal, "h0": row["h0"], **told, "iterations": rounds, "expanded": expanded}], schema=shape)
 
     return run
 

@@ -197,6 +197,10 @@ def test_paths_of_any_length_are_found(spark):
     q = spark.createDataFrame([(1, 0, n), (2, 0, 51)], "qid long, start long, goal long")
     got = {x.qid: x for x in graph.astar(q, kg, vectors).collect()}
     assert got[1].found and got[1].path == list(range(n + 1)) and not got[2].found
+    far = 1 << 60  # ids that no double holds
+    kg2 = spark.createDataFrame([(far + i, far + i + 1, "supports", 1.0, 1.0, 1.0) for i in range(2)], edge)
+    v2 = spark.createDataFrame([(far + i, [1.0, float(i)]) for i in range(3)], "id long, embedding array<float>")
+    assert graph.astar(spark.createDataFrame([(far + 7, far, far + 2)], "qid long, start long, goal long"), kg2, v2).select("qid", "path").first() == (far + 7, [far, far + 1, far + 2])
     costs = kg.selectExpr("from_id", "to_id", "1D as cost")
     assert {x.node: x.cost for x in graph.cheapest(spark, costs, 0).collect()} == {i: float(i) for i in range(n + 1)}
     with pytest.raises(RuntimeError):
