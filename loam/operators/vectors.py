@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from loam.functions import vector as V
 
 BLOCK = 1024
+#: Rows of a block of pairs(), and of it that are multiplied at once.
+PAIR_BLOCK, SLICE = 8192, 512
 
 
 def top_k(rows: DataFrame, query: list[float], k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -55,7 +57,7 @@ def pairs(rows: DataFrame, threshold: float, both: bool = False, group: str | No
     kind = rows.schema["id"].dataType.simpleString()
     name = F.col(within).cast("string") if within else F.lit("")
     r = rows.select("id", F.col("embedding").cast("array<float>").alias("v"), (F.col(group) if group else F.lit(None)).cast("string").alias("g"), name.alias("w"))
-    sizes = r.where("w is not null").groupBy("w").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("c"))
+    sizes = r.where("w is not null").groupBy("w").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("c"))
     r = r.join(sizes, "w").withColumn("i", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
     spread = r.select("w", "id", "v", "g", "i", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("o")).withColumns({"lo": F.least("i", "o"), "hi": F.greatest("i", "o")})
 
@@ -67,17 +69,23 @@ def pairs(rows: DataFrame, threshold: float, both: bool = False, group: str | No
         ids = table.schema.field("id").type
         if not left.num_rows or not right.num_rows:
             return pa.table({"a": pa.array([], ids), "b": pa.array([], ids), "cosine": pa.array([], pa.float64())})
-        s = np.clip(_unit(left.column("v")) @ _unit(right.column("v")).T, -1, 1)
-        keep = s > threshold
-        if lo == hi:
-            keep &= np.triu(np.ones(s.shape, bool), 1)
+        x, y = _unit(left.column("v")), _unit(right.column("v")).T
         if group:
             code = pc.fill_null(pa.concat_arrays([*left.column("g").chunks, *right.column("g").chunks]).dictionary_encode().indices, -1).to_numpy()
-            keep &= code[: len(s), None] != code[None, len(s) :]
-        i, j = np.nonzero(keep)
+        found = []
+        for at in range(0, len(x), SLICE):
+            s = np.clip(x[at : at + SLICE] @ y, -1, 1)
+            keep = s > threshold
+            if lo == hi:
+                keep &= np.arange(s.shape[1])[None, :] > np.arange(at, at + len(s))[:, None]
+            if group:
+                keep &= code[at : at + len(s), None] != code[None, len(x) :]
+            i, j = np.nonzero(keep)
+            found.append((i + at, j, s[i, j]))
+        i, j, score = (np.concatenate(z) for z in zip(*found, strict=True))
         x, y = left.column("id").take(pa.array(i)), right.column("id").take(pa.array(j))
         swap = pc.greater(x, y)
-        return pa.table({"a": pc.if_else(swap, y, x), "b": pc.if_else(swap, x, y), "cosine": s[i, j]})
+        return pa.table({"a": pc.if_else(swap, y, x), "b": pc.if_else(swap, x, y), "cosine": score})
 
     out = spread.groupBy("w", "lo", "hi").applyInArrow(multiply, f"a {kind}, b {kind}, cosine double")
     return out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")) if both else out

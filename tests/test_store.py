@@ -49,7 +49,8 @@ def test_path_reward(spark):
 
 @pytest.mark.parametrize("block", [1024, 25])
 def test_vector_pairs_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "PAIR_BLOCK", block)
+    monkeypatch.setattr(vectors, "SLICE", 10)
     r = np.random.default_rng(0)
     m = r.normal(size=(90, 8))
     df = spark.createDataFrame([(i, [float(x) for x in v], i % 3) for i, v in enumerate(m)], "id long, embedding array<float>, g int")
