@@ -14,7 +14,7 @@ from loam.functions import vector as V
 
 BLOCK = 1024
 #: Rows of a block of pairs(), and of it that are multiplied at once.
-PAIR_BLOCK, SLICE = 8192, 512
+PAIR_BLOCK, SLICE = 4096, 512
 
 
 def top_k(rows: DataFrame, query: list[float], k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
