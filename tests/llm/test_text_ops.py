@@ -306,6 +306,20 @@ def test_passages_that_come_again_are_found():
     assert once == [(0, 2, 12.0)] and every == [(0, 2, 12.0), (53, 55, 12.0)]
 
 
+def test_one_strong_word_again_and_again_is_dropped(spark):
+    """A word counts once for the score; a long text that repeats a single toxic word is dropped nevertheless, one that
+    repeats a weak word is not.  Laws and weights as fitted on 100 MB."""
+    h, order = V.hash_words(["scum", "meh"]), np.argsort(V.hash_words(["scum", "meh"]))
+    laws = toxicity.Law(-1.0, 0.3, 0.6), toxicity.Law(-3.4, 0.73, 0.68)
+    m = toxicity.Model(h[order], np.array([6.0, 1.0])[order], np.zeros(0, V.U), np.zeros(0), *laws, 7.5, -18.9, strong=1.6)
+    side = "x " * 5000
+    texts = [side, side + "scum " * 20 + side, side + "meh " * 40 + side, "scum", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = {x.doc_id: x.score for x in toxicity.scan(df, m).collect()}
+    assert score[1] < 0.7 and [x.doc_id for x in toxicity.scan(df, m).where("size(passages) > 0").orderBy("doc_id").collect()] == [1, 2, 3]
+    assert sorted(x.doc_id for x in toxicity.clean_rows(df, m).collect()) == [0, 2, 4]
+
+
 def toxicity_by_hand(rows, labels, folds, queries):
     """Score and passages of each query text, with dictionaries."""
     D = toxicity.DRIFT
