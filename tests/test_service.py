@@ -35,6 +35,15 @@ def test_requests_are_answered_in_bulk(spark):
     assert requests.answer(df.limit(0), requests.store_routes(rooms, kg)).count() == 0
 
 
+def test_shared_lists_meet_their_calls_by_shuffle(spark):
+    """They grow with the tables, so they are never gathered for a broadcast, and each moves once."""
+    rooms = spark.createDataFrame([("w:a", "w", "A")], "id string, wing_id string, name string")
+    kg = spark.createDataFrame([(1, "x", "y", "supports")], "edge_seq long, from_id string, to_id string, relation string")
+    body = '{"jsonrpc":"2.0","id":1,"method":"tools/call","params":{"name":"palace_kg_query","arguments":{"from_id":"x"}}}'
+    out = requests.answer(spark.createDataFrame([(1, body), (2, body)], "seq long, body string"), requests.store_routes(rooms, kg))
+    assert "SortMergeJoin [__tool" in out._jdf.queryExecution().executedPlan().toString() and out.select("response").distinct().count() == 1
+
+
 def test_chunks_in_pieces_of_any_size():
     r = random.Random(0)
     for _ in range(200):
