@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loam.functions import vector as V
 from loam.operators import corpus, novelty, ooda, ordered
@@ -164,3 +165,17 @@ def test_samples_do_not_depend_on_the_layout(spark):
     assert {x.id for x in corpus.sample(none, "pheromone", 9).collect()} == {x.id for x in corpus.sample(df, "uniform", 9).collect()}
     heavy = sum(x.pheromone > 0.5 for s in range(20) for x in corpus.sample(df, "pheromone", 20, seed=s).collect())
     assert 220 < heavy < 330  # of 400; two thirds of the weight
+
+
+def test_best_match_within_one_table_deals_each_pair_of_blocks_once(spark, monkeypatch):
+    """A value of a single row stays at home, a pair of blocks is one task for both sides, and results are those of all pairs."""
+    monkeypatch.setattr(novelty, "TASK_ROWS", 7)
+    monkeypatch.setattr(novelty, "BLOCK_ROWS", 3)
+    r = random.Random(12)
+    sets = {i: {*r.sample(range(40), r.randrange(1, 9)), 1000 + i} for i in range(50)}
+    df = spark.createDataFrame([(i, sorted(x), len(x)) for i, x in sets.items()], "id long, g array<long>, n long")
+    met = novelty._met(df, df.select(F.explode("g").alias("v")).groupBy("v").count().where("count > 1").select("v"))
+    assert all(max(x.g) < 1000 and x.n == len(sets[x.id]) for x in met.collect())
+    got = {x.id: x.best for x in novelty.best_match(df, None, "jaccard").collect()}
+    for i, x in sets.items():
+        assert got.get(i, 0) == pytest.approx(max((len(x & sets[j]) / len(x | sets[j]) for j in range(i)), default=0.0))
