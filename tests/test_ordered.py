@@ -179,3 +179,18 @@ def test_best_match_within_one_table_deals_each_pair_of_blocks_once(spark, monke
     got = {x.id: x.best for x in novelty.best_match(df, None, "jaccard").collect()}
     for i, x in sets.items():
         assert got.get(i, 0) == pytest.approx(max((len(x & sets[j]) / len(x | sets[j]) for j in range(i)), default=0.0))
+
+
+@pytest.mark.parametrize("t", [0.0, 0.3, 0.5, 0.75])
+def test_only_pairs_that_can_pass_are_compared(spark, monkeypatch, t):
+    """Pairs are those of brute force, and whole sets move for few others: here each two sets share rare values in vain."""
+    r, cuts = random.Random(7), []
+    sets = [{*range(5), *r.sample(range(5, 2000), 50)} for _ in range(30)]
+    sets += [x - {*r.sample(sorted(x), len(x) // k)} for x, k in zip(sets, (8, 12) * 8)]
+    df = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "cls long, g array<long>")
+    keep = novelty.cut
+    monkeypatch.setattr(novelty, "cut", lambda x: cuts.append(keep(x)) or cuts[-1])
+    got = {(x.a, x.b) for x in novelty.class_pairs(df, t).collect()}
+    share = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(len(sets)) for i in range(j)}
+    assert got == {k for k, s in share.items() if s > t}
+    assert t < 0.5 or cuts[-1].count() * 2 < len(share), (cuts[-1].count(), len(got), len(share))
