@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loam.functions import vector as V
+from loam.lineage import cut, drop
 
 BLOCK = 1024
 #: Rows of a block of pairs(), and of it that are multiplied at once.
@@ -91,6 +94,81 @@ def pairs(rows: DataFrame, threshold: float, both: bool = False, group: str | No
     return out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")) if both else out
 
 
+#: First undecided rows of a room that are decided at once, and rows of a block that they are held against.
+HEAD, REST_BLOCK = 4096, 8192
+
+
+def unlike_earlier(rows: DataFrame, threshold: float) -> DataFrame:
+    """Ids of those rows (id: long, room, embedding) that no kept row of their room with a lesser id resembles above threshold.
+
+    Pairs of alike rows would grow with the square of a room, so none are made.  Of each room the first HEAD undecided rows are
+    decided one after the other in a task; what resembles a kept one of them is out of the others, block by block, and the next
+    round goes on with what is left.  A round's tasks hold a head and a block, however large the room.
+    """
+    head, block = HEAD, REST_BLOCK
+    left, kept = cut(rows.select("id", "room", F.col("embedding").cast("array<float>").alias("v"))), []
+    while True:
+        place = F.row_number().over(W.partitionBy("room").orderBy("id"))
+        upto = left.select("room", "id").withColumn("k", place).where(F.col("k") <= head).groupBy("room").agg(F.max("id").alias("upto"))
+        dealt = left.join(upto, "room")
+        new = cut(dealt.where("id <= upto").select("id", "room", "v").groupBy("room").applyInArrow(_first_come(threshold), "id long, room string, v array<float>"))
+        kept.append(new.select("id"))
+        rest = dealt.where("id > upto").select("id", "room", "v")
+        sizes = cut(rest.groupBy("room").agg(F.ceil(F.count("*") / block).cast("int").alias("c")))
+        if sizes.isEmpty():
+            break
+        asks = rest.join(sizes, "room").select("id", "room", "v", F.pmod(F.xxhash64("id"), "c").cast("int").alias("i"), F.lit(True).alias("asks"))
+        known = new.join(sizes, "room").select("id", "room", "v", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("i"), F.lit(False).alias("asks"))
+        fewer = cut(asks.unionByName(known).groupBy("room", "i").applyInArrow(_unlike(threshold), "id long, room string, v array<float>"))
+        drop(left)
+        left = fewer
+    return reduce(DataFrame.unionByName, kept)
+
+
+def _first_come(threshold: float):
+    """The rows of a table that no kept one before resembles."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id").combine_chunks()
+        x = _unit(table.column("v"))
+        took = np.zeros(len(x), bool)
+        for at in range(0, len(x), SLICE):
+            y = x[at : at + SLICE]
+            free = ~_resembles(y, x[:at][took[:at]], threshold)
+            near = np.clip(y @ y.T, -1, 1) > threshold
+            for i in range(len(y)):
+                if free[i]:
+                    free[i + 1 :] &= ~near[i, i + 1 :]
+            took[at : at + SLICE] = free
+        return table.filter(pa.array(took)).select(["id", "room", "v"])
+
+    return run
+
+
+def _unlike(threshold: float):
+    """The asking rows of a table that none of the others resembles."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right = table.filter(table.column("asks")).combine_chunks(), table.filter(pc.invert(table.column("asks"))).combine_chunks()
+        if left.num_rows and right.num_rows:
+            left = left.filter(pa.array(~_resembles(_unit(left.column("v")), _unit(right.column("v")), threshold)))
+        return left.select(["id", "room", "v"])
+
+    return run
+
+
+def _resembles(x: np.ndarray, known: np.ndarray, threshold: float) -> np.ndarray:
+    """For each row of x whether any of known does; known rows go by in slices, against what is still without a match."""
+    hit = np.zeros(len(x), bool)
+    for at in range(0, len(known), SLICE):
+        some = np.flatnonzero(~hit)
+        y = known[at : at + SLICE].T
+        for lo in range(0, len(some), SLICE):
+            part = some[lo : lo + SLICE]
+            hit[part] = (np.clip(x[part] @ y, -1, 1) > threshold).any(1)
+    return hit
+
+
 def duplicate_of(query: DataFrame, rows: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(id, match, score): for each query row (id, room, embedding) the most similar row of its room above threshold; of equal
     ones (to 12 digits) the least id.

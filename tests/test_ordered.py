@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loam.functions import vector as V
-from loam.operators import corpus, novelty, ooda, ordered
+from loam.operators import corpus, novelty, ooda, ordered, vectors
 from loam.operators import store as S
 
 
@@ -117,6 +117,24 @@ def test_unique_insert_equals_one_by_one(spark):
     assert kept.count() == 2 + sum(want.values()) == kept.select("id").distinct().count()
 
 
+def test_what_earlier_rows_resemble_goes_without_pairs(spark, monkeypatch):
+    """Two thirds are alike, so their pairs would be some 9,000; rooms of several heads and blocks equal the plain fold."""
+    for k, v in (("HEAD", 16), ("REST_BLOCK", 32), ("SLICE", 5)):
+        monkeypatch.setattr(vectors, k, v)
+    monkeypatch.setattr(vectors, "pairs", None)
+    r = np.random.default_rng(3)
+    base = r.normal(size=8)
+    rows = [(int(i), "ab"[int(i % 5 == 0)], (base + r.normal(size=8) * 0.1 if i % 3 else r.normal(size=8)).astype(np.float32).tolist()) for i in r.permutation(200)]
+    held, want = {"a": [], "b": []}, set()
+    for i, room, v in sorted(rows):
+        u = np.array(v) / np.linalg.norm(v)
+        if not any(u @ w > 0.8 for w in held[room]):
+            held[room].append(u)
+            want.add(i)
+    got = vectors.unlike_earlier(spark.createDataFrame(rows, "id long, room string, embedding array<float>"), 0.8).collect()
+    assert sorted(x.id for x in got) == sorted(want) and len(want) > 40
+
+
 @pytest.mark.parametrize(("block", "dense"), [(2048, 1 << 14), (7, 3), (7, 0)])
 def test_best_matches_equal_brute_force(spark, monkeypatch, block, dense):
     monkeypatch.setattr(novelty, "BLOCK_ROWS", block)
