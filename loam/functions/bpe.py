@@ -1,4 +1,4 @@
-"""Byte-level BPE: the tokenizer is sent to the tasks; each distinct piece is merged once in a task."""
+"""Byte-level BPE: the tokenizer is sent to the tasks; the distinct pieces of a slice of texts are merged once."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,15 +74,26 @@ class Tokenizer:
         return data.decode(errors="replace")
 
 
-#: Pieces whose merges a task keeps.
-KNOWN = 500_000
+#: Pieces whose merges a task keeps, the longest of them, and bytes of texts that are cut into pieces at once.
+KNOWN, KNOWN_CHARS, SLICE_BYTES = 200_000, 64, 1 << 20
+
+
+def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of at most so many bytes of text, or of one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(size):
+        upto = max(int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")), at + 1)
+        yield batch.slice(at, upto - at)
+        at = upto
 
 
 def encode(rows: DataFrame, tokenizer: Tokenizer, id_col: str, text_col: str) -> DataFrame:
     """(id, tokens) of each row; null texts have no tokens.
 
-    Special tokens are cut out first, the longest at a place.  A batch's pieces become a dictionary of distinct ones, each is
-    merged once in a task, and the ids of all pieces are one gather: no loop over tokens.
+    Special tokens are cut out first, the longest at a place.  A slice's pieces become a dictionary of distinct ones, each is
+    merged once, and the ids of all pieces are one gather: no loop over tokens.  A task holds a slice of SLICE_BYTES (or one
+    text) and KNOWN short pieces, however many rows and distinct pieces there are.
     """
     shared = rows.sparkSession.sparkContext.broadcast(tokenizer)
 
@@ -102,17 +114,21 @@ def encode(rows: DataFrame, tokenizer: Tokenizer, id_col: str, text_col: str) ->
             # a piece must not reach into a special token: what lies between is split by itself
             return [p for part in cut.split(text) for p in ([part] if part in tok.specials else regex.findall(PRETOKEN, part))]
 
-        for batch in it:
+        for batch in (x for whole in it for x in slices(whole, SLICE_BYTES)):
             lists = [pieces(t) for t in batch.column("text").to_pylist()]
             size = np.array([len(x) for x in lists], np.int64)
             coded = pa.array([p for x in lists for p in x], pa.string()).dictionary_encode()
+            del lists
             names = coded.dictionary.to_pylist()
             if len(known) + len(names) > KNOWN:
                 known = {m: [i] for m, i in tok.specials.items()}
+            ids = []
             for p in names:
-                if p not in known:
-                    known[p] = tok.piece("".join(table[b] for b in p.encode()))
-            ids = [known[p] for p in names]
+                if (x := known.get(p)) is None:
+                    x = tok.piece("".join(table[b] for b in p.encode()))
+                    if len(p) <= KNOWN_CHARS:
+                        known[p] = x
+                ids.append(x)
             n = np.array([len(x) for x in ids], np.int64)
             flat = np.array([i for x in ids for i in x], np.int32)
             first = np.cumsum(n) - n

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from loam.functions import bpe
@@ -86,3 +87,16 @@ def test_tokens_equal_one_text_at_a_time(spark, monkeypatch, known):
     df = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(texts)], "id string, text string")
     got = {x.id: x.tokens for x in bpe.encode(df, tok, "id", "text").collect()}
     assert got == {f"r{i}": tok.encode(t or "") for i, t in enumerate(texts)}
+
+
+def test_texts_are_cut_into_pieces_a_slice_at_a_time(spark, monkeypatch):
+    """A batch of any size goes by in slices of few bytes, with the same tokens."""
+    texts = ["abc de", None, "", "é" * 30, "x y z", "", "abc de", "q"] * 5
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    parts = list(bpe.slices(batch, 12))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column("text").to_pylist()) <= 12 for p in parts) and len(parts) > 10
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 12)
+    tok = bpe.Tokenizer({c: i for i, c in enumerate(bpe.byte_chars())}, {})
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    assert {x.id: x.tokens for x in bpe.encode(df, tok, "id", "text").collect()} == {i: tok.encode(t or "") for i, t in enumerate(texts)}
