@@ -10,8 +10,11 @@ import hashlib
 import hmac
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,28 +125,102 @@ def link_message(claim: str, pos: int, kind: str) -> str:
 _LINK = "discovery_id long, pos int, claim string, type string, commitment string, response string, public_key string"
 
 
+_LOW, _FOLD = np.uint64(0xFFFFFFFF), np.uint64(2**64 - P)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a b mod P of uint64 arrays, by halves: 2^64 is 59 mod P."""
+    half = np.uint64(32)
+    a1, a0, b1, b0 = a >> half, a & _LOW, b >> half, b & _LOW
+    mid, other, low = a1 * b0, a0 * b1, a0 * b0
+    carry = (low >> half) + (mid & _LOW) + (other & _LOW)
+    high = a1 * b1 + (mid >> half) + (other >> half) + (carry >> half)
+    low = (low & _LOW) | (carry << half)
+    # high 59 + low: high 59 has up to 70 bits
+    x0, x1 = (high & _LOW) * _FOLD, (high >> half) * _FOLD
+    x1 += x0 >> half
+    part = ((x1 & _LOW) << half) | (x0 & _LOW)
+    out = part + low
+    over = (x1 >> half) + (out < part)
+    last = out + over * _FOLD
+    last += np.where(last < out, _FOLD, np.uint64(0))
+    return np.where(last >= np.uint64(P), last - np.uint64(P), last)
+
+
+@lru_cache(64)
+def _powers(base: int) -> np.ndarray:
+    """base^(d 256^i) mod P of each byte's place i and value d."""
+    return np.array([[pow(base, d << 8 * i, P) for d in range(256)] for i in range(8)], np.uint64)
+
+
+def power(base: int, exponents: np.ndarray) -> np.ndarray:
+    """base^e mod P of each e of a uint64 array: a product of a table's entries, one a byte."""
+    table = _powers(base)
+    out = table[0][exponents & np.uint64(255)]
+    for i in range(1, 8):
+        out = _times(out, table[i][exponents >> np.uint64(8 * i) & np.uint64(255)])
+    return out
+
+
+def prove_all(secret: int, messages: list[bytes]) -> tuple[list[int], list[int], int]:
+    """prove() of many messages: commitments, responses and the public key."""
+    x = secret % Q
+    y = pow(G, x, P)
+    nonce, key = b"nonce" + x.to_bytes(8, "big"), y.to_bytes(8, "big")
+    k = [scalar(nonce + m) for m in messages]
+    r = power(G, np.array(k, np.uint64)).tolist()
+    return r, [(a + scalar(b.to_bytes(8, "big") + key + m) * x) % Q for a, b, m in zip(k, r, messages, strict=True)], y
+
+
+def verify_all(commitments: list[int], responses: list[int], public: int, messages: list[bytes]) -> np.ndarray:
+    """verify() of many messages under one public key."""
+    key = public.to_bytes(8, "big")
+    c = np.array([scalar(r.to_bytes(8, "big") + key + m) for r, m in zip(commitments, messages, strict=True)], np.uint64)
+    right = _times(np.array([r % P for r in commitments], np.uint64), power(public % P, c))
+    return power(G, np.array(responses, np.uint64)) == right
+
+
+def _messages(batch: pa.RecordBatch) -> list[bytes]:
+    return [link_message(c, p, t).encode() for c, p, t in zip(*[batch.column(c).to_pylist() for c in ("claim", "pos", "type")], strict=True)]
+
+
 def build_chain(claims: DataFrame, secret: int) -> DataFrame:
     """claims (discovery_id, pos, claim, type) -> links with proofs; numbers as 16 hex digits."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            got = [prove(secret, link_message(c, int(p), t)) for c, p, t in zip(pdf.claim, pdf.pos, pdf.type, strict=True)]
-            yield pdf[["discovery_id", "pos", "claim", "type"]].assign(commitment=[f"{r:016x}" for r, _, _ in got], response=[f"{s:016x}" for _, s, _ in got], public_key=[f"{y:016x}" for _, _, y in got])
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            r, s, y = prove_all(secret, _messages(b))
+            hexed = [pa.array([f"{x:016x}" for x in xs], pa.string()) for xs in (r, s, [y] * len(r))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *hexed], [*b.schema.names, "commitment", "response", "public_key"])
+
+    return claims.select("discovery_id", F.col("pos").cast("int").alias("pos"), "claim", "type").mapInArrow(run, _LINK)
 
-    return claims.select("discovery_id", F.col("pos").cast("int").alias("pos"), "claim", "type").mapInPandas(run, _LINK)
+
+#: Public keys of a batch that get a table of powers; others are verified one by one.
+KEYS = 32
 
 
 def verify_chain(links: DataFrame) -> DataFrame:
     """(discovery_id, n_links, valid): positions run from 0, one public key, and every proof holds."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            ok = [verify(int(r, 16), int(s, 16), int(y, 16), link_message(c, int(p), t)) for r, s, y, c, p, t in zip(pdf.commitment, pdf.response, pdf.public_key, pdf.claim, pdf.pos, pdf.type, strict=True)]
-            yield pdf[["discovery_id", "pos", "public_key"]].assign(ok=ok)
-
-    v = links.mapInPandas(run, "discovery_id long, pos int, public_key string, ok boolean")
-    whole = (F.min("pos") == 0) & (F.max("pos") == F.count("*") - 1) & (F.countDistinct("pos") == F.count("*"))
-    return v.groupBy("discovery_id").agg(F.count("*").alias("n_links"), (F.bool_and("ok") & whole & (F.countDistinct("public_key") == 1)).alias("valid"))
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            m = np.array(_messages(b), object)
+            r, s = (np.array([int(x, 16) for x in b.column(c).to_pylist()], object) for c in ("commitment", "response"))
+            coded = b.column("public_key").dictionary_encode()
+            ok, which = np.zeros(len(m), bool), coded.indices.to_numpy()
+            in_range = np.array([0 <= x < 2**64 and 0 <= y < 2**64 for x, y in zip(r, s, strict=True)], bool)
+            for k, y in enumerate(int(x, 16) for x in coded.dictionary.to_pylist()):
+                at = np.flatnonzero((which == k) & in_range)
+                if 0 <= y < 2**64 and len(coded.dictionary) <= KEYS:
+                    ok[at] = verify_all(r[at].tolist(), s[at].tolist(), y, m[at].tolist())
+                else:
+                    ok[at] = [verify(r[i], s[i], y, m[i].decode()) for i in at] if 0 <= y < 2**64 else False
+            yield pa.RecordBatch.from_arrays([b.column("discovery_id"), b.column("pos"), b.column("public_key"), pa.array(ok)], ["discovery_id", "pos", "public_key", "ok"])
+
+    v = links.select("discovery_id", "pos", "claim", "type", "commitment", "response", "public_key").mapInArrow(run, "discovery_id long, pos int, public_key string, ok boolean")
+    whole = (F.min("pos") == 0) & (F.max("pos") == F.count("*") - 1) & (F.count_distinct("pos") == F.count("*"))
+    return v.groupBy("discovery_id").agg(F.count("*").alias("n_links"), (F.bool_and("ok") & whole & (F.count_distinct("public_key") == 1)).alias("valid"))
 
 
 def claim_message(statement: str, confidence: float) -> str:

@@ -295,3 +295,26 @@ def test_searches_side_by_side_equal_one_by_one(spark, seed):
     for i, s, g in asks:
         near = graph.best_first(s, g, edges, vec, degree, 30)
         assert paths[i] == (near["path"] if near else graph.greedy_walk(s, g, edges, vec, {j: float(j % 5) / 5 for j in range(0, 40, 3)}, 3)), (i, s, g)
+
+
+def test_proofs_of_a_batch_are_those_of_one_message_at_a_time(spark):
+    import random
+
+    import numpy as np
+
+    r, p = random.Random(1), provenance
+    a = [r.getrandbits(64) for _ in range(300)] + [0, 1, p.P - 1, p.P, 2**64 - 1, 2**32 - 1, 2**32]
+    x, y = np.array([v % p.P for v in a], np.uint64), np.array(a[::-1], np.uint64)
+    assert p._times(x, y).tolist() == [(v % p.P) * w % p.P for v, w in zip(a, a[::-1], strict=True)]
+    assert p.power(7, np.array(a, np.uint64)).tolist() == [pow(7, e, p.P) for e in a]
+    texts = [f"m{i}" for i in range(50)]
+    c, s, key = p.prove_all(99, [t.encode() for t in texts])
+    assert [(i, j, key) for i, j in zip(c, s, strict=True)] == [p.prove(99, t) for t in texts]
+    s[3] ^= 1
+    texts[7] = "other"
+    assert p.verify_all(c, s, key, [t.encode() for t in texts]).tolist() == [i not in (3, 7) for i in range(50)]
+    # more keys in a batch than get a table
+    rows = spark.createDataFrame([(i, 0, f"claim {i}", "t") for i in range(p.KEYS + 3)], "discovery_id long, pos int, claim string, type string")
+    parts = [p.build_chain(rows.where(f"discovery_id = {i}"), i + 5).first() for i in range(p.KEYS + 3)]
+    links = spark.createDataFrame(parts, p._LINK).coalesce(1)
+    assert [v.valid for v in p.verify_chain(links).collect()] == [True] * len(parts)
