@@ -200,8 +200,7 @@ def preview(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT doc_id, unnest(list_concat(list_transform(range(1, len(b)), lambda i: (b[i] * 31 + b[i + 1]) % 256), list_transform(range(1, len(b) - 1), lambda i: (b[i] * 961 + b[i + 1] * 31 + b[i + 2]) % 256))) AS bin FROM b)
 SELECT doc_id, bin::INT AS bin, count(*) AS n FROM g GROUP BY ALL""")
 def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
-    x = t(spark, d, "documents").select("doc_id", F.explode(V.hashed_ngram_bins(F.col("text"))).alias("bin"))
-    return x.groupBy("doc_id", "bin").agg(F.count("*").alias("n"))
+    return V.hashed_ngram_counts(t(spark, d, "documents"), "doc_id", F.col("text")).withColumnRenamed("id", "doc_id")
 
 
 @query("""WITH h AS (SELECT item_id, hex(encode(text)) AS h, strlen(text) AS n FROM benchmark), p AS (SELECT item_id, h, unnest(range(0, n - 1)) AS pos FROM h)

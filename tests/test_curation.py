@@ -165,3 +165,17 @@ def test_corpus_round_trip_and_source(spark, tmp_path):
     (tmp_path / "obs/x.txt").write_text("one\ntwo\n")
     spark.dataSource.register(readers.ObservationSource)
     assert spark.read.format("observations").option("path", f"file://{tmp_path}/obs").option("source", "s").load().count() == 2
+
+
+def test_windows_are_counted_where_the_text_is(spark):
+    """Counts are those of the exploded bins, and no window is a row on the way."""
+    from collections import Counter
+
+    from loam.functions import vector as V
+
+    texts = [None, "", "a", "ab", "ABC abc", "é✓ÀÀ" * 9, "İΣ ΑΣ", "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    each = df.select("doc_id", F.explode(V.hashed_ngram_bins(F.col("text"))).alias("bin"))
+    out = V.hashed_ngram_counts(df, "doc_id", F.col("text"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {(x.id, x.bin): x.n for x in out.collect()} == Counter((x.doc_id, x.bin) for x in each.collect())
