@@ -179,3 +179,14 @@ def test_windows_are_counted_where_the_text_is(spark):
     out = V.hashed_ngram_counts(df, "doc_id", F.col("text"))
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert {(x.id, x.bin): x.n for x in out.collect()} == Counter((x.doc_id, x.bin) for x in each.collect())
+
+
+def test_words_are_split_once_for_all_their_grams(spark):
+    from loam.functions import text as T
+
+    df = spark.createDataFrame([(0, "A b  c"), (1, ""), (2, None), (3, "x")], "id long, t string")
+    out = df.select("id", T.uni_bigrams(F.col("t")).alias("g"), T.bigrams(T.words(F.col("t"))).alias("b"))
+    assert {x.id: x.g for x in out.collect()} == {0: ["a", "b", "c", "a b", "b c"], 1: [], 2: None, 3: ["x"]}
+    assert {x.id: x.b for x in out.collect()} == {0: ["A b", "b c"], 1: [], 2: None, 3: []}
+    one = df.select(F.explode(T.uni_bigrams(F.col("t"))))
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
