@@ -29,12 +29,13 @@ def decide(hypotheses: DataFrame, known: DataFrame, min_confidence: float = MIN_
     """hypotheses (seq, cause, effect, confidence), known (title) -> accepted (seq, title, confidence, novelty, quality).
 
     Confidence, emptiness and exact repeats are decided by expressions.  Titles that resemble a known one are out; those that
-    resemble each other meet in a join on their rarest words, and of them the earlier one stays, in rounds (ordered.blocked).
+    resemble each other meet in a join (novelty.dice_links), and of them the earlier one stays, in rounds (ordered.blocked).
     An accepted title's novelty is against all that is known or was accepted before.
     """
     title = F.concat_ws(" → ", "cause", "effect")
     ok = hypotheses.where((F.col("confidence") >= min_confidence) & (F.col("cause") != "") & (F.col("effect") != "")).withColumn("title", title)
-    first = ok.withColumn("__r", F.row_number().over(W.partitionBy("title").orderBy("seq"))).where("__r = 1").join(known.select("title").distinct(), "title", "left_anti")
+    first = ok.groupBy("title").agg(F.min(F.struct("seq", "confidence")).alias("m")).select("m.*", "title").join(known.select("title").distinct(), "title", "left_anti")
+    first = cut(first)
     words = F.transform(T.words(F.col("title")), lambda w: F.xxhash64(w)).alias("g")
     old = known.select("title").distinct().select((-1 - F.monotonically_increasing_id()).alias("id"), words)  # before all others
     lists = cut(first.select(F.col("seq").cast("long").alias("id"), words).unionByName(cut(old)))
@@ -43,9 +44,8 @@ def decide(hypotheses: DataFrame, known: DataFrame, min_confidence: float = MIN_
     left = links.where("a >= 0").join(out.toDF("a"), "a", "left_anti").join(out.toDF("b"), "b", "left_anti")
     out = out.union(ordered.blocked(left))
     kept = lists.join(out.toDF("id"), "id", "left_anti")
-    told = lambda x, g: x.select("id", g.alias("g"), F.size("g").cast("long").alias("n"))
     kept = cut(kept)
-    best = novelty.best_match(told(kept.where("id >= 0"), F.col("g")), told(kept, F.array_distinct("g")), "dice", earlier=True)
+    best = novelty.best_dice(kept)
     took = kept.where("id >= 0").select(F.col("id").alias("seq")).join(best.toDF("seq", "best"), "seq", "left").select("seq", (1 - F.coalesce("best", F.lit(0.0))).alias("novelty"))
     got = first.select(F.col("seq").cast("long").alias("seq"), "title", F.col("confidence").cast("double").alias("confidence")).join(took, "seq")
     return got.withColumn("quality", clamp(0.6 * F.col("confidence") + 0.4 * F.col("novelty"), 0.0, 1.0))

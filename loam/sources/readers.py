@@ -100,10 +100,12 @@ def phrase_hypotheses(rows: DataFrame, key: str, text: str, phrases: list[tuple[
     table = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(c).alias("confidence")) for p, c in phrases])
     r = rows.select(key, F.lower(F.col(text)).alias("t"), F.explode(table).alias("p"))
     at = F.instr(F.col("t"), F.col("p.phrase"))
-    before = T.words(F.substring("t", F.lit(1), at - 1))
-    after = T.words(F.substring("t", at + F.length("p.phrase"), F.length("t")))
+    first = lambda c: F.regexp_extract(c, rf"^{T.SPACE[:-1]}*([^{T.SPACE[1:-2]}]+)", 1)
+    before = F.reverse(first(F.reverse(F.substring("t", F.lit(1), at - 1))))  # only these words are looked for, not all
+    after = first(F.substring("t", at + F.length("p.phrase"), F.length("t")))
+    or_ = lambda c, x: F.coalesce(F.nullif(c, F.lit("")), F.lit(x))
     bare = lambda c: F.regexp_replace(c, r"^\P{L}+|\P{L}+$", "")
-    r = r.where(at > 0).select(key, F.col("p.phrase").alias("phrase"), F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit("X")).alias("c"), F.coalesce(F.try_element_at(after, F.lit(1)), F.lit("Y")).alias("e"), F.col("p.confidence").alias("confidence"))
+    r = r.where(at > 0).select(key, F.col("p.phrase").alias("phrase"), or_(before, "X").alias("c"), or_(after, "Y").alias("e"), F.col("p.confidence").alias("confidence"))
     return r.where((F.octet_length("c") > 1) & (F.octet_length("e") > 1)).select(key, "phrase", bare(F.col("c")).alias("cause"), bare(F.col("e")).alias("effect"), "confidence")
 
 

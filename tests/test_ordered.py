@@ -158,6 +158,26 @@ def test_best_matches_equal_brute_force(spark, monkeypatch, block, dense):
     assert novelty.common_counts(a, np.array([0, 0, 1, 1]), b, np.array([0, 1, 1]), 2, 2).tolist() == [[2, 0], [0, 1]]
 
 
+@pytest.mark.parametrize("hot", [0, 5, 1 << 14])
+def test_short_lists_meet_without_blocks(spark, monkeypatch, hot):
+    """Lists around the short length, with repeats, one value in nearly all: links and best scores are those of all pairs."""
+    monkeypatch.setattr(novelty, "HOT", hot)
+    r = random.Random(5)
+    lists = {i: ([9] if r.random() < 0.9 else []) + [r.randrange(9) for _ in range(r.choice([0, 1, 2, 2, 2, 3, 3, 4, 6]))] for i in range(-20, 90)}
+    df = spark.createDataFrame(list(lists.items()), "id long, g array<long>")
+    dice = {(a, b): 2 * sum(v in x for v in y) / (len(x) + len(y)) for a, x in lists.items() for b, y in lists.items() if a < b and x and y}
+    for t in (0.4, 0.7):
+        got = [(x.a, x.b) for x in novelty.dice_links(df, t).collect()]
+        assert len(got) == len(set(got)) and set(got) == {k for k, s in dice.items() if s > t}
+    best = {x.id: x.best for x in novelty.best_dice(df).collect()}
+    assert min(best) >= 0
+    for i in range(90):
+        assert best.get(i, 0) == pytest.approx(max((s for (_, b), s in dice.items() if b == i), default=0.0))
+    # short lists alone make no pairs of blocks
+    monkeypatch.setattr(novelty, "best_match", None)
+    assert novelty.best_dice(df.where(F.size("g") <= novelty.SHORT)).count()
+
+
 def test_pairs_name_every_row_of_a_class(spark):
     r = random.Random(7)
     sets = [sorted(r.sample("abcdefghij", r.randrange(0, 7))) for _ in range(60)]
