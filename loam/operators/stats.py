@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions.dynamics import _NORMAL, clamp, normal_cdf
+from loam.lineage import cut
 
 
 def moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -135,13 +136,30 @@ def causal_graph(spark: SparkSession, df: DataFrame, cols: list[str], alpha: flo
     return spark.createDataFrame(rows, "from string, to string, type string, strength double")
 
 
+#: Neighbours of a node in one row, on average at most.
+NEAR = 1024
+
+
 def colliders(edges: DataFrame, sepsets: DataFrame) -> DataFrame:
-    """edges (i, j) undirected, i < j; sepsets (i, j, z array) -> (a, b, c): a -> b <- c, by joins."""
-    both = edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j")))
-    t = both.select(F.col("i").alias("a"), F.col("j").alias("b")).join(both.select(F.col("i").alias("b"), F.col("j").alias("c")), "b").where("a < c")
-    open_ = t.join(edges.select(F.col("i").alias("a"), F.col("j").alias("c")), ["a", "c"], "left_anti")
-    s = sepsets.select(F.col("i").alias("a"), F.col("j").alias("c"), "z")
-    return open_.join(s, ["a", "c"], "left").where(~F.coalesce(F.array_contains("z", F.col("b")), F.lit(False))).select("a", "b", "c")
+    """edges (i, j) undirected, i < j; sepsets (i, j, z array) -> (a, b, c): a -> b <- c.
+
+    The c of an edge (a, b) are b's neighbours that are not a's: arrays, split by a hash of c where a node has many, that meet by
+    (a, part).  So what moves is arrays, a row an edge and part, and only open triples become rows.
+    """
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few edges are many triples: no task takes all
+    both = cut(edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).repartition(n, "i"))
+    widest = both.groupBy("i").count().agg(F.max("count")).first()[0] or 0
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(-(-widest // NEAR) or 1)).cast("int").alias("p")
+    near = cut(both.groupBy("i", part("j")).agg(F.sort_array(F.collect_list("j")).alias("near")))
+    own = near.toDF("a", "p", "own")
+    at = F.array_position("c", F.col("a")).cast("int")  # in a's own part the lists are in order
+    above = F.when(at > 0, F.slice("c", at + 1, F.size("c"))).otherwise(F.filter("c", lambda x: x > F.col("a")))
+    w = both.toDF("a", "b").join(near.toDF("b", "p", "c"), "b").select("a", "b", "p", above.alias("c")).where(F.size("c") > 0)
+    w = w.repartition(n, "a", "p").join(own, ["a", "p"], "left").select("a", "b", "p", F.when(F.col("own").isNull(), F.col("c")).otherwise(F.array_except("c", "own")).alias("c"))
+    if not sepsets.isEmpty():
+        z = sepsets.select(F.col("i").alias("a"), F.explode("z").alias("b"), F.col("j").alias("c")).groupBy("a", "b", part("c")).agg(F.collect_set("c").alias("z"))
+        w = w.where(F.size("c") > 0).join(z, ["a", "b", "p"], "left").select("a", "b", "p", F.when(F.col("z").isNull(), F.col("c")).otherwise(F.array_except("c", "z")).alias("c"))
+    return w.select("a", "b", F.explode("c").alias("c"))
 
 
 def bic(edges: DataFrame, n: int) -> DataFrame:

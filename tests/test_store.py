@@ -318,3 +318,20 @@ def test_proofs_of_a_batch_are_those_of_one_message_at_a_time(spark):
     parts = [p.build_chain(rows.where(f"discovery_id = {i}"), i + 5).first() for i in range(p.KEYS + 3)]
     links = spark.createDataFrame(parts, p._LINK).coalesce(1)
     assert [v.valid for v in p.verify_chain(links).collect()] == [True] * len(parts)
+
+
+@pytest.mark.parametrize("near", [1024, 2])
+def test_colliders_move_arrays_and_equal_all_triples(spark, monkeypatch, near):
+    """Lists in one row or in many, with and without separating sets; no more rows are dealt than edges and parts."""
+    monkeypatch.setattr(stats, "NEAR", near)
+    r = random.Random(near)
+    edges = {tuple(sorted(r.sample(range(14), 2))) for _ in range(40)}
+    seps = {(i, j): r.sample(range(14), 3) for i in range(14) for j in range(i + 1, 14) if r.random() < 0.5}
+    link = edges | {(j, i) for i, j in edges}
+    e = spark.createDataFrame(sorted(edges), "i long, j long")
+    for z in ({}, seps):
+        want = sorted((a, b, c) for a, b in link for b2, c in link if b == b2 and a < c and (a, c) not in link and b not in z.get((a, c), ()))
+        got = stats.colliders(e, spark.createDataFrame([(*k, v) for k, v in z.items()], "i long, j long, z array<long>"))
+        assert sorted(tuple(x) for x in got.collect()) == want
+    plan = stats.colliders(e, spark.createDataFrame([], "i long, j long, z array<long>"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "array_except" in plan
