@@ -335,3 +335,20 @@ def test_colliders_move_arrays_and_equal_all_triples(spark, monkeypatch, near):
         assert sorted(tuple(x) for x in got.collect()) == want
     plan = stats.colliders(e, spark.createDataFrame([], "i long, j long, z array<long>"))._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and "array_except" in plan
+
+
+def test_searches_of_one_goal_share_their_steps(spark, monkeypatch):
+    """Steps are worked out a goal and node, not a search: forty searches of two goals write no more of them than two."""
+    made, keep = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda x: made.append(keep(x)) or made[-1])
+    r = random.Random(8)
+    kg = spark.createDataFrame([(r.randrange(12), r.randrange(12), "causes", 0.1, 0.1, 0.1) for _ in range(60)], "from_id long, to_id long, relation string, success double, recency double, traversal double")
+    v = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(12)], "id long, embedding array<double>")
+    few = [(i, i % 5, 10 + i % 2) for i in range(10)]
+    rows = lambda q: sorted((x.start, x.goal, x.found, x.path, x.cost, x.expanded) for x in graph.astar(spark.createDataFrame(q, "qid long, start long, goal long"), kg, v).join(spark.createDataFrame(q, "qid long, start long, goal long"), "qid").collect())
+    count = lambda: sum(x.count() for x in made if set(x.columns) >= {"goal", "parent", "step"})
+    one = rows(few)
+    shared = count()
+    made.clear()
+    many = rows([(i, s, g) for i, (_, s, g) in enumerate(few * 4)])
+    assert many == sorted(one * 4) and count() == shared > 0
