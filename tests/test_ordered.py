@@ -158,6 +158,29 @@ def test_best_matches_equal_brute_force(spark, monkeypatch, block, dense):
     assert novelty.common_counts(a, np.array([0, 0, 1, 1]), b, np.array([0, 1, 1]), 2, 2).tolist() == [[2, 0], [0, 1]]
 
 
+@pytest.mark.parametrize("held", [8192, 0])
+def test_few_known_rows_go_to_the_asking_ones(spark, monkeypatch, held):
+    """Where the known rows are few no asking row is dealt or written; results are the same where they are not."""
+    texts = [(i, None if i == 7 else " ".join("abcde"[(i * j) % 5] for j in range(i % 6))) for i in range(40)]
+    df = spark.createDataFrame(texts, "id long, t string")
+    known = df.where("id % 4 = 3")
+    monkeypatch.setattr(novelty, "HELD_ROWS", held)
+    monkeypatch.setattr(novelty, "SLICE_VALUES", 9)
+    if held:
+        monkeypatch.setattr(novelty, "_met", None)
+        wrote, keep = [], novelty.cut
+        monkeypatch.setattr(novelty, "cut", lambda x: wrote.append(keep(x)) or wrote[-1])
+    got = {x.id: x.novelty for x in novelty.dice_novelty(df, known, "id", "t", "id", "t").collect()}
+    if held:
+        assert [x.count() for x in wrote] == [known.count()]
+    for i, text in texts:
+        x = (text or "").split()
+        best = max((2 * sum(w in y for w in x) / (len(x) + len(y)) for j, k in texts if j % 4 == 3 and (y := (k or "").split())), default=0.0) if x else 0.0
+        assert got[i] == pytest.approx(1 - best), i
+    gram = {x.id: x.novelty for x in novelty.ngram_novelty(df, known, "id", "t", "id", "t").collect()}
+    assert gram[0] == 0.0 and gram[7] == 1.0 and len(gram) == 40
+
+
 @pytest.mark.parametrize("hot", [0, 5, 1 << 14])
 def test_short_lists_meet_without_blocks(spark, monkeypatch, hot):
     """Lists around the short length, with repeats, one value in nearly all: links and best scores are those of all pairs."""
