@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loam.llm.common import BROADCAST_ROWS, cut
+from loam.llm.common import BROADCAST_ROWS, cut, hinted
 from loam.llm.mixing import DIGITS, row_hash
 
 ROUND_BITS = 12
@@ -40,7 +40,9 @@ def _joined(rows: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
 
 
 def _directory(slim: DataFrame, limit: int) -> tuple[list[tuple[int, DataFrame]], DataFrame | None]:
-    """Per round the bits of a cell and (cell, depth, shard, shard_bytes, shard_rows); and the hashes that no bit splits."""
+    """Per round the bits that it starts from and its shards: (p: these bits, lo, hi: the hashes from lo to hi, hi included, depth,
+    shard, shard_bytes, shard_rows); and the hashes that no bit splits.  The first round's p are its cells, at most
+    2**ROUND_BITS; later rounds have a row a shard, not a row a cell, of which there can be as many as rows."""
     rounds, rows, base = [], slim, 0
     while True:
         bits = min(ROUND_BITS, HASH_BITS - base)
@@ -48,13 +50,17 @@ def _directory(slim: DataFrame, limit: int) -> tuple[list[tuple[int, DataFrame]]
         cells = rows.groupBy(F.shiftright("h", low).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"))
         cells = cut(cells, "shard-cells")
         levels = cells.select("cell", "b", "n", F.explode(F.sequence(F.lit(1 if base else 0), F.lit(bits))).alias("d")).withColumn("q", F.expr(f"shiftright(cell, {bits} - d)"))
-        # The bucket of a cell at depth d holds at most 2**bits cells: sums of few numbers.
-        sums = levels.groupBy("d", "q").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
-        fits = sums.where(F.col("shard_bytes") <= limit)
-        first = levels.join(fits, ["d", "q"]).groupBy("cell").agg(F.min(F.struct("d", "q", "shard_bytes", "shard_rows")).alias("s"))
+        # The bucket of a cell at depth d holds at most 2**bits cells.  Its sums are a window, not a join: Spark takes the levels for
+        # no larger than the cells' files, and would broadcast them.
+        bucket = W.partitionBy("d", "q")
+        sums = levels.withColumns({"shard_bytes": F.sum("b").over(bucket), "shard_rows": F.sum("n").over(bucket)})
+        first = sums.where(F.col("shard_bytes") <= limit).groupBy("cell").agg(F.min(F.struct("d", "q", "shard_bytes", "shard_rows")).alias("s"))
         depth = (F.col("s.d") + base).cast("int")
         prefix = F.when(depth == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("s.q").cast("string"), 10, 2), depth, F.lit("0")))
-        rounds.append((base + bits, cut(first.select("cell", depth.alias("depth"), prefix.alias("shard"), "s.shard_bytes", "s.shard_rows"), "shard-directory")))
+        lo = F.expr(f"shiftleft(s.q, {low + bits} - s.d)")
+        hi = lo + F.expr(f"shiftleft(1L, {low + bits} - s.d)") - 1
+        found = first.select(F.col("cell") if not base else F.shiftright("cell", bits).alias("cell"), "s").distinct()
+        rounds.append((base or bits, cut(found.select(F.col("cell").alias("p"), lo.alias("lo"), hi.alias("hi"), depth.alias("depth"), prefix.alias("shard"), "s.shard_bytes", "s.shard_rows"), "shard-directory")))
         large = cells.where(F.col("b") > limit).select(F.col("cell").alias("p"))
         base += bits
         if large.isEmpty():
@@ -86,8 +92,9 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
         rows = _joined(rows, same, "h", "left_anti")
     parts = ["depth", "shard", "shard_bytes", "shard_rows"]
     for i, (bits, found) in enumerate(rounds):
-        found = found.select(F.col("cell").alias(f"__c{i}"), F.struct(*parts).alias(f"__s{i}"))
-        rows = _joined(rows.withColumn(f"__c{i}", F.shiftright("h", HASH_BITS - bits)), found, f"__c{i}", "left")
+        found = found.select(F.col("p").alias(f"__p{i}"), "lo", "hi", F.struct(*parts).alias(f"__s{i}"))
+        here = (F.shiftright("h", HASH_BITS - bits) == F.col(f"__p{i}")) & F.col("h").between(F.col("lo"), F.col("hi"))
+        rows = rows.join(hinted(found, most=BROADCAST_ROWS // 8), here, "left").drop("lo", "hi")
     s = F.coalesce(*[F.col(f"__s{i}") for i in range(len(rounds))])
     out = rows.select(*cols, "n_bytes", s["shard"].alias("shard"), s["depth"].alias("depth"), s["shard_bytes"].alias("shard_bytes"), s["shard_rows"].alias("shard_rows"), F.lit(False).alias("oversized"))
     return out if apart is None else out.unionByName(apart.select(*cols, *NEW))

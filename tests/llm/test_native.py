@@ -240,3 +240,23 @@ def test_random_traces_equal_linking_by_hand(spark, seed):
         assert j["calls"] == calls and got[conv].n_orphan == orphans
         assert [type(v) for c in j["calls"] if isinstance(c["arguments"], dict) for v in c["arguments"].values()] == [type(v) for c in calls if isinstance(c["arguments"], dict) for _, v in sorted(c["arguments"].items())]
         assert json.dumps(j, sort_keys=True, separators=(",", ":"), ensure_ascii=False) == got[conv].json
+
+
+def test_shard_directory_is_a_row_a_shard_and_joins_nothing(spark, monkeypatch):
+    """Cells of later rounds can be as many as rows: they are neither joined (Spark would broadcast their levels) nor looked up."""
+    plans, keep = [], sharding.cut
+    monkeypatch.setattr(sharding, "ROUND_BITS", 3)
+    monkeypatch.setattr(sharding, "cut", lambda x, name: plans.append((name, x._jdf.queryExecution().optimizedPlan().toString())) or keep(x, name))
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 7 + 1).cast("int")).alias("text"))
+    slim = docs.select(sharding.row_hash("doc_id", "text").alias("h"), sharding.n_bytes("text").alias("n_bytes"))
+    rounds, same = sharding._directory(slim, 40)
+    assert len(rounds) > 1 and same is None
+    for _, found in rounds[1:]:
+        assert found.count() == found.select("shard").distinct().count()
+    assert not any("Join" in p for name, p in plans if name == "shard-directory")
+    out = sharding.shard(docs, limit=40).collect()
+    per = {}
+    for x in out:
+        per.setdefault(x.shard, []).append(x.n_bytes)
+        assert x.shard_bytes <= 40 and x.depth == len(x.shard)
+    assert len(out) == 600 and all(x.shard_bytes == sum(per[x.shard]) and x.shard_rows == len(per[x.shard]) for x in out)
