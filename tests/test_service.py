@@ -100,3 +100,24 @@ def test_texts_are_cut_into_pieces_a_slice_at_a_time(spark, monkeypatch):
     tok = bpe.Tokenizer({c: i for i, c in enumerate(bpe.byte_chars())}, {})
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
     assert {x.id: x.tokens for x in bpe.encode(df, tok, "id", "text").collect()} == {i: tok.encode(t or "") for i, t in enumerate(texts)}
+
+
+def test_lists_are_gathered_in_ranges(spark, monkeypatch):
+    """A key's list is made of texts of ranges of a few rows each, in order, nulls as in one list; and long rows are written one by one."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    from loam.operators import requests
+
+    monkeypatch.setattr(requests, "PIECE", 3)
+    rows = [(i, str(i % 3) if i % 10 else "9", None if i % 7 == 0 else f'r"{i}', i * 7 % 5) for i in range(40)]
+    kg = spark.createDataFrame(rows, "edge_seq long, from_id string, relation string, to_id long").repartition(5, "to_id")
+    got = {x.key: x.list for x in requests._listed(kg, "from_id", "edge_seq", F.struct("relation", F.col("to_id").alias("to"))).collect()}
+    want = {k: [{"relation": r, "to": t} if r is not None else {"to": t} for _, f, r, t in rows if f == k] for k in "0129"}
+    assert {k: json.loads(x) for k, x in got.items()} == want and all(" " not in x for x in got.values())
+    bodies = spark.createDataFrame([(1, '{"jsonrpc":"2.0","id":1,"method":"tools/call","params":{"name":"palace_kg_query","arguments":{"from_id":"2"}}}')], "seq long, body string")
+    rooms = spark.createDataFrame([], "id string, wing_id string, name string")
+    answer = json.loads(requests.answer(bodies, requests.store_routes(rooms, kg)).first().response)
+    assert json.loads(answer["result"]["content"][0]["text"]) == {"edges": want["2"]}
+    assert spark.conf.get("parquet.page.size.row.check.min") == "1"
