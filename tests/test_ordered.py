@@ -255,3 +255,17 @@ def test_only_pairs_that_can_pass_are_compared(spark, monkeypatch, t):
     share = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(len(sets)) for i in range(j)}
     assert got == {k for k, s in share.items() if s > t}
     assert t < 0.5 or cuts[-1].count() * 2 < len(share), (cuts[-1].count(), len(got), len(share))
+
+
+@pytest.mark.parametrize("copies", [500_000, 0])
+def test_sets_are_written_once(spark, monkeypatch, copies):
+    """Classes are named by ids alone: sets are written once and read there, whatever the number of copies (no ids to all tasks: twice)."""
+    r, wrote, keep = random.Random(3), [], novelty.cut
+    sets = [sorted(r.sample(range(12), r.randrange(0, 7))) for _ in range(50)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(sets + sets[:20])], "id long, v array<long>")
+    monkeypatch.setattr(novelty, "COPIES", copies)
+    monkeypatch.setattr(novelty, "cut", lambda x: wrote.append(x.dtypes) or keep(x))
+    got = {(x.a, x.b) for x in novelty.jaccard_pairs(df, "id", F.col("v"), 0.5).collect()}
+    every = [set(x) for x in sets + sets[:20]]
+    assert got == {(i, j) for j, y in enumerate(every) for i, x in enumerate(every[:j]) if x and y and len(x & y) / len(x | y) > 0.5}
+    assert sum(("g", "array<bigint>") in x for x in wrote) == (1 if copies else 2)
